@@ -13,10 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace class and identifier / token / number patterns.
-WS = r"[ \t\n\x0B\f\r   -     　﻿]"
+BLANKS = r" \t\n\x0B\f\r\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS = f"[{BLANKS}]"
 IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]*"
 NUMBER = r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])"
-TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r   -     　﻿]"
+TOKEN = rf"[A-Za-z0-9_]+|[^A-Za-z0-9_{BLANKS}]"
 TAG_LINE = r"(?i)(@Authorship:|\[AUTHORSHIP:)"
 STRUCTURE_WORDS = ("if", "for", "while", "return", "function", "def", "class")
 SHAPE_KEYWORDS = (
@@ -250,7 +251,7 @@ def clean_requirement(c: Column) -> Column:
 
 def identifier_tokens(c: Column) -> Column:
     """Camel-case, snake-case and digit runs, lower-cased."""
-    pattern = r"[A-Z]+(?=[A-Z][a-z]|(?![A-Za-z0-9_]))|[A-Z]?[a-z]+|[0-9]+|[A-Z]+"
+    pattern = r"[A-Z]+(?=[A-Z][a-z]|(?![\p{L}\p{N}_]))|[A-Z]?[a-z]+|[0-9]+|[A-Z]+"
     return F.transform(F.regexp_extract_all(F.replace(c, F.lit("_"), F.lit(" ")), F.lit(pattern), 0), F.lower)
 
 
