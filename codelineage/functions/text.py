@@ -256,31 +256,17 @@ def identifier_tokens(c: Column) -> Column:
 
 
 def normalize_code(c: Column) -> Column:
-    """Common indent removed, trailing blanks dropped per line, line ends kept."""
-    lines = F.transform(split_lines(c), lambda x: F.when(x.rlike(r"^[ \t]+$"), F.lit("")).otherwise(x))
-    solid = F.filter(lines, lambda x: F.length(F.regexp_replace(x, r"\s", "")) > 0)
-    indents = F.transform(solid, lambda x: F.regexp_extract(x, r"^[ \t]*", 0))
-    margin = F.aggregate(
-        indents,
-        F.element_at(F.concat(indents, F.array(F.lit(""))), 1),
-        lambda acc, x: common_prefix(acc, x),
-    )
-    stripped = F.transform(
-        lines,
-        lambda x: F.regexp_replace(
-            F.when((F.length(margin) > 0) & F.startswith(x, margin), F.substr(x, F.length(margin) + 1)).otherwise(x),
-            r"[ \t]+(?=\r?$)",
-            "",
-        ),
-    )
-    return F.array_join(stripped, "\n")
+    """Common indent removed, trailing blanks dropped per line, line ends kept.
 
-
-def common_prefix(a: Column, b: Column) -> Column:
-    """Longest common prefix of two short strings (indents)."""
-    size = F.least(F.length(a), F.length(b))
-    fits = F.filter(F.sequence(F.lit(0), size), lambda n: F.left(a, n) == F.left(b, n))
-    return F.left(a, F.array_max(fits))
+    The common prefix of all indents is that of the smallest and the largest
+    one; a back-reference finds it. Only regular expressions are used, so the
+    result can feed a Python UDF directly.
+    """
+    indents = F.regexp_extract_all(c, F.lit(r"(?md)^([ \t]*)[^ \t\n]"), F.lit(1))
+    ends = F.concat(F.array_min(indents), F.lit("\0"), F.array_max(indents))
+    margin = F.coalesce(F.regexp_extract(ends, r"^([ \t]*)[ \t]*\x00\1", 1), F.lit(""))
+    shifted = F.regexp_replace(c, F.concat(F.lit("(?md)^"), margin), F.lit(""))
+    return F.regexp_replace(shifted, r"[ \t]+(?=\r?(?:\n|\z))", "")
 
 
 def strip_fence(c: Column) -> Column:

@@ -1,11 +1,20 @@
-"""Controlled code mutations (grid only so far)."""
+"""Controlled code mutations: a grid of sources and rules, one seeded edit each.
+
+The parser helper names, for each source, the edit every rule picks (spans and
+fragments). Splicing, request text, status, checks, quotas and audits are
+DataFrame work.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Mutation rules and the requirement category each belongs to.
+from codelineage.functions.ordering import hash_rank, stable_digest
+from codelineage.functions.pycode import mutation_edits, parse_info
+from codelineage.functions.text import normalize_code
+
+# Mutation rules, the requirement category of each, and the instruction it is described by.
 RULES = {
     "modify_docstring_text": "documentation_edit",
     "remove_output_statement": "statement_removal",
@@ -18,8 +27,137 @@ RULES = {
     "modernize_super_call": "super_call_modernization",
     "rename_local_identifier": "identifier_rename",
 }
+INSTRUCTIONS = {
+    "modify_docstring_text": "update the function docstring text",
+    "remove_output_statement": "remove the standalone output statement",
+    "replace_literal_value": "replace the selected literal value",
+    "modify_return_expression": "replace the return expression",
+    "modify_comparison_operator": "modify one comparison operator",
+    "modify_exception_handler": "modify the exception handler type",
+    "modernize_string_formatting": "convert the selected f-string to equivalent .format syntax",
+    "modify_type_annotation": "add a built-in type annotation to the parameter",
+    "modernize_super_call": "modernize the explicit super call",
+    "rename_local_identifier": "rename the selected local identifier consistently",
+}
+DELIMITERS = ("<before>", "</before>", "<after>", "</after>")
+REQUEST = (
+    "In the old function, %s at function line %d, column %d. "
+    "Change the exact fragment <before>%s</before> to <after>%s</after>. "
+    "Leave everything else unchanged."
+)
+
+
+def _from(table: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]), key)
 
 
 def cohort_grid(sources: DataFrame) -> DataFrame:
     """Every source with every rule, by exploding the ten rule names."""
     return sources.withColumn("mutation_operator", F.explode(F.array(*[F.lit(r) for r in RULES])))
+
+
+def splice(code: Column, edits: Column) -> Column:
+    """Replace character spans, given in text order."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    return F.aggregate(
+        edits,
+        start,
+        lambda acc, e: F.struct(
+            F.concat(acc["text"], F.substr(code, acc["at"] + 1, e["start"] - acc["at"]), e["text"]).alias("text"),
+            e["end"].alias("at"),
+        ),
+        lambda acc: F.concat(acc["text"], F.substr(code, acc["at"] + 1)),
+    )
+
+
+def is_faithful(requirement: Column, old: Column, new: Column) -> Column:
+    """Each delimiter occurs once and both fragments are embedded exactly."""
+    clean = F.lit(True)
+    for d in DELIMITERS:
+        once = F.length(requirement) - F.length(F.replace(requirement, F.lit(d), F.lit(""))) == len(d)
+        clean = clean & ~F.contains(old, F.lit(d)) & ~F.contains(new, F.lit(d)) & once
+    embedded = lambda tag, x: F.contains(requirement, F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>")))
+    return clean & embedded("before", old) & embedded("after", new)
+
+
+def mutate(sources: DataFrame, prefix: str = "fgm_cohort_v1") -> DataFrame:
+    """All (source, rule) attempts with status valid, inapplicable or failed.
+
+    ``sources(source_index, split, code)``. The text is brought to its
+    canonical form first, edited by spans and checked by parsing the result.
+    """
+    canonical = sources.withColumn("_info", parse_info(normalize_code(F.col("code"))))
+    # Only whole modules count here; a bare function body is a failure.
+    usable = F.col("_info.mode") == "module"
+    first = canonical.withColumn("old_code", F.when(usable, F.col("_info.canonical"))).withColumn(
+        "_edits", mutation_edits(F.col("old_code"))
+    )
+    rule = F.col("mutation_operator")
+    edit = F.col("_edit")
+    grid = cohort_grid(first).withColumn("_edit", F.try_element_at(F.col("_edits"), rule))
+    spliced = grid.withColumn("_new", F.when(edit.isNotNull(), splice(F.col("old_code"), edit["edits"])))
+    tested = spliced.withColumn("_check", parse_info(F.coalesce("_new", F.lit(""))))
+    changed = (F.col("_check.mode") == "module") & (F.col("_check.fingerprint") != F.col("_info.fingerprint"))
+    valid = edit.isNotNull() & F.coalesce(changed, F.lit(False))
+    status = F.when(F.col("old_code").isNull(), "failed").when(valid, "valid").otherwise("inapplicable")
+    keep = lambda c: F.when(F.col("status") == "valid", c)
+    request = F.format_string(REQUEST, _from(INSTRUCTIONS, rule), edit["line"], edit["column"], edit["old"], edit["new"])
+    return tested.withColumn("status", status).select(
+        F.concat_ws("_", F.lit(prefix), "split", "source_index", rule).alias("id"),
+        "source_index",
+        F.col("split").alias("source_split"),
+        "mutation_operator",
+        _from(RULES, rule).alias("taxonomy_category"),
+        "status",
+        F.coalesce("_info.error", F.when(F.col("status") == "failed", "not a module")).alias("reason"),
+        "old_code",
+        keep(F.col("_check.canonical")).alias("expected_mutated_function"),
+        keep(request).alias("requirement"),
+        keep(edit["old"]).alias("old_fragment"),
+        keep(edit["new"]).alias("new_fragment"),
+        keep(F.struct(edit["line"].alias("line"), edit["column"].alias("column"))).alias("mutation_location"),
+    )
+
+
+def cohort_audit(attempts: DataFrame) -> DataFrame:
+    """Attempts, valid, inapplicable and failed per rule."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return attempts.groupBy("mutation_operator").agg(
+        F.count("*").alias("attempts"), n("valid").alias("valid"), n("inapplicable").alias("inapplicable"), n("failed").alias("failed")
+    )
+
+
+def mutations_per_source(attempts: DataFrame) -> DataFrame:
+    """How many sources have how many valid mutations."""
+    per = attempts.groupBy("source_index").agg(F.count_if(F.col("status") == "valid").alias("mutations"))
+    return per.groupBy("mutations").agg(F.count("*").alias("sources"))
+
+
+def with_support(attempts: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Attach how many retained requirements support each rule's category (0 marks an unsupported rule)."""
+    kept = taxonomy.where(F.col("author_decision").isin("accept", "correct"))
+    counts = kept.groupBy(F.col("author_final_category").alias("taxonomy_category")).agg(F.count("*").alias("support"))
+    return attempts.join(counts, "taxonomy_category", "left").fillna(0, ["support"])
+
+
+def mutation_quota(attempts: DataFrame, per_split: dict[str, int], seed: int) -> DataFrame:
+    """The first ``quota`` valid mutations per (split, rule) in hash order, and the shortfall per group."""
+    valid = attempts.where(F.col("status") == "valid").withColumn(
+        "_digest", stable_digest("fusion-guided-dataset-v1", seed, F.col("source_split"), F.col("mutation_operator"), F.col("source_index"))
+    )
+    ranked = hash_rank(valid, ["source_split", "mutation_operator"], "_digest", "id")
+    quota = F.try_element_at(F.create_map(*[x for k, v in per_split.items() for x in (F.lit(k), F.lit(v))]), F.col("source_split"))
+    return ranked.withColumn("quota", quota).where(F.col("rank") <= F.col("quota")).drop("_digest")
+
+
+def shortfall(attempts: DataFrame, picked: DataFrame, per_split: dict[str, int]) -> DataFrame:
+    """Groups that did not reach their quota."""
+    groups = attempts.select("source_split", "mutation_operator").distinct()
+    got = picked.groupBy("source_split", "mutation_operator").agg(F.count("*").alias("got"))
+    quota = F.try_element_at(F.create_map(*[x for k, v in per_split.items() for x in (F.lit(k), F.lit(v))]), F.col("source_split"))
+    return (
+        groups.join(got, ["source_split", "mutation_operator"], "left")
+        .fillna(0, ["got"])
+        .withColumn("missing", quota - F.col("got"))
+        .where(F.col("missing") > 0)
+    )

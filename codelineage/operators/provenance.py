@@ -346,3 +346,18 @@ def attribute_blocks(blocks: DataFrame, snippets: DataFrame, messages: DataFrame
         "best_score",
         "n_matches",
     )
+
+
+def mixed_authorship(blocks: DataFrame, snippets: DataFrame, messages: DataFrame) -> DataFrame:
+    """Blocks of two or more sections with at least one LLM and one human section."""
+    from codelineage.operators.files import sections
+
+    cut = blocks.withColumn("sections", sections(F.col("content"))).where(F.size("sections") >= 2)
+    parts = cut.select("conv_id", "block", F.posexplode("sections").alias("section", "content"))
+    keyed = parts.select("conv_id", F.concat_ws(":", "block", "section").alias("block"), "content")
+    labels = attribute_blocks(keyed, snippets, messages).select("conv_id", "block", "label")
+    owner = F.split_part("block", F.lit(":"), F.lit(1))
+    return labels.groupBy("conv_id", owner.alias("block")).agg(
+        F.count("*").alias("sections"),
+        (F.bool_or(F.col("label") == LLM) & F.bool_or(F.col("label").isin(HUMAN, PROMPT))).alias("mixed"),
+    )

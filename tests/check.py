@@ -71,7 +71,7 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     sf_dir = f"/root/testdata/sf{sf}"
     con = connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
