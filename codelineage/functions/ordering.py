@@ -53,6 +53,7 @@ def hash_rank(df: DataFrame, groups: list[str], digest: str, tie: str, name: str
     return running_total(df, groups, digest_bucket(F.col(digest)), [digest, tie], F.lit(1).cast("long"), name)
 
 
-def scalar(df: DataFrame) -> Column:
-    """One-row, one-column frame as a scalar subquery."""
-    return df.scalar()
+def range_bucket(df: DataFrame, column: str, buckets: int = 65536) -> Column:
+    """Order-preserving bucket of a non-negative number by its share of the maximum."""
+    width = F.ceil((df.agg(F.max(column)).scalar() + 1) / buckets)
+    return F.floor(F.col(column) / width)

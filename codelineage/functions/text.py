@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace class and identifier / token / number patterns.
@@ -213,19 +213,35 @@ def shape_similarity(a: Column, b: Column) -> Column:
     return shape_ratio(code_shape(a), code_shape(b))
 
 
-def chat_similarity(a: Column, b: Column) -> Column:
-    """Similarity of a text with a chat reply; short texts must be equal."""
-    x, y = norm_line(a), norm_line(b)
+def chat_similarity(df: DataFrame, a: str, b: str, name: str = "similarity") -> DataFrame:
+    """Add the similarity of a text with a chat reply; texts under 20 characters must be equal.
+
+    Otherwise, in order: containment of a text that is not a comment counts 1,
+    then shapes above 0.9, containment by length, edit distance when the lengths are within
+    half, and word overlap. The steps are separate columns, so each is
+    computed once, and the edit distances only where they decide.
+    """
+    x, y, sx, sy = (F.col(f"_{n}") for n in ("x", "y", "sx", "sy"))
     short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
-    shape = shape_similarity(a, b)
-    return (
+    within = F.contains(x, y) | F.contains(y, x)
+    # Squeezed texts are one line, so "90 % of the significant lines" is containment of that line.
+    comment = "^(#|//|\"\"\"|''')"
+    known = (
         F.when(short < 20, (x == y).cast("double"))
-        .when(subset_match(x, y) | subset_match(y, x), F.lit(1.0))
-        .when(shape > 0.9, shape)
-        .when(F.contains(x, y) | F.contains(y, x), short / long)
+        .when(within & ~x.rlike(comment) & ~y.rlike(comment), F.lit(1.0))
+    )
+    ratio = (
+        F.when(within, short / long)
         .when((long - short) / long < 0.5, 1 - bounded_levenshtein(x, y) / long)
         .otherwise(word_overlap(x, y))
     )
+    return (
+        df.withColumns({"_x": norm_line(F.col(a)), "_y": norm_line(F.col(b)), "_sx": code_shape(F.col(a)), "_sy": code_shape(F.col(b))})
+        .withColumn("_known", known)
+        .withColumn("_shape", F.when(F.col("_known").isNull(), shape_ratio(sx, sy)))
+        .withColumn(name, F.coalesce("_known", F.when(F.col("_shape") > 0.9, F.col("_shape")).otherwise(ratio)))
+        .drop("_x", "_y", "_sx", "_sy", "_known", "_shape")
+    )
 
 
 # Requirement boilerplate patterns and prefix.

@@ -234,12 +234,11 @@ def vocabulary(rows: DataFrame, value: str, position: list[str]) -> DataFrame:
     ``position[0]`` is a running example number; values are ranked inside
     ranges of it, so no task sorts the whole vocabulary.
     """
-    from codelineage.functions.ordering import running_total
+    from codelineage.functions.ordering import range_bucket, running_total
 
     first = rows.groupBy(F.col(value).alias("value")).agg(F.min(F.struct(*position)).alias("first"))
     flat = first.select("value", *[F.col(f"first.{p}").alias(p) for p in position])
-    width = F.ceil((flat.agg(F.max(position[0])).scalar() + 1) / 65536)
-    bucket = F.floor(F.col(position[0]) / width)
+    bucket = range_bucket(flat, position[0])
     ranked = running_total(flat, [], bucket, [*position], F.lit(1).cast("long"), "rank")
     return ranked.select("value", (F.col("rank") + 1).alias("value_id"))
 

@@ -11,6 +11,7 @@ from codelineage.operators import astdelta as x
 from codelineage.operators import mining as m
 from codelineage.operators import mutation as mu
 from codelineage.plans.base import Registry
+from codelineage.session import checkpointed
 from codelineage.sources.tables import table
 
 R = Registry()
@@ -187,21 +188,25 @@ def ast_edges(spark, d):
 
 @R.add(
     "neighbor_agg",
-    """WITH nodes AS (SELECT n_regionkey AS graph, n_nationkey AS node, n_nationkey::DOUBLE AS v FROM nation),
-    edges AS (SELECT a.graph, a.node AS src, b.node AS dst FROM nodes a JOIN nodes b ON a.graph = b.graph AND (b.node = a.node + 5 OR b.node = a.node - 5 OR b.node = a.node - 10)),
-    s1 AS (SELECT n.graph, n.node, v + coalesce((SELECT avg(s.v) FROM edges e JOIN nodes s ON s.node = e.src AND s.graph = e.graph WHERE e.dst = n.node AND e.graph = n.graph), 0) AS v FROM nodes n),
-    s2 AS (SELECT n.graph, n.node, v + coalesce((SELECT avg(s.v) FROM edges e JOIN s1 s ON s.node = e.src AND s.graph = e.graph WHERE e.dst = n.node AND e.graph = n.graph), 0) AS v FROM s1 n)
-    SELECT graph, round(avg(v), 9) AS mean_state, round(max(v), 9) AS max_state FROM s2 GROUP BY 1""",
+    """WITH nodes AS (SELECT o_custkey AS graph, o_orderkey AS node, o_totalprice AS v FROM orders),
+    up AS (SELECT graph, node AS src, lead(node) OVER (PARTITION BY graph ORDER BY node) AS dst FROM nodes),
+    edges AS (SELECT * FROM up WHERE dst IS NOT NULL UNION ALL SELECT graph, dst, src FROM up WHERE dst IS NOT NULL),
+    m1 AS (SELECT e.graph, e.dst AS node, avg(s.v) AS m FROM edges e JOIN nodes s ON s.node = e.src AND s.graph = e.graph GROUP BY ALL),
+    s1 AS (SELECT n.graph, n.node, v + coalesce(m, 0) AS v FROM nodes n LEFT JOIN m1 ON n.graph = m1.graph AND n.node = m1.node),
+    m2 AS (SELECT e.graph, e.dst AS node, avg(s.v) AS m FROM edges e JOIN s1 s ON s.node = e.src AND s.graph = e.graph GROUP BY ALL),
+    s2 AS (SELECT n.graph, n.node, v + coalesce(m, 0) AS v FROM s1 n LEFT JOIN m2 ON n.graph = m2.graph AND n.node = m2.node)
+    SELECT graph, round(avg(v), 4) AS mean_state, round(max(v), 4) AS max_state FROM s2 GROUP BY 1""",
 )
 def neighbor_agg(spark, d):
-    nodes = table(spark, d, "nation").select(
-        F.col("n_regionkey").alias("graph"), F.col("n_nationkey").alias("node"), F.col("n_nationkey").cast("double").alias("v")
+    """Orders of a customer as a chain graph with edges both ways."""
+    nodes = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("graph"), F.col("o_orderkey").alias("node"), F.col("o_totalprice").alias("v")
     )
-    # Edges of the fixture graph: keys 5 up, 5 down and 10 down, kept when both ends exist.
-    ends = nodes.select("graph", F.col("node").alias("src"), F.explode(F.array(*[F.col("node") + k for k in (5, -5, -10)])).alias("dst"))
-    edges = ends.join(nodes.select("graph", F.col("node").alias("dst")), ["graph", "dst"], "left_semi")
+    nxt = F.lead("node").over(W.partitionBy("graph").orderBy("node"))
+    up = nodes.select("graph", F.col("node").alias("src"), nxt.alias("dst")).where(F.col("dst").isNotNull())
+    edges = up.unionByName(up.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst")))
     pooled = x.graph_pool(x.neighbor_mean(nodes, edges, "v"))
-    return pooled.select("graph", F.round("mean_state", 9).alias("mean_state"), F.round("max_state", 9).alias("max_state"))
+    return pooled.select("graph", F.round("mean_state", 4).alias("mean_state"), F.round("max_state", 4).alias("max_state"))
 
 
 @R.add(
@@ -341,7 +346,9 @@ def repo_rank(spark, d):
     f"""WITH {VALID} SELECT 'function_' || row_number() OVER (ORDER BY rank, tree_pos) AS id, v.repo, path, rank FROM valid v JOIN ranked_repos r ON v.repo = r.repo""",
 )
 def function_ids(spark, d):
-    funcs, valid = _valid(spark, d)
+    # The mined functions feed three branches: keep them instead of parsing again.
+    funcs = checkpointed(changes(spark, d))
+    valid = m.valid_files_cap(m.changed_files(funcs), m.file_cap(files(spark, d)))
     ranked = m.repo_rank(m.repo_rules(repos(spark, d)), valid)
     return m.function_ids(ranked, valid, funcs).select("id", "repo", "path", "rank")
 
