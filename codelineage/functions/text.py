@@ -213,17 +213,31 @@ def shape_similarity(a: Column, b: Column) -> Column:
     return shape_ratio(code_shape(a), code_shape(b))
 
 
-def chat_similarity(df: DataFrame, a: str, b: str, name: str = "similarity") -> DataFrame:
+def edit_similarity(x: Column, y: Column, floor: float) -> Column:
+    """1 - distance / longer length, or 0 when it is below ``floor``: only a band of the table is filled."""
+    gap, long = F.abs(F.length(x) - F.length(y)), F.greatest(F.length(x), F.length(y))
+    limit = F.ceil(long * (1 - floor)).cast("int")
+    distance = F.call_function("levenshtein", x, y, limit)
+    return F.when((gap > 1000) | (gap > limit), F.lit(0.0)).when(distance < 0, F.lit(0.0)).otherwise(1 - distance / long)
+
+
+def chat_similarity(df: DataFrame, a: str, b: str, name: str = "similarity", floor: float = 0.0) -> DataFrame:
     """Add the similarity of a text with a chat reply; texts under 20 characters must be equal.
 
     Otherwise, in order: containment of a text that is not a comment counts 1,
     then shapes above 0.9, containment by length, edit distance when the lengths are within
-    half, and word overlap. The steps are separate columns, so each is
+    half, and word overlap. Edit similarities below ``floor`` read as 0. The steps are separate columns, so each is
     computed once, and the edit distances only where they decide.
     """
     x, y, sx, sy = (F.col(f"_{n}") for n in ("x", "y", "sx", "sy"))
     short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
     within = F.contains(x, y) | F.contains(y, x)
+    shapes_long = F.greatest(F.length(sx), F.length(sy))
+    shape = (
+        F.when(sx == sy, F.lit(1.0))
+        .when(F.contains(sx, sy) | F.contains(sy, sx), F.least(F.length(sx), F.length(sy)) / shapes_long)
+        .otherwise(edit_similarity(sx, sy, 0.9))
+    )
     # Squeezed texts are one line, so "90 % of the significant lines" is containment of that line.
     comment = "^(#|//|\"\"\"|''')"
     known = (
@@ -232,13 +246,13 @@ def chat_similarity(df: DataFrame, a: str, b: str, name: str = "similarity") ->
     )
     ratio = (
         F.when(within, short / long)
-        .when((long - short) / long < 0.5, 1 - bounded_levenshtein(x, y) / long)
+        .when((long - short) / long < 0.5, edit_similarity(x, y, floor) if floor else 1 - bounded_levenshtein(x, y) / long)
         .otherwise(word_overlap(x, y))
     )
     return (
         df.withColumns({"_x": norm_line(F.col(a)), "_y": norm_line(F.col(b)), "_sx": code_shape(F.col(a)), "_sy": code_shape(F.col(b))})
         .withColumn("_known", known)
-        .withColumn("_shape", F.when(F.col("_known").isNull(), shape_ratio(sx, sy)))
+        .withColumn("_shape", F.when(F.col("_known").isNull(), shape))
         .withColumn(name, F.coalesce("_known", F.when(F.col("_shape") > 0.9, F.col("_shape")).otherwise(ratio)))
         .drop("_x", "_y", "_sx", "_sy", "_known", "_shape")
     )
@@ -262,7 +276,7 @@ def clean_requirement(c: Column) -> Column:
         c = F.regexp_replace(c, pattern, "")
     c = F.regexp_replace(F.regexp_replace(c, f"{WS}+", " "), f"{WS}+([,.;:])", "$1")
     c = F.regexp_replace(c, "^[ ,.;:]+|[ ,.;:]+$", "")
-    return F.when(F.length(c) == 0, F.lit("empty")).otherwise(c)
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit("empty"))
 
 
 def identifier_tokens(c: Column) -> Column:

@@ -66,7 +66,7 @@ def best_sentence(df: DataFrame, keys: list[str], content: str, text: str) -> Da
 def sourced_matches(contents: DataFrame, messages: DataFrame) -> DataFrame:
     """Pieces more than 70 % similar to the checked text; whole replies are cut to their best sentence."""
     pairs = reply_pieces(messages).join(contents, "conv_id")
-    scored = t.chat_similarity(pairs, "content", "piece").where(F.col("similarity") > SOURCED_MIN)
+    scored = t.chat_similarity(pairs, "content", "piece", floor=SOURCED_MIN).where(F.col("similarity") > SOURCED_MIN)
     keys = ["conv_id", "turn", "piece_no"]
     whole = scored.where(F.col("kind") == "text")
     cut = best_sentence(whole.select(*keys, "content", "piece"), keys, "content", "piece")
@@ -97,7 +97,7 @@ def dedupe_matches(matches: DataFrame, keys: tuple[str, ...] = ("conv_id",), max
         reps = open_rows.groupBy(*keys).agg(
             F.min(order).alias("rep"), F.min_by("portion", order).alias("rep_portion")
         )
-        compared = t.chat_similarity(open_rows.join(reps, keys), "portion", "rep_portion", "to_rep")
+        compared = t.chat_similarity(open_rows.join(reps, keys), "portion", "rep_portion", "to_rep", floor=SAME_GROUP_MIN)
         taken = (order == F.col("rep")) | (F.col("to_rep") > SAME_GROUP_MIN)
         tested = checkpointed(compared.withColumn("taken", taken).drop("to_rep"))
         group = tested.where("taken").groupBy(*keys, "rep").agg(
@@ -128,13 +128,13 @@ def assistant_sourced(contents: DataFrame, messages: DataFrame) -> DataFrame:
 def first_appearance(
     contents: DataFrame,
     snippets: DataFrame,
-    similarity: Callable[[DataFrame, str, str, str], DataFrame] = t.chat_similarity,
+    similarity: Callable[..., DataFrame] = t.chat_similarity,
 ) -> DataFrame:
     """Earliest snippet of the conversation more than 70 % similar to the checked text.
 
-    ``similarity(df, a, b, name)`` adds the measure as a column; any other can be passed.
+    ``similarity(df, a, b, name, floor)`` adds the measure as a column; any other can be passed.
     """
-    scored = similarity(snippets.join(contents, "conv_id"), "content", "code", "similarity")
+    scored = similarity(snippets.join(contents, "conv_id"), "content", "code", "similarity", floor=SOURCED_MIN)
     near = scored.where(F.col("similarity") > SOURCED_MIN)
     return near.groupBy("conv_id").agg(F.min(F.struct("turn", "snippet_no", "role")).alias("f")).select(
         "conv_id", F.col("f.turn").alias("first_turn"), F.col("f.role").alias("first_role")

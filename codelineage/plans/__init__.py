@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("provenance", "evaluation", "files", "code", "survey")
+AREAS = ("provenance", "evaluation", "files", "code", "survey", "topics")
 
 
 def registries():
