@@ -24,19 +24,23 @@ def parsed_sides(df: DataFrame, sides: dict[str, str], extra: list[str] = ()) ->
     return parsed.repartition("id")
 
 
-def feature_counts(parsed: DataFrame, sides: list[str]) -> DataFrame:
-    """Per (id, feature): how often each side has it and where it first appears."""
+def feature_counts(parsed: DataFrame, sides: list[str], carry: list[str] = ()) -> DataFrame:
+    """Per (id, feature): how often each side has it and where it first appears.
+
+    An id without any feature stays as one row without a feature when columns are carried.
+    """
 
     def tagged(side: str) -> Column:
         entry = lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), *[x[k].alias(k) for k in KEY])
         return F.transform(F.col(f"{side}.features"), entry)
 
     entries = F.flatten(F.array(*[tagged(s) for s in sides]))
-    rows = parsed.select("id", F.inline(entries))
+    rows = parsed.select("id", *carry, (F.inline_outer if carry else F.inline)(entries))
     on = lambda s: F.col("side") == s
     return rows.groupBy("id", *KEY).agg(
         *[F.count_if(on(s)).alias(f"n_{s}") for s in sides],
         *[F.min(F.when(on(s), F.col("pos"))).alias(f"pos_{s}") for s in sides],
+        *[F.first(c).alias(c) for c in carry],
     )
 
 
@@ -90,19 +94,21 @@ def paired_operations(deletes: Column, inserts: Column) -> Column:
     return F.aggregate(deletes, start, step, finish)
 
 
-def edit_script(counts: DataFrame, old: str, new: str) -> DataFrame:
-    """Operations from one side to another: id, operation, place, detail, n."""
+def _change_lists(old: str, new: str) -> list[Column]:
+    """Aggregates per place: deleted and inserted features in order of first appearance."""
     change = F.col(f"n_{new}") - F.col(f"n_{old}")
     entry = lambda side, n: F.struct(F.col(f"pos_{side}").alias("pos"), F.col("detail"), n.alias("n"))
-    lists = (
-        counts.where(change != 0)
-        .groupBy("id", *PLACE)
-        .agg(
-            F.array_sort(F.collect_list(F.when(change < 0, entry(old, -change)))).alias("deletes"),
-            F.array_sort(F.collect_list(F.when(change > 0, entry(new, change)))).alias("inserts"),
-        )
-    )
-    ops = lists.select("id", *PLACE, F.inline(paired_operations(F.col("deletes"), F.col("inserts"))))
+    return [
+        F.array_sort(F.collect_list(F.when(change < 0, entry(old, -change)))).alias(f"deletes_{new}"),
+        F.array_sort(F.collect_list(F.when(change > 0, entry(new, change)))).alias(f"inserts_{new}"),
+    ]
+
+
+def edit_script(counts: DataFrame, old: str, new: str) -> DataFrame:
+    """Operations from one side to another: id, operation, place, detail, n."""
+    changed = counts.where(F.col(f"n_{new}") != F.col(f"n_{old}"))
+    lists = changed.groupBy("id", *PLACE).agg(*_change_lists(old, new))
+    ops = lists.select("id", *PLACE, F.inline(paired_operations(F.col(f"deletes_{new}"), F.col(f"inserts_{new}"))))
     return ops.select("id", "operation", *PLACE, "detail", "n")
 
 
@@ -136,46 +142,53 @@ def dice(matched: Column, left: Column, right: Column) -> Column:
 def delta_scores(df: DataFrame, scripts: bool = False) -> DataFrame:
     """Agreement of the human and the generated edit per triple (id, old, human, llm).
 
-    Rows that do not parse carry ``error`` and no scores.
+    Operations only meet inside one place of the tree, so both scripts, their
+    overlap and the overlap of the final trees are totals per place, summed per
+    id. Rows that do not parse carry ``error`` and no scores.
     """
-    parsed = parsed_sides(df, {"o": "old", "h": "human", "g": "llm"})
-    counts = feature_counts(parsed, ["o", "h", "g"])
-    tagged = lambda side: edit_script(counts, "o", side).withColumn("who", F.lit(side))
-    ops = (
-        tagged("h")
-        .unionByName(tagged("g"))
-        .groupBy("id", "operation", *PLACE, "detail")
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("who") == "h", F.col("n"))), F.lit(0)).alias("h"),
-            F.coalesce(F.sum(F.when(F.col("who") == "g", F.col("n"))), F.lit(0)).alias("g"),
-        )
+    sides = {"o": "old", "h": "human", "g": "llm"}
+    error = F.coalesce(*[F.col(f"{s}.error") for s in sides])
+    meta = F.struct(error.alias("error"), *[F.col(f"{s}.mode").alias(f"{c}_mode") for s, c in sides.items()])
+    counts = feature_counts(parsed_sides(df, sides).withColumn("meta", meta), list(sides), ["meta"])
+    c = F.col
+    places = counts.groupBy("id", *PLACE).agg(
+        F.first("meta").alias("meta"), *_change_lists("o", "h"), *_change_lists("o", "g"),
+        F.sum(F.least("n_h", "n_g")).alias("same"), F.sum("n_h").alias("n_h"), F.sum("n_g").alias("n_g"),
     )
-    edits = multiset_scores(ops, "h", "g", "e_")
-    if scripts:
-        item = F.struct("operation", *PLACE, "detail")
-        listed = lambda side: F.array_sort(
-            F.flatten(F.collect_list(F.array_repeat(item, F.col(side).cast("int"))))
-        )
-        edits = edits.join(
-            ops.groupBy("id").agg(listed("h").alias("human_edit_script"), listed("g").alias("llm_edit_script")), "id"
+    for side in ("h", "g"):
+        places = places.withColumn(f"ops_{side}", paired_operations(c(f"deletes_{side}"), c(f"inserts_{side}")))
+    total = lambda ops: F.aggregate(ops, F.lit(0).cast("long"), lambda acc, o: acc + o["n"])
+    twin = lambda o: F.try_element_at(
+        F.filter("ops_g", lambda g: (g["operation"] == o["operation"]) & (g["detail"] == o["detail"])), F.lit(1)
+    )
+    both = F.transform("ops_h", lambda o: F.struct(F.least(o["n"], F.coalesce(twin(o)["n"], F.lit(0).cast("long"))).alias("n")))
+    listed = lambda side: F.flatten(
+        F.transform(
+            c(f"ops_{side}"),
+            lambda o: F.array_repeat(
+                F.struct(o["operation"].alias("operation"), *[c(p).alias(p) for p in PLACE], o["detail"].alias("detail")),
+                o["n"].cast("int"),
+            ),
         )
-    final = multiset_scores(counts, "n_h", "n_g", "f_")
-    c = lambda name: F.coalesce(F.col(name), F.lit(0))
-    score = precision_recall_f1(c("e_matched"), c("e_left"), c("e_right"))
-    error = F.coalesce("o.error", "h.error", "g.error")
-    ok = lambda x: F.when(F.col("error").isNull(), x)
-    base = parsed.select(
-        "id", error.alias("error"), F.col("o.mode").alias("old_mode"), F.col("h.mode").alias("human_mode"), F.col("g.mode").alias("llm_mode")
     )
-    return base.join(edits, "id", "left").join(final, "id", "left").select(
-        "id", "error", "old_mode", "human_mode", "llm_mode",
+    extra = [F.array_sort(F.flatten(F.collect_list(listed(s)))).alias(n) for s, n in (("h", "human_edit_script"), ("g", "llm_edit_script"))]
+    sums = places.groupBy("id").agg(
+        F.first("meta").alias("meta"),
+        F.sum(total(both)).alias("matched"), F.sum(total(c("ops_h"))).alias("human"), F.sum(total(c("ops_g"))).alias("other"),
+        F.sum("same").alias("same"), F.sum("n_h").alias("n_h"), F.sum("n_g").alias("n_g"),
+        *(extra if scripts else []),
+    )
+    score = precision_recall_f1(c("matched"), c("human"), c("other"))
+    ok = lambda x: F.when(c("meta.error").isNull(), x)
+    return sums.select(
+        "id", "meta.error", "meta.old_mode", "meta.human_mode", "meta.llm_mode",
         ok(score["f1"]).alias("ast_delta_similarity"),
         ok(score["precision"]).alias("operation_precision"),
         ok(score["recall"]).alias("operation_recall"),
-        ok(c("e_matched")).alias("matched_edits"),
-        ok(c("e_left")).alias("human_edits"),
-        ok(c("e_right")).alias("llm_edits"),
-        ok(dice(c("f_matched"), c("f_left"), c("f_right"))).alias("final_ast_similarity"),
+        ok(c("matched")).alias("matched_edits"),
+        ok(c("human")).alias("human_edits"),
+        ok(c("other")).alias("llm_edits"),
+        ok(dice(c("same"), c("n_h"), c("n_g"))).alias("final_ast_similarity"),
         *(["human_edit_script", "llm_edit_script"] if scripts else []),
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codelineage.functions.pycode import extract_functions
+from codelineage.session import checkpointed
 
 # Cutoff and caps of the mining rules.
 CUTOFF = "2022-12-31 23:59:59"
@@ -60,9 +61,9 @@ def _changes_in(commits: DataFrame, versions: DataFrame) -> DataFrame:
     next older version is the next row when its number is one higher.
     """
     have = commits.join(versions.select("repo", "path", "sha", "content"), ["repo", "path", "sha"])
-    one = have.where(F.col("content").isNotNull()).select(
-        "repo", "path", "sha", "author_date", "message", "nth", F.inline(extract_functions(F.col("content")))
-    )
+    commit = ["repo", "path", "sha", "author_date", "message", "nth"]
+    parsed = have.where(F.col("content").isNotNull()).select(*commit, extract_functions(F.col("content")).alias("found"))
+    one = parsed.select(*commit, F.inline("found"))
     older = W.partitionBy("repo", "path", "name").orderBy("nth")
     was = F.lead(F.struct("nth", "sha", "author_date", "message", "code", "start_line", "end_line", "fingerprint")).over(older)
     pairs = one.withColumn("old", was).where(
@@ -90,7 +91,8 @@ def changed_functions(commits: DataFrame, versions: DataFrame, first_look: int =
     """
     if first_look >= COMMITS_PER_FILE:
         return _changes_in(commits, versions)
-    near = _changes_in(commits.where(F.col("nth") <= first_look), versions)
+    # Kept in the shared folder: the result also decides which files stay open.
+    near = checkpointed(_changes_in(commits.where(F.col("nth") <= first_look), versions))
     open_files = commits.join(near.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
     # The pair (first_look, first_look + 1) is still untested.
     far = _changes_in(open_files.where(F.col("nth") >= first_look), versions)

@@ -96,7 +96,7 @@ def mutate(sources: DataFrame, prefix: str = "fgm_cohort_v1") -> DataFrame:
     edit = F.col("_edit")
     grid = cohort_grid(first).withColumn("_edit", F.try_element_at(F.col("_edits"), rule))
     spliced = grid.withColumn("_new", F.when(edit.isNotNull(), splice(F.col("old_code"), edit["edits"])))
-    tested = spliced.withColumn("_check", parse_info(F.coalesce("_new", F.lit(""))))
+    tested = spliced.withColumn("_check", parse_info(F.col("_new")))
     changed = (F.col("_check.mode") == "module") & (F.col("_check.fingerprint") != F.col("_info.fingerprint"))
     valid = edit.isNotNull() & F.coalesce(changed, F.lit(False))
     status = F.when(F.col("old_code").isNull(), "failed").when(valid, "valid").otherwise("inapplicable")

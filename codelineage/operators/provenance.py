@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codelineage.functions import text as t
+from codelineage.session import checkpointed
 
 LLM, PROMPT, HUMAN, MIXED = "LLM_GENERATED", "HUMAN_PROMPT_ORIGIN", "HUMAN_WRITTEN", "MIXED"
 FUZZY_MIN = 70.0
@@ -238,6 +239,8 @@ def fuzzy_matches(blocks: DataFrame, snippets: DataFrame) -> DataFrame:
         .withColumn("n_lines", F.size("features"))
         .drop("code")
     )
+    # Cut into lines and tokens once: both tables feed the candidate search and the scoring.
+    left, right = checkpointed(left), checkpointed(right)
     pairs = fuzzy_candidates(left, right)
     scored = (
         pairs.join(left.select("conv_id", "left_id", "left_syn", F.col("features").alias("lf")), ["conv_id", "left_id"])

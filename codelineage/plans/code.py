@@ -12,7 +12,7 @@ from codelineage.operators import mining as m
 from codelineage.operators import mutation as mu
 from codelineage.plans.base import Registry
 from codelineage.session import checkpointed
-from codelineage.sources.tables import table
+from codelineage.sources.tables import spread_table, table
 
 R = Registry()
 
@@ -25,7 +25,7 @@ def triples(spark, d):
     """Old, human and generated function per part; the generated edit is right, wrong or missing by thirds."""
     k, s = F.col("p_partkey"), F.col("p_size")
     llm = F.when(k % 3 == 0, one_liner(k, s + 1)).when(k % 3 == 1, one_liner(k, s + 2)).otherwise(one_liner(k, s))
-    return table(spark, d, "part").select(
+    return spread_table(spark, d, "part").select(
         k.alias("id"), one_liner(k, s).alias("old"), one_liner(k, s + 1).alias("human"), llm.alias("llm")
     )
 
@@ -41,7 +41,7 @@ def parse_modes(spark, d):
 
 def modules(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
-    return table(spark, d, "part").select(
+    return spread_table(spark, d, "part").select(
         k.alias("id"),
         F.concat(
             F.lit("class C_"), k, F.lit(":\n    def g(self):\n        def h():\n            return "), s,
@@ -56,8 +56,8 @@ def modules(spark, d):
     unnest([2, 3, 10]) AS start_line, unnest([5, 4, 11]) AS end_line FROM part""",
 )
 def functions(spark, d):
-    found = modules(spark, d).select("id", F.inline(pycode.extract_functions(F.col("code"))))
-    return found.select("id", "name", "start_line", "end_line")
+    found = modules(spark, d).select("id", pycode.extract_functions(F.col("code")).alias("found"))
+    return found.select("id", F.inline("found")).select("id", "name", "start_line", "end_line")
 
 
 @R.add(
@@ -375,7 +375,7 @@ def mutation_sources(spark, d):
     broken = F.concat(F.lit("def f_"), k, F.lit("(:\n"))
     split = F.when(k % 10 < 7, "train").when(k % 10 == 7, "validation").otherwise("test")
     code = F.when(k % 4 == 0, rich).when(k % 97 == 1, broken).otherwise(one_liner(k, s))
-    return table(spark, d, "part").select(k.alias("source_index"), split.alias("split"), code.alias("code"))
+    return spread_table(spark, d, "part").select(k.alias("source_index"), split.alias("split"), code.alias("code"))
 
 
 @R.add("mutations")
@@ -435,4 +435,4 @@ def faithful_check(spark, d):
     new = F.concat("p_name", F.lit(" v2"))
     shown = F.when(k % 7 == 0, F.lit("other")).otherwise(new)
     text = F.concat(F.lit("Change <before>"), old, F.lit("</before> to <after>"), shown, F.lit("</after>."))
-    return table(spark, d, "part").select(k.alias("id"), mu.is_faithful(text, old, new).alias("faithful"))
+    return spread_table(spark, d, "part").select(k.alias("id"), mu.is_faithful(text, old, new).alias("faithful"))

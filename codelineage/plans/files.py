@@ -12,7 +12,7 @@ from codelineage.operators import snippets as sn
 from codelineage.plans import sqltext as q
 from codelineage.plans.base import Registry
 from codelineage.plans.provenance import ATTRIBUTED, BESIDE, _block_with_prompt, attributions, code_chat
-from codelineage.sources.tables import code_blocks, messages, table
+from codelineage.sources.tables import code_blocks, messages, spread_table, table
 
 R = Registry()
 
@@ -26,7 +26,7 @@ def source_files(spark, d):
         F.lit(":\n    def g(self):\n        return '"), F.col("p_name"), F.lit("'\n\n"),
     )
     tail = F.concat(F.lit("async def h_"), k, F.lit("(y):\n    return y\n"))
-    return table(spark, d, "part").select(
+    return spread_table(spark, d, "part").select(
         k.alias("id"), F.concat(F.lit("src/P_"), k, F.when(k % 2 == 0, ".py").otherwise(".JS")).alias("path"),
         body(size).alias("old"), F.concat(tag, body(size + 1), tail).alias("content"),
         size.alias("size"),
@@ -55,12 +55,12 @@ NAME = """CASE WHEN regexp_matches(line, 'def\\s+(\\w+)') THEN regexp_extract(li
     "norm_ws", f"SELECT doc_id, {q.squeeze('text')} AS norm FROM documents"
 )
 def norm_ws(spark, d):
-    return table(spark, d, "documents").select("doc_id", t.norm_ws(F.col("text")).alias("norm"))
+    return spread_table(spark, d, "documents").select("doc_id", t.norm_ws(F.col("text")).alias("norm"))
 
 
 @R.add("norm_syntax", f"SELECT page_id, {q.norm_syntax('html')} AS norm FROM pages")
 def norm_syntax(spark, d):
-    return table(spark, d, "pages").select("page_id", t.norm_syntax(F.col("html")).alias("norm"))
+    return spread_table(spark, d, "pages").select("page_id", t.norm_syntax(F.col("html")).alias("norm"))
 
 
 @R.add(
@@ -189,7 +189,7 @@ def requirement_texts(spark, d):
         .when(i % 4 == 2, F.concat(F.lit("Rename the variable name. "), text))
         .otherwise(text)
     )
-    return table(spark, d, "documents").select("doc_id", "lang", wrapped.alias("requirement"))
+    return spread_table(spark, d, "documents").select("doc_id", "lang", wrapped.alias("requirement"))
 
 
 REQUIREMENTS = """requirements AS (SELECT doc_id, lang, CASE doc_id % 4

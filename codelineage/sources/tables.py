@@ -10,9 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row (parsing, edit distances, many patterns).
+
+    A table in fewer files than there are cores would leave cores idle, so its
+    rows are dealt out; a table in many files is read as it is, without a shuffle.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat messages: conv_id, turn, role, text."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return spread_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
 def edited(conv: Column, text: Column) -> Column:
