@@ -65,7 +65,7 @@ def paired_operations(deletes: Column, inserts: Column) -> Column:
     def step(acc: Column, d: Column) -> Column:
         target = F.try_element_at(inserts, acc["at"])
         free = target["n"] - acc["used"]
-        taken = F.coalesce(F.least(d["n"], free), F.lit(0).cast("long"))
+        taken = F.when(free.isNull(), F.lit(0).cast("long")).otherwise(F.least(d["n"], free))
         added = F.filter(
             F.array(
                 op("Update", F.concat(d["detail"], F.lit("->"), F.coalesce(target["detail"], F.lit(""))), taken),
@@ -73,7 +73,7 @@ def paired_operations(deletes: Column, inserts: Column) -> Column:
             ),
             lambda o: o["n"] > 0,
         )
-        done = taken == free
+        done = F.coalesce(taken == free, F.lit(False))
         return F.struct(
             F.concat(acc["ops"], added).alias("ops"),
             F.when(done, acc["at"] + 1).otherwise(acc["at"]).alias("at"),
