@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelineage.functions.ordering import digest_bucket, hash_rank, running_total, stable_digest
@@ -43,31 +43,35 @@ def grouped_split(df: DataFrame, group: str, seed: int, tag: str = "group-split-
 def balanced_quotas(available: DataFrame, targets: dict[str, int]) -> DataFrame:
     """Spread each split's target over its categories as evenly as capacity allows.
 
-    Input (split, category, available): a table of category counts. The water
-    level is the largest whole level whose capped sum fits the target; rows above it share the
-    rest one by one in name order.
+    Input (split, category, available): counts of a short list of categories.
+    Rounds share what is left equally over the categories with room, the
+    remainder one each in name order, until everything is placed. A round
+    that does not finish fills at least one category, so there are at most as many rounds as categories.
     """
-    from pyspark.sql import Window as W
-
-    goal = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))])
-    by_size = W.partitionBy("split").orderBy("available", "category")
-    before, whole = by_size.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("split")
-    c = F.col
-    rows = (
-        available.withColumn("goal", F.try_element_at(goal, c("split")).cast("long"))
-        .withColumn("small", F.coalesce(F.sum("available").over(before), F.lit(0)))
-        .withColumn("left", F.count("*").over(whole) - F.row_number().over(by_size) + 1)
-        # If everything smaller is used up, what level would the rest share?
-        .withColumn("share", (c("goal") - c("small")) / c("left"))
-        .withColumn("full", c("available") <= c("share"))
-        .withColumn("used", F.coalesce(F.sum(F.when(c("full"), c("available"))).over(whole), F.lit(0)))
-        .withColumn("open", F.count_if(~c("full")).over(whole))
-    )
-    level = F.floor(F.try_divide(c("goal") - c("used"), c("open")))
-    extra = (c("goal") - c("used")) - level * c("open")
-    nth = F.row_number().over(W.partitionBy("split", "full").orderBy("category"))
-    quota = F.when(c("full"), c("available")).otherwise(level + F.when(nth <= extra, 1).otherwise(0))
-    return rows.select("split", "category", "available", quota.cast("long").alias("quota"))
+    goal = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    zero = F.lit(0).cast("long")
+    entry = F.struct("category", F.col("available").cast("long").alias("available"), zero.alias("quota"))
+    listed = available.groupBy("split").agg(F.array_sort(F.collect_list(entry)).alias("cells"))
+    start = F.struct("cells", F.try_element_at(goal, F.col("split")).alias("left"))
+
+    def round_(acc: Column, _: Column) -> Column:
+        room = F.filter(acc["cells"], lambda x: x["quota"] < x["available"])
+        n = F.size(room)
+        share = F.floor(F.try_divide(acc["left"], n))
+        place = lambda x: F.size(F.filter(room, lambda y: y["category"] < x["category"]))
+        asked = lambda x: share + F.when(place(x) < acc["left"] % n, 1).otherwise(0)
+        take = lambda x: F.when(x["quota"] < x["available"], F.least(asked(x), x["available"] - x["quota"])).otherwise(zero)
+        cells = F.transform(
+            acc["cells"],
+            lambda x: F.struct(x["category"].alias("category"), x["available"].alias("available"), (x["quota"] + take(x)).alias("quota")),
+        )
+        total = lambda arr: F.aggregate(arr, zero, lambda a, x: a + x["quota"])
+        after = F.struct(cells.alias("cells"), (acc["left"] - (total(cells) - total(acc["cells"]))).alias("left"))
+        return F.when((acc["left"] == 0) | (n == 0), acc).otherwise(after)
+
+    rounds = F.sequence(F.lit(0), F.size("cells"))
+    filled = listed.select("split", F.aggregate(rounds, start, round_, lambda acc: acc["cells"]).alias("cells"))
+    return filled.select("split", F.inline("cells"))
 
 
 def quota_batch(df: DataFrame, quotas: DataFrame, seed: int, tag: str = "fusion-guided-llm-batch-v1") -> DataFrame:
