@@ -40,19 +40,27 @@ def grouped_split(df: DataFrame, group: str, seed: int, tag: str = "group-split-
     return placed.withColumn("split", split).select(group, "size", "split")
 
 
-def balanced_quotas(available: DataFrame, targets: dict[str, int]) -> DataFrame:
+def balanced_quotas(available: DataFrame, targets: dict[str, int] | float) -> DataFrame:
     """Spread each split's target over its categories as evenly as capacity allows.
 
+    ``targets`` names a number per split, or a share of what every split has.
+
     Input (split, category, available): counts of a short list of categories.
     Rounds share what is left equally over the categories with room, the
     remainder one each in name order, until everything is placed. A round
     that does not finish fills at least one category, so there are at most as many rounds as categories.
     """
-    goal = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    if isinstance(targets, dict):
+        named = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+        goal = F.try_element_at(named, F.col("split"))
+    else:
+        goal = F.floor(F.col("total") * F.lit(targets))
     zero = F.lit(0).cast("long")
     entry = F.struct("category", F.col("available").cast("long").alias("available"), zero.alias("quota"))
-    listed = available.groupBy("split").agg(F.array_sort(F.collect_list(entry)).alias("cells"))
-    start = F.struct("cells", F.try_element_at(goal, F.col("split")).alias("left"))
+    listed = available.groupBy("split").agg(
+        F.array_sort(F.collect_list(entry)).alias("cells"), F.sum("available").alias("total")
+    )
+    start = F.struct("cells", goal.alias("left"))
 
     def round_(acc: Column, _: Column) -> Column:
         room = F.filter(acc["cells"], lambda x: x["quota"] < x["available"])

@@ -195,7 +195,7 @@ def ast_edges(spark, d):
     s1 AS (SELECT n.graph, n.node, v + coalesce(m, 0) AS v FROM nodes n LEFT JOIN m1 ON n.graph = m1.graph AND n.node = m1.node),
     m2 AS (SELECT e.graph, e.dst AS node, avg(s.v) AS m FROM edges e JOIN s1 s ON s.node = e.src AND s.graph = e.graph GROUP BY ALL),
     s2 AS (SELECT n.graph, n.node, v + coalesce(m, 0) AS v FROM s1 n LEFT JOIN m2 ON n.graph = m2.graph AND n.node = m2.node)
-    SELECT graph, round(avg(v), 4) AS mean_state, round(max(v), 4) AS max_state FROM s2 GROUP BY 1""",
+    SELECT graph, round(avg(v), 6) AS mean_state, round(max(v), 6) AS max_state FROM s2 GROUP BY 1""",
 )
 def neighbor_agg(spark, d):
     """Orders of a customer as a chain graph with edges both ways."""
@@ -206,7 +206,7 @@ def neighbor_agg(spark, d):
     up = nodes.select("graph", F.col("node").alias("src"), nxt.alias("dst")).where(F.col("dst").isNotNull())
     edges = up.unionByName(up.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst")))
     pooled = x.graph_pool(x.neighbor_mean(nodes, edges, "v"))
-    return pooled.select("graph", F.round("mean_state", 4).alias("mean_state"), F.round("max_state", 4).alias("max_state"))
+    return pooled.select("graph", F.round("mean_state", 6).alias("mean_state"), F.round("max_state", 6).alias("max_state"))
 
 
 @R.add(

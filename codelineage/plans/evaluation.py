@@ -255,11 +255,11 @@ def size_audit(spark, d):
 def tie_scores(spark, d):
     """Training scores where most rows share the maximum."""
     return table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), F.least(F.lit(1.0), F.round(F.col("o_totalprice") / 100000, 4)).alias("score")
+        F.col("o_orderkey").alias("id"), F.least(F.lit(1.0), F.floor(F.col("o_totalprice") / 10) / 10000).alias("score")
     )
 
 
-TIES = """ties AS (SELECT o_orderkey AS id, least(1.0::DOUBLE, round(o_totalprice / 100000, 4)) AS score FROM orders),
+TIES = """ties AS (SELECT o_orderkey AS id, least(1.0::DOUBLE, floor(o_totalprice / 10) / 10000) AS score FROM orders),
   st AS (SELECT max(score) AS top, quantile_cont(score, 0.33) = quantile_cont(score, 0.66) AS tied FROM ties),
   capped AS (SELECT id, score, score < top OR NOT tied OR row_number() OVER (PARTITION BY score = top
     ORDER BY sha256('synthetic-training-max-tie-v1' || chr(0) || '42' || chr(0) || id), id)
@@ -496,7 +496,6 @@ def batch_union(spark, d):
     return o.join(even.unionByName(odd), "id")
 
 
-QUOTA_TARGETS = {"train": 900, "validation": 100, "test": 200}
 
 
 def operator_rows(spark, d):
@@ -505,13 +504,13 @@ def operator_rows(spark, d):
 
 def quotas(spark, d):
     available = operator_rows(spark, d).groupBy("split", "category").agg(F.count("*").alias("available"))
-    return s.balanced_quotas(available, QUOTA_TARGETS)
+    return s.balanced_quotas(available, 0.5)
 
 
-# Availability is far above the targets here, so the even share plus name-order extras is the whole answer;
-# capped categories are tested on a fixture.
+# Half of each split over categories of similar size: the even share plus name-order extras is the whole answer;
+# categories that run out are tested on a fixture.
 QUOTAS = f"""{SCORED}, av AS (SELECT split, function_name AS category, count(*) AS available FROM scored GROUP BY ALL),
-  qt AS (SELECT *, CASE split WHEN 'train' THEN 900 WHEN 'validation' THEN 100 ELSE 200 END AS goal,
+  qt AS (SELECT *, CAST(sum(available) OVER (PARTITION BY split) // 2 AS BIGINT) AS goal,
     count(*) OVER (PARTITION BY split) AS c, row_number() OVER (PARTITION BY split ORDER BY category) AS r FROM av),
   quotas AS (SELECT split, category, available, CAST(goal // c + CASE WHEN r <= goal % c THEN 1 ELSE 0 END AS BIGINT) AS quota FROM qt),
   ranked AS (SELECT id, s.split, function_name AS category, row_number() OVER (PARTITION BY s.split, function_name
