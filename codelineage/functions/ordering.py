@@ -7,6 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# Hash tags whose order or seed must be the same everywhere.
+BATCH_TAG = "fusion-guided-llm-batch-v1"
+TIE_TAG = "synthetic-training-max-tie-v1"
+
+
 def stable_digest(tag: str, seed: int, *ids: Column) -> Column:
     """SHA-256 of ``tag NUL seed NUL id``: the same order on any cluster."""
     return F.sha2(F.concat_ws("\0", F.lit(tag), F.lit(str(seed)), *[c.cast("string") for c in ids]), 256)

@@ -187,11 +187,12 @@ def reconcile(expected: DataFrame, batches: DataFrame) -> DataFrame:
     return counts.withColumn("problem", problem).where(F.col("problem").isNotNull()).select("id", "problem")
 
 
-def set_digest(df: DataFrame, column: str = "id", width: int = 3) -> DataFrame:
+def set_digest(df: DataFrame, column: str = "id", width: int = 5) -> DataFrame:
     """SHA-256 of a set of ids: digest of the digests of its hash buckets.
 
     Ids are made distinct and sorted inside 16**width buckets, so no task ever
-    holds the whole set; equal sets give equal digests on any cluster.
+    holds the whole set (the last step sees at most one digest per bucket);
+    equal sets give equal digests on any cluster.
     """
     value = F.col(column).cast("string")
     ids = df.select(value.alias("v")).distinct().withColumn("bucket", F.substring(F.sha2("v", 256), 1, width))

@@ -37,7 +37,8 @@ def reply_pieces(messages: DataFrame) -> DataFrame:
     ).otherwise(piece("text", F.array("text")))
     return (
         replies.withColumn("codes", codes)
-        .select("conv_id", "turn", F.posexplode(listed).alias("piece_no", "p"))
+        .select("conv_id", "turn", F.posexplode_outer(listed).alias("piece_no", "p"))
+        .where(F.col("piece_no").isNotNull())
         .select("conv_id", "turn", "piece_no", "p.kind", "p.piece")
     )
 
@@ -46,7 +47,7 @@ def best_sentence(df: DataFrame, keys: list[str], content: str, text: str) -> Da
     """Sentence of ``text`` most similar to ``content``, at most 300 characters."""
     c, x = F.col(content), F.col(text)
     sentences = F.filter(F.split(x, r"[.!?\n]+"), lambda s: F.length(t.js_trim(s)) > 10)
-    each = df.select(*keys, content, F.posexplode(sentences).alias("pos", "s"))
+    each = df.select(*keys, content, F.posexplode_outer(sentences).alias("pos", "s")).where(F.col("pos").isNotNull())
     scored = t.chat_similarity(each, content, "s", "sim").select(
         *keys, (-F.col("pos")).alias("early"), t.js_trim(F.col("s")).alias("s"), "sim"
     )

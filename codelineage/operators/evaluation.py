@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelineage.functions.ordering import hash_rank, running_total, stable_digest
+from codelineage.functions.ordering import TIE_TAG, hash_rank, running_total, stable_digest
 
 LABELS = ("low", "mid", "high")
 
@@ -72,7 +72,7 @@ def assign_labels(df: DataFrame, thresholds: DataFrame, score: str = "score") ->
     return named.withColumn("label_id", label_id(F.col("label")))
 
 
-def tie_cap(df: DataFrame, seed: int, tag: str = "synthetic-training-max-tie-v1") -> DataFrame:
+def tie_cap(df: DataFrame, seed: int, tag: str = TIE_TAG) -> DataFrame:
     """Flag training rows to keep when p33 = p66: at most one top-score row per two below it.
 
     Input (id, score) of the training split; adds ``kept``.

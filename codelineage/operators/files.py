@@ -84,7 +84,7 @@ def diff_lines(df: DataFrame, key: str, diff: str) -> DataFrame:
     A ``+++`` or ``---`` line is never content, so an added line that itself
     starts with ``++`` is lost, as in the format this follows.
     """
-    lines = df.select(key, F.posexplode(t.split_lines(diff)).alias("pos", "line"))
+    lines = df.select(key, F.posexplode_outer(t.split_lines(diff)).alias("pos", "line"))
     line = F.col("line")
     header = line.rlike(HUNK)
     kind = (
@@ -185,7 +185,8 @@ def function_blocks(df: DataFrame, path: str = "path", content: str = "content")
     rows = (
         df.withColumn("_lines", t.split_lines(content))
         .withColumn("_heads", _headers(lines))
-        .withColumn("_b", F.explode(outer))
+        .withColumn("_b", F.explode_outer(outer))
+        .where(F.col("_b").isNotNull())
     )
     b = F.col("_b")
     body = F.array_join(F.slice(lines, b["start"] + 1, b["end"] - b["start"] + 1), "\n")
@@ -244,7 +245,7 @@ def block_coverage(functions: DataFrame, hunks: DataFrame, key: str) -> DataFram
 
 def name_status(df: DataFrame, key: str, output: str) -> DataFrame:
     """Commit file lists: status letter and path per line."""
-    lines = df.select(key, F.explode(F.transform(t.split_lines(output), t.js_trim)).alias("line"))
+    lines = df.select(key, F.explode_outer(F.transform(t.split_lines(output), t.js_trim)).alias("line"))
     parts = F.split("line", r"\s+")
     return lines.where(F.size(parts) >= 2).select(
         key,
@@ -402,9 +403,11 @@ def tag_band_join(existing: DataFrame, new: DataFrame, key: str, reach: int = 5)
     Lines are cut into bands of ``reach``; a match lies in the same or a
     neighbouring band, so the join stays an equi-join.
     """
-    a = existing.withColumn("band", F.floor(F.col("line") / reach))
-    b = new.select(
-        key, F.col("at"), F.col("tag_order"), F.col("tag"),
+    a = existing.select(key, "line").distinct().withColumn("band", F.floor(F.col("line") / reach))
+    # One candidate per line: of several tags at a line the first one wins anyway.
+    firsts = new.groupBy(key, "at").agg(F.min(F.struct("tag_order", "tag")).alias("n"))
+    b = firsts.select(
+        key, F.col("at"), F.col("n.tag_order").alias("tag_order"), F.col("n.tag").alias("tag"),
         F.explode(F.array(*[F.floor(F.col("at") / reach) + i for i in (-1, 0, 1)])).alias("band"),
     )
     near = a.join(b, [key, "band"]).where(F.abs(F.col("line") - F.col("at")) < reach)
@@ -420,7 +423,7 @@ def line_delta(df: DataFrame, key: str, old: str, new: str) -> DataFrame:
     lines are therefore not changes.
     """
     def numbered(column: str, side: str) -> DataFrame:
-        lines = df.select(key, F.posexplode(t.split_lines(column)).alias("pos", "line"))
+        lines = df.select(key, F.posexplode_outer(t.split_lines(column)).alias("pos", "line")).where(F.col("pos").isNotNull())
         nth = F.row_number().over(W.partitionBy(key, "line").orderBy("pos"))
         return lines.withColumn("nth", nth).select(key, "line", "nth", F.col("pos").alias(side))
 

@@ -143,7 +143,7 @@ def with_support(attempts: DataFrame, taxonomy: DataFrame) -> DataFrame:
 def mutation_quota(attempts: DataFrame, per_split: dict[str, int], seed: int) -> DataFrame:
     """The first ``quota`` valid mutations per (split, rule) in hash order, and the shortfall per group."""
     valid = attempts.where(F.col("status") == "valid").withColumn(
-        "_digest", stable_digest("fusion-guided-dataset-v1", seed, F.col("source_split"), F.col("mutation_operator"), F.col("source_index"))
+        "_digest", stable_digest("mutation-quota-v1", seed, F.col("source_split"), F.col("mutation_operator"), F.col("source_index"))
     )
     ranked = hash_rank(valid, ["source_split", "mutation_operator"], "_digest", "id")
     quota = F.try_element_at(F.create_map(*[x for k, v in per_split.items() for x in (F.lit(k), F.lit(v))]), F.col("source_split"))

@@ -25,24 +25,38 @@ def comparable(norm: Column) -> Column:
     return (F.length(norm) >= 3) & norm.rlike("[a-zA-Z0-9_]")
 
 
+def norm_lines(text: str) -> Column:
+    """Normalised lines of a text: the pattern runs once per line, before the lines become rows."""
+    return F.transform(t.split_lines(text), t.norm_line)
+
+
 def first_lines(messages: DataFrame) -> DataFrame:
-    """Earliest message of every normalised line, per conversation."""
+    """Earliest message of every normalised line, per conversation.
+
+    Turn and role are packed into one number, so the minimum is kept in a
+    hash table on both sides of the shuffle.
+    """
+    role = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
+    packed = F.min("said")
     return (
-        messages.select("conv_id", "turn", "role", F.explode(t.split_lines("text")).alias("line"))
-        .select("conv_id", "turn", "role", t.norm_line(F.col("line")).alias("norm"))
+        messages.select("conv_id", (F.col("turn") * 4 + role).alias("said"), F.explode_outer(F.array_distinct(norm_lines("text"))).alias("norm"))
         .where(comparable(F.col("norm")))
         .groupBy("conv_id", "norm")
-        .agg(F.min(F.struct("turn", "role")).alias("first"))
-        .select("conv_id", "norm", F.col("first.turn").alias("first_turn"), F.col("first.role").alias("first_role"))
+        .agg(packed.alias("said"))
+        .select(
+            "conv_id",
+            "norm",
+            F.floor(F.col("said") / 4).alias("first_turn"),
+            F.when(F.col("said") % 4 == 0, "user").when(F.col("said") % 4 == 1, "assistant").otherwise("other").alias("first_role"),
+        )
     )
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
     """Meaningful lines of each block with their 1-based number."""
     return (
-        blocks.select("conv_id", "block", F.posexplode(t.split_lines("content")).alias("pos", "line"))
-        .withColumn("norm", t.norm_line(F.col("line")))
-        .where((F.length("norm") > 0) & ~F.col("line").rlike(t.TAG_LINE))
+        blocks.select("conv_id", "block", F.posexplode_outer(norm_lines("content")).alias("pos", "norm"))
+        .where((F.length("norm") > 0) & ~F.col("norm").rlike(t.TAG_LINE))
         .select("conv_id", "block", (F.col("pos") + 1).alias("line_no"), "norm")
     )
 

@@ -108,7 +108,9 @@ def snippets(messages: DataFrame) -> DataFrame:
         tagged("import", imports(text)),
         tagged("context", shown),
     )
-    return messages.select("conv_id", "turn", "role", F.posexplode(parts).alias("snippet_no", "s")).select(
+    # The outer form spares the optimizer's "list is not empty" test, which would run every pattern twice.
+    listed = messages.select("conv_id", "turn", "role", F.posexplode_outer(parts).alias("snippet_no", "s"))
+    return listed.where(F.col("snippet_no").isNotNull()).select(
         "conv_id", "turn", "snippet_no", "role", "s.kind", "s.language", "s.code"
     )
 

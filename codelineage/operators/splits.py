@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelineage.functions.ordering import digest_bucket, hash_rank, running_total, stable_digest
+from codelineage.functions.ordering import BATCH_TAG, digest_bucket, hash_rank, running_total, stable_digest
 
 
 def hash_split(df: DataFrame, seed: int, tag: str = "row-split-v1") -> DataFrame:
@@ -82,7 +82,7 @@ def balanced_quotas(available: DataFrame, targets: dict[str, int] | float) -> Da
     return filled.select("split", F.inline("cells"))
 
 
-def quota_batch(df: DataFrame, quotas: DataFrame, seed: int, tag: str = "fusion-guided-llm-batch-v1") -> DataFrame:
+def quota_batch(df: DataFrame, quotas: DataFrame, seed: int, tag: str = BATCH_TAG) -> DataFrame:
     """Flag the first ``quota`` rows per (split, category) in hash order; the rest stay in the remainder."""
     ranked = hash_rank(
         df.withColumn("_digest", stable_digest(tag, seed, F.col("id"))), ["split", "category"], "_digest", "id"
@@ -95,7 +95,7 @@ def quota_batch(df: DataFrame, quotas: DataFrame, seed: int, tag: str = "fusion-
     )
 
 
-def cohort_sample(df: DataFrame, per_split: dict[str, int], seed: int, tag: str = "fusion-guided-full-cohort-v1") -> DataFrame:
+def cohort_sample(df: DataFrame, per_split: dict[str, int], seed: int, tag: str = "cohort-sample-v1") -> DataFrame:
     """The first n rows of each split in hash order."""
     limits = F.create_map(*[x for k, v in per_split.items() for x in (F.lit(k), F.lit(v))])
     ranked = hash_rank(df.withColumn("_digest", stable_digest(tag, seed, F.col("id"))), ["split"], "_digest", "id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelineage.functions.ordering import stable_digest
+from codelineage.functions.ordering import BATCH_TAG, stable_digest
 from codelineage.operators import audits as a
 from codelineage.operators import evaluation as e
 from codelineage.operators import splits as s
@@ -338,7 +338,7 @@ def duplicate_ids(spark, d):
 
 @R.add(
     "id_digest",
-    """WITH b AS (SELECT substr(sha256(id), 1, 3) AS bucket, sha256(string_agg(id, chr(10) ORDER BY id)) AS d, count(*) AS n
+    """WITH b AS (SELECT substr(sha256(id), 1, 5) AS bucket, sha256(string_agg(id, chr(10) ORDER BY id)) AS d, count(*) AS n
       FROM (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS id FROM orders) GROUP BY 1)
     SELECT CAST(sum(n) AS BIGINT) AS n_ids, sha256(string_agg(d, chr(10) ORDER BY bucket)) AS digest FROM b""",
 )
@@ -351,7 +351,7 @@ def id_digest(spark, d):
     "SELECT event_id AS id, sha256('fusion-guided-llm-batch-v1' || chr(0) || '42' || chr(0) || event_id) AS digest FROM events",
 )
 def stable_hash(spark, d):
-    key = stable_digest("fusion-guided-llm-batch-v1", SEED, F.col("event_id"))
+    key = stable_digest(BATCH_TAG, SEED, F.col("event_id"))
     return table(spark, d, "events").select(F.col("event_id").alias("id"), key.alias("digest"))
 
 
@@ -539,7 +539,7 @@ def batch_complement(spark, d):
 @R.add(
     "cohort_sample",
     f"""WITH {SCORED}, r AS (SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY
-    sha256('fusion-guided-full-cohort-v1' || chr(0) || '42' || chr(0) || id), id) AS rank FROM scored)
+    sha256('cohort-sample-v1' || chr(0) || '42' || chr(0) || id), id) AS rank FROM scored)
     SELECT id, split, rank FROM r WHERE rank <= CASE split WHEN 'train' THEN 700 WHEN 'validation' THEN 100 ELSE 200 END""",
 )
 def cohort_sample(spark, d):

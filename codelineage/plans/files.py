@@ -353,12 +353,12 @@ def name_status(spark, d):
     SELECT id, string_agg(line || chr(10), '' ORDER BY n) AS section FROM c GROUP BY id, run""",
 )
 def sections(spark, d):
-    return source_files(spark, d).select("id", F.explode(f.sections(F.col("content"))).alias("section"))
+    return source_files(spark, d).select("id", F.explode_outer(f.sections(F.col("content"))).alias("section"))
 
 
 @R.add("segments")
 def segments(spark, d):
-    return source_files(spark, d).select("id", F.explode(f.segments(F.col("content"))).alias("segment"))
+    return source_files(spark, d).select("id", F.explode_outer(f.segments(F.col("content"))).alias("segment"))
 
 
 RANGES = f"""{q.PROVENANCE}, sided AS (SELECT DISTINCT conv_id, block, line_no, CASE WHEN label = 'LLM_GENERATED' THEN 'llm' ELSE 'human' END AS side FROM line_labels),

@@ -74,7 +74,7 @@ def assigned(spark, d):
 @R.add("topics")
 def topics(spark, d):
     model, out = assigned(spark, d)
-    named = out.join(F.broadcast(tp.topic_words(model)), "topic_id")  # one row per topic
+    named = out.join(F.broadcast(tp.topic_words(model)), "topic_id", "left")  # one row per topic
     return named.select("id", "is_train", "topic_id", F.round("strength", 6).alias("strength"), "topic_words")
 
 
