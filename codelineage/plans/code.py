@@ -30,11 +30,16 @@ def triples(spark, d):
     )
 
 
-@R.add("parse_modes")
+@R.add(
+    "parse_modes",
+    """SELECT p_partkey AS id, ['module', 'wrapped_function_body', NULL][p_partkey % 3 + 1] AS mode,
+    CASE WHEN p_partkey % 3 = 2 THEN 'SyntaxError: unmatched '')'' (<unknown>, line 3)' END AS error FROM part""",
+)
 def parse_modes(spark, d):
-    """A third of the texts are whole functions, a third bare bodies, a third broken."""
+    """A third of the texts are whole functions, a third bodies under a comment, a third broken."""
     k = F.col("id")
-    code = F.when(k % 3 == 0, F.col("old")).when(k % 3 == 1, F.lit("y = 1\nreturn y\n")).otherwise(F.concat("old", F.lit(")")))
+    body = F.lit("# note\n    y = 1\n    return y\n")
+    code = F.when(k % 3 == 0, F.col("old")).when(k % 3 == 1, body).otherwise(F.concat("old", F.lit(")")))
     info = triples(spark, d).select("id", pycode.parse_info(normalize_code(code)).alias("i"))
     return info.select("id", "i.mode", "i.error")
 
@@ -419,7 +424,20 @@ def mutations_per_source(spark, d):
     return mu.mutations_per_source(mu.mutate(mutation_sources(spark, d)))
 
 
-@R.add("mutation_quota")
+@R.add(
+    "mutation_quota",
+    """WITH rules AS (SELECT unnest(['modify_docstring_text', 'remove_output_statement', 'replace_literal_value', 'modify_return_expression',
+      'modify_comparison_operator', 'modify_exception_handler', 'modernize_string_formatting', 'modify_type_annotation', 'modernize_super_call',
+      'rename_local_identifier']) AS op),
+    v AS (SELECT p_partkey AS k, op, CASE WHEN p_partkey % 10 < 7 THEN 'train' WHEN p_partkey % 10 = 7 THEN 'validation' ELSE 'test' END AS split
+      FROM part, rules WHERE p_partkey % 4 = 0
+      OR (p_partkey % 97 <> 1 AND op IN ('replace_literal_value', 'modify_return_expression', 'modify_type_annotation'))),
+    r AS (SELECT 'fgm_cohort_v1_' || split || '_' || k || '_' || op AS id, split AS source_split, op AS mutation_operator,
+      row_number() OVER (PARTITION BY split, op
+        ORDER BY sha256('mutation-quota-v1' || chr(0) || '42' || chr(0) || split || chr(0) || op || chr(0) || k)) AS rank,
+      CASE split WHEN 'train' THEN 20 WHEN 'validation' THEN 5 ELSE 10 END AS quota FROM v)
+    SELECT * FROM r WHERE rank <= quota""",
+)
 def mutation_quota(spark, d):
     picked = mu.mutation_quota(mu.mutate(mutation_sources(spark, d)), {"train": 20, "validation": 5, "test": 10}, 42)
     return picked.select("id", "source_split", "mutation_operator", "rank", "quota")

@@ -138,11 +138,30 @@ def subset_match(spark, d):
     return both.select("conv_id", "block", t.subset_match(F.col("content"), F.col("text")).alias("is_subset"))
 
 
-@R.add("shape_sim")
+def _shape_sql(x: str) -> str:
+    """Words one by one instead of a lookahead; other characters are folded to ASCII on both sides."""
+    keep = "|".join(t.SHAPE_KEYWORDS)
+    folded = f"regexp_replace({x}, '[^\\x00-\\x7F]', '?', 'g')"
+    bare = q.sub(q.sub(folded, '"[^"]*"', '""'), "'[^']*'", "''" * 2)
+    word = f"CASE WHEN regexp_matches(w, '^\\w') AND NOT regexp_matches(w, '^({keep})') THEN 'ID' ELSE w END"
+    words = f"list_transform(regexp_extract_all({bare}, '\\w+|[^\\w]+'), lambda w: {word})"
+    return q.norm_line(f"array_to_string({words}, '')")
+
+
+@R.add(
+    "shape_sim",
+    f"""WITH {q.BLOCKS}, x AS (SELECT b.conv_id, b.block, {_shape_sql('content')} AS a, {_shape_sql('text')} AS b
+      FROM blocks b JOIN conversations c ON b.conv_id = c.conv_id AND b.block = c.turn)
+    SELECT conv_id, block, round(CASE WHEN a = b THEN 1.0
+      WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b))::DOUBLE / greatest(length(a), length(b))
+      WHEN abs(length(a) - length(b)) > 1000 THEN 0.0
+      ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END::DOUBLE, 6) AS score FROM x""",
+)
 def shape_sim(spark, d):
     own = messages(spark, d).select("conv_id", F.col("turn").alias("block"), "text")
     both = code_blocks(spark, d).join(own, ["conv_id", "block"])
-    return both.select("conv_id", "block", F.round(t.shape_similarity(F.col("content"), F.col("text")), 6).alias("score"))
+    fold = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    return both.select("conv_id", "block", F.round(t.shape_similarity(fold("content"), fold("text")), 6).alias("score"))
 
 
 # DuckDB counts bytes, so both sides fold other characters to one ASCII mark.
@@ -203,7 +222,11 @@ def clean_text(spark, d):
     return requirement_texts(spark, d).select("doc_id", t.clean_requirement(F.col("requirement")).alias("clean"))
 
 
-@R.add("identifier_tokens")
+@R.add(
+    "identifier_tokens",
+    """SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(
+      p_name || ' ' || p_name || ' ' || p_brand || ' ' || p_partkey, '[A-Za-z]+|[0-9]+'), lambda w: lower(w)), ' ') AS tokens FROM part""",
+)
 def identifier_tokens(spark, d):
     both = F.concat_ws("_", "p_name", F.initcap("p_name"), "p_brand", "p_partkey")
     return table(spark, d, "part").select("p_partkey", F.array_join(t.identifier_tokens(both), " ").alias("tokens"))
@@ -324,7 +347,15 @@ def hunk_texts(spark, d):
     return f.hunk_texts(f.diff_lines(diffs(spark, d), "id", "diff"), "id").select("id", "added", "n_added")
 
 
-@R.add("block_coverage")
+@R.add(
+    "block_coverage",
+    f"""WITH {FILES}, top AS (SELECT *, lead(n) OVER (PARTITION BY id ORDER BY n) AS nxt FROM heads
+      WHERE is_header AND indent = 0 AND id % 3 <> 0),
+    b AS (SELECT id, {NAME} AS function_name, n AS start_line, coalesce(nxt - 1, total - 1) AS end_line, 'functions' AS coverage FROM top
+      UNION ALL SELECT id, 'HunkAt1', 1, total, 'hunks' FROM flines WHERE id % 3 = 0 AND n = 0)
+    SELECT b.*, (SELECT string_agg(CASE WHEN b.coverage = 'hunks' THEN regexp_replace(line, '(def|class|async) ', 'text ', 'g')
+      ELSE line END, chr(10) ORDER BY n) FROM flines l WHERE l.id = b.id AND l.n BETWEEN b.start_line AND b.end_line) AS block FROM b""",
+)
 def block_coverage(spark, d):
     files = source_files(spark, d)
     # Every third file is plain text, so its hunks stand in for blocks.
@@ -356,7 +387,13 @@ def sections(spark, d):
     return source_files(spark, d).select("id", F.explode_outer(f.sections(F.col("content"))).alias("section"))
 
 
-@R.add("segments")
+@R.add(
+    "segments",
+    f"""WITH {FILES}, s AS (SELECT id, unnest(['# @Authorship: human | timestamp=2024-01-01',
+      'def f_' || id || '(x):' || chr(10) || '    return x + ' || (size + 1), 'class C_' || id || ':',
+      'def g(self):' || chr(10) || '        return ''' || name || '''', 'async def h_' || id || '(y):' || chr(10) || '    return y']) AS segment FROM files)
+    SELECT id, segment FROM s WHERE length(segment) > 10 AND (id % 4 = 0 OR NOT starts_with(segment, '#'))""",
+)
 def segments(spark, d):
     return source_files(spark, d).select("id", F.explode_outer(f.segments(F.col("content"))).alias("segment"))
 
