@@ -67,8 +67,8 @@ def label_id(label: Column) -> Column:
 
 
 def assign_labels(df: DataFrame, thresholds: DataFrame, score: str = "score") -> DataFrame:
-    p33, p66 = thresholds.select("p33").scalar(), thresholds.select("p66").scalar()
-    named = df.withColumn("label", percentile_label(F.col(score), p33, p66))
+    both = thresholds.select(F.struct("p33", "p66")).scalar()  # one subquery for both
+    named = df.withColumn("label", percentile_label(F.col(score), both["p33"], both["p66"]))
     return named.withColumn("label_id", label_id(F.col("label")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codelineage.functions.ordering import hash_rank, stable_digest
 from codelineage.functions.pycode import mutation_edits, parse_info
 from codelineage.functions.text import normalize_code
+from codelineage.session import checkpointed
 
 # Mutation rules, the requirement category of each, and the instruction it is described by.
 RULES = {
@@ -142,9 +143,9 @@ def with_support(attempts: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 def mutation_quota(attempts: DataFrame, per_split: dict[str, int], seed: int) -> DataFrame:
     """The first ``quota`` valid mutations per (split, rule) in hash order, and the shortfall per group."""
-    valid = attempts.where(F.col("status") == "valid").withColumn(
-        "_digest", stable_digest("mutation-quota-v1", seed, F.col("source_split"), F.col("mutation_operator"), F.col("source_index"))
-    )
+    digest = stable_digest("mutation-quota-v1", seed, F.col("source_split"), F.col("mutation_operator"), F.col("source_index"))
+    # Ranking reads the rows twice, so the mutated code is kept instead of being made again.
+    valid = checkpointed(attempts.where(F.col("status") == "valid").withColumn("_digest", digest))
     ranked = hash_rank(valid, ["source_split", "mutation_operator"], "_digest", "id")
     quota = F.try_element_at(F.create_map(*[x for k, v in per_split.items() for x in (F.lit(k), F.lit(v))]), F.col("source_split"))
     return ranked.withColumn("quota", quota).where(F.col("rank") <= F.col("quota")).drop("_digest")

@@ -66,7 +66,12 @@ def role_label(role: Column) -> Column:
 
 
 def line_provenance(blocks: DataFrame, messages: DataFrame) -> DataFrame:
-    """Label every block line by the first message that holds it.
+    """Label every block line by the first message that holds it."""
+    return label_lines(blocks, first_lines(messages))
+
+
+def label_lines(blocks: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Join block lines with the table of first lines (kept as a table when commits arrive as a stream).
 
     The lookup side has one row per (conversation, line); a hot line only
     repeats on the block side, which adaptive execution can split.
@@ -76,7 +81,7 @@ def line_provenance(blocks: DataFrame, messages: DataFrame) -> DataFrame:
     lines = block_lines(blocks).withColumn(
         "key", F.when(comparable(F.col("norm")), F.col("norm")).otherwise(unmatched)
     )
-    found = first_lines(messages).withColumnRenamed("norm", "key")
+    found = lookup.withColumnRenamed("norm", "key")
     return lines.join(found, ["conv_id", "key"], "left").select(
         "conv_id", "block", "line_no", "first_turn", role_label(F.col("first_role")).alias("label")
     )

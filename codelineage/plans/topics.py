@@ -10,12 +10,13 @@ from codelineage.operators import evaluation as e
 from codelineage.operators import snippets as sn
 from codelineage.operators import topics as tp
 from codelineage.operators.astdelta import ast_nodes
+from codelineage.operators.provenance import first_lines
 from codelineage.plans import sqltext as q
 from codelineage.plans.base import Registry
 from codelineage.plans.code import mutation_sources
 from codelineage.plans.files import REQUIREMENTS, requirement_texts
 from codelineage.plans.provenance import fenced
-from codelineage.session import scratch_path
+from codelineage.session import checkpointed, scratch_path
 from codelineage.sources.tables import edited, messages, table
 from codelineage.streaming import commits as st
 
@@ -145,7 +146,8 @@ def block_stream(spark, d):
 )
 def stream_attribution(spark, d):
     out = scratch_path(spark, "attribution")
-    return st.finished(st.attribute_stream(block_stream(spark, d), messages(spark, d), out), spark, out)
+    lookup = checkpointed(first_lines(messages(spark, d)))
+    return st.finished(st.attribute_stream(block_stream(spark, d), lookup, out), spark, out)
 
 
 @R.add(

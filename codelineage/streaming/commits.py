@@ -72,19 +72,27 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
 
 
-def attribute_stream(blocks: DataFrame, messages: DataFrame, out: str) -> StreamingQuery:
-    """Line labels of committed blocks against the whole chat table (stream-static join), appended as they come."""
-    lines = p.line_provenance(blocks, messages)
-    return _start(lines, out)
+def attribute_stream(blocks: DataFrame, lookup: DataFrame, out: str) -> StreamingQuery:
+    """Line labels of committed blocks, appended as they come.
+
+    A stream-static join with the table of first lines (``first_lines``
+    written once), so the chat history is not read again for every batch.
+    """
+    return _start(p.label_lines(blocks, lookup), out)
 
 
 def attribute_batches(
     blocks: DataFrame, snippets: DataFrame, messages: DataFrame, out: str
 ) -> StreamingQuery:
-    """Block labels per micro-batch: a block arrives as one row, so its lines are never split over batches."""
+    """Block labels per micro-batch: a block arrives as one row, so its lines are never split over batches.
+
+    Only the chats of the conversations in the batch take part.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        labels = p.attribute_blocks(batch, snippets, messages)
+        needed = batch.select("conv_id").distinct()
+        mine = lambda df: df.join(needed, "conv_id", "left_semi")
+        labels = p.attribute_blocks(batch, mine(snippets), mine(messages))
         labels.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
     return _start(blocks, out, each=each)
@@ -95,8 +103,8 @@ def latest_report(attributions: DataFrame, out: str) -> StreamingQuery:
 
     def each(batch: DataFrame, batch_id: int) -> None:
         newest = batch.agg(F.max(F.struct("ts", "commit")).alias("m"))
-        ts, commit = newest.select("m.ts").scalar(), newest.select("m.commit").scalar()
-        stats = commit_stats(batch.where(F.col("commit") == commit)).withColumn("ts", ts)
+        m = newest.scalar()
+        stats = commit_stats(batch.where(F.col("commit") == m["commit"])).withColumn("ts", m["ts"])
         stats.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
     return _start(attributions, out, each=each)
