@@ -338,6 +338,22 @@ def line_summary(lines: DataFrame, keys: list[str]) -> DataFrame:
     return ranges
 
 
+def block_tags(attributions: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """New tag of each attributed block: its line ranges in the file, or its label when it has no lines.
+
+    ``attributions`` adds language, start_line (0-based), has_tag, label and
+    day to the keys. Line numbers count the tag line that will be inserted.
+    """
+    place = attributions.select(*keys, "start_line", "has_tag")
+    offset = F.when(F.col("has_tag"), 0).otherwise(1)
+    in_file = lines.join(place, keys).withColumn("line_no", F.col("start_line") + F.col("line_no") + offset)
+    ranges = line_summary(in_file, keys)
+    part = lambda side: F.max(F.when(F.col("side") == side, F.concat(F.lit(f"{side} - file lines "), "ranges")))
+    summary = ranges.groupBy(*keys).agg(F.concat_ws("; ", part("human"), part("llm")).alias("summary"))
+    text = tag_text(F.col("language"), F.coalesce("summary", "label"), F.col("day"))
+    return attributions.join(summary, keys, "left").select(*keys, text.alias("tag"))
+
+
 def tag_text(language: Column, summary: Column, day: Column) -> Column:
     return F.concat(
         comment_prefix(language), F.lit(" @Authorship: "), summary, F.lit(" | timestamp="), F.date_format(day, "yyyy-MM-dd")

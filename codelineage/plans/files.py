@@ -412,20 +412,24 @@ def line_ranges(spark, d):
 
 
 def tags_of(spark, d):
-    """New tag per block from its line ranges, language by conversation."""
+    """New tag per block; language by conversation, every second block already has a tag."""
     lines = p.line_provenance(code_blocks(spark, d), messages(spark, d))
-    ranges = f.line_summary(lines, ["conv_id", "block"])
-    part = lambda side, name: F.max(F.when(F.col("side") == side, F.concat(F.lit(f"{name} - file lines "), "ranges")))
-    summary = F.concat_ws("; ", part("human", "human"), part("llm", "llm"))
-    language = F.when(F.col("conv_id") % 2 == 0, "python").otherwise("sql")
-    day = F.lit("2024-05-06").cast("timestamp")
-    return ranges.groupBy("conv_id", "block").agg(summary.alias("summary")).select(
-        "conv_id", "block", f.tag_text(language, F.col("summary"), day).alias("tag")
+    blocks = code_blocks(spark, d).select(
+        "conv_id", "block", F.when(F.col("conv_id") % 2 == 0, "python").otherwise("sql").alias("language"),
+        (F.col("block") * 10).alias("start_line"), (F.col("block") % 2 == 0).alias("has_tag"),
+        F.lit("HUMAN_WRITTEN").alias("label"), F.lit("2024-05-06").cast("timestamp").alias("day"),
     )
+    return f.block_tags(blocks, lines, ["conv_id", "block"])
 
 
-TAGS = f"""{RANGES}, tags AS (SELECT conv_id, block, CASE WHEN conv_id % 2 = 0 THEN '#' ELSE '--' END || ' @Authorship: '
-  || string_agg(side || ' - file lines ' || ranges, '; ' ORDER BY side) || ' | timestamp=2024-05-06' AS tag FROM ranges GROUP BY conv_id, block)"""
+TAGS = f"""{q.PROVENANCE}, moved AS (SELECT DISTINCT conv_id, block, block * 10 + line_no + CASE WHEN block % 2 = 0 THEN 0 ELSE 1 END AS line_no,
+    CASE WHEN label = 'LLM_GENERATED' THEN 'llm' ELSE 'human' END AS side FROM line_labels),
+  isl AS (SELECT *, line_no - row_number() OVER (PARTITION BY conv_id, block, side ORDER BY line_no) AS g FROM moved),
+  runs AS (SELECT conv_id, block, side, min(line_no) AS a, max(line_no) AS b FROM isl GROUP BY conv_id, block, side, g),
+  ranges AS (SELECT conv_id, block, side, string_agg(CASE WHEN a = b THEN '' || a ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM runs GROUP BY ALL),
+  sums AS (SELECT conv_id, block, string_agg(side || ' - file lines ' || ranges, '; ' ORDER BY side) AS summary FROM ranges GROUP BY ALL),
+  tags AS (SELECT b.conv_id, b.block, CASE WHEN b.conv_id % 2 = 0 THEN '#' ELSE '--' END || ' @Authorship: '
+    || coalesce(summary, 'HUMAN_WRITTEN') || ' | timestamp=2024-05-06' AS tag FROM blocks b LEFT JOIN sums s ON b.conv_id = s.conv_id AND b.block = s.block)"""
 
 
 @R.add(

@@ -173,7 +173,8 @@ def best_match(spark, d):
     SELECT l.label, coalesce(blocks, 0) AS blocks,
       CASE WHEN (SELECT count(*) FROM attributed) = 0 THEN '0'
       ELSE format('{{:.1f}}', coalesce(blocks, 0) * 100.0 / (SELECT count(*) FROM attributed)) END AS percent,
-      round(coalesce(c, 0), 6) AS mean_confidence FROM labels l LEFT JOIN n ON l.label = n.label""",
+      round(coalesce(c, 0), 6) AS mean_confidence, (SELECT count(*) FROM attributed) AS total,
+      (SELECT round(avg(confidence), 6) FROM attributed) AS average_confidence FROM labels l LEFT JOIN n ON l.label = n.label""",
 )
 def attribution_summary(spark, d):
     from codelineage.operators.reports import attribution_summary as summary

@@ -181,6 +181,7 @@ def test_inapplicable_and_failed(spark):
         "def e(vs):\n    return [v for v in vs]\n",
         "x = 1\n",
         "def e(:\n",
+        "def e(v, w):\n    g(f'{v:{w}}')\n",
     ]
     got = {(r.source_index, r.mutation_operator): r.status for r in mutated(spark, sources).collect()}
     never = lambda i, rule: got[(i, rule)] == "inapplicable"

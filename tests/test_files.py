@@ -111,3 +111,20 @@ def test_commit_log_slices_and_flaws(spark):
     head = json.loads(logs[0].head)
     assert head["statistics"]["total_new_lines"] == 20 and head["statistics"]["total_new_lines_inclusive"] == 25
     assert head["statistics"]["mixed"] == 5 and head["statistics"]["uncertain"] == 0
+
+
+def test_tag_line_numbers_count_the_new_tag(spark):
+    blocks = spark.createDataFrame(
+        [("a", "python", 4, False, "MIXED"), ("b", "sql", 4, True, "MIXED"), ("c", "go", 0, False, "HUMAN_WRITTEN")],
+        "id string, language string, start_line int, has_tag boolean, label string",
+    ).withColumn("day", F.lit("2024-05-06").cast("timestamp"))
+    lines = spark.createDataFrame(
+        [(i, n, l) for i in "ab" for n, l in ((1, "LLM_GENERATED"), (2, "LLM_GENERATED"), (3, "HUMAN_WRITTEN"), (5, "HUMAN_PROMPT_ORIGIN"))],
+        "id string, line_no int, label string",
+    )
+    got = {r.id: r.tag for r in f.block_tags(blocks, lines, ["id"]).collect()}
+    assert got == {
+        "a": "# @Authorship: human - file lines 8,10; llm - file lines 6-7 | timestamp=2024-05-06",
+        "b": "-- @Authorship: human - file lines 7,9; llm - file lines 5-6 | timestamp=2024-05-06",
+        "c": "// @Authorship: HUMAN_WRITTEN | timestamp=2024-05-06",
+    }
