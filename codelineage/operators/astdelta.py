@@ -37,10 +37,10 @@ def feature_counts(parsed: DataFrame, sides: list[str], carry: list[str] = ()) -
     entries = F.flatten(F.array(*[tagged(s) for s in sides]))
     rows = parsed.select("id", *carry, (F.inline_outer if carry else F.inline)(entries))
     on = lambda s: F.col("side") == s
-    return rows.groupBy("id", *KEY).agg(
+    # Carried columns depend on the id alone, so they may be grouping keys and only numbers are aggregated.
+    return rows.groupBy("id", *carry, *KEY).agg(
         *[F.count_if(on(s)).alias(f"n_{s}") for s in sides],
         *[F.min(F.when(on(s), F.col("pos"))).alias(f"pos_{s}") for s in sides],
-        *[F.first(c).alias(c) for c in carry],
     )
 
 
@@ -151,8 +151,8 @@ def delta_scores(df: DataFrame, scripts: bool = False) -> DataFrame:
     meta = F.struct(error.alias("error"), *[F.col(f"{s}.mode").alias(f"{c}_mode") for s, c in sides.items()])
     counts = feature_counts(parsed_sides(df, sides).withColumn("meta", meta), list(sides), ["meta"])
     c = F.col
-    places = counts.groupBy("id", *PLACE).agg(
-        F.first("meta").alias("meta"), *_change_lists("o", "h"), *_change_lists("o", "g"),
+    places = counts.groupBy("id", "meta", *PLACE).agg(
+        *_change_lists("o", "h"), *_change_lists("o", "g"),
         F.sum(F.least("n_h", "n_g")).alias("same"), F.sum("n_h").alias("n_h"), F.sum("n_g").alias("n_g"),
     )
     for side in ("h", "g"):
@@ -172,8 +172,7 @@ def delta_scores(df: DataFrame, scripts: bool = False) -> DataFrame:
         )
     )
     extra = [F.array_sort(F.flatten(F.collect_list(listed(s)))).alias(n) for s, n in (("h", "human_edit_script"), ("g", "llm_edit_script"))]
-    sums = places.groupBy("id").agg(
-        F.first("meta").alias("meta"),
+    sums = places.groupBy("id", "meta").agg(
         F.sum(total(both)).alias("matched"), F.sum(total(c("ops_h"))).alias("human"), F.sum(total(c("ops_g"))).alias("other"),
         F.sum("same").alias("same"), F.sum("n_h").alias("n_h"), F.sum("n_g").alias("n_g"),
         *(extra if scripts else []),

@@ -170,6 +170,12 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*[F.round(n, digits).alias(n) if k == "double" else F.col(n) for n, k in df.dtypes])
 
 
+def external_report(df: DataFrame, thresholds: DataFrame, field: str, score: str = "score") -> DataFrame:
+    """Report per group of outside examples, labelled with saved training thresholds; a missing group is "unknown"."""
+    named = assign_labels(df, thresholds, score).withColumnRenamed("label", "true_label")
+    return classification_report(named.fillna({field: "unknown"}), [field])
+
+
 def topic_report(df: DataFrame, min_support: int = 30, labels: Sequence[str] = LABELS) -> DataFrame:
     """Per-topic metrics over all labels, majority baseline and over-trust rates."""
     t, p = F.col("true_label"), F.col("predicted_label")

@@ -383,6 +383,26 @@ def mutation_sources(spark, d):
     return spread_table(spark, d, "part").select(k.alias("source_index"), split.alias("split"), code.alias("code"))
 
 
+@R.add(
+    "taxonomy_support",
+    """WITH cats AS (SELECT unnest(['documentation_edit', 'statement_removal', 'literal_path_url_or_config', 'return_statement_edit', 'condition_or_comparison_edit',
+      'exception_handling_edit', 'string_formatting_edit', 'type_annotation_edit', 'super_call_modernization', 'identifier_rename']) AS c, unnest(range(10)) AS i)
+    SELECT c AS taxonomy_category, (SELECT count(*) FROM part) AS attempts, (SELECT count(*) FROM customer WHERE c_custkey % 11 = i AND c_mktsegment IN ('BUILDING', 'MACHINERY')) AS support FROM cats""",
+)
+def taxonomy_support(spark, d):
+    """Reviewed requirement categories (from customers) that support each mutation rule."""
+    names = F.array(*[F.lit(c) for c in mu.RULES.values()], F.lit("other"))
+    segment = F.col("c_mktsegment")
+    decision = F.when(segment == "BUILDING", "accept").when(segment == "MACHINERY", "correct").otherwise("reject")
+    reviewed = table(spark, d, "customer").select(
+        F.element_at(names, (F.col("c_custkey") % 11 + 1).cast("int")).alias("author_final_category"), decision.alias("author_decision")
+    )
+    grid = mu.cohort_grid(table(spark, d, "part").select(F.col("p_partkey").alias("source_index")))
+    tried = grid.groupBy("mutation_operator").agg(F.count("*").alias("attempts"))
+    named = tried.withColumn("taxonomy_category", mu._from(mu.RULES, F.col("mutation_operator")))
+    return mu.with_support(named, reviewed).select("taxonomy_category", "attempts", "support")
+
+
 @R.add("mutations")
 def mutations(spark, d):
     out = mu.mutate(mutation_sources(spark, d)).where("status = 'valid'")

@@ -188,6 +188,20 @@ def topic_report(spark, d):
     return e.rounded(e.topic_report(line_predictions(spark, d)))
 
 
+@R.add(
+    "external_report",
+    f"""WITH {PREDICTED}, ext AS (SELECT label AS true_label, CASE WHEN k < 33 THEN 'low' WHEN k < 66 THEN 'mid' ELSE 'high' END AS predicted_label,
+      CASE WHEN function_name = 'error' THEN 'unknown' ELSE function_name END AS clone_type FROM predictions WHERE split = 'test'),
+    {report_sql('ext', 'clone_type')} SELECT g AS clone_type, * EXCLUDE (g) FROM rep""",
+)
+def external_report(spark, d):
+    """Test examples as outside data, scored with the thresholds of the training split."""
+    df = scored(spark, d)
+    kind = F.when(F.col("function_name") != "error", F.col("function_name"))
+    outside = df.where("split = 'test'").withColumns({"predicted_label": _guess(F.col("k")), "clone_type": kind})
+    return e.rounded(e.external_report(outside, e.train_thresholds(df), "clone_type"))
+
+
 @R.add("bootstrap_ci")
 def bootstrap_ci(spark, d):
     return e.bootstrap_macro_f1(line_predictions(spark, d))

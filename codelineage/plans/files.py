@@ -12,6 +12,7 @@ from codelineage.operators import snippets as sn
 from codelineage.plans import sqltext as q
 from codelineage.plans.base import Registry
 from codelineage.plans.provenance import ATTRIBUTED, BESIDE, _block_with_prompt, attributions, code_chat
+from codelineage.session import scratch_path
 from codelineage.sources.tables import code_blocks, messages, spread_table, table
 
 R = Registry()
@@ -542,3 +543,16 @@ def prompt_table(spark, d):
     made = reports.prompt_table(rows)
     frame = F.length(F.lit(reports.FUNCTION_PROMPT)) - len("{old_code}") - len("{requirement}") + len("x = 1")
     return made.select("id", (F.length("user_prompt") - frame).alias("n"), "prompt_version")
+
+
+@R.add(
+    "function_log",
+    f"""WITH {COMMITS} SELECT commit, file_path AS "commitHash", function_name AS "functionName", label AS "detectedLabel", confidence AS "confidenceScore",
+    CASE WHEN first_turn IS NULL THEN 'not_found' WHEN first_role = 'user' THEN 'user_prompt' ELSE 'chatbot_response' END AS "firstMatchSource" FROM commits""",
+)
+def function_log(spark, d):
+    """The per-function log, appended as JSON lines and read back."""
+    path = scratch_path(spark, "log")
+    reports.append_log(attributed_blocks(spark, d), path)
+    schema = "commit string, commitHash string, functionName string, detectedLabel string, confidenceScore double, firstMatchSource string"
+    return spark.read.schema(schema).json(path)
