@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelineage.llm import bpe, packing, quality, sql
+from codelineage.llm import bpe, chat, kdtree, packing, quality, sql, warc
 from codelineage.llm.common import table
 from codelineage.plans.base import Registry
 
@@ -48,3 +48,27 @@ def op4_packing(spark, sf_dir):
     """Every piece of every document with its place in a sequence."""
     packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
     return packing.checksum(packed).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@R.add("op7_chat_format", sql.CHAT)
+def op7_chat_format(spark, sf_dir):
+    """Turns, loss text and length of every conversation, read back from its formatted turns."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(rows.unionByName(probe)))
+
+
+@R.add("op9_warc", sql.WARC)
+def op9_warc(spark, sf_dir):
+    """Every page as its record reads after a round trip through the archives."""
+    folder = warc.new_folder(spark)
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(manifest, folder, payloads=False).drop("url", "payload")
+
+
+@R.add("op10_top_k", sql.TOP_K)
+def op10_top_k(spark, sf_dir):
+    """The 20 highest integer inner products of every twentieth vector."""
+    points = kdtree.scaled(table(spark, sf_dir, "embeddings"))
+    return kdtree.top_k(points, F.col("vec_id") % 20 == 0, 20)
