@@ -6,7 +6,7 @@ each into the open window with the least room that still fits. A segment tree in
 remaining room finds it. Where gaps are left that no piece fits, the emptiest windows
 are dissolved and their pieces are cut to fill gaps until the padding is small.
 
-Pieces are dealt to groups by a hash of document and place, about ``GROUP_PIECES`` each,
+Pieces are dealt to groups by a hash of document and place, about ``GROUP_PIECES`` documents each,
 so that memory is bounded and the number of groups follows the input. The result
 does not depend on partitions. Null and empty texts become one end token. Equal rows
 are packed as separate documents. An empty table gives no pieces.
@@ -28,7 +28,7 @@ from codelineage.llm.bpe import byte_letters
 from codelineage.llm.common import slices
 
 WINDOW = 1024
-GROUP_PIECES = 20_000
+GROUP_PIECES = 4_000
 PADDING = 0.005
 # Fixed value: how a byte-level tokenizer parts a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
