@@ -2,8 +2,8 @@
 
 A word is merged with a segment tree over the ranks of its adjacent pairs: the root
 holds the leftmost pair of the lowest rank, a merge updates two or three leaves, and the
-word is done when no pair is left that the vocabulary merges. Words are cached with
-a bound on their number, so that a common word is merged once per task.
+word is done when no pair is left that the vocabulary merges. Words are cached in two
+generations with a bound on their number, so that a common word is merged once.
 
 Null and empty texts give no tokens and an empty decoded text. Equal rows are encoded
 alike. A text of any length is encoded whole; a word of n characters takes
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from codelineage.llm.common import list_array, map_added
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 NONE = 1 << 60
 
 
@@ -59,6 +59,24 @@ class MergeTree:
             node[i] = low
 
 
+class WordCache(dict):
+    """Ids by word; when full, the words become the older half and those met again move back."""
+
+    def __init__(self, merge, limit: int = CACHED_WORDS):
+        self.merge, self.limit, self.older = merge, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.merge(word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Vocabulary:
     """Merges, ids and special tokens of a tokenizer file of the word-end kind."""
 
@@ -77,9 +95,9 @@ class Vocabulary:
         tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for token, i in [*self.ids.items(), *self.special.items()]:
             tokens[i] = token
-        self.tokens = np.array(tokens, object)
+        self.tokens = tokens
         self.letters = byte_letters()
-        self.cache: dict[str, bytes] = {}
+        self.cache = WordCache(self.word)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first and leftmost first among equals."""
@@ -105,17 +123,9 @@ class Vocabulary:
 
     def word(self, text: str) -> bytes:
         """Ids of one word as little-endian 32-bit integers; letters outside the vocabulary vanish."""
-        found = self.cache.get(text)
-        if found is None:
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            letters = [self.letters[b] for b in text.encode("utf-8", "surrogatepass")]
-            letters[-1] += self.suffix
-            symbols = [self.ids[x] for x in letters if x in self.ids]
-            found = np.array(self.merge(symbols), "<i4").tobytes()
-            if len(text) <= 64:
-                self.cache[text] = found
-        return found
+        letters = [self.letters[b] for b in text.encode("utf-8", "surrogatepass")]
+        letters[-1] += self.suffix
+        return np.array(self.merge([self.ids[x] for x in letters if x in self.ids]), "<i4").tobytes()
 
     def normal(self, text: str) -> str:
         """Composed and lower case, each character by itself."""
@@ -124,17 +134,18 @@ class Vocabulary:
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.special_pattern.split(text) if self.special_pattern else [text]
-        out = []
+        out, cache = [], self.cache
         for part in parts:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<i4").tobytes())
             elif part:
-                out.extend(map(self.word, self.words.findall(self.normal(part))))
+                out.extend([cache[w] for w in self.words.findall(self.normal(part))])
         return np.frombuffer(b"".join(out), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by a space, as the file names no decoder; special tokens stay."""
-        return " ".join(self.tokens[ids].tolist())
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids.tolist()])
 
 
 @lru_cache(maxsize=2)

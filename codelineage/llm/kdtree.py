@@ -112,7 +112,8 @@ def _meet(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame({"query_id": names[owner], "vec_id": name, "score": score})
 
     keys = ["block", "shard", "dims"]
-    return vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, HIT)
+    asked = queries.select(*[F.col(k).alias(f"q_{k}") for k in keys], "query_id", "query", "bound")
+    return vectors.groupBy(*keys).cogroup(asked.groupBy(*[f"q_{k}" for k in keys])).applyInPandas(run, HIT)
 
 
 def top_k(points: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:

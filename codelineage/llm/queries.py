@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelineage.llm import bpe, chat, kdtree, packing, quality, sql, warc
+from codelineage.llm import bpe, chat, jaccard, kdtree, packing, quality, sql, warc
 from codelineage.llm.common import table
 from codelineage.plans.base import Registry
 
@@ -43,6 +43,12 @@ def op2_bpe(spark, sf_dir):
     )
 
 
+@R.add("op3_jaccard_join", sql.JACCARD)
+def op3_jaccard_join(spark, sf_dir):
+    """Set size and link class of every document, four-word shingles and 85 % Jaccard similarity."""
+    return jaccard.near_copies(table(spark, sf_dir, "documents"), rule=jaccard.Rule(words=4, num=85, den=100, lower=True))
+
+
 @R.add("op4_packing")
 def op4_packing(spark, sf_dir):
     """Every piece of every document with its place in a sequence."""
