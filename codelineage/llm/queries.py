@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelineage.llm import bpe, chat, jaccard, kdtree, packing, quality, sql, warc
+from codelineage.llm import bpe, chat, jaccard, kdtree, packing, quality, sql, toxicity, warc
 from codelineage.llm.common import table
 from codelineage.plans.base import Registry
 
@@ -65,6 +65,17 @@ def op7_chat_format(spark, sf_dir):
     return chat.read_back(chat.format_turns(rows.unionByName(probe)))
 
 
+@R.add("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    """Score and prediction of every document; a third of the ids is held out from the fit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @R.add("op9_warc", sql.WARC)
 def op9_warc(spark, sf_dir):
     """Every page as its record reads after a round trip through the archives."""

@@ -27,11 +27,14 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=2)
-def _letters(lower: bool) -> np.ndarray:
+@lru_cache(maxsize=8)
+def _letters(lower: bool, alike: tuple[str, str] = ("", "")) -> np.ndarray:
+    """A number per byte; with ``alike``, bytes of the first string count as those of the second."""
     values = mix(np.arange(1, 257, dtype=U), 7)
     if lower:
         values[65:91] = values[97:123]
+    for x, y in zip(*alike):
+        values[ord(x)] = values[ord(y)]
     return values
 
 
@@ -70,10 +73,10 @@ def find_words(raw: np.ndarray, borders: np.ndarray, extra: str = "") -> tuple[n
     return starts, ends, np.searchsorted(starts, borders)
 
 
-def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word."""
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, alike: tuple[str, str] = ("", "")) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word; starts and ends must rise."""
     out = np.zeros(len(starts), U)
-    letters, first = _letters(lower), 0
+    letters, first = _letters(lower, alike), 0
     while first < len(starts):
         base = starts[first]
         last = max(first + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
