@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelineage.llm import bpe, chat, jaccard, kdtree, packing, quality, sql, toxicity, warc
+from codelineage.llm import bpe, chat, jaccard, kdtree, packing, quality, rlz, sql, toxicity, warc
 from codelineage.llm.common import table
 from codelineage.plans.base import Registry
 
@@ -56,6 +56,13 @@ def op4_packing(spark, sf_dir):
     return packing.checksum(packed).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@R.add("op6_substring_dedup", sql.REPEATS)
+def op6_substring_dedup(spark, sf_dir):
+    """Words of every document, those removed as repeats of smaller documents, and a digest of the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rlz.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @R.add("op7_chat_format", sql.CHAT)
 def op7_chat_format(spark, sf_dir):
     """Turns, loss text and length of every conversation, read back from its formatted turns."""
