@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelineage.llm import bpe, chat, jaccard, kdtree, packing, quality, rlz, sql, toxicity, warc
+from codelineage.llm import bpe, chat, jaccard, kdtree, packing, pii, quality, rlz, sql, toxicity, warc
 from codelineage.llm.common import table
 from codelineage.plans.base import Registry
 
@@ -56,6 +56,15 @@ def op4_packing(spark, sf_dir):
     return packing.checksum(packed).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@R.add("op5_pii")
+def op5_pii(spark, sf_dir):
+    """Personal data of every document. The counts and ``base_sha256`` are of the rules' spans, ``spans`` has all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.learn(docs))
+    count = lambda kind: F.size(F.filter(F.split("rule_spans", ","), lambda x: x.startswith(kind + ":"))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2("rule_spans", 256).alias("base_sha256"), "spans")
+
+
 @R.add("op6_substring_dedup", sql.REPEATS)
 def op6_substring_dedup(spark, sf_dir):
     """Words of every document, those removed as repeats of smaller documents, and a digest of the rest."""
