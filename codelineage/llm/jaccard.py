@@ -4,9 +4,10 @@ Sets are grouped into size bands. For the pairs a band is responsible for, at mo
 shingles can differ. The hash range of shingles is cut into segments; if the segments' allowances add
 up to more than H, linked sets must agree in some segment up to its allowance. A segment
 has allowance 0 (indexed by its content), 1 (also by its content less any one
-shingle), or it is skipped: of the segments with allowance 0, a set leaves out its ``spare``
-smallest ones, which are those that unrelated sets share. Smallest is a property of
-the content, so among ``spare + 1`` agreeing segments the largest is kept by both sets. The
+shingle), or it is skipped: of the segments with allowance 0, a set leaves out the ``spare``
+ones whose content most sets have, by counts over all sets. These are empty or filled by common
+passages. Linked sets agree in ``spare + 1`` segments; the rarest of them has ``spare`` more
+frequent ones beside it in both sets, so both keep it. The
 allowances of a band are the cheapest by a cost model over the number of sets in it.
 
 Sets with equal content are first folded into one representative. Sets that meet in an
@@ -39,7 +40,11 @@ from codelineage.session import checkpointed
 
 BAND_GROWTH = 1.4
 PAIR_COST = 6.0
-SPARES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+COMMON_SETS, COMMON_SHARE = 0.1, 0.5  # the cost model's picture: a tenth of the sets, half filled by the same passages
+SPARES = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
+
+
+BAND, LOOSE = U(127), U(128)  # bits of an index entry: its band, and whether its segment has allowance 1
 
 
 @dataclass(frozen=True)
@@ -56,11 +61,12 @@ class Rule:
 class Scheme:
     """How sets are indexed for pairs whose larger set has ``low`` to ``high`` shingles."""
 
+    band: int
     low: int
     high: int
     loose: int  # segments with allowance 1
-    exact: int  # segments with allowance 0 that are indexed
-    spare: int  # smallest segments with allowance 0, skipped
+    exact: int  # segments with allowance 0 that stay in the index
+    spare: int  # most common segments with allowance 0, skipped
 
     @property
     def segments(self) -> int:
@@ -76,7 +82,7 @@ def bands(largest: int) -> list[tuple[int, int]]:
     return out
 
 
-def allocate(low: int, high: int, sets: int, rule: Rule) -> Scheme | None:
+def allocate(band: int, low: int, high: int, sets: int, rule: Rule) -> Scheme | None:
     """The cheapest allowances of a band that ``sets`` sets are indexed in; None if only equal sets can link."""
     differ = 2 * high * (rule.den - rule.num) // (rule.den + rule.num)
     if differ == 0:
@@ -88,19 +94,19 @@ def allocate(low: int, high: int, sets: int, rule: Rule) -> Scheme | None:
         for spare in SPARES if exact else (0,):
             segments = loose + exact + spare
             mean = size / segments
-            entries = sets * (exact + loose * (1 + mean))
+            entries = sets * (exact + spare + loose * (1 + mean))
             chance = 0.0
             if exact:
-                empty = (exact + spare) * math.exp(-mean)
-                term, over = math.exp(-empty), 0.0
-                for i in range(int(empty + 12 * math.sqrt(empty + 1)) + spare + 2):
+                alike = segments * math.exp(-mean * (1 - COMMON_SHARE))
+                term, over = math.exp(-alike), 0.0
+                for i in range(int(alike + 12 * math.sqrt(alike + 1)) + spare + 2):
                     over += max(0, i - spare) * term
-                    term *= empty / (i + 1)
-                chance += over**2 / (exact + spare)
+                    term *= alike / (i + 1)
+                chance += (COMMON_SETS * over) ** 2 / (exact + spare)
             chance += loose * (math.exp(-mean) * (1 + mean)) ** 2
             cost = entries + PAIR_COST * chance * sets * sets / 2
             if best is None or cost < best[0]:
-                best = cost, Scheme(low, high, loose, exact, spare)
+                best = cost, Scheme(band, low, high, loose, exact, spare)
     return best[1]
 
 
@@ -134,13 +140,14 @@ def index_keys(shingles: np.ndarray, scheme: Scheme, borders: np.ndarray) -> np.
     place = mix(np.arange(scheme.segments, dtype=U), 13 + scheme.low)
     keys = mix(content + place * U(3) + count * U(0xE7037ED1A0B428DB), 17)
     a = scheme.loose
-    largest = np.argsort(count[a:], kind="stable")[::-1][: scheme.exact] + a
-    out = [keys[largest]]
     if a:
         inner = slice(0, at[a])
         of = np.repeat(np.arange(a), np.diff(at[: a + 1]))
-        out += [keys[:a], mix(content[of] - values[inner] + place[of] * U(3) + (count[of] - U(1)) * U(0xE7037ED1A0B428DB), 17)]
-    return np.concatenate(out)
+        fewer = mix(content[of] - values[inner] + place[of] * U(3) + (count[of] - U(1)) * U(0xE7037ED1A0B428DB), 17)
+        keys = np.concatenate([(keys[:a] | LOOSE), (fewer | LOOSE), keys[a:] & ~LOOSE])
+    else:
+        keys = keys & ~LOOSE
+    return (keys & ~BAND) | U(scheme.band)
 
 
 def segment_borders(scheme: Scheme) -> np.ndarray:
@@ -232,16 +239,24 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     schemes = []
     for i, (low, high) in enumerate(all_bands):
         expected = sizes.get(i + 1, 0) + sizes.get(i, 0) // 2
-        scheme = allocate(low, high, expected, rule) if expected else None
+        scheme = allocate(i, low, high, expected, rule) if expected else None
         if scheme:
             schemes.append(scheme)
     nothing = spark.createDataFrame([], "node long, component long")
     if not schemes:
         return nothing
     texts = docs.join(reps.select("id"), "id", "left_semi")
-    by_key = Window.partitionBy("key")
-    entries = index_entries(texts, schemes, rule).withColumns({"low": F.min("doc").over(by_key), "high": F.max("doc").over(by_key)})
-    met = checkpointed(entries.where("low < high").select("key", "doc", "low"))
+    entries = index_entries(texts, schemes, rule).withColumn("count", F.count("*").over(Window.partitionBy("key")))
+    shared = entries.where("count > 1").withColumns({"band": F.expr("key & 127"), "loose": F.expr("key & 128 = 128")})
+    spare = F.element_at(F.create_map(*[F.lit(x) for s in schemes for x in (s.band, s.spare)]), F.col("band").cast("int"))
+    twice = reps.groupBy(F.col("id").alias("doc")).count().where("count > 1").select("doc", F.lit(0).alias("band_"))
+    if not twice.isEmpty():  # entries of several sets under one id: none is left out
+        shared = shared.join(twice, "doc", "left").withColumn("loose", F.col("loose") | F.col("band_").isNotNull())
+    common = Window.partitionBy("doc", "band", "loose").orderBy(F.desc("count"), "key")
+    ranked = shared.withColumn("at", F.row_number().over(common))
+    met = checkpointed(ranked.where(F.col("loose") | (F.col("at") > spare)).select("key", "doc"))
+    first = met.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
+    met = met.join(first, "key")
     sized = reps.select(F.col("id").alias("doc"), F.col("n").alias("n_doc"))
     met = checkpointed(met.join(sized, "doc"))
     partners = checkpointed(docs.join(met.select(F.col("doc").alias("id")).distinct(), "id", "left_semi"))
