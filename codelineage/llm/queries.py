@@ -105,3 +105,11 @@ def op10_top_k(spark, sf_dir):
     """The 20 highest integer inner products of every twentieth vector."""
     points = kdtree.scaled(table(spark, sf_dir, "embeddings"))
     return kdtree.top_k(points, F.col("vec_id") % 20 == 0, 20)
+
+
+@R.add("pipeline")
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
