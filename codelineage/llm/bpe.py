@@ -27,6 +27,7 @@ from codelineage.llm.common import list_array, map_added
 
 CACHED_WORDS = 300_000
 NONE = 1 << 60
+RARE = re.compile("[^\x00-\u052f]")
 
 
 def byte_letters() -> list[str]:
@@ -90,6 +91,7 @@ class Vocabulary:
         self.rank = {(self.ids[a], self.ids[b]): (i, self.ids[a + b]) for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.path = path
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
@@ -98,6 +100,7 @@ class Vocabulary:
         self.tokens = tokens
         self.letters = byte_letters()
         self.cache = WordCache(self.word)
+        self.library = None
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first and leftmost first among equals."""
@@ -127,10 +130,21 @@ class Vocabulary:
         letters[-1] += self.suffix
         return np.array(self.merge([self.ids[x] for x in letters if x in self.ids]), "<i4").tobytes()
 
-    def normal(self, text: str) -> str:
-        """Composed and lower case, each character by itself."""
-        text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()
+    def split(self, text: str) -> list[str]:
+        """Words of a text: composed, lower case, parted by the file's pattern.
+
+        Beyond the Latin, Greek and Cyrillic blocks, what counts as a letter depends on
+        the Unicode version, so there the library itself normalizes and parts the text.
+        """
+        if not RARE.search(text):
+            return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.bytes = {letter: b for b, letter in enumerate(self.letters)}
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.bytes[c] for c in piece).decode() for piece, _ in pieces]
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.special_pattern.split(text) if self.special_pattern else [text]
@@ -139,7 +153,7 @@ class Vocabulary:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<i4").tobytes())
             elif part:
-                out.extend([cache[w] for w in self.words.findall(self.normal(part))])
+                out.extend([cache[w] for w in self.split(part)])
         return np.frombuffer(b"".join(out), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:

@@ -8,7 +8,7 @@ so that most boxes there are never opened. Query blocks meet every shard once.
 
 Vectors that are null, empty, or hold null or non-finite components take no part; of rows
 with the same id the smallest vector counts; rows with a null id are left out. A vector
-of another length than the query's is no candidate. Ties go to the smaller id. An empty
+of another length than the query's is no candidate. Scores must fit 64 bits. Ties go to the smaller id. An empty
 table gives no rows.
 """
 

@@ -108,6 +108,18 @@ N_CLASSES = 22
 N_TAGS = 1 + 2 * len(KINDS)
 
 
+def _forbidden() -> tuple[np.ndarray, np.ndarray]:
+    """A large negative weight where a span would go on that has not begun: between tags, and at the start."""
+    between, begin = np.zeros((N_TAGS, N_TAGS), np.float32), np.zeros(N_TAGS, np.float32)
+    for tag in range(2, N_TAGS, 2):
+        between[:, tag] = begin[tag] = -1e4
+        between[[tag - 1, tag], tag] = 0
+    return between, begin
+
+
+FORBIDDEN, NO_START = _forbidden()
+
+
 def encode(texts: list[str], length: int = LENGTH) -> np.ndarray:
     out = np.zeros((len(texts), length), np.int64)
     for i, t in enumerate(texts):
@@ -172,8 +184,8 @@ class Tagger:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tag sequences by Viterbi."""
-        e, trans = self.emissions(x), self.w["trans"]
-        score, back = self.w["begin"] + e[:, 0], np.zeros(e.shape, np.int8)
+        e, trans = self.emissions(x), self.w["trans"] + FORBIDDEN
+        score, back = self.w["begin"] + NO_START + e[:, 0], np.zeros(e.shape, np.int8)
         for t in range(1, e.shape[1]):
             paths = score[:, :, None] + trans
             back[:, t] = paths.argmax(axis=1)
@@ -189,10 +201,10 @@ class Tagger:
         """Gradient of the mean negative log likelihood of the tag sequences."""
         w, h, keep = self.w, HIDDEN, []
         states = self.lstm(x, keep)
-        e, trans = states @ w["out"] + w["c"], w["trans"]
+        e, trans = states @ w["out"] + w["c"], w["trans"] + FORBIDDEN
         n, length = x.shape
         total = lambda v, axis: (m := v.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis=axis))
-        ahead = [w["begin"] + e[:, 0]]
+        ahead = [w["begin"] + NO_START + e[:, 0]]
         for t in range(1, length):
             ahead.append(total(ahead[-1][:, :, None] + trans, 1) + e[:, t])
         after = [np.zeros((n, N_TAGS))]

@@ -215,21 +215,16 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rising means of ``y`` by pooling adjacent violators: block starts and their values."""
-    order = np.argsort(raw, kind="stable")
+    x, at = np.unique(raw, return_inverse=True)
     blocks: list[list[float]] = []
-    for x, label in zip(raw[order].tolist(), y[order].tolist()):
-        if blocks and blocks[-1][0] == x:
-            blocks[-1][1] += label
-            blocks[-1][2] += 1
-        else:
-            blocks.append([x, label, 1])
+    for start, total, n in zip(x.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist()):
+        blocks.append([start, total, n])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             _, total, n = blocks.pop()
             blocks[-1][1] += total
             blocks[-1][2] += n
     starts = np.array([b[0] for b in blocks])
-    values = np.array([(b[1] + 0.5 * (b[1] / b[2])) / (b[2] + 0.5) for b in blocks])
-    return starts, values
+    return starts, np.array([b[1] / b[2] for b in blocks])
 
 
 @dataclass
