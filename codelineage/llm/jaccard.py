@@ -11,10 +11,15 @@ frequent ones beside it in both sets, so both keep it. The
 allowances of a band are the cheapest by a cost model over the number of sets in it.
 
 Sets with equal content are first folded into one representative. Sets that meet in an
-index entry are compared with the entry's first set; pairs across components are
-looked at again with other partners, and at last one by one, until every entry lies
-inside one component or all its pairs across components were compared. All comparisons are exact on 64-bit
-shingle hashes.
+index entry are compared with the entry's first set. Of an entry whose sets then still lie in several
+components, a short one is looked through in its task with counts of shingles per cell of the hash
+range: what these counts differ by is no more than the sets do, so most pairs need no
+comparison. A long entry is resolved by differences: with
+d(x) the shingles in which x and the entry's first set differ, x and y can only link
+if d(x) and d(y) share about half of their shingles or more, so that the rarer half of
+d(y) must meet d(x); only such pairs are compared. Sets that differ too much from the first
+set to link with those near it go on to a round with another first set. All
+comparisons are exact on 64-bit shingle hashes, and no pair of an entry is passed over.
 
 Null, empty and wordless texts have empty sets and stand alone; a text with fewer
 words than a shingle is one shingle. Rows with a null id stand alone with a null component.
@@ -40,6 +45,8 @@ from codelineage.session import checkpointed
 
 BAND_GROWTH = 1.4
 PAIR_COST = 6.0
+SHORT_ENTRY = 256
+CELLS = 64
 COMMON_SETS, COMMON_SHARE = 0.1, 0.5  # the cost model's picture: a tenth of the sets, half filled by the same passages
 SPARES = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
 
@@ -194,29 +201,157 @@ def index_entries(docs: DataFrame, schemes: list[Scheme], rule: Rule) -> DataFra
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sets link, compared whole."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both texts, those of one ``a`` together."""
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return with_a.select("a", "b", "text_a", "text_b")
+
+
+def _compared(batches, rule: Rule):
+    """(a, b, set of a, set of b) lists, a batch at a time; the set of ``a`` is made once for rows in a row."""
+    name, mine = None, None
+    for batch in slices(batches, "text_b", 1 << 20):
+        out = []
+        theirs = shingle_sets(batch.column("text_b"), rule)
+        for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+            text = batch.column("text_a")[i].as_py()
+            if (a, text) != name:
+                name, mine = (a, text), shingle_sets(pa.array([text], pa.string()), rule)[0]
+            out.append((a, b, mine, theirs[i]))
+        yield out
+
+
+def _links(common: int, a: int, b: int, rule: Rule) -> bool:
+    return common > 0 and rule.den * common >= rule.num * (a + b - common)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sets link, compared whole."""
 
     def run(batches):
-        name, mine = None, None
-        for batch in slices(batches, "text_b", 1 << 20):
+        for rows in _compared(batches, rule):
             out = []
-            theirs = shingle_sets(batch.column("text_b"), rule)
-            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-                text = batch.column("text_a")[i]
-                if (a, text) != name:
-                    name, mine = (a, text), shingle_sets(pa.array([text.as_py()], pa.string()), rule)[0]
-                other = theirs[i]
-                at = np.searchsorted(mine, other)
-                common = int((mine[np.minimum(at, len(mine) - 1)] == other).sum()) if len(mine) and len(other) else 0
-                if common and rule.den * common >= rule.num * (len(mine) + len(other) - common):
+            for a, b, mine, other in rows:
+                common = 0
+                if len(mine) and len(other):
+                    at = np.searchsorted(mine, other)
+                    common = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
+                if _links(common, len(mine), len(other), rule):
                     out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, PAIR).distinct()
+    return _with_texts(pairs, texts).mapInArrow(run, PAIR).distinct()
+
+
+DIFFERENCE = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("a", "b", "n_a", "n_b", "differ")]
+    + [T.StructField("far", T.BooleanType()), T.StructField("shingles", T.ArrayType(T.LongType()))]
+)
+
+
+def differences(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """For each pair the number of shingles only one of both has, and these shingles while a link of ``b`` with
+    a set near ``a`` is possible: up to three times what may differ in any link of ``b``."""
+
+    def run(batches):
+        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
+        for rows in _compared(batches, rule):
+            out = []
+            for a, b, mine, other in rows:
+                only = np.setxor1d(mine, other, assume_unique=True)
+                common = (len(mine) + len(other) - len(only)) // 2
+                close = rule.num * len(only) <= 3 * (rule.den - rule.num) * len(other)
+                out.append((a, b, len(mine), len(other), len(only), not _links(common, len(mine), len(other), rule), signed(only) if close else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[f.name for f in DIFFERENCE])
+
+    return _with_texts(pairs, texts).mapInArrow(run, DIFFERENCE)
+
+
+def meeting_differences(apart: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, n_doc, other, n_other) of all pairs that may link among the sets ``b`` compared with one ``a``.
+
+    ``apart`` are rows of ``differences`` that carry their shingles. Two sets near ``a`` are in
+    its component already, so one of a pair, x, is far. With at most q (n_x + n_y) shingles in
+    a difference of linked sets, and more than q (n_x + n_a) between x and a, the differences of
+    x and y share more than half of d(y) + q (n_a - n_y): one of the rarest others of d(y) is
+    in d(x). For a pair at hand the number to share is known better, and the first shingle they share
+    stands early in both. If that number is not positive, no shared shingle is needed, and y is near a; then
+    the y with the largest q n_y - d(y) links with x if any does.
+    """
+    q = F.lit(float(rule.den - rule.num)) / F.lit(float(rule.den + rule.num))
+    each = apart.select("a", "b", "n_a", "n_b", "differ", "far", F.explode("shingles").alias("s"))
+    each = each.withColumn("held", F.count("*").over(Window.partitionBy("a", "s")))
+    each = each.withColumn("nth", F.row_number().over(Window.partitionBy("a", "b").orderBy("held", "s")))
+    need = F.greatest(F.lit(1.0), F.ceil((F.col("differ") + q * (F.col("n_a") - F.col("n_b"))) / 2))
+    rare = each.where((F.col("held") > 1) & (F.col("nth") <= F.col("differ") - need + 1))
+    full = each.where("held > 1 and far")
+    side = lambda df, x: df.select("a", "s", F.col("b").alias(x), *[F.col(c).alias(f"{n}_{x}") for c, n in (("n_b", "n"), ("differ", "d"), ("nth", "nth"))])
+    shared = F.greatest(F.lit(1.0), F.ceil((F.col("d_doc") + F.col("d_other") - q * (F.col("n_doc") + F.col("n_other"))) / 2))
+    first = (F.col("nth_doc") <= F.col("d_doc") - shared + 1) & (F.col("nth_other") <= F.col("d_other") - shared + 1)
+    sharing = side(rare, "doc").join(side(full, "other"), ["a", "s"]).where((F.col("doc") != F.col("other")) & first)
+    gain = q * F.col("n_b") - F.col("differ")
+    best = apart.where("not far").groupBy("a").agg(F.max(F.struct(gain.alias("gain"), F.col("b").alias("other"), F.col("n_b").alias("n_other"))).alias("y"))
+    sure = apart.where("far").join(best, "a").where(F.col("y.gain") + gain >= -1e-6)
+    columns = ["doc", "n_doc", "other", "n_other"]
+    return sharing.select(*columns).distinct().unionByName(sure.select(F.col("b").alias("doc"), F.col("n_b").alias("n_doc"), "y.other", "y.n_other"))
+
+
+def counted(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, cells): shingles of each set per cell of the hash range, as 32-bit integers."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            cells = [np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes() for s in shingle_sets(batch.column("text"), rule)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cells, pa.binary())], names=["doc", "cells"])
+
+    return texts.mapInArrow(run, T.StructType([T.StructField("doc", T.LongType()), T.StructField("cells", T.BinaryType())]))
+
+
+def likely_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) across components, among rows (key, doc, n_doc, component, cells) of short entries, that may link."""
+    q_num, q_den = rule.den - rule.num, rule.den + rule.num
+    names = ["key", "doc", "n_doc", "component", "cells"]
+
+    def within(doc, n, component, cells) -> np.ndarray:
+        out = []
+        for i in range(len(doc) - 1):
+            total = n[i] + n[i + 1 :]
+            low, high = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+            may = np.flatnonzero((component[i + 1 :] != component[i]) & (rule.den * low >= rule.num * high) & (doc[i + 1 :] != doc[i]))
+            if len(may):
+                apart = np.abs(cells[i + 1 + may] - cells[i]).sum(axis=1)
+                may = may[q_den * apart <= q_num * total[may]] + i + 1
+                out.append(np.stack([np.full(len(may), doc[i]), doc[may]], axis=1))
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+    def run(batches):
+        held = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), "<i4").reshape(-1, CELLS)
+                new = [batch.column(c).to_numpy() for c in names[:4]] + [cells]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if held is None or not len(held[0]):
+                continue
+            key = held[0]
+            borders = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+            whole = len(borders) - (2 if batch is not None else 1)  # the last entry may go on in the next batch
+            found = [within(*(x[borders[g] : borders[g + 1]] for x in held[1:])) for g in range(whole)]
+            held = [x[borders[whole] :] for x in held]
+            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            if len(pairs):
+                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, PAIR).distinct()
+
+
+def _and_end(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
 
 
 def _pairs(rows: DataFrame, x: str, y: str, rule: Rule) -> DataFrame:
@@ -263,35 +398,34 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     low = sized.select(F.col("doc").alias("low"), F.col("n_doc").alias("n_low"))
     tested = checkpointed(_pairs(met.join(low, "low"), "doc", "low", rule))
     edges = checkpointed(verify(tested, partners, rule))
-    joined, turn = components(edges), 0
+    joined, open_, short = components(edges), met.select("key", "doc", "n_doc"), F.col("rows") <= SHORT_ENTRY
+    cells = checkpointed(counted(partners, rule).distinct())
     while True:
-        turn += 1
         label = joined.select(F.col("node").alias("doc"), "component")
-        placed = met.select("key", "doc", "n_doc").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        kept = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
-            F.count("*").alias("parts"), (F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.sum("n").alias("rows")
-        ).where("parts > 1")
-        kept = checkpointed(kept)
-        cross, rows = kept.agg(F.coalesce(F.sum("cross"), F.lit(0.0)) / 2, F.coalesce(F.sum("rows"), F.lit(0))).first()
-        if not rows:
-            return joined
-        rest = checkpointed(placed.join(kept.select("key"), "key", "left_semi"))
-        last = cross <= 4 * rows or turn > 1 and not grew
-        if last:
-            other = rest.select("key", F.col("doc").alias("other"), F.col("n_doc").alias("n_other"), F.col("component").alias("with"))
-            meeting = rest.join(other, "key").where("component <> with and doc < other")
-        else:
-            pick = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("other"), F.col("n_doc").alias("n_other"), F.col("component").alias("with"))).alias("p"))
-            meeting = rest.join(pick.select("key", "p.other", "p.n_other", "p.with"), "key").where("component <> with")
-        new = checkpointed(_pairs(meeting, "doc", "other", rule).join(tested, ["a", "b"], "left_anti"))
-        found = checkpointed(verify(new, partners, rule))
-        grew = not found.isEmpty()
-        if grew:
-            edges = edges.unionByName(found)
-            joined = components(edges)
-        if last:
+        placed = open_.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        entries = placed.groupBy("key").agg(F.count("*").alias("rows"), F.min("doc").alias("low"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        rest = checkpointed(placed.join(entries.where("c0 < c1").select("key", "rows", "low"), "key"))
+        new = likely_pairs(rest.where(short).join(cells, "doc"), rule)
+        long = rest.where(~short)
+        more = not long.isEmpty()
+        if more:
+            apart = checkpointed(differences(long.select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct(), partners, rule))
+            new = new.unionByName(_pairs(meeting_differences(apart.where("shingles is not null"), rule), "doc", "other", rule)).distinct()
+            near = apart.where("a <> b and not far").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            edges = edges.unionByName(near)
+        new = checkpointed(new.join(tested, ["a", "b"], "left_anti"))
+        edges = checkpointed(edges.unionByName(verify(new, partners, rule)))
+        joined = components(edges)
+        if not more:
             return joined
         tested = tested.unionByName(new)
+        # a set so far from the entry's first one that it cannot link with those whose differences were listed
+        away = apart.where(F.lit(rule.den) * F.col("differ") >= 2 * (rule.den - rule.num) * F.col("n_b"))
+        open_ = checkpointed(
+            long.select("key", "doc", "n_doc", "low").join(away.select(F.col("a").alias("low"), F.col("b").alias("doc")), ["low", "doc"], "left_semi").select("key", "doc", "n_doc")
+        )
+        if 2 * open_.count() > long.count():  # sets with little in common: no round would part them, so look through them
+            short = F.lit(True)
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:

@@ -12,8 +12,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, component_id string, n_words int")
 
 
-@pytest.mark.parametrize("k,num", [(4, 85), (5, 80)])
-def test_classes_match_all_pairs(spark, k, num):
+@pytest.mark.parametrize("k,num,short", [(4, 85, 256), (5, 80, 4)])
+def test_classes_match_all_pairs(spark, monkeypatch, k, num, short):
+    monkeypatch.setattr(jaccard, "SHORT_ENTRY", short)
     rows = near_copy_rows(seed=k)
     got = jaccard.near_copies(frame(spark, rows), rule=jaccard.Rule(words=k, num=num)).collect()
     assert {tuple(r) for r in got} == classes(rows, k, num)
@@ -50,6 +51,24 @@ def test_one_class_of_many_near_copies(spark):
     assert got == classes(rows)
 
 
+@pytest.mark.parametrize("short", [8])
+def test_a_family_around_the_limit(spark, monkeypatch, short):
+    """Many edits of one text: some link with it, most only with a few others, none is lost."""
+    monkeypatch.setattr(jaccard, "SHORT_ENTRY", short)
+    rng = random.Random(26)
+    base = sentence(rng, 90, 4000).split()
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(len(text))
+            rng.choice([lambda: text.pop(at), lambda: text.insert(at, "x" + str(rng.randrange(9))), lambda: text.__setitem__(at, "y" + str(rng.randrange(9)))])()
+        rows.append((3 * i, " ".join(text)))
+    rng.shuffle(rows)
+    got = {tuple(r) for r in jaccard.near_copies(frame(spark, rows)).collect()}
+    assert got == classes(rows) and 3 < len({c for *_, c in got}) < 150
+
+
 def test_linked_sets_share_an_index_entry_after_the_common_ones_are_left_out():
     """The allowances of every scheme suffice, whatever counts the entries have."""
     rng = np.random.default_rng(9)
