@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelineage.session import checkpointed
+
 # The six characters that part words, and their pattern.
 BREAKS = " \t\n\x0b\x0c\r"
 BREAK_PATTERN = r"[\x20\x09-\x0D]+"
@@ -21,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A result of a few numbers per document, in the shared folder: an eighth of the usual partitions hold it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.coalesce(max(4, parts // 8)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where a lambda in ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelineage.session import checkpointed
+from codelineage.llm.common import kept
 
 
 def _state(edges: DataFrame):
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     never gathered: a round is one aggregation and one join.
     """
     pair = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    edges = checkpointed(edges.where("a <> b").select(pair(F.col("a"), F.col("b")).alias("e")).select("e.*").distinct())
+    edges = kept(edges.where("a <> b").select(pair(F.col("a"), F.col("b")).alias("e")).select("e.*").distinct())
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a"), F.col("low").alias("b")))).alias("e")
         ).select("e.*")
-        edges = checkpointed(small.where("a <> b").distinct())
+        edges = kept(small.where("a <> b").distinct())
         after = _state(edges)
         if after == state:
             break

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelineage.llm.common import map_added, slices, text_bytes
+from codelineage.llm.common import kept, map_added, slices, text_bytes
 from codelineage.llm.components import components
 from codelineage.llm.words import U, find_words, hash_words, mix, runs
 from codelineage.session import checkpointed
@@ -47,6 +47,7 @@ BAND_GROWTH = 1.4
 PAIR_COST = 6.0
 SHORT_ENTRY = 256
 CELLS = 64
+MET_SETS = 200_000
 COMMON_SETS, COMMON_SHARE = 0.1, 0.5  # the cost model's picture: a tenth of the sets, half filled by the same passages
 SPARES = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
 
@@ -179,14 +180,24 @@ ENTRY = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", T
 
 
 def index_entries(docs: DataFrame, schemes: list[Scheme], rule: Rule) -> DataFrame:
-    """(key, doc) for every set in the schemes of all bands where it may find a partner."""
+    """(key, doc) for every set in the schemes of all bands where it may find a partner.
+
+    Sets equal to one the task has met before are left out: they have the same representative.
+    """
 
     def run(batches):
         borders = {s.low: segment_borders(s) for s in schemes}
+        met: set[tuple] = set()
         for batch in slices(batches, "text"):
             keys, ids = [], []
             for doc, shingles in zip(batch.column("id").to_pylist(), shingle_sets(batch.column("text"), rule)):
                 n = len(shingles)
+                fold = n, *(int(mix(shingles, seed).sum(dtype=U)) for seed in (21, 22))
+                if n == 0 or fold in met:
+                    continue
+                if len(met) >= MET_SETS:
+                    met.clear()
+                met.add(fold)
                 for s in schemes:
                     if s.high >= n and rule.den * n >= rule.num * s.low:
                         found = index_keys(shingles, s, borders[s.low])
@@ -361,8 +372,11 @@ def _pairs(rows: DataFrame, x: str, y: str, rule: Rule) -> DataFrame:
     return fits.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def links(reps: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """(node, component) of the representatives (id, n) that link with another one."""
+def links(reps: DataFrame, member: DataFrame, twice: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(node, component) of the representatives (id, n) that link with another one.
+
+    ``member`` has the representatives ``rep`` of each ``id``, ``twice`` the ids with several sets.
+    """
     spark = reps.sparkSession
     largest = reps.agg(F.max("n")).first()[0] or 0
     all_bands = bands(largest)
@@ -380,31 +394,30 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     nothing = spark.createDataFrame([], "node long, component long")
     if not schemes:
         return nothing
-    texts = docs.join(reps.select("id"), "id", "left_semi")
-    entries = index_entries(texts, schemes, rule).withColumn("count", F.count("*").over(Window.partitionBy("key")))
+    entries = index_entries(docs, schemes, rule).withColumn("count", F.count("*").over(Window.partitionBy("key")))
     shared = entries.where("count > 1").withColumns({"band": F.expr("key & 127"), "loose": F.expr("key & 128 = 128")})
     spare = F.element_at(F.create_map(*[F.lit(x) for s in schemes for x in (s.band, s.spare)]), F.col("band").cast("int"))
-    twice = reps.groupBy(F.col("id").alias("doc")).count().where("count > 1").select("doc", F.lit(0).alias("band_"))
     if not twice.isEmpty():  # entries of several sets under one id: none is left out
-        shared = shared.join(twice, "doc", "left").withColumn("loose", F.col("loose") | F.col("band_").isNotNull())
+        several = twice.select(F.col("id").alias("doc"), F.lit(True).alias("several"))
+        shared = shared.join(several, "doc", "left").withColumn("loose", F.col("loose") | F.coalesce("several", F.lit(False)))
     common = Window.partitionBy("doc", "band", "loose").orderBy(F.desc("count"), "key")
     ranked = shared.withColumn("at", F.row_number().over(common))
-    met = checkpointed(ranked.where(F.col("loose") | (F.col("at") > spare)).select("key", "doc"))
-    first = met.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
-    met = met.join(first, "key")
+    found = ranked.where(F.col("loose") | (F.col("at") > spare)).select("key", "doc")
+    found = checkpointed(found.join(member.select(F.col("id").alias("doc"), "rep"), "doc").select("key", F.col("rep").alias("doc")).distinct())
+    first = found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
     sized = reps.select(F.col("id").alias("doc"), F.col("n").alias("n_doc"))
-    met = checkpointed(met.join(sized, "doc"))
+    met = checkpointed(found.join(first, "key").join(sized, "doc"))
     partners = checkpointed(docs.join(met.select(F.col("doc").alias("id")).distinct(), "id", "left_semi"))
     low = sized.select(F.col("doc").alias("low"), F.col("n_doc").alias("n_low"))
-    tested = checkpointed(_pairs(met.join(low, "low"), "doc", "low", rule))
-    edges = checkpointed(verify(tested, partners, rule))
+    tested = kept(_pairs(met.join(low, "low"), "doc", "low", rule))
+    edges = kept(verify(tested, partners, rule))
     joined, open_, short = components(edges), met.select("key", "doc", "n_doc"), F.col("rows") <= SHORT_ENTRY
-    cells = checkpointed(counted(partners, rule).distinct())
+    cells = kept(counted(partners, rule).distinct())
     while True:
         label = joined.select(F.col("node").alias("doc"), "component")
         placed = open_.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         entries = placed.groupBy("key").agg(F.count("*").alias("rows"), F.min("doc").alias("low"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        rest = checkpointed(placed.join(entries.where("c0 < c1").select("key", "rows", "low"), "key"))
+        rest = kept(placed.join(entries.where("c0 < c1").select("key", "rows", "low"), "key"))
         new = likely_pairs(rest.where(short).join(cells, "doc"), rule)
         long = rest.where(~short)
         more = not long.isEmpty()
@@ -413,15 +426,15 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             new = new.unionByName(_pairs(meeting_differences(apart.where("shingles is not null"), rule), "doc", "other", rule)).distinct()
             near = apart.where("a <> b and not far").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             edges = edges.unionByName(near)
-        new = checkpointed(new.join(tested, ["a", "b"], "left_anti"))
-        edges = checkpointed(edges.unionByName(verify(new, partners, rule)))
+        new = kept(new.join(tested, ["a", "b"], "left_anti"))
+        edges = kept(edges.unionByName(verify(new, partners, rule)))
         joined = components(edges)
         if not more:
             return joined
         tested = tested.unionByName(new)
         # a set so far from the entry's first one that it cannot link with those whose differences were listed
         away = apart.where(F.lit(rule.den) * F.col("differ") >= 2 * (rule.den - rule.num) * F.col("n_b"))
-        open_ = checkpointed(
+        open_ = kept(
             long.select("key", "doc", "n_doc", "low").join(away.select(F.col("a").alias("low"), F.col("b").alias("doc")), ["low", "doc"], "left_semi").select("key", "doc", "n_doc")
         )
         if 2 * open_.count() > long.count():  # sets with little in common: no round would part them, so look through them
@@ -435,8 +448,9 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Ru
     named = sets.where("id is not null and n > 0")
     folds = ["n", "fold_a", "fold_b"]
     first = named.groupBy(*folds).agg(F.min("id").alias("rep"))
-    member = checkpointed(named.join(first, folds).select("id", "rep").distinct())
-    joined = links(checkpointed(first.select(F.col("rep").alias("id"), "n")), docs.where("id is not null"), rule)
+    member = kept(named.join(first, folds).select("id", "rep").distinct())
+    twice = named.select("id", *folds).distinct().groupBy("id").count().where("count > 1").select("id")
+    joined = links(kept(first.select(F.col("rep").alias("id"), "n")), member, twice, docs.where("id is not null"), rule)
     # an id with several texts has several representatives: these are one node
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     shared = same.join(member.groupBy("id").count().where("count > 1").select(F.col("id").alias("a")), "a", "left_semi")
