@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from codelineage.operators import provenance as p
@@ -36,10 +37,24 @@ def _run(query: StreamingQuery) -> None:
         raise query.exception()
 
 
-def dedupe_commits(commits: DataFrame, out: str, delay: str = "10 minutes") -> StreamingQuery:
-    """Each (repo, commit) once; state older than the watermark is dropped."""
-    unique = commits.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["repo", "commit"])
-    return _start(unique, out)
+def dedupe_commits(commits: DataFrame, out: str, buckets: int = 64) -> StreamingQuery:
+    """Each (repo, commit) once, however late or often it is announced.
+
+    What was passed on is the table of known keys, kept in hash buckets: a batch
+    is compared with the buckets of its own keys only, and no state expires.
+    """
+    keys, schema = ["repo", "commit"], commits.schema
+    spread = commits.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    known_schema = T.StructType([*spread.schema.fields, T.StructField("batch", T.LongType())])
+    _empty(commits.sparkSession, f"{out}/data/batch=-1/bucket=-1", schema)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        known = batch.sparkSession.read.schema(known_schema).parquet(f"{out}/data")
+        known = known.where(F.col("batch") < batch_id).select("bucket", *keys)
+        fresh = batch.dropDuplicates(keys).join(known, ["bucket", *keys], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/batch={batch_id}")
+
+    return _start(spread, out, each=each)
 
 
 def skip_baseline(commits: DataFrame, out: str) -> StreamingQuery:
@@ -49,11 +64,12 @@ def skip_baseline(commits: DataFrame, out: str) -> StreamingQuery:
     grouped state, so a repository with most of the commits is not gathered in
     one task.
     """
+    base_path, schema = f"{out}/baseline", "repo bigint, commit bigint"
+    _empty(commits.sparkSession, f"{base_path}/batch=-1", schema)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base_path, schema = f"{out}/baseline", "repo bigint, commit bigint"
-        seen = _read_or_empty(spark, base_path, f"{schema}, batch bigint").where(F.col("batch") < batch_id)
+        seen = spark.read.schema(f"{schema}, batch bigint").parquet(base_path).where(F.col("batch") < batch_id)
         fresh = (
             batch.groupBy("repo")
             .agg(F.min_by("commit", F.struct("ts", "commit")).alias("commit"))
@@ -66,10 +82,9 @@ def skip_baseline(commits: DataFrame, out: str) -> StreamingQuery:
     return _start(commits, out, each=each)
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+def _empty(spark: SparkSession, path: str, schema) -> None:
+    """An empty table, so that the first batch finds something to read."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def attribute_stream(blocks: DataFrame, lookup: DataFrame, out: str) -> StreamingQuery:
@@ -99,24 +114,23 @@ def attribute_batches(
 
 
 def latest_report(attributions: DataFrame, out: str) -> StreamingQuery:
-    """Statistics of the newest commit of every batch; ``read_latest`` picks the newest of all."""
+    """Keeps the attributions as they come; ``read_latest`` reports on the newest commit, over all its batches."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(F.struct("ts", "commit")).alias("m"))
-        m = newest.scalar()
-        stats = commit_stats(batch.where(F.col("commit") == m["commit"])).withColumn("ts", m["ts"])
-        stats.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
     return _start(attributions, out, each=each)
 
 
 def read_latest(spark: SparkSession, out: str) -> DataFrame:
-    reports = spark.read.parquet(f"{out}/data").drop("batch")
-    return reports.orderBy(F.desc("ts"), F.desc("commit")).limit(1)
+    rows = spark.read.parquet(f"{out}/data").drop("batch")
+    newest = rows.agg(F.max(F.struct("ts", "commit")).alias("m")).select("m.*")
+    # one row: the newest commit and its time
+    return commit_stats(rows.join(F.broadcast(newest.select("commit")), "commit")).crossJoin(F.broadcast(newest.select("ts")))
 
 
 def finished(query: StreamingQuery, spark: SparkSession, out: str) -> DataFrame:
     """Wait for the available input and read what was written."""
     _run(query)
     data = spark.read.parquet(f"{out}/data")
-    return data.drop("batch") if "batch" in data.columns else data
+    return data.drop("batch", "bucket")

@@ -148,8 +148,28 @@ def test_baseline_over_several_batches(spark, tmp_path):
     assert {(r.repo, r.commit) for r in more.collect()} == passed | {(1, 12)}
 
 
-def test_dedupe_over_batches(spark, tmp_path):
+def test_dedupe_passes_late_commits_and_no_repeats(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    commit_files(spark, src, [[(1, 1, "2024-01-01 00:00:00")], [(1, 1, "2024-01-01 00:05:00"), (1, 2, "2024-01-01 00:05:00")]])
-    got = st.finished(st.dedupe_commits(commit_stream(spark, src), out), spark, out)
-    assert sorted((r.repo, r.commit) for r in got.collect()) == [(1, 1), (1, 2)]
+    hourly = [(1, 1, f"2024-01-10 0{h}:00:00") for h in range(4)]
+    batches = [
+        [*hourly[:2], *[(1, c, "2024-01-10 00:00:00") for c in range(2, 7)]],
+        [hourly[2], *[(2, c, "2024-01-10 00:00:00") for c in range(4)]],
+        [hourly[3], *[(3, c, "2024-01-01 00:00:00") for c in range(5)], (2, 1, "2024-01-10 00:00:00")],
+    ]
+    for batch in batches:
+        commit_files(spark, src, [batch])
+        got = st.finished(st.dedupe_commits(commit_stream(spark, src), out), spark, out)
+    found = sorted((r.repo, r.commit) for r in got.collect())
+    assert found == sorted({(r, c) for batch in batches for r, c, _ in batch}) and len(found) == 15
+    again = st.finished(st.dedupe_commits(commit_stream(spark, src), out), spark, out)
+    assert again.count() == 15
+
+
+def test_latest_report_counts_a_commit_over_all_its_batches(spark, tmp_path):
+    out = str(tmp_path / "out")
+    columns = "commit long, ts timestamp, label string, start_line int, end_line int"
+    day = lambda d: __import__("datetime").datetime(2024, 1, d)
+    for i, rows in enumerate([[(7, day(2), "LLM_GENERATED", 1, 3)] * 3 + [(6, day(1), "MIXED", 1, 2)], [(7, day(2), "HUMAN_WRITTEN", 4, 5)] * 3]):
+        spark.createDataFrame(rows, columns).write.parquet(f"{out}/data/batch={i}")
+    r = st.read_latest(spark, out).first()
+    assert (r["commit"], r["analyzed_lines"], r["llm_generated"], r["human_written"]) == (7, 6, 3, 3)
\ No newline at end of file
