@@ -20,10 +20,11 @@ NUMBER = r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])"
 TOKEN = rf"[A-Za-z0-9_]+|[^A-Za-z0-9_{BLANKS}]"
 TAG_LINE = r"(?i)(@Authorship:|\[AUTHORSHIP:)"
 STRUCTURE_WORDS = ("if", "for", "while", "return", "function", "def", "class")
+# Keywords that keep their spelling in a code shape.
 SHAPE_KEYWORDS = (
-    "def class if else elif for while return import from as with try except finally pass break "
-    "continue function const let var async await"
-).split()
+    "def", "class", "if", "else", "elif", "for", "while", "return", "import", "from", "as", "with", "try", "except", "finally",
+    "pass", "break", "continue", "function", "const", "let", "var", "async", "await",
+)
 
 
 def js_trim(c: Column) -> Column:
@@ -305,3 +306,9 @@ def strip_fence(c: Column) -> Column:
     body = F.regexp_extract(text, r"(?is)^```(?:python)?\s*(.*?)\s*```$", 1)
     fenced = text.rlike(r"(?is)^```(?:python)?\s*(.*?)\s*```$")
     return F.when(fenced, js_trim(body)).otherwise(text)
+
+
+def iso_utc(c: Column) -> Column:
+    """ISO-8601 time with ``Z``, an offset, or neither, which means UTC; null where it is none."""
+    zoned = F.when(c.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), c).otherwise(F.concat(c, F.lit("Z")))
+    return F.try_to_timestamp(zoned)

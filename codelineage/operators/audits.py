@@ -30,6 +30,11 @@ MANIFEST_COLUMNS = (
 )
 
 
+def manifest(df: DataFrame, columns: Sequence[str] = MANIFEST_COLUMNS) -> DataFrame:
+    """The identifying and label columns only; neither code nor prediction goes into a manifest."""
+    return df.select(*columns)
+
+
 def json_field_problem(record: Column, name: str) -> Column:
     """Missing, null and non-string stay apart because the raw JSON text is inspected."""
     value = F.try_variant_get(record, f"$.{name}", "variant")

@@ -254,6 +254,11 @@ def name_status(df: DataFrame, key: str, output: str) -> DataFrame:
     )
 
 
+def without_deleted(changes: DataFrame) -> DataFrame:
+    """Commit file lists without the files a commit removes: these are never analysed."""
+    return changes.where(F.col("status") != "D")
+
+
 def sections(code: Column) -> Column:
     """Text cut before every definition line that follows some text."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))

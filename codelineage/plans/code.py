@@ -134,13 +134,13 @@ def ast_delta_scores(spark, d):
 
 
 WORD_COUNTS = """words AS (SELECT conv_id AS id, w, count(*) FILTER (WHERE role = 'user') AS a, count(*) FILTER (WHERE role = 'assistant') AS b
-  FROM (SELECT conv_id, role, unnest(string_split(text, ' ')) AS w FROM conversations WHERE role <> 'system') GROUP BY ALL),
+  FROM (SELECT conv_id, role, unnest(string_split(text, ' ')) AS w FROM conversations) GROUP BY ALL),
   sums AS (SELECT id, CAST(sum(least(a, b)) AS BIGINT) AS matched, CAST(sum(a) AS BIGINT) AS l, CAST(sum(b) AS BIGINT) AS r FROM words GROUP BY 1)"""
 
 
 def word_counts(spark, d):
     """Word multisets of the user and the assistant side of each conversation."""
-    w = table(spark, d, "conversations").where("role <> 'system'").select(
+    w = table(spark, d, "conversations").select(
         F.col("conv_id").alias("id"), "role", F.explode(F.split("text", " ")).alias("w")
     )
     return w.groupBy("id", "w").agg(F.count_if(F.col("role") == "user").alias("a"), F.count_if(F.col("role") == "assistant").alias("b"))

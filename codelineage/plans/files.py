@@ -372,6 +372,18 @@ def block_coverage(spark, d):
     """SELECT o_orderkey AS id, unnest(['M', 'A', 'D']) AS status, unnest(['src/a_' || o_custkey || '.py', 'docs/read me.md', 'old_' || o_orderkey]) AS path FROM orders""",
 )
 def name_status(spark, d):
+    return file_lists(spark, d)
+
+
+@R.add(
+    "analyzed_files",
+    """SELECT o_orderkey AS id, unnest(['M', 'A']) AS status, unnest(['src/a_' || o_custkey || '.py', 'docs/read me.md']) AS path FROM orders""",
+)
+def analyzed_files(spark, d):
+    return f.without_deleted(file_lists(spark, d))
+
+
+def file_lists(spark, d):
     text = F.concat(
         F.lit("M\tsrc/a_"), "o_custkey", F.lit(".py\n\nA\tdocs/read me.md\nbroken\nd100  old_"), "o_orderkey", F.lit("\n")
     )

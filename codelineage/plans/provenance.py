@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelineage.functions import text as t
 from codelineage.operators import provenance as p
 from codelineage.operators import snippets as sn
+from codelineage.operators.reports import order_by_confidence
 from codelineage.plans import sqltext as q
 from codelineage.plans.base import Registry
 from codelineage.sources.tables import code_blocks, messages, table
@@ -104,6 +105,15 @@ def block_confidence(spark, d):
     return attributions(spark, d).select("conv_id", "block", "confidence")
 
 
+@R.add(
+    "confidence_order",
+    f"WITH {ATTRIBUTED} SELECT conv_id, block, row_number() OVER (ORDER BY confidence DESC, conv_id, block) AS place FROM attributed",
+)
+def confidence_order(spark, d):
+    """Attributions in report order: the surest first, ranked in two levels."""
+    return order_by_confidence(attributions(spark, d), ["conv_id", "block"]).select("conv_id", "block", "place")
+
+
 @R.add(
     "prev_user_turn",
     """SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END)

@@ -139,10 +139,10 @@ def survey_likert(spark, d):
 
 
 def choices(spark, d):
-    """Policy level chosen per topic and player, from line items of return flag R and A."""
+    """Policy level chosen per topic and player: line items returned are the developer's, all others the organization's."""
     flag, q = F.col("l_returnflag"), F.col("l_quantity")
     level = F.when(q <= 17, "No Disclosure").when(q <= 34, "Partial Human Oversight").otherwise("Full Disclosure")
-    return table(spark, d, "lineitem").where(flag.isin("R", "A")).select(
+    return table(spark, d, "lineitem").select(
         F.concat_ws("-", "l_linestatus", F.month("l_shipdate")).alias("topic"),
         F.when(flag == "R", "developer").otherwise("organization").alias("player"),
         sv.policy_level(level).alias("level"),
@@ -150,7 +150,7 @@ def choices(spark, d):
 
 
 CHOICES = """choices AS (SELECT l_linestatus || '-' || month(l_shipdate) AS topic, CASE l_returnflag WHEN 'R' THEN 'developer' ELSE 'organization' END AS player,
-    CASE WHEN l_quantity <= 17 THEN 0 WHEN l_quantity <= 34 THEN 1 ELSE 2 END AS level FROM lineitem WHERE l_returnflag IN ('R', 'A')),
+    CASE WHEN l_quantity <= 17 THEN 0 WHEN l_quantity <= 34 THEN 1 ELSE 2 END AS level FROM lineitem),
   shares AS (SELECT topic, player, count(*) FILTER (WHERE level = 0) AS n_no, count(*) FILTER (WHERE level = 1) AS n_partial,
     count(*) FILTER (WHERE level = 2) AS n_full, count(*)::DOUBLE AS n FROM choices GROUP BY ALL),
   prof AS (SELECT d.topic, [d.n_no / d.n, d.n_partial / d.n, d.n_full / d.n] AS dev, [o.n_no / o.n, o.n_partial / o.n, o.n_full / o.n] AS org
