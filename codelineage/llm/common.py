@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,21 @@ def kept(df: DataFrame) -> DataFrame:
     return checkpointed(df.coalesce(max(4, parts // 8)))
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Queries built inside drop their shuffle files when they end; what later steps need is checkpointed or written.
+
+    A lost file is made again from the lineage. Sessions that do not know the setting ignore it.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where a lambda in ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

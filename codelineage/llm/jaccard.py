@@ -13,7 +13,7 @@ allowances of a band are the cheapest by a cost model over the number of sets in
 Sets with equal content are first folded into one representative. Sets that meet in an
 index entry are compared with the entry's first set. Of an entry whose sets then still lie in several
 components, a short one is looked through in its task with counts of shingles per cell of the hash
-range: what these counts differ by is no more than the sets do, so most pairs need no
+range: what these counts differ by is no more than what the sets do, so most pairs need no
 comparison. A long entry is resolved by differences: with
 d(x) the shingles in which x and the entry's first set differ, x and y can only link
 if d(x) and d(y) share about half of their shingles or more, so that the rarer half of
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelineage.llm.common import kept, map_added, slices, text_bytes
+from codelineage.llm.common import freed_shuffles, kept, map_added, slices, text_bytes
 from codelineage.llm.components import components
 from codelineage.llm.words import U, find_words, hash_words, mix, runs
 from codelineage.session import checkpointed
@@ -310,11 +310,11 @@ def meeting_differences(apart: DataFrame, rule: Rule) -> DataFrame:
 
 
 def counted(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, cells): shingles of each set per cell of the hash range, as 32-bit integers."""
+    """(doc, cells): shingles of each set per cell of the hash range, one byte each; 255 stands for more too."""
 
     def run(batches):
         for batch in slices(batches, "text"):
-            cells = [np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes() for s in shingle_sets(batch.column("text"), rule)]
+            cells = [np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS).clip(max=255).astype(np.uint8).tobytes() for s in shingle_sets(batch.column("text"), rule)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cells, pa.binary())], names=["doc", "cells"])
 
     return texts.mapInArrow(run, T.StructType([T.StructField("doc", T.LongType()), T.StructField("cells", T.BinaryType())]))
@@ -341,7 +341,7 @@ def likely_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
         held = None
         for batch in _and_end(batches):
             if batch is not None:
-                cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), "<i4").reshape(-1, CELLS)
+                cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).astype(np.int16).reshape(-1, CELLS)
                 new = [batch.column(c).to_numpy() for c in names[:4]] + [cells]
                 held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             if held is None or not len(held[0]):
@@ -443,6 +443,11 @@ def links(reps: DataFrame, member: DataFrame, twice: DataFrame, docs: DataFrame,
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
+    with freed_shuffles(df.sparkSession):
+        return _near_copies(df, key, text, rule)
+
+
+def _near_copies(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sets = checkpointed(summarize(docs, rule).select("id", F.col("n_shingles").alias("n"), "fold_a", "fold_b"))
     named = sets.where("id is not null and n > 0")

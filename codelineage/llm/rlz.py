@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelineage.llm.common import map_added, slices, text_bytes
+from codelineage.llm.common import freed_shuffles, map_added, slices, text_bytes
 from codelineage.llm.words import U, find_words, hash_words, mix, runs
 from codelineage.session import checkpointed
 
@@ -184,7 +184,9 @@ FOUND = T.StructType(
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds word counts, the kept words joined by one space, and the duplicate spans with their references."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    spans = find_spans(docs).withColumnsRenamed({"doc": "_doc", "tag": "_tag", "found": "_found"})
+    with freed_shuffles(df.sparkSession):
+        spans = find_spans(docs)
+    spans = spans.withColumnsRenamed({"doc": "_doc", "tag": "_tag", "found": "_found"})
     rows = df.withColumn("_crc", F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")) % TAG)
     joined = rows.join(spans, (F.col(key).cast("long") == F.col("_doc")) & (F.col("_crc") == F.col("_tag")), "left").drop("_doc", "_tag", "_crc")
 
