@@ -11,6 +11,8 @@ from codelineage.operators import astdelta as x
 from codelineage.operators import mining as m
 from codelineage.operators import mutation as mu
 from codelineage.plans.base import Registry
+from codelineage.session import scratch_path
+from codelineage.sources.csv_files import read_header_csv, read_taxonomy, write_topics
 from codelineage.session import checkpointed
 from codelineage.sources.tables import spread_table, table
 
@@ -383,6 +385,45 @@ def mutation_sources(spark, d):
     return spread_table(spark, d, "part").select(k.alias("source_index"), split.alias("split"), code.alias("code"))
 
 
+def reviews(spark, d):
+    """Reviewed requirement categories, one per customer."""
+    names = F.array(*[F.lit(c) for c in mu.RULES.values()], F.lit("other"))
+    segment = F.col("c_mktsegment")
+    decision = F.when(segment == "BUILDING", "accept").when(segment == "MACHINERY", "correct").otherwise("reject")
+    return table(spark, d, "customer").select(
+        F.element_at(names, (F.col("c_custkey") % 11 + 1).cast("int")).alias("author_final_category"), decision.alias("author_decision")
+    )
+
+
+@R.add(
+    "taxonomy_csv",
+    """WITH cats(c, i) AS (VALUES ('documentation_edit', 0), ('statement_removal', 1), ('literal_path_url_or_config', 2), ('return_statement_edit', 3),
+      ('condition_or_comparison_edit', 4), ('exception_handling_edit', 5), ('string_formatting_edit', 6), ('type_annotation_edit', 7), ('super_call_modernization', 8),
+      ('identifier_rename', 9), ('other', 10))
+    SELECT c AS category, count(*) AS reviewed, count(*) FILTER (WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) AS retained
+    FROM customer JOIN cats ON i = c_custkey % 11 GROUP BY 1""",
+)
+def taxonomy_csv(spark, d):
+    """The reviews written as CSV with a header and read back, checked for support of every rule."""
+    path = scratch_path(spark, "taxonomy")
+    reviews(spark, d).write.option("header", True).csv(path)
+    rows = read_taxonomy(spark, path, list(mu.RULES.values()))
+    retained = F.col("author_decision").isin("accept", "correct")
+    return rows.groupBy(F.col("author_final_category").alias("category")).agg(F.count("*").alias("reviewed"), F.count_if(retained).alias("retained"))
+
+
+@R.add(
+    "topic_csv",
+    """SELECT p_brand AS topic, count(*)::VARCHAR AS documents, string_agg(DISTINCT p_type, ' | ' ORDER BY p_type) AS words FROM part GROUP BY 1""",
+)
+def topic_csv(spark, d):
+    """A topic per brand with its part types as words, written as CSV and read back."""
+    path = scratch_path(spark, "topics")
+    words = F.array_sort(F.collect_set("p_type"))  # at most one per part type
+    write_topics(table(spark, d, "part").groupBy(F.col("p_brand").alias("topic")).agg(F.count("*").alias("documents"), words.alias("words")), path)
+    return read_header_csv(spark, path, ("topic", "documents", "words"))
+
+
 @R.add(
     "taxonomy_support",
     """WITH cats AS (SELECT unnest(['documentation_edit', 'statement_removal', 'literal_path_url_or_config', 'return_statement_edit', 'condition_or_comparison_edit',
@@ -391,12 +432,7 @@ def mutation_sources(spark, d):
 )
 def taxonomy_support(spark, d):
     """Reviewed requirement categories (from customers) that support each mutation rule."""
-    names = F.array(*[F.lit(c) for c in mu.RULES.values()], F.lit("other"))
-    segment = F.col("c_mktsegment")
-    decision = F.when(segment == "BUILDING", "accept").when(segment == "MACHINERY", "correct").otherwise("reject")
-    reviewed = table(spark, d, "customer").select(
-        F.element_at(names, (F.col("c_custkey") % 11 + 1).cast("int")).alias("author_final_category"), decision.alias("author_decision")
-    )
+    reviewed = reviews(spark, d)
     grid = mu.cohort_grid(table(spark, d, "part").select(F.col("p_partkey").alias("source_index")))
     tried = grid.groupBy("mutation_operator").agg(F.count("*").alias("attempts"))
     named = tried.withColumn("taxonomy_category", mu._from(mu.RULES, F.col("mutation_operator")))
