@@ -1,8 +1,8 @@
-"""Checks of one text per conversation against the assistant's replies.
+"""Checks of texts against the assistant's replies of their conversation.
 
-``contents(conv_id, content)`` has one row per conversation (the text being
-checked), so every comparison below is a lookup from many replies to one text
-and grows linearly with the replies; a huge conversation is split over tasks.
+``contents`` has one row per checked text: ``conv_id``, further columns of ``text_keys``
+that tell the texts of a conversation apart, and ``content``. Every reply is compared with
+every text of its conversation; a huge conversation is split over tasks.
 """
 
 from __future__ import annotations
@@ -64,11 +64,11 @@ def best_sentence(df: DataFrame, keys: list[str], content: str, text: str) -> Da
     return df.join(best, keys, "left").select(*keys, F.coalesce("b.sim", F.lit(0.0)).alias("similarity"), chosen.alias("sentence"))
 
 
-def sourced_matches(contents: DataFrame, messages: DataFrame) -> DataFrame:
+def sourced_matches(contents: DataFrame, messages: DataFrame, text_keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """Pieces more than 70 % similar to the checked text; whole replies are cut to their best sentence."""
     pairs = reply_pieces(messages).join(contents, "conv_id")
     scored = t.chat_similarity(pairs, "content", "piece", floor=SOURCED_MIN).where(F.col("similarity") > SOURCED_MIN)
-    keys = ["conv_id", "turn", "piece_no"]
+    keys = [*text_keys, "turn", "piece_no"]
     whole = scored.where(F.col("kind") == "text")
     cut = best_sentence(whole.select(*keys, "content", "piece"), keys, "content", "piece")
     portions = whole.join(cut.select(*keys, "sentence"), keys).select(*keys, "similarity", F.col("sentence").alias("portion"))
@@ -76,13 +76,14 @@ def sourced_matches(contents: DataFrame, messages: DataFrame) -> DataFrame:
     return code.unionByName(portions)
 
 
-def dedupe_matches(matches: DataFrame, keys: tuple[str, ...] = ("conv_id",), max_rounds: int = 1000) -> DataFrame:
+def dedupe_matches(matches: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """Group matches by their first representative more than 90 % similar; keep the best per group.
 
     Equal normalised portions always share a group and are merged first. Then,
     round by round, the earliest open portion of every conversation becomes a
     representative and takes the open portions similar to it. A round is one
-    aggregation and a many-to-one join, so no group is gathered in one task.
+    aggregation and a many-to-one join, so no group is gathered in one task; every round
+    takes a portion of each conversation that has one left, so the rounds end.
     """
     keys = list(keys)
     order = F.struct("turn", "piece_no")
@@ -94,7 +95,7 @@ def dedupe_matches(matches: DataFrame, keys: tuple[str, ...] = ("conv_id",), max
         .select(*keys, "first.turn", "first.piece_no", "first.portion", "best", "copies")
     )
     open_rows, done = checkpointed(merged), None
-    for _ in range(max_rounds):
+    while True:
         reps = open_rows.groupBy(*keys).agg(
             F.min(order).alias("rep"), F.min_by("portion", order).alias("rep_portion")
         )
@@ -111,17 +112,17 @@ def dedupe_matches(matches: DataFrame, keys: tuple[str, ...] = ("conv_id",), max
                 *keys, F.col("rep.turn").alias("turn"), F.col("rep.piece_no").alias("piece_no"),
                 (-F.col("best.low")).alias("similarity"), F.col("best.portion").alias("portion"), "portions",
             )
-    raise RuntimeError(f"more than {max_rounds} groups in one conversation")
 
 
-def assistant_sourced(contents: DataFrame, messages: DataFrame) -> DataFrame:
+def assistant_sourced(contents: DataFrame, messages: DataFrame, text_keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """Per checked text: overall similarity (the best group) and whether it came from the assistant."""
-    best = sourced_matches(contents, messages).groupBy("conv_id").agg(
+    keys = list(text_keys)
+    best = sourced_matches(contents, messages, text_keys).groupBy(*keys).agg(
         F.max("similarity").alias("best"), F.count("*").alias("matches")
     )
     overall = F.coalesce("best", F.lit(0.0))
-    return contents.join(best, "conv_id", "left").select(
-        "conv_id", overall.alias("overall_similarity"), (overall > SOURCED_MIN).alias("is_assistant_sourced"),
+    return contents.join(best, keys, "left").select(
+        *keys, overall.alias("overall_similarity"), (overall > SOURCED_MIN).alias("is_assistant_sourced"),
         F.coalesce("matches", F.lit(0)).alias("matches"),
     )
 
@@ -130,6 +131,7 @@ def first_appearance(
     contents: DataFrame,
     snippets: DataFrame,
     similarity: Callable[..., DataFrame] = t.chat_similarity,
+    text_keys: tuple[str, ...] = ("conv_id",),
 ) -> DataFrame:
     """Earliest snippet of the conversation more than 70 % similar to the checked text.
 
@@ -137,6 +139,6 @@ def first_appearance(
     """
     scored = similarity(snippets.join(contents, "conv_id"), "content", "code", "similarity", floor=SOURCED_MIN)
     near = scored.where(F.col("similarity") > SOURCED_MIN)
-    return near.groupBy("conv_id").agg(F.min(F.struct("turn", "snippet_no", "role")).alias("f")).select(
-        "conv_id", F.col("f.turn").alias("first_turn"), F.col("f.role").alias("first_role")
+    return near.groupBy(*text_keys).agg(F.min(F.struct("turn", "snippet_no", "role")).alias("f")).select(
+        *text_keys, F.col("f.turn").alias("first_turn"), F.col("f.role").alias("first_role")
     )

@@ -21,33 +21,36 @@ R = Registry()
 # --- chat-sourced content ------------------------------------------------------
 
 
+TEXT = ("conv_id", "block")
+
+
 def checked_texts(spark, d):
-    """The text checked in each conversation: the edited copy of its last assistant message."""
-    replies = messages(spark, d).where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("block"))
-    return code_blocks(spark, d).join(replies, ["conv_id", "block"]).select("conv_id", "content")
+    """The texts checked in each conversation: the edited copies of all its assistant messages."""
+    replies = messages(spark, d).where("role = 'assistant'").select("conv_id", F.col("turn").alias("block"))
+    return code_blocks(spark, d).join(replies, ["conv_id", "block"]).select("conv_id", "block", "content")
 
 
 @R.add("assistant_sourced")
 def assistant_sourced(spark, d):
-    out = ch.assistant_sourced(checked_texts(spark, d), messages(spark, d))
+    out = ch.assistant_sourced(checked_texts(spark, d), messages(spark, d), TEXT)
     return out.withColumn("overall_similarity", F.round("overall_similarity", 6))
 
 
 @R.add("match_dedupe")
 def match_dedupe(spark, d):
-    matches = ch.sourced_matches(checked_texts(spark, d), code_chat(spark, d))
-    return ch.dedupe_matches(matches).withColumn("similarity", F.round("similarity", 6))
+    matches = ch.sourced_matches(checked_texts(spark, d), code_chat(spark, d), TEXT)
+    return ch.dedupe_matches(matches, TEXT).withColumn("similarity", F.round("similarity", 6))
 
 
 @R.add("best_sentence")
 def best_sentence(spark, d):
     pairs = messages(spark, d).where("role = 'assistant'").join(checked_texts(spark, d), "conv_id")
-    return ch.best_sentence(pairs, ["conv_id", "turn"], "content", "text").withColumn("similarity", F.round("similarity", 6))
+    return ch.best_sentence(pairs, [*TEXT, "turn"], "content", "text").withColumn("similarity", F.round("similarity", 6))
 
 
 @R.add("first_appearance")
 def first_appearance(spark, d):
-    return ch.first_appearance(checked_texts(spark, d), sn.snippets(code_chat(spark, d)))
+    return ch.first_appearance(checked_texts(spark, d), sn.snippets(code_chat(spark, d)), text_keys=TEXT)
 
 
 # --- survey ----------------------------------------------------------------------
