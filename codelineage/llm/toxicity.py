@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from codelineage.llm.common import map_added, text_bytes
 from codelineage.llm.words import U, find_words, hash_words
 
-FIT_ROWS = 9_000
+FIT_ROWS = 8_000
+CHUNK = 300
 LEXICON_ENTRIES = 3_000
 PREFIXES = (4, 5, 6)
 MARKS = "!\"#%&'()+,-./:;<=>?[\\]^_`{|}~"
@@ -89,12 +90,11 @@ class Tokens:
         return np.bincount(self.text, values, len(self.counts))
 
 
-def _odds(hashes: np.ndarray, text: np.ndarray, toxic: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys found in ``least`` toxic texts or more whose log odds are high, with these odds, sorted by key."""
-    pairs = np.unique(np.stack([hashes, text.astype(U)], axis=1), axis=0) if len(hashes) else np.zeros((0, 2), U)
+def _odds(pairs: np.ndarray, toxic: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct (key, text) pairs: keys of ``least`` toxic texts or more with high log odds, and these odds, sorted by key."""
     keys, at = np.unique(pairs[:, 0], return_inverse=True)
-    bad = np.bincount(at, toxic[pairs[:, 1].astype(np.int64)], len(keys)) if len(keys) else np.zeros(0)
-    good = (np.bincount(at, minlength=len(keys)) if len(keys) else np.zeros(0)) - bad
+    bad = np.bincount(at, toxic[pairs[:, 1].astype(np.int64)], len(keys))
+    good = np.bincount(at, minlength=len(keys)) - bad
     n_bad, n_good = max(toxic.sum(), 1), max((1 - toxic).sum(), 1)
     weight = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
     chosen = np.flatnonzero((bad >= least) & (weight >= 2.0))
@@ -102,14 +102,20 @@ def _odds(hashes: np.ndarray, text: np.ndarray, toxic: np.ndarray, least: int) -
     return keys[chosen], weight[chosen]
 
 
+def chunks(texts: pa.Array):
+    """(number of the first text, texts) of a few texts at a time, to bound memory."""
+    return ((first, texts.slice(first, CHUNK)) for first in range(0, len(texts), CHUNK))
+
+
 def learn_lexicon(texts: pa.Array, toxic: np.ndarray) -> Lexicon:
-    tokens = Tokens(texts)
-    words = _odds(tokens.hashes, tokens.text, toxic, 4)
-    starts = {}
-    for n in PREFIXES:
-        hashes, which = tokens.beginnings(n)
-        starts[n] = _odds(hashes, tokens.text[which], toxic, 6)
-    return Lexicon(*words, starts)
+    found: dict[int, list[np.ndarray]] = {n: [np.zeros((0, 2), U)] for n in (0, *PREFIXES)}
+    for first, part in chunks(texts):
+        tokens = Tokens(part)
+        for n, distinct in found.items():
+            hashes, which = (tokens.hashes, slice(None)) if n == 0 else tokens.beginnings(n)
+            distinct.append(np.unique(np.stack([hashes, (tokens.text[which] + first).astype(U)], axis=1), axis=0))
+    words = _odds(np.concatenate(found.pop(0)), toxic, 4)
+    return Lexicon(*words, {n: _odds(np.concatenate(pairs), toxic, 6) for n, pairs in found.items()})
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
@@ -250,9 +256,10 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
         return Model(None, None, np.zeros(1), np.array([toxic.mean() if len(toxic) else 0.0]))
     of = lambda keep: (texts.filter(pa.array(keep)), toxic[keep])
     lexicon = learn_lexicon(*of(part < 2))
+    every = lambda t: np.concatenate([features(c, lexicon) for _, c in chunks(t)])
     a, b = of((part == 2) | (part == 3)), of(part == 4)
-    trees = fit_trees(features(a[0], lexicon), a[1])
-    return Model(lexicon, trees, *isotonic(trees.raw(features(b[0], lexicon)), b[1]))
+    trees = fit_trees(every(a[0]), a[1])
+    return Model(lexicon, trees, *isotonic(trees.raw(every(b[0])), b[1]))
 
 
 def held_out(key: Column) -> Column:
