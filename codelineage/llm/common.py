@@ -24,10 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A result of a few numbers per document, in the shared folder: an eighth of the usual partitions hold it."""
+def kept(df: DataFrame, share: int = 8) -> DataFrame:
+    """A result much smaller than its inputs, in the shared folder: a part of the usual partitions holds it."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpointed(df.coalesce(max(4, parts // 8)))
+    return checkpointed(df.coalesce(max(4, parts // share)))
 
 
 @contextmanager

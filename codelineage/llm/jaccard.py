@@ -310,14 +310,13 @@ def meeting_differences(apart: DataFrame, rule: Rule) -> DataFrame:
 
 
 def counted(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, cells): shingles of each set per cell of the hash range, one byte each; 255 stands for more too."""
+    """Adds ``cells``: shingles of each set per cell of the hash range, one byte each; 255 stands for more too."""
 
-    def run(batches):
-        for batch in slices(batches, "text"):
-            cells = [np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS).clip(max=255).astype(np.uint8).tobytes() for s in shingle_sets(batch.column("text"), rule)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cells, pa.binary())], names=["doc", "cells"])
+    def work(batch):
+        counts = [np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS) for s in shingle_sets(batch.column("text"), rule)]
+        return [pa.array([c.clip(max=255).astype(np.uint8).tobytes() for c in counts], pa.binary())]
 
-    return texts.mapInArrow(run, T.StructType([T.StructField("doc", T.LongType()), T.StructField("cells", T.BinaryType())]))
+    return map_added(texts, "text", T.StructType([T.StructField("cells", T.BinaryType())]), work)
 
 
 def likely_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -403,16 +402,17 @@ def links(reps: DataFrame, member: DataFrame, twice: DataFrame, docs: DataFrame,
     common = Window.partitionBy("doc", "band", "loose").orderBy(F.desc("count"), "key")
     ranked = shared.withColumn("at", F.row_number().over(common))
     found = ranked.where(F.col("loose") | (F.col("at") > spare)).select("key", "doc")
-    found = checkpointed(found.join(member.select(F.col("id").alias("doc"), "rep"), "doc").select("key", F.col("rep").alias("doc")).distinct())
-    first = found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
+    found = found.join(member.select(F.col("id").alias("doc"), "rep"), "doc").select("key", F.col("rep").alias("doc")).distinct()
+    by_key = Window.partitionBy("key")
+    found = found.withColumns({"low": F.min("doc").over(by_key), "high": F.max("doc").over(by_key)}).where("low < high").drop("high")
     sized = reps.select(F.col("id").alias("doc"), F.col("n").alias("n_doc"))
-    met = checkpointed(found.join(first, "key").join(sized, "doc"))
-    partners = checkpointed(docs.join(met.select(F.col("doc").alias("id")).distinct(), "id", "left_semi"))
+    met = kept(found.join(sized, "doc"))
+    partners = kept(docs.join(met.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").transform(counted, rule), 4)
+    cells = partners.select(F.col("id").alias("doc"), "cells").distinct()
     low = sized.select(F.col("doc").alias("low"), F.col("n_doc").alias("n_low"))
     tested = kept(_pairs(met.join(low, "low"), "doc", "low", rule))
     edges = kept(verify(tested, partners, rule))
     joined, open_, short = components(edges), met.select("key", "doc", "n_doc"), F.col("rows") <= SHORT_ENTRY
-    cells = kept(counted(partners, rule).distinct())
     while True:
         label = joined.select(F.col("node").alias("doc"), "component")
         placed = open_.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -453,9 +453,9 @@ def _near_copies(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     named = sets.where("id is not null and n > 0")
     folds = ["n", "fold_a", "fold_b"]
     first = named.groupBy(*folds).agg(F.min("id").alias("rep"))
-    member = kept(named.join(first, folds).select("id", "rep").distinct())
+    member = named.join(first, folds).select("id", "rep").distinct()
     twice = named.select("id", *folds).distinct().groupBy("id").count().where("count > 1").select("id")
-    joined = links(kept(first.select(F.col("rep").alias("id"), "n")), member, twice, docs.where("id is not null"), rule)
+    joined = links(first.select(F.col("rep").alias("id"), "n"), member, twice, docs.where("id is not null"), rule)
     # an id with several texts has several representatives: these are one node
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     shared = same.join(member.groupBy("id").count().where("count > 1").select(F.col("id").alias("a")), "a", "left_semi")
