@@ -120,11 +120,14 @@ def classification_report(
 ) -> DataFrame:
     """Accuracy, balanced accuracy, macro and weighted scores and per-class columns.
 
-    One aggregation with conditional counts per class, so a group of any size
+    Rows are first counted by truth and prediction, so a group of any size
     is reduced before the shuffle. Macro averages span the classes present in
     truth or prediction, or all of them with ``span_all``; balanced accuracy
     spans the classes present in truth. Every 0/0 is 0.
     """
+    if not extra:  # each label is worked out once per row; what follows sees a few cells per group
+        each = F.sum(weight) if weight else F.count("*")
+        df, weight = df.groupBy(*groups, "true_label", "predicted_label").agg(each.alias("_cell")), "_cell"
     t, p = F.col("true_label"), F.col("predicted_label")
     w = F.col(weight) if weight else F.lit(1)
     count = lambda cond: F.coalesce(F.sum(F.when(cond, w)), F.lit(0))
