@@ -73,7 +73,7 @@ def functions(spark, d):
 )
 def ast_changed(spark, d):
     t = triples(spark, d)
-    return t.select("id", (pycode.parse_info(F.col("old"))["fingerprint"] != pycode.parse_info(F.col("llm"))["fingerprint"]).alias("changed"))
+    return t.select("id", (pycode.tree_fingerprint(F.col("old")) != pycode.tree_fingerprint(F.col("llm"))).alias("changed"))
 
 
 # The generated one-liner has ten nodes: (type, parent, field, path, statement, detail).
