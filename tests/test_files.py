@@ -100,15 +100,16 @@ def test_line_delta_counts_copies(spark):
     assert f.line_delta(df, "id", "old", "new").first().delta == "- a\n+ c\n+ "
 
 
-def test_commit_log_slices_and_flaws(spark):
+def test_commit_log_is_one_document_and_keeps_flaws(spark):
     rows = [("c1", f"f{i}.py", "fn", 0, 4, "MIXED", 0.5, "why", None, None, 0) for i in range(5)]
     schema = "commit string, file_path string, function_name string, start_line int, end_line int, label string, confidence double, reason string, first_turn bigint, first_role string, n_matches bigint"
     df = spark.createDataFrame(rows, schema)
-    logs = reports.commit_log(df, slice_rows=2).collect()
-    entries = [json.loads(e) for r in logs for e in r.attributions]
+    logs = sorted(reports.commit_log(df).collect(), key=lambda r: r.line_no)
+    assert [r.line_no for r in logs] == list(range(6))
+    entries = [json.loads(r.line) for r in logs[1:]]
     assert len(entries) == 5 and {e["commitHash"] for e in entries} == {f"f{i}.py" for i in range(5)}
     assert {e["commit"] for e in entries} == {"c1"} and {e["firstMatchSource"] for e in entries} == {"not_found"}
-    head = json.loads(logs[0].head)
+    head = json.loads(logs[0].line)
     assert head["statistics"]["total_new_lines"] == 20 and head["statistics"]["total_new_lines_inclusive"] == 25
     assert head["statistics"]["mixed"] == 5 and head["statistics"]["uncertain"] == 0
 
