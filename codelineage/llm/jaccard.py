@@ -310,13 +310,31 @@ def meeting_differences(apart: DataFrame, rule: Rule) -> DataFrame:
 
 
 def counted(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Adds ``cells``: shingles of each set per cell of the hash range, one byte each; 255 stands for more too."""
+    """Adds the size ``n`` of each set and ``cells``, its shingles per cell of the hash range: one byte each, 255 stands for more too."""
 
     def work(batch):
         counts = [np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS) for s in shingle_sets(batch.column("text"), rule)]
-        return [pa.array([c.clip(max=255).astype(np.uint8).tobytes() for c in counts], pa.binary())]
+        return [pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([c.clip(max=255).astype(np.uint8).tobytes() for c in counts], pa.binary())]
 
-    return map_added(texts, "text", T.StructType([T.StructField("cells", T.BinaryType())]), work)
+    return map_added(texts, "text", T.StructType([T.StructField("n", T.LongType()), T.StructField("cells", T.BinaryType())]), work)
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).astype(np.int16).reshape(-1, CELLS)
+
+
+def not_apart(pairs: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose counts per cell do not already differ by too much; texts are fetched for these only."""
+    of = lambda x: cells.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"))
+
+    def run(batches):
+        for batch in batches:
+            apart = np.abs(unpacked(batch.column("cells_a")) - unpacked(batch.column("cells_b"))).sum(axis=1, dtype=np.int64)
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            may = pa.array((rule.den + rule.num) * apart <= (rule.den - rule.num) * total)
+            yield batch.select(["a", "b"]).filter(may)
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, PAIR)
 
 
 def likely_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -340,7 +358,7 @@ def likely_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
         held = None
         for batch in _and_end(batches):
             if batch is not None:
-                cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).astype(np.int16).reshape(-1, CELLS)
+                cells = unpacked(batch.column("cells"))
                 new = [batch.column(c).to_numpy() for c in names[:4]] + [cells]
                 held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             if held is None or not len(held[0]):
@@ -408,17 +426,17 @@ def links(reps: DataFrame, member: DataFrame, twice: DataFrame, docs: DataFrame,
     sized = reps.select(F.col("id").alias("doc"), F.col("n").alias("n_doc"))
     met = kept(found.join(sized, "doc"))
     partners = kept(docs.join(met.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").transform(counted, rule), 4)
-    cells = partners.select(F.col("id").alias("doc"), "cells").distinct()
+    cells = partners.select(F.col("id").alias("doc"), "n", "cells").distinct()
     low = sized.select(F.col("doc").alias("low"), F.col("n_doc").alias("n_low"))
     tested = kept(_pairs(met.join(low, "low"), "doc", "low", rule))
-    edges = kept(verify(tested, partners, rule))
+    edges = kept(verify(not_apart(tested, cells, rule).distinct(), partners, rule))
     joined, open_, short = components(edges), met.select("key", "doc", "n_doc"), F.col("rows") <= SHORT_ENTRY
     while True:
         label = joined.select(F.col("node").alias("doc"), "component")
         placed = open_.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         entries = placed.groupBy("key").agg(F.count("*").alias("rows"), F.min("doc").alias("low"), F.min("component").alias("c0"), F.max("component").alias("c1"))
         rest = kept(placed.join(entries.where("c0 < c1").select("key", "rows", "low"), "key"))
-        new = likely_pairs(rest.where(short).join(cells, "doc"), rule)
+        new = likely_pairs(rest.where(short).join(cells.select("doc", "cells"), "doc"), rule)
         long = rest.where(~short)
         more = not long.isEmpty()
         if more:
@@ -427,7 +445,7 @@ def links(reps: DataFrame, member: DataFrame, twice: DataFrame, docs: DataFrame,
             near = apart.where("a <> b and not far").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             edges = edges.unionByName(near)
         new = kept(new.join(tested, ["a", "b"], "left_anti"))
-        edges = kept(edges.unionByName(verify(new, partners, rule)))
+        edges = kept(edges.unionByName(verify(not_apart(new, cells, rule).distinct() if more else new, partners, rule)))
         joined = components(edges)
         if not more:
             return joined
