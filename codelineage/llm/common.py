@@ -17,7 +17,7 @@ from codelineage.session import checkpointed
 BREAKS = " \t\n\x0b\x0c\r"
 BREAK_PATTERN = r"[\x20\x09-\x0D]+"
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,17 +32,23 @@ def kept(df: DataFrame, share: int = 8) -> DataFrame:
 
 @contextmanager
 def freed_shuffles(spark: SparkSession):
-    """Queries built inside drop their shuffle files when they end; what later steps need is checkpointed or written.
+    """Queries built and run inside drop their shuffle files when they end, and pass rows to Python in small batches.
 
-    A lost file is made again from the lineage. Sessions that do not know the setting ignore it.
+    What later steps need is checkpointed or written; a lost file is made again from the
+    lineage. Sessions that do not know a setting ignore it.
     """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    wanted = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -36,6 +36,7 @@ from codelineage.session import checkpointed
 WINDOW = 13
 RUN = 4
 TAG = 1 << 24
+BLOCK_BYTES = 2 << 20
 
 
 def batch_words(column: pa.Array):
@@ -79,7 +80,7 @@ def index_phrases(docs: DataFrame) -> DataFrame:
     """Every phrase of (id, text); ``ref`` is a smaller document of the same batch with the phrase, if there is one."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BLOCK_BYTES):
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             _, _, _, _, first, hashes = batch_words(batch.column("text"))
             text, start, count, anchor, content = phrases(hashes, first)
