@@ -46,7 +46,7 @@ from codelineage.session import checkpointed
 BAND_GROWTH = 1.4
 PAIR_COST = 6.0
 SHORT_ENTRY = 256
-CELLS = 64
+CELLS, FINE = 64, 256
 MET_SETS = 200_000
 COMMON_SETS, COMMON_SHARE = 0.1, 0.5  # the cost model's picture: a tenth of the sets, half filled by the same passages
 SPARES = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
@@ -310,31 +310,34 @@ def meeting_differences(apart: DataFrame, rule: Rule) -> DataFrame:
 
 
 def counted(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Adds the size ``n`` of each set and ``cells``, its shingles per cell of the hash range: one byte each, 255 stands for more too."""
+    """Adds the size ``n`` of each set, and its shingles per cell of the hash range in ``cells`` and ``fine`` cells:
+    one byte each, 255 stands for more too."""
+    added = T.StructType([T.StructField("n", T.LongType()), T.StructField("cells", T.BinaryType()), T.StructField("fine", T.BinaryType())])
+    packed = lambda counts: pa.array([c.clip(max=255).astype(np.uint8).tobytes() for c in counts], pa.binary())
 
     def work(batch):
-        counts = [np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS) for s in shingle_sets(batch.column("text"), rule)]
-        return [pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([c.clip(max=255).astype(np.uint8).tobytes() for c in counts], pa.binary())]
+        fine = [np.bincount((s >> U(56)).astype(np.int64), minlength=FINE) for s in shingle_sets(batch.column("text"), rule)]
+        return [pa.array([int(c.sum()) for c in fine], pa.int64()), packed([c.reshape(CELLS, -1).sum(axis=1) for c in fine]), packed(fine)]
 
-    return map_added(texts, "text", T.StructType([T.StructField("n", T.LongType()), T.StructField("cells", T.BinaryType())]), work)
+    return map_added(texts, "text", added, work)
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).astype(np.int16).reshape(-1, CELLS)
+def unpacked(column: pa.Array, cells: int = CELLS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).astype(np.int16).reshape(-1, cells)
 
 
 def not_apart(pairs: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose counts per cell do not already differ by too much; texts are fetched for these only."""
-    of = lambda x: cells.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"))
+    of = lambda x: cells.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}"))
 
     def run(batches):
         for batch in batches:
-            apart = np.abs(unpacked(batch.column("cells_a")) - unpacked(batch.column("cells_b"))).sum(axis=1, dtype=np.int64)
+            apart = np.abs(unpacked(batch.column("fine_a"), FINE) - unpacked(batch.column("fine_b"), FINE)).sum(axis=1, dtype=np.int64)
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             may = pa.array((rule.den + rule.num) * apart <= (rule.den - rule.num) * total)
             yield batch.select(["a", "b"]).filter(may)
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, PAIR)
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, PAIR)
 
 
 def likely_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -426,7 +429,7 @@ def links(reps: DataFrame, member: DataFrame, twice: DataFrame, docs: DataFrame,
     sized = reps.select(F.col("id").alias("doc"), F.col("n").alias("n_doc"))
     met = kept(found.join(sized, "doc"))
     partners = kept(docs.join(met.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").transform(counted, rule), 4)
-    cells = partners.select(F.col("id").alias("doc"), "n", "cells").distinct()
+    cells = partners.select(F.col("id").alias("doc"), "n", "cells", "fine").distinct()
     low = sized.select(F.col("doc").alias("low"), F.col("n_doc").alias("n_low"))
     tested = kept(_pairs(met.join(low, "low"), "doc", "low", rule))
     edges = kept(verify(not_apart(tested, cells, rule).distinct(), partners, rule))
@@ -445,7 +448,7 @@ def links(reps: DataFrame, member: DataFrame, twice: DataFrame, docs: DataFrame,
             near = apart.where("a <> b and not far").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             edges = edges.unionByName(near)
         new = kept(new.join(tested, ["a", "b"], "left_anti"))
-        edges = kept(edges.unionByName(verify(not_apart(new, cells, rule).distinct() if more else new, partners, rule)))
+        edges = kept(edges.unionByName(verify(not_apart(new, cells, rule).distinct(), partners, rule)))
         joined = components(edges)
         if not more:
             return joined
