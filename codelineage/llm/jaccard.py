@@ -46,7 +46,7 @@ from codelineage.session import checkpointed
 BAND_GROWTH = 1.4
 PAIR_COST = 6.0
 SHORT_ENTRY = 256
-CELLS, FINE = 64, 256
+CELLS = 64
 MET_SETS = 200_000
 COMMON_SETS, COMMON_SHARE = 0.1, 0.5  # the cost model's picture: a tenth of the sets, half filled by the same passages
 SPARES = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
@@ -311,19 +311,31 @@ def meeting_differences(apart: DataFrame, rule: Rule) -> DataFrame:
 
 def counted(texts: DataFrame, rule: Rule) -> DataFrame:
     """Adds the size ``n`` of each set, and its shingles per cell of the hash range in ``cells`` and ``fine`` cells:
-    one byte each, 255 stands for more too."""
+    one byte each, 255 stands for more too. There are a few shingles to a fine cell."""
     added = T.StructType([T.StructField("n", T.LongType()), T.StructField("cells", T.BinaryType()), T.StructField("fine", T.BinaryType())])
     packed = lambda counts: pa.array([c.clip(max=255).astype(np.uint8).tobytes() for c in counts], pa.binary())
 
     def work(batch):
-        fine = [np.bincount((s >> U(56)).astype(np.int64), minlength=FINE) for s in shingle_sets(batch.column("text"), rule)]
+        fine = []
+        for s in shingle_sets(batch.column("text"), rule):
+            bits = min(15, max(8, (len(s) // 4).bit_length()))
+            fine.append(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits))
         return [pa.array([int(c.sum()) for c in fine], pa.int64()), packed([c.reshape(CELLS, -1).sum(axis=1) for c in fine]), packed(fine)]
 
     return map_added(texts, "text", added, work)
 
 
-def unpacked(column: pa.Array, cells: int = CELLS) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).astype(np.int16).reshape(-1, cells)
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).astype(np.int16).reshape(-1, CELLS)
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """What two sets differ by at least, from their counts per fine cell; the finer ones are added up first."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (x, y))
+    if a.max() == 255 or b.max() == 255:
+        return 0
+    cells = min(len(a), len(b))
+    return int(np.abs(a.reshape(cells, -1).sum(axis=1) - b.reshape(cells, -1).sum(axis=1)).sum())
 
 
 def not_apart(pairs: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
@@ -332,7 +344,8 @@ def not_apart(pairs: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            apart = np.abs(unpacked(batch.column("fine_a"), FINE) - unpacked(batch.column("fine_b"), FINE)).sum(axis=1, dtype=np.int64)
+            both = zip(batch.column("fine_a").to_pylist(), batch.column("fine_b").to_pylist())
+            apart = np.array([least_difference(x, y) for x, y in both], np.int64)
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             may = pa.array((rule.den + rule.num) * apart <= (rule.den - rule.num) * total)
             yield batch.select(["a", "b"]).filter(may)
