@@ -257,33 +257,35 @@ def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 DIFFERENCE = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("a", "b", "n_a", "n_b", "differ")]
+    [T.StructField(n, T.LongType()) for n in ("a", "b", "n_a", "n_b", "set_a", "set_b", "differ")]
     + [T.StructField("far", T.BooleanType()), T.StructField("shingles", T.ArrayType(T.LongType()))]
 )
 
 
 def differences(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """For each pair the number of shingles only one of both has, and these shingles while a link of ``b`` with
-    a set near ``a`` is possible: up to three times what may differ in any link of ``b``."""
+    """For each pair of sets of ``a`` and ``b`` the number of shingles only one of both has, and these shingles while a
+    link of ``b`` with a set near ``a`` is possible: up to three times what may differ in any link of ``b``. ``set_a`` and
+    ``set_b`` tell the sets of one id apart."""
 
     def run(batches):
-        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
+        kinds = [pa.int64()] * 7 + [pa.bool_(), pa.list_(pa.int64())]
+        fold = lambda x: int(mix(x, 21).sum(dtype=U).astype(np.int64))
         for rows in _compared(batches, rule):
             out = []
             for a, b, mine, other in rows:
                 only = np.setxor1d(mine, other, assume_unique=True)
                 common = (len(mine) + len(other) - len(only)) // 2
                 close = rule.num * len(only) <= 3 * (rule.den - rule.num) * len(other)
-                out.append((a, b, len(mine), len(other), len(only), not _links(common, len(mine), len(other), rule), signed(only) if close else None))
+                out.append((a, b, len(mine), len(other), fold(mine), fold(other), len(only), not _links(common, len(mine), len(other), rule), signed(only) if close else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[f.name for f in DIFFERENCE])
 
     return _with_texts(pairs, texts).mapInArrow(run, DIFFERENCE)
 
 
 def meeting_differences(apart: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, n_doc, other, n_other) of all pairs that may link among the sets ``b`` compared with one ``a``.
+    """(doc, n_doc, other, n_other) of all pairs that may link among the sets ``b`` compared with one set of ``a``.
 
-    ``apart`` are rows of ``differences`` that carry their shingles. Two sets near ``a`` are in
+    ``apart`` are rows of ``differences`` that carry their shingles, one for each two sets. Two sets near ``a`` are in
     its component already, so one of a pair, x, is far. With at most q (n_x + n_y) shingles in
     a difference of linked sets, and more than q (n_x + n_a) between x and a, the differences of
     x and y share more than half of d(y) + q (n_a - n_y): one of the rarest others of d(y) is
@@ -292,19 +294,20 @@ def meeting_differences(apart: DataFrame, rule: Rule) -> DataFrame:
     the y with the largest q n_y - d(y) links with x if any does.
     """
     q = F.lit(float(rule.den - rule.num)) / F.lit(float(rule.den + rule.num))
-    each = apart.select("a", "b", "n_a", "n_b", "differ", "far", F.explode("shingles").alias("s"))
-    each = each.withColumn("held", F.count("*").over(Window.partitionBy("a", "s")))
-    each = each.withColumn("nth", F.row_number().over(Window.partitionBy("a", "b").orderBy("held", "s")))
+    first_set, second_set = ["a", "n_a", "set_a"], ["b", "n_b", "set_b"]
+    each = apart.select(*first_set, *second_set, "differ", "far", F.explode("shingles").alias("s"))
+    each = each.withColumn("held", F.count("*").over(Window.partitionBy(*first_set, "s")))
+    each = each.withColumn("nth", F.row_number().over(Window.partitionBy(*first_set, *second_set).orderBy("held", "s")))
     need = F.greatest(F.lit(1.0), F.ceil((F.col("differ") + q * (F.col("n_a") - F.col("n_b"))) / 2))
     rare = each.where((F.col("held") > 1) & (F.col("nth") <= F.col("differ") - need + 1))
     full = each.where("held > 1 and far")
-    side = lambda df, x: df.select("a", "s", F.col("b").alias(x), *[F.col(c).alias(f"{n}_{x}") for c, n in (("n_b", "n"), ("differ", "d"), ("nth", "nth"))])
+    side = lambda df, x: df.select(*first_set, "s", F.col("b").alias(x), *[F.col(c).alias(f"{n}_{x}") for c, n in (("n_b", "n"), ("differ", "d"), ("nth", "nth"))])
     shared = F.greatest(F.lit(1.0), F.ceil((F.col("d_doc") + F.col("d_other") - q * (F.col("n_doc") + F.col("n_other"))) / 2))
     first = (F.col("nth_doc") <= F.col("d_doc") - shared + 1) & (F.col("nth_other") <= F.col("d_other") - shared + 1)
-    sharing = side(rare, "doc").join(side(full, "other"), ["a", "s"]).where((F.col("doc") != F.col("other")) & first)
+    sharing = side(rare, "doc").join(side(full, "other"), [*first_set, "s"]).where((F.col("doc") != F.col("other")) & first)
     gain = q * F.col("n_b") - F.col("differ")
-    best = apart.where("not far").groupBy("a").agg(F.max(F.struct(gain.alias("gain"), F.col("b").alias("other"), F.col("n_b").alias("n_other"))).alias("y"))
-    sure = apart.where("far").join(best, "a").where(F.col("y.gain") + gain >= -1e-6)
+    best = apart.where("not far").groupBy(*first_set).agg(F.max(F.struct(gain.alias("gain"), F.col("b").alias("other"), F.col("n_b").alias("n_other"))).alias("y"))
+    sure = apart.where("far").join(best, first_set).where(F.col("y.gain") + gain >= -1e-6)
     columns = ["doc", "n_doc", "other", "n_other"]
     return sharing.select(*columns).distinct().unionByName(sure.select(F.col("b").alias("doc"), F.col("n_b").alias("n_doc"), "y.other", "y.n_other"))
 
@@ -405,10 +408,18 @@ def _pairs(rows: DataFrame, x: str, y: str, rule: Rule) -> DataFrame:
     return fits.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def links(reps: DataFrame, member: DataFrame, twice: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+def one_row_a_set(texts: DataFrame, repeated: DataFrame, rule: Rule) -> DataFrame:
+    """(id, text) with one text for each set of the ids in ``repeated``; the rows of other ids as they are."""
+    if repeated.isEmpty():
+        return texts
+    several = summarize(texts.join(repeated, "id", "left_semi"), rule).dropDuplicates(["id", "n_shingles", "fold_a", "fold_b"])
+    return texts.join(repeated, "id", "left_anti").unionByName(several.select("id", "text"))
+
+
+def links(reps: DataFrame, member: DataFrame, repeated: DataFrame, twice: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """(node, component) of the representatives (id, n) that link with another one.
 
-    ``member`` has the representatives ``rep`` of each ``id``, ``twice`` the ids with several sets.
+    ``member`` has the representatives ``rep`` of each ``id``, ``repeated`` the ids with several rows, ``twice`` those with several sets.
     """
     spark = reps.sparkSession
     largest = reps.agg(F.max("n")).first()[0] or 0
@@ -441,7 +452,8 @@ def links(reps: DataFrame, member: DataFrame, twice: DataFrame, docs: DataFrame,
     found = found.withColumns({"low": F.min("doc").over(by_key), "high": F.max("doc").over(by_key)}).where("low < high").drop("high")
     sized = reps.select(F.col("id").alias("doc"), F.col("n").alias("n_doc"))
     met = kept(found.join(sized, "doc"))
-    partners = kept(docs.join(met.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").transform(counted, rule), 4)
+    texts = docs.join(met.select(F.col("doc").alias("id")).distinct(), "id", "left_semi")
+    partners = kept(one_row_a_set(texts, repeated, rule).transform(counted, rule), 4)
     cells = partners.select(F.col("id").alias("doc"), "n", "cells", "fine").distinct()
     low = sized.select(F.col("doc").alias("low"), F.col("n_doc").alias("n_low"))
     tested = kept(_pairs(met.join(low, "low"), "doc", "low", rule))
@@ -489,7 +501,8 @@ def _near_copies(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     first = named.groupBy(*folds).agg(F.min("id").alias("rep"))
     member = named.join(first, folds).select("id", "rep").distinct()
     twice = named.select("id", *folds).distinct().groupBy("id").count().where("count > 1").select("id")
-    joined = links(first.select(F.col("rep").alias("id"), "n"), member, twice, docs.where("id is not null"), rule)
+    repeated = named.groupBy("id").count().where("count > 1").select("id")
+    joined = links(first.select(F.col("rep").alias("id"), "n"), member, repeated, twice, docs.where("id is not null"), rule)
     # an id with several texts has several representatives: these are one node
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     shared = same.join(member.groupBy("id").count().where("count > 1").select(F.col("id").alias("a")), "a", "left_semi")

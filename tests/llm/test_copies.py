@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import AWKWARD, classes, near_copy_rows, sentence, without_repeats
+from pyspark.sql import functions as F
 
 from codelineage.llm import jaccard, rlz
 
@@ -69,6 +70,30 @@ def test_a_family_around_the_limit(spark, monkeypatch, short):
     assert got == classes(rows) and 3 < len({c for *_, c in got}) < 150
 
 
+@pytest.mark.parametrize("extra", ["rows", "capitals", "texts"])
+def test_a_long_entry_with_repeated_ids(spark, monkeypatch, extra):
+    """All sets in one entry only, and rows that repeat an id with its text, its words or another text: no link is lost."""
+    one_entry = lambda docs, schemes, rule: docs.select(F.lit(128 + schemes[-1].band).cast("long").alias("key"), F.col("id").alias("doc")).distinct()
+    monkeypatch.setattr(jaccard, "SHORT_ENTRY", 8)
+    monkeypatch.setattr(jaccard, "index_entries", one_entry)
+    rng = random.Random(26)
+    base = sentence(rng, 90, 4000).split()
+
+    def edited(places):
+        return " ".join(f"x{places[0]}_{i}" if i in places else w for i, w in enumerate(base))
+
+    rows = [(0, " ".join(base))]
+    for i in range(30):
+        at = rng.sample(range(5, 85, 5), 3)
+        rows += [(10 + 2 * i, edited(at[:2])), (11 + 2 * i, edited(at))]
+    more = {"rows": rows[:1] * 3 + rows[10:20], "capitals": [(i, t.upper()) for i, t in rows[:1] + rows[10:20]], "texts": [(0, edited([7, 47])), (15, edited([8, 48]))]}
+    rows += more[extra]
+    rng.shuffle(rows)
+    got = jaccard.near_copies(frame(spark, rows)).collect()
+    assert {tuple(r) for r in got} == classes(rows) and len(got) == len(rows)
+    assert 10 < len({r["component_id"] for r in got}) < 40
+
+
 def test_linked_sets_share_an_index_entry_after_the_common_ones_are_left_out():
     """The allowances of every scheme suffice, whatever counts the entries have."""
     rng = np.random.default_rng(9)
