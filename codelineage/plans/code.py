@@ -454,8 +454,18 @@ def mutations(spark, d):
     FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 97 <> 1""",
 )
 def literal_mutations(spark, d):
-    out = mu.mutate(mutation_sources(spark, d).where("source_index % 4 <> 0"))
-    return out.where("status = 'valid' AND mutation_operator = 'replace_literal_value'").select(
+    """The sources whose pick SQL can tell; ``literal_mutations_all`` has every source."""
+    return _literal_edits(mutation_sources(spark, d).where("source_index % 4 <> 0"))
+
+
+@R.add("literal_mutations_all")
+def literal_mutations_all(spark, d):
+    """Rich functions too: they have two literals, and the seeded generator picks one."""
+    return _literal_edits(mutation_sources(spark, d))
+
+
+def _literal_edits(sources):
+    return mu.mutate(sources).where("status = 'valid' AND mutation_operator = 'replace_literal_value'").select(
         "source_index", "old_fragment", "new_fragment", "expected_mutated_function", "requirement"
     )
 

@@ -1,6 +1,9 @@
 """Parsing, features, edit scripts, mutations and mining."""
 
 import ast
+import hashlib
+import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -204,6 +207,26 @@ def test_mutation_is_the_same_on_any_partitioning(spark):
     assert pick(df.repartition(1)) == pick(df.repartition(5))
 
 
+def test_literal_edits_of_every_source(spark):
+    """Rich functions hold two literals: the generator seeded by rule and source picks one."""
+    from codelineage.plans.code import literal_mutations_all, mutation_sources
+
+    sf = "/root/testdata/sf0.001"
+    want, rich = {}, Counter()
+    for r in mutation_sources(spark, sf).collect():
+        if "(:" in r.code:
+            continue
+        lines = [line for line in r.code.splitlines() if "value + " in line or "x + " in line or "total < " in line]
+        seed = hashlib.sha256(f"fusion-guided-v1\0replace_literal_value\0{r.code}".encode()).digest()[:8]
+        line = random.Random(int.from_bytes(seed, "big")).choice(lines)
+        old = re.search(r"\d+", line)[0]
+        changed = r.code.replace(line, line.replace(old, str(int(old) + 1)))
+        want[r.source_index] = old, str(int(old) + 1), ast.unparse(ast.parse(changed)).strip() + "\n"
+        rich[r.source_index % 4 == 0, "total" in line and "<" in line] += 1
+    got = {r[0]: (r[1], r[2], r[3]) for r in literal_mutations_all(spark, sf).collect()}
+    assert got == want and min(rich[True, True], rich[True, False]) > 0
+
+
 def test_quota_and_shortfall(spark):
     rows = [(i, "train" if i < 8 else "test", "def f(a):\n    return a\n") for i in range(10)]
     att = mu.mutate(spark.createDataFrame(rows, "source_index int, split string, code string"))
