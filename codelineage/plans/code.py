@@ -253,6 +253,29 @@ def repo_rules(spark, d):
     return m.repo_rules(repos(spark, d)).select("repo", "stars")
 
 
+def all_repos(spark, d):
+    """A repository per ten customers, as in ``files``, with attributes from all of them."""
+    k = F.col("c_custkey")
+    late = F.count_if(k % 170 == 6) > 0
+    return table(spark, d, "customer").groupBy(F.floor(k / 10).alias("n")).agg(
+        (F.sum("c_nationkey") * 10).alias("stars"),
+        F.when(F.count_if(F.col("c_mktsegment") == "BUILDING") < 4, "Python").otherwise("Go").alias("language"),
+        (F.count_if(k % 70 == 3) > 0).alias("private"), (F.count_if(k % 110 == 4) > 0).alias("archived"),
+        F.when(F.count_if(k % 130 == 5) > 0, True).alias("fork"),
+        F.when(late, F.lit("2023-01-01 00:00:00")).otherwise(F.lit("2022-12-31 23:59:59")).cast("timestamp").alias("created_at"),
+    ).withColumn("repo", F.concat(F.lit("repo_"), F.col("n"))).drop("n")
+
+
+ALL_REPOS = """repos AS (SELECT 'repo_' || (c_custkey // 10) AS repo, CAST(sum(c_nationkey) * 10 AS BIGINT) AS stars, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building,
+    count(*) FILTER (WHERE c_custkey % 70 = 3 OR c_custkey % 110 = 4 OR c_custkey % 130 = 5 OR c_custkey % 170 = 6) AS out FROM customer GROUP BY 1),
+  good AS (SELECT * FROM repos WHERE building < 4 AND out = 0)"""
+
+
+@R.add("all_repo_rules", f"WITH {ALL_REPOS} SELECT repo, stars FROM good")
+def all_repo_rules(spark, d):
+    return m.repo_rules(all_repos(spark, d)).select("repo", "stars")
+
+
 def files(spark, d):
     """Ten files per repository; a README now and then."""
     k = F.col("c_custkey")
@@ -348,15 +371,36 @@ def repo_rank(spark, d):
     return m.repo_rank(m.repo_rules(repos(spark, d)), _valid(spark, d)[1]).select("repo", "stars", "rank")
 
 
+ALL_VALID = VALID.replace(REPOS, ALL_REPOS)
+
+
+@R.add("all_repo_rank", f"WITH {ALL_VALID} SELECT repo, stars, rank FROM ranked_repos WHERE rank <= 1000")
+def all_repo_rank(spark, d):
+    return m.repo_rank(m.repo_rules(all_repos(spark, d)), _valid(spark, d)[1]).select("repo", "stars", "rank")
+
+
 @R.add(
     "function_ids",
     f"""WITH {VALID} SELECT 'function_' || row_number() OVER (ORDER BY rank, tree_pos) AS id, v.repo, path, rank FROM valid v JOIN ranked_repos r ON v.repo = r.repo""",
 )
 def function_ids(spark, d):
+    return _function_ids(spark, d, repos(spark, d))
+
+
+@R.add(
+    "all_function_ids",
+    f"""WITH {ALL_VALID} SELECT 'function_' || row_number() OVER (ORDER BY rank, tree_pos) AS id, v.repo, path, rank
+    FROM valid v JOIN ranked_repos r ON v.repo = r.repo WHERE rank <= 1000""",
+)
+def all_function_ids(spark, d):
+    return _function_ids(spark, d, all_repos(spark, d))
+
+
+def _function_ids(spark, d, listed):
     # The mined functions feed three branches: keep them instead of parsing again.
     funcs = checkpointed(changes(spark, d))
     valid = m.valid_files_cap(m.changed_files(funcs), m.file_cap(files(spark, d)))
-    ranked = m.repo_rank(m.repo_rules(repos(spark, d)), valid)
+    ranked = m.repo_rank(m.repo_rules(listed), valid)
     return m.function_ids(ranked, valid, funcs).select("id", "repo", "path", "rank")
 
 

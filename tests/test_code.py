@@ -289,3 +289,13 @@ def test_repo_rules(spark):
     rows = [("ok", *ok), ("go", "Go", *ok[1:]), ("private", "Python", True, *ok[2:]), ("late", *ok[:4], "2023-01-01 00:00:00"), ("fork", "Python", False, False, True, ok[4]), ("nulls", "Python", None, None, None, ok[4]), ("undated", *ok[:4], None)]
     df = spark.createDataFrame(rows, "repo string, language string, private boolean, archived boolean, fork boolean, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
     assert {r.repo for r in m.repo_rules(df).collect()} == {"ok", "nulls"}
+
+
+def test_every_customer_counts_for_its_repository(spark, tmp_path):
+    from codelineage.plans.code import all_repo_rules
+
+    rows = [(k, 1, "BUILDING" if 30 <= k < 34 else "MACHINERY") for k in range(1, 50) if k != 20]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.repo: r.stars for r in all_repo_rules(spark, str(tmp_path)).collect()}
+    # 3, 4, 5 and 6 shut out the first, the building customers the fourth; 20 is missing
+    assert got == {"repo_1": 100, "repo_2": 90, "repo_4": 100}
