@@ -1,4 +1,4 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Removal of repeated passages by window lookups in indexed reference blocks, in place of a relative Lempel-Ziv parse.
 
 The references of a document are all documents with a smaller id. Their windows of 13
 words are indexed by anchors: the anchor of a window is its lowest-hashed run of four words, so
@@ -9,6 +9,11 @@ where two documents share an anchor but not the phrase, a factor begins or ends
 windows are looked up one by one. Greedy parsing then joins windows in a row with the same
 reference into factors, and every factor, 13 words or longer, is a duplicate span.
 
+The parse does not decide what goes: lookups of windows and phrases do, and factors only name
+the spans. A word is in a factor of 13 words or more exactly if one of the windows over it is in a
+smaller document. A greedy parse, whose factors do not overlap, would leave the end of a match that
+begins inside another factor.
+
 Windows are compared by 64-bit hashes. Only equality with some smaller document matters, so
 that phrases repeated within a batch are resolved before anything is shuffled: a
 passage that very many documents share reaches its block once per batch.
