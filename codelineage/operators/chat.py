@@ -18,6 +18,8 @@ from codelineage.session import checkpointed
 
 SOURCED_MIN = 0.7
 SAME_GROUP_MIN = 0.9
+# Fixed value: characters of a sentence that the reference shows.
+LONGEST_SENTENCE = 300
 # Fixed value: fenced code as the chat view reads it (a line break after the language).
 CHAT_FENCE = r"(?s)```(\w+)?\n(.*?)```"
 
@@ -43,8 +45,8 @@ def reply_pieces(messages: DataFrame) -> DataFrame:
     )
 
 
-def best_sentence(df: DataFrame, keys: list[str], content: str, text: str) -> DataFrame:
-    """Sentence of ``text`` most similar to ``content``, at most 300 characters."""
+def best_sentence(df: DataFrame, keys: list[str], content: str, text: str, longest: int | None = None) -> DataFrame:
+    """Sentence of ``text`` most similar to ``content``, whole or its first ``longest`` characters."""
     c, x = F.col(content), F.col(text)
     sentences = F.filter(F.split(x, r"[.!?\n]+"), lambda s: F.length(t.js_trim(s)) > 10)
     each = df.select(*keys, content, F.posexplode_outer(sentences).alias("pos", "s")).where(F.col("pos").isNotNull())
@@ -52,7 +54,7 @@ def best_sentence(df: DataFrame, keys: list[str], content: str, text: str) -> Da
         *keys, (-F.col("pos")).alias("early"), t.js_trim(F.col("s")).alias("s"), "sim"
     )
     best = scored.where(F.col("sim") > 0).groupBy(*keys).agg(F.max(F.struct("sim", "early", "s")).alias("b"))
-    cut = lambda v: F.concat(F.left(v, F.lit(300)), F.lit("..."))
+    cut = lambda v: v if longest is None else F.concat(F.left(v, F.lit(longest)), F.lit("..."))
     # Nothing similar: the place of the content inside the text, else its beginning.
     at = F.position(t.norm_line(c), t.norm_line(x))
     prefix = F.call_function("regexp_extract", x, F.concat(F.lit(r"(?s)^(?:\s*\S){"), (at - 1).cast("string"), F.lit("}")), F.lit(0))
@@ -60,17 +62,18 @@ def best_sentence(df: DataFrame, keys: list[str], content: str, text: str) -> Da
     inside = F.concat(F.substr(x, begin + 1, F.length(c) + 50), F.lit("..."))
     fallback = F.when(at > 0, inside).otherwise(cut(x))
     s = F.col("b.s")
-    chosen = F.when(s.isNull() | (F.length(s) == 0), fallback).when(F.length(s) > 300, cut(s)).otherwise(s)
+    chosen = F.when(s.isNull() | (F.length(s) == 0), fallback)
+    chosen = (chosen if longest is None else chosen.when(F.length(s) > longest, cut(s))).otherwise(s)
     return df.join(best, keys, "left").select(*keys, F.coalesce("b.sim", F.lit(0.0)).alias("similarity"), chosen.alias("sentence"))
 
 
-def sourced_matches(contents: DataFrame, messages: DataFrame, text_keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+def sourced_matches(contents: DataFrame, messages: DataFrame, text_keys: tuple[str, ...] = ("conv_id",), longest: int | None = None) -> DataFrame:
     """Pieces more than 70 % similar to the checked text; whole replies are cut to their best sentence."""
     pairs = reply_pieces(messages).join(contents, "conv_id")
     scored = t.chat_similarity(pairs, "content", "piece", floor=SOURCED_MIN).where(F.col("similarity") > SOURCED_MIN)
     keys = [*text_keys, "turn", "piece_no"]
     whole = scored.where(F.col("kind") == "text")
-    cut = best_sentence(whole.select(*keys, "content", "piece"), keys, "content", "piece")
+    cut = best_sentence(whole.select(*keys, "content", "piece"), keys, "content", "piece", longest)
     portions = whole.join(cut.select(*keys, "sentence"), keys).select(*keys, "similarity", F.col("sentence").alias("portion"))
     code = scored.where(F.col("kind") != "text").select(*keys, "similarity", F.col("piece").alias("portion"))
     return code.unionByName(portions)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codelineage.functions.pycode import extract_functions
 from codelineage.session import checkpointed
 
-# Cutoff and caps of the mining rules.
+# Cutoff and caps of the reference. Caps are arguments; without one nothing is cut.
 CUTOFF = "2022-12-31 23:59:59"
 FILES_PER_REPO = 200
 COMMITS_PER_FILE = 50
@@ -30,28 +30,29 @@ def repo_rules(repos: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
     )
 
 
-def file_cap(files: DataFrame, cap: int = FILES_PER_REPO) -> DataFrame:
-    """Python blobs, the first ``cap`` per repository in tree order (cut before the shuffle by the rank filter)."""
+def _up_to(rows: DataFrame, cap: int | None) -> DataFrame:
+    return rows if cap is None else rows.where(F.col("nth") <= cap)
+
+
+def file_cap(files: DataFrame, cap: int | None = None) -> DataFrame:
+    """Python blobs, all or the first ``cap`` per repository in tree order (cut before the shuffle by the rank filter)."""
     nth = F.row_number().over(W.partitionBy("repo").orderBy("tree_pos"))
     blobs = files.where((F.col("type") == "blob") & F.col("path").endswith(".py"))
-    return blobs.withColumn("nth", nth).where(F.col("nth") <= cap)
+    return _up_to(blobs.withColumn("nth", nth), cap)
 
 
-def decoded(versions: DataFrame, encoded: str = "content_b64", limit: int = MAX_FILE_BYTES) -> DataFrame:
-    """Base64 content as text; absent, empty, oversized or non-UTF-8 versions have none."""
+def decoded(versions: DataFrame, encoded: str = "content_b64", limit: int | None = None) -> DataFrame:
+    """Base64 content as text; absent, empty, non-UTF-8 versions and those over ``limit`` bytes have none."""
     raw = F.unbase64(encoded)
-    fits = F.octet_length(raw).between(1, limit)
+    fits = F.octet_length(raw) >= 1 if limit is None else F.octet_length(raw).between(1, limit)
     return versions.withColumn("content", F.when(fits, F.try_validate_utf8(raw.cast("string"))))
 
 
-def considered_commits(commits: DataFrame, cutoff: str = CUTOFF, cap: int = COMMITS_PER_FILE) -> DataFrame:
-    """Commits up to the cutoff, the first ``cap`` per file in list order."""
+def considered_commits(commits: DataFrame, cutoff: str = CUTOFF, cap: int | None = None) -> DataFrame:
+    """Commits up to the cutoff, all or the first ``cap`` per file in list order."""
     order = W.partitionBy("repo", "path").orderBy("list_pos")
-    return (
-        commits.where(F.col("author_date") <= F.lit(cutoff).cast("timestamp"))
-        .withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= cap)
-    )
+    until = commits.where(F.col("author_date") <= F.lit(cutoff).cast("timestamp"))
+    return _up_to(until.withColumn("nth", F.row_number().over(order)), cap)
 
 
 def _changes_in(commits: DataFrame, versions: DataFrame) -> DataFrame:
@@ -105,12 +106,12 @@ def changed_files(functions: DataFrame) -> DataFrame:
     return functions.groupBy(*pair).agg(F.count("*").alias("changed_functions"))
 
 
-def valid_files_cap(changed: DataFrame, files: DataFrame, need: int = VALID_FILES) -> DataFrame:
-    """First ``need`` valid files per repository in tree order; repositories with fewer are dropped."""
+def valid_files_cap(changed: DataFrame, files: DataFrame, need: int | None = None) -> DataFrame:
+    """Valid files per repository in tree order: all, or the first ``need``, and repositories with fewer are dropped."""
     placed = changed.join(files.select("repo", "path", "tree_pos"), ["repo", "path"])
     nth = F.row_number().over(W.partitionBy("repo").orderBy("tree_pos"))
-    first = placed.withColumn("nth", nth).where(F.col("nth") <= need)
-    full = first.groupBy("repo").agg(F.count("*").alias("valid_files")).where(F.col("valid_files") >= need)
+    first = _up_to(placed.withColumn("nth", nth), need)
+    full = first.groupBy("repo").agg(F.count("*").alias("valid_files")).where(F.col("valid_files") >= (need or 1))
     return first.join(full, "repo")
 
 

@@ -316,7 +316,8 @@ def versions(spark, d):
         table(spark, d, "orders").select(
             F.concat(F.lit("repo_"), F.floor(k / 10)).alias("repo"), F.concat(F.lit("src/f_"), k, F.lit(".py")).alias("path"),
             F.col("o_orderkey").alias("sha"), F.base64(raw).alias("content_b64"),
-        )
+        ),
+        limit=m.MAX_FILE_BYTES,
     ).drop("content_b64")
 
 
@@ -329,7 +330,7 @@ PAIRS = f"""ranked AS (SELECT o_custkey AS k, o_orderkey AS sha, o_orderdate, o_
 
 
 def changes(spark, d):
-    return m.changed_functions(m.considered_commits(commits(spark, d), CUTOFF), versions(spark, d))
+    return m.changed_functions(m.considered_commits(commits(spark, d), CUTOFF, m.COMMITS_PER_FILE), versions(spark, d))
 
 
 @R.add(
@@ -358,7 +359,7 @@ VALID = f"""{REPOS}, {FILES}, {PAIRS}, placed AS (SELECT p.*, t.tree_pos, row_nu
 
 def _valid(spark, d):
     funcs = changes(spark, d)
-    return funcs, m.valid_files_cap(m.changed_files(funcs), m.file_cap(files(spark, d)))
+    return funcs, m.valid_files_cap(m.changed_files(funcs), m.file_cap(files(spark, d), m.FILES_PER_REPO), m.VALID_FILES)
 
 
 @R.add("valid_files_cap", f"WITH {VALID} SELECT repo, path, 5 AS valid_files, n AS nth FROM valid")
@@ -399,7 +400,7 @@ def all_function_ids(spark, d):
 def _function_ids(spark, d, listed):
     # The mined functions feed three branches: keep them instead of parsing again.
     funcs = checkpointed(changes(spark, d))
-    valid = m.valid_files_cap(m.changed_files(funcs), m.file_cap(files(spark, d)))
+    valid = m.valid_files_cap(m.changed_files(funcs), m.file_cap(files(spark, d), m.FILES_PER_REPO), m.VALID_FILES)
     ranked = m.repo_rank(m.repo_rules(listed), valid)
     return m.function_ids(ranked, valid, funcs).select("id", "repo", "path", "rank")
 

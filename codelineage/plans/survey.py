@@ -38,14 +38,14 @@ def assistant_sourced(spark, d):
 
 @R.add("match_dedupe")
 def match_dedupe(spark, d):
-    matches = ch.sourced_matches(checked_texts(spark, d), code_chat(spark, d), TEXT)
+    matches = ch.sourced_matches(checked_texts(spark, d), code_chat(spark, d), TEXT, ch.LONGEST_SENTENCE)
     return ch.dedupe_matches(matches, TEXT).withColumn("similarity", F.round("similarity", 6))
 
 
 @R.add("best_sentence")
 def best_sentence(spark, d):
     pairs = messages(spark, d).where("role = 'assistant'").join(checked_texts(spark, d), "conv_id")
-    return ch.best_sentence(pairs, [*TEXT, "turn"], "content", "text").withColumn("similarity", F.round("similarity", 6))
+    return ch.best_sentence(pairs, [*TEXT, "turn"], "content", "text", ch.LONGEST_SENTENCE).withColumn("similarity", F.round("similarity", 6))
 
 
 @R.add("first_appearance")

@@ -299,3 +299,23 @@ def test_every_customer_counts_for_its_repository(spark, tmp_path):
     got = {r.repo: r.stars for r in all_repo_rules(spark, str(tmp_path)).collect()}
     # 3, 4, 5 and 6 shut out the first, the building customers the fourth; 20 is missing
     assert got == {"repo_1": 100, "repo_2": 90, "repo_4": 100}
+
+
+def test_nothing_is_cut_unless_asked(spark):
+    import base64
+
+    from codelineage.operators.chat import best_sentence
+
+    files = spark.range(201).selectExpr("'r' AS repo", "concat('f', id, '.py') AS path", "'blob' AS type", "id AS tree_pos")
+    assert m.file_cap(files).count() == 201 and m.file_cap(files, 200).count() == 200
+    commits = spark.range(51).selectExpr("'r' AS repo", "'p' AS path", "id AS sha", "timestamp '2020-01-01' AS author_date", "id AS list_pos")
+    assert m.considered_commits(commits).count() == 51 and m.considered_commits(commits, cap=50).count() == 50
+    big = spark.createDataFrame([(base64.b64encode(b"x" * 750_001).decode(),)], "content_b64 string")
+    assert len(m.decoded(big).first().content) == 750_001 and m.decoded(big, limit=750_000).first().content is None
+    changed = files.select("repo", "path")
+    assert m.valid_files_cap(changed, files).count() == 201 and m.valid_files_cap(changed, files, 5).count() == 5
+    assert m.valid_files_cap(changed.limit(4), files).count() == 4 and m.valid_files_cap(changed.limit(4), files, 5).count() == 0
+    text = "same words again " * 30
+    chat = spark.createDataFrame([(1, text, text)], "k int, content string, text string")
+    whole, short = (best_sentence(chat, ["k"], "content", "text", n).first().sentence for n in (None, 300))
+    assert whole == text.strip() and short == text[:300] + "..."
