@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelineage.llm import bpe, chat, jaccard, kdtree, packing, pii, quality, rlz, sql, toxicity, warc
+from codelineage.llm import bpe, chat, jaccard, kdtree, minhash, packing, pii, quality, rlz, sql, toxicity, warc
 from codelineage.llm.common import table
 from codelineage.plans.base import Registry
 
@@ -107,6 +107,15 @@ def op10_top_k(spark, sf_dir):
     return kdtree.top_k(points, F.col("vec_id") % 20 == 0, 20)
 
 
+@R.add("op13_fingerprints")
+def op13_fingerprints(spark, sf_dir):
+    """Fingerprint of every document, of its edited text, and how alike they and the next document are."""
+    pairs = minhash.edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 @R.add("pipeline")
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over the documents."""
