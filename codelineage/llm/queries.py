@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelineage.llm import bpe, chat, jaccard, kdtree, minhash, packing, pii, quality, rlz, sql, toxicity, warc
+from codelineage.llm import bpe, chat, jaccard, k2treap, kdtree, minhash, packing, pii, quality, rlz, sql, toxicity, warc
 from codelineage.llm.common import table
 from codelineage.plans.base import Registry
 
@@ -107,6 +107,12 @@ def op10_top_k(spark, sf_dir):
     return kdtree.top_k(points, F.col("vec_id") % 20 == 0, 20)
 
 
+@R.add("op12_ranked_search", sql.RANKED)
+def op12_ranked_search(spark, sf_dir):
+    """The 20 best documents of every benchmark item."""
+    return k2treap.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
 @R.add("op13_fingerprints")
 def op13_fingerprints(spark, sf_dir):
     """Fingerprint of every document, of its edited text, and how alike they and the next document are."""
