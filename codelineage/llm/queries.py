@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelineage.llm import bpe, chat, jaccard, k2treap, kdtree, minhash, packing, pii, quality, rlz, sql, toxicity, warc
+from codelineage.llm import bpe, chat, jaccard, k2treap, kdtree, minhash, packing, pii, quality, repair, rlz, sql, toxicity, warc
 from codelineage.llm.common import table
 from codelineage.plans.base import Registry
 
@@ -107,6 +107,13 @@ def op10_top_k(spark, sf_dir):
     return kdtree.top_k(points, F.col("vec_id") % 20 == 0, 20)
 
 
+@R.add("op11_structure_repair", sql.REPAIR)
+def op11_structure_repair(spark, sf_dir):
+    """Faults, cheapest edits and digest of every conversation after damage and repair."""
+    rows = repair.turns(table(spark, sf_dir, "conversations"))
+    return repair.repair(rows, repair.damage(rows))
+
+
 @R.add("op12_ranked_search", sql.RANKED)
 def op12_ranked_search(spark, sf_dir):
     """The 20 best documents of every benchmark item."""

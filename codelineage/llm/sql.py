@@ -161,3 +161,67 @@ WITH d AS (
 )
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 20
 """
+
+# The checksum by its table; the cheapest edits turn by turn, cost and edits as one comparable string.
+REPAIR = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM range(256) AS r(n)
+), d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT for x in string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')],
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind
+  FROM conversations, crc
+), g AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d, range(2) AS c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), nth) AS pos
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM g)
+), y AS (
+  SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS c,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) AS step FROM f
+), ins(f, n, s) AS (
+  VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)
+), kept(c, s, t) AS (
+  VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)
+), tr AS (
+  SELECT c, f, n, s AS t, 5 * n + 2 AS cost, repeat('I', n) || 'D' AS txt, false AS stays FROM ins, (VALUES ('s'), ('u'), ('a'), ('x')) AS l(c)
+  UNION ALL SELECT c, f, n, CASE s WHEN 2 THEN 3 ELSE 2 END, 5 * n + 1, repeat('I', n) || 'R', true FROM ins, (VALUES ('s'), ('u'), ('a'), ('x')) AS l(c)
+  UNION ALL SELECT kept.c, f, n, t, 5 * n, repeat('I', n) || 'K', true FROM ins JOIN kept USING (s)
+), r AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS state, '00000000' AS best FROM y
+  UNION ALL
+  SELECT r.conv_id, r.pos + 1, tr.t,
+    min(lpad((left(best, 8)::BIGINT + cost + CASE WHEN stays AND fault = 3 THEN 5 ELSE 0 END)::VARCHAR, 8, '0') || substr(best, 9) || txt)
+  FROM r JOIN y ON y.conv_id = r.conv_id AND y.pos = r.pos + 1 JOIN tr ON tr.c = y.c AND tr.f = r.state AND NOT (stays AND fault IN (1, 2))
+  GROUP BY r.conv_id, r.pos, tr.t
+), e AS (
+  SELECT conv_id, min(CASE state WHEN 1 THEN lpad((left(best, 8)::BIGINT + 10)::VARCHAR, 8, '0') || substr(best, 9) || 'II'
+      WHEN 2 THEN lpad((left(best, 8)::BIGINT + 5)::VARCHAR, 8, '0') || substr(best, 9) || 'I' ELSE best END) AS best
+  FROM r JOIN (SELECT conv_id, max(pos) AS pos FROM y GROUP BY 1) USING (conv_id, pos) GROUP BY 1
+), a AS (
+  SELECT conv_id, k, substr(best, 8 + k, 1) AS op,
+    count(*) FILTER (substr(best, 8 + k, 1) <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS pos,
+    count(*) FILTER (substr(best, 8 + k, 1) <> 'D') OVER (PARTITION BY conv_id ORDER BY k) AS nth
+  FROM (SELECT conv_id, best, unnest(range(1, length(best) - 7)) AS k FROM e)
+), b AS (
+  SELECT a.conv_id, k, op, a.nth, role, text,
+    bool_or(a.nth = 1 AND op = 'K' AND c = 's') OVER (PARTITION BY a.conv_id) AS has_s
+  FROM a LEFT JOIN y ON y.conv_id = a.conv_id AND y.pos = a.pos AND op <> 'I' WHERE op <> 'D'
+), h AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN (nth % 2 = 1) <> has_s THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k)) AS digest
+  FROM b GROUP BY 1
+), m AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM y GROUP BY 1
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(best, 8)::BIGINT, 0) AS cost,
+  coalesce(substr(best, 9), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN m USING (conv_id) LEFT JOIN e USING (conv_id) LEFT JOIN h USING (conv_id)
+"""
