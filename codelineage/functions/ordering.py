@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +25,16 @@ def digest_bucket(digest: Column, width: int = 4) -> Column:
     return F.substring(digest, 1, width)
 
 
+def _seeded_indices(seeds: pd.Series, sizes: pd.Series) -> pd.Series:
+    pick = lambda seed, n: random.Random(int(seed, 16)).randrange(n) if n else -1
+    return pd.Series([[pick(*x) for x in zip(*row)] for row in zip(seeds, sizes)])
+
+
+def seeded_indices(seeds: Column, sizes: Column) -> Column:
+    """For every (hexadecimal seed, size) an index below the size as the seeded generator of Python draws it, -1 for none."""
+    return F.pandas_udf(_seeded_indices, "array<int>")(seeds, sizes)
+
+
 def running_total(
     df: DataFrame, groups: list[str], bucket: Column, order: list[str], weight: Column, name: str
 ) -> DataFrame:

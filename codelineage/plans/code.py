@@ -11,6 +11,7 @@ from codelineage.operators import astdelta as x
 from codelineage.operators import mining as m
 from codelineage.operators import mutation as mu
 from codelineage.plans.base import Registry
+from codelineage.plans.sqltext import MERSENNE
 from codelineage.session import scratch_path
 from codelineage.sources.csv_files import read_header_csv, read_taxonomy, write_topics
 from codelineage.session import checkpointed
@@ -233,27 +234,6 @@ def vocabulary(spark, d):
 
 
 def repos(spark, d):
-    k = F.col("c_custkey")
-    c = table(spark, d, "customer").where(k % 10 == 0)
-    return c.select(
-        F.concat(F.lit("repo_"), (k / 10).cast("long")).alias("repo"),
-        (F.col("c_nationkey") * 100).alias("stars"),
-        F.when(F.col("c_mktsegment") != "BUILDING", "Python").otherwise("Go").alias("language"),
-        (k % 70 == 0).alias("private"), (k % 110 == 0).alias("archived"), F.when(k % 130 == 0, True).alias("fork"),
-        F.when(k % 170 == 0, F.lit("2023-01-01 00:00:00")).otherwise(F.lit("2022-12-31 23:59:59")).cast("timestamp").alias("created_at"),
-    )
-
-
-REPOS = """repos AS (SELECT 'repo_' || (c_custkey // 10) AS repo, c_nationkey * 100 AS stars, c_custkey AS k, c_mktsegment FROM customer WHERE c_custkey % 10 = 0),
-  good AS (SELECT * FROM repos WHERE c_mktsegment <> 'BUILDING' AND k % 70 <> 0 AND k % 110 <> 0 AND k % 130 <> 0 AND k % 170 <> 0)"""
-
-
-@R.add("repo_rules", f"WITH {REPOS} SELECT repo, stars FROM good")
-def repo_rules(spark, d):
-    return m.repo_rules(repos(spark, d)).select("repo", "stars")
-
-
-def all_repos(spark, d):
     """A repository per ten customers, as in ``files``, with attributes from all of them."""
     k = F.col("c_custkey")
     late = F.count_if(k % 170 == 6) > 0
@@ -266,14 +246,15 @@ def all_repos(spark, d):
     ).withColumn("repo", F.concat(F.lit("repo_"), F.col("n"))).drop("n")
 
 
-ALL_REPOS = """repos AS (SELECT 'repo_' || (c_custkey // 10) AS repo, CAST(sum(c_nationkey) * 10 AS BIGINT) AS stars, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building,
+REPOS = """repos AS (SELECT 'repo_' || (c_custkey // 10) AS repo, CAST(sum(c_nationkey) * 10 AS BIGINT) AS stars, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building,
     count(*) FILTER (WHERE c_custkey % 70 = 3 OR c_custkey % 110 = 4 OR c_custkey % 130 = 5 OR c_custkey % 170 = 6) AS out FROM customer GROUP BY 1),
   good AS (SELECT * FROM repos WHERE building < 4 AND out = 0)"""
 
 
-@R.add("all_repo_rules", f"WITH {ALL_REPOS} SELECT repo, stars FROM good")
-def all_repo_rules(spark, d):
-    return m.repo_rules(all_repos(spark, d)).select("repo", "stars")
+@R.add("repo_rules", f"WITH {REPOS} SELECT repo, stars FROM good")
+@R.add("all_repo_rules", f"WITH {REPOS} SELECT repo, stars FROM good")
+def repo_rules(spark, d):
+    return m.repo_rules(repos(spark, d)).select("repo", "stars")
 
 
 def files(spark, d):
@@ -367,41 +348,26 @@ def valid_files_cap(spark, d):
     return _valid(spark, d)[1].select("repo", "path", "valid_files", "nth")
 
 
-@R.add("repo_rank", f"WITH {VALID} SELECT repo, stars, rank FROM ranked_repos")
-def repo_rank(spark, d):
-    return m.repo_rank(m.repo_rules(repos(spark, d)), _valid(spark, d)[1]).select("repo", "stars", "rank")
+RANKED = f"WITH {VALID} SELECT repo, stars, rank FROM ranked_repos WHERE rank <= 1000"
 
 
-ALL_VALID = VALID.replace(REPOS, ALL_REPOS)
+@R.add("repo_rank", RANKED)
+@R.add("all_repo_rank", RANKED)
+def repo_rank(spark, d):
+    return m.repo_rank(m.repo_rules(repos(spark, d)), _valid(spark, d)[1]).select("repo", "stars", "rank")
 
 
-@R.add("all_repo_rank", f"WITH {ALL_VALID} SELECT repo, stars, rank FROM ranked_repos WHERE rank <= 1000")
-def all_repo_rank(spark, d):
-    return m.repo_rank(m.repo_rules(all_repos(spark, d)), _valid(spark, d)[1]).select("repo", "stars", "rank")
+FUNCTION_IDS = f"""WITH {VALID} SELECT 'function_' || row_number() OVER (ORDER BY rank, tree_pos) AS id, v.repo, path, rank
+    FROM valid v JOIN ranked_repos r ON v.repo = r.repo WHERE rank <= 1000"""
 
 
-@R.add(
-    "function_ids",
-    f"""WITH {VALID} SELECT 'function_' || row_number() OVER (ORDER BY rank, tree_pos) AS id, v.repo, path, rank FROM valid v JOIN ranked_repos r ON v.repo = r.repo""",
-)
+@R.add("function_ids", FUNCTION_IDS)
+@R.add("all_function_ids", FUNCTION_IDS)
 def function_ids(spark, d):
-    return _function_ids(spark, d, repos(spark, d))
-
-
-@R.add(
-    "all_function_ids",
-    f"""WITH {ALL_VALID} SELECT 'function_' || row_number() OVER (ORDER BY rank, tree_pos) AS id, v.repo, path, rank
-    FROM valid v JOIN ranked_repos r ON v.repo = r.repo WHERE rank <= 1000""",
-)
-def all_function_ids(spark, d):
-    return _function_ids(spark, d, all_repos(spark, d))
-
-
-def _function_ids(spark, d, listed):
     # The mined functions feed three branches: keep them instead of parsing again.
     funcs = checkpointed(changes(spark, d))
     valid = m.valid_files_cap(m.changed_files(funcs), m.file_cap(files(spark, d), m.FILES_PER_REPO), m.VALID_FILES)
-    ranked = m.repo_rank(m.repo_rules(listed), valid)
+    ranked = m.repo_rank(m.repo_rules(repos(spark, d)), valid)
     return m.function_ids(ranked, valid, funcs).select("id", "repo", "path", "rank")
 
 
@@ -484,33 +450,83 @@ def taxonomy_support(spark, d):
     return mu.with_support(named, reviewed).select("taxonomy_category", "attempts", "support")
 
 
-@R.add("mutations")
-def mutations(spark, d):
-    out = mu.mutate(mutation_sources(spark, d)).where("status = 'valid'")
-    return out.withColumn("line", F.col("mutation_location.line")).drop("mutation_location")
+# Every option of every rule over the sources above, as (place of a text, its replacement).
+MUTATION_OPTIONS = r"""sources AS (
+    SELECT p_partkey AS k, p_size AS s, p_partkey % 4 = 0 AS rich, CASE WHEN p_partkey % 10 < 7 THEN 'train' WHEN p_partkey % 10 = 7 THEN 'validation' ELSE 'test' END AS split,
+      'def f_' || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN
+        '(self, value):\n    """ + '"""Return a value."""' + r"""\n    print(value)\n    total = value + ' || p_size
+        || '\n    try:\n        if total < 10:\n            return f''total={total}''\n    except ValueError:\n        return super(Base, self).run()\n    return total\n'
+        ELSE '(x):\n    return x + ' || p_size || '\n' END AS raw
+    FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 97 <> 1
+  ), code AS (SELECT k, s, rich, split, replace(raw, '\n', chr(10)) AS old_code FROM sources),
+  fixed(op, nth, line, col, old, new, find, put) AS (VALUES
+    ('modify_docstring_text', 1, 2, 4, '''Return a value.''', '''Return a value. Synthetic clarification added.''', 'Return a value.', 'Return a value. Synthetic clarification added.'),
+    ('remove_output_statement', 1, 3, 4, 'print(value)', '<deleted>', '    print(value)' || chr(10), ''),
+    ('replace_literal_value', 2, 6, 19, '10', '11', 'total < 10', 'total < 11'),
+    ('modify_return_expression', 1, 10, 4, 'total', 'None', '    return total' || chr(10), '    return None' || chr(10)),
+    ('modify_return_expression', 2, 7, 12, 'f''total={total}''', 'None', 'return f''total={total}''', 'return None'),
+    ('modify_return_expression', 3, 9, 8, 'super(Base, self).run()', 'None', 'return super(Base, self).run()', 'return None'),
+    ('modify_comparison_operator', 1, 6, 11, 'total < 10', 'total <= 10', 'total < 10', 'total <= 10'),
+    ('modify_exception_handler', 1, 8, 4, 'except ValueError', 'except Exception', 'except ValueError', 'except Exception'),
+    ('modernize_string_formatting', 1, 7, 19, 'f''total={total}''', '''total={}''.format(total)', 'f''total={total}''', '''total={}''.format(total)'),
+    ('modernize_super_call', 1, 9, 15, 'super(Base, self)', 'super()', 'super(Base, self)', 'super()'),
+    ('rename_local_identifier', 1, 4, 4, 'total', 'total_updated', NULL, NULL)
+  ), options AS (
+    SELECT k, op, nth, line, col, old, new, CASE WHEN find IS NULL THEN replace(replace(old_code, 'total', 'total_updated'), 'total_updated={', 'total={')
+      ELSE replace(old_code, find, put) END AS result FROM code, fixed WHERE rich
+    UNION ALL SELECT k, 'replace_literal_value', 1, 4, 20, '' || s, '' || (s + 1), replace(old_code, 'value + ' || s, 'value + ' || (s + 1)) FROM code WHERE rich
+    UNION ALL SELECT k, 'modify_type_annotation', 1, 1, length('def f_' || k || '(self, '), 'value', 'value: object', replace(old_code, '(self, value)', '(self, value: object)') FROM code WHERE rich
+    UNION ALL SELECT k, 'replace_literal_value', 1, 2, 15, '' || s, '' || (s + 1), replace(old_code, 'x + ' || s, 'x + ' || (s + 1)) FROM code WHERE NOT rich
+    UNION ALL SELECT k, 'modify_return_expression', 1, 2, 4, 'x + ' || s, 'None', replace(old_code, 'x + ' || s, 'None') FROM code WHERE NOT rich
+    UNION ALL SELECT k, 'modify_type_annotation', 1, 1, length('def f_' || k || '('), 'x', 'x: object', replace(old_code, '(x)', '(x: object)') FROM code WHERE NOT rich
+  )"""
+# The pick among several options by the seeded generator, and the finished mutations.
+MUTATED = f"""RECURSIVE {MUTATION_OPTIONS},
+  counted AS (SELECT k, op, count(*) AS n FROM options GROUP BY ALL),
+  asked AS (SELECT k, op, n, substr(sha256('fusion-guided-v1' || chr(0) || op || chr(0) || old_code), 1, 16) AS seed FROM counted JOIN code USING (k)),
+  seeds AS (SELECT DISTINCT seed, n FROM asked WHERE n > 1), {MERSENNE},
+  rules(op, category, said) AS (VALUES {", ".join(f"('{r}', '{c}', '{mu.INSTRUCTIONS[r]}')" for r, c in mu.RULES.items())}),
+  mutated AS (
+    SELECT 'fgm_cohort_v1_' || split || '_' || k || '_' || op AS id, k AS source_index, split AS source_split, op AS mutation_operator, category AS taxonomy_category,
+      'valid' AS status, NULL::VARCHAR AS reason, old_code, result AS expected_mutated_function,
+      'In the old function, ' || said || ' at function line ' || line || ', column ' || col || '. Change the exact fragment <before>' || old || '</before> to <after>' || new
+        || '</after>. Leave everything else unchanged.' AS requirement, old AS old_fragment, new AS new_fragment, line
+    FROM options JOIN asked USING (k, op) LEFT JOIN picks p USING (seed) JOIN code USING (k) JOIN rules USING (op) WHERE nth = coalesce(p.pick, 0) + 1
+  )"""
+# Fixed value: the longest fragment that the queries take.
+LONGEST_FRAGMENT = 300
+
+
+def mutated(spark, d):
+    return mu.mutate(mutation_sources(spark, d), longest=LONGEST_FRAGMENT)
 
 
 @R.add(
-    "literal_mutations",
-    """SELECT p_partkey AS source_index, '' || p_size AS old_fragment, '' || (p_size + 1) AS new_fragment,
-    'def f_' || p_partkey || '(x):' || chr(10) || '    return x + ' || (p_size + 1) || chr(10) AS expected_mutated_function,
-    'In the old function, replace the selected literal value at function line 2, column 15. Change the exact fragment <before>' || p_size
-      || '</before> to <after>' || (p_size + 1) || '</after>. Leave everything else unchanged.' AS requirement
-    FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 97 <> 1""",
+    "mutation_candidates",
+    f"""WITH {MUTATION_OPTIONS} SELECT k AS source_index, op AS mutation_operator, nth, line, col AS "column", old, new FROM options""",
 )
-def literal_mutations(spark, d):
-    """The sources whose pick SQL can tell; ``literal_mutations_all`` has every source."""
-    return _literal_edits(mutation_sources(spark, d).where("source_index % 4 <> 0"))
+def mutation_candidates(spark, d):
+    """Every place where a rule could edit a source."""
+    return mu.mutation_candidates(mutation_sources(spark, d), LONGEST_FRAGMENT).select(
+        "source_index", "mutation_operator", "nth", "line", "column", "old", "new"
+    )
+
 
+@R.add("mutations", f"WITH {MUTATED} SELECT * FROM mutated")
+def mutations(spark, d):
+    out = mutated(spark, d).where("status = 'valid'")
+    return out.withColumn("line", F.col("mutation_location.line")).drop("mutation_location")
 
-@R.add("literal_mutations_all")
-def literal_mutations_all(spark, d):
-    """Rich functions too: they have two literals, and the seeded generator picks one."""
-    return _literal_edits(mutation_sources(spark, d))
 
+LITERALS = f"""WITH {MUTATED} SELECT source_index, old_fragment, new_fragment, expected_mutated_function, requirement FROM mutated
+    WHERE mutation_operator = 'replace_literal_value'"""
 
-def _literal_edits(sources):
-    return mu.mutate(sources).where("status = 'valid' AND mutation_operator = 'replace_literal_value'").select(
+
+@R.add("literal_mutations", LITERALS)
+@R.add("literal_mutations_all", LITERALS)
+def literal_mutations(spark, d):
+    """Literal edits of every source; rich functions hold two literals, of which the seeded generator picks one."""
+    return mutated(spark, d).where("status = 'valid' AND mutation_operator = 'replace_literal_value'").select(
         "source_index", "old_fragment", "new_fragment", "expected_mutated_function", "requirement"
     )
 
@@ -524,7 +540,7 @@ def _literal_edits(sources):
     'modify_exception_handler', 'modernize_string_formatting', 'modify_type_annotation', 'modernize_super_call', 'rename_local_identifier']) AS op)""",
 )
 def cohort_audit(spark, d):
-    return mu.cohort_audit(mu.mutate(mutation_sources(spark, d)))
+    return mu.cohort_audit(mutated(spark, d))
 
 
 @R.add(
@@ -532,7 +548,7 @@ def cohort_audit(spark, d):
     """SELECT CASE WHEN p_partkey % 4 = 0 THEN 10 WHEN p_partkey % 97 = 1 THEN 0 ELSE 3 END AS mutations, count(*) AS sources FROM part GROUP BY 1""",
 )
 def mutations_per_source(spark, d):
-    return mu.mutations_per_source(mu.mutate(mutation_sources(spark, d)))
+    return mu.mutations_per_source(mutated(spark, d))
 
 
 @R.add(
@@ -550,7 +566,7 @@ def mutations_per_source(spark, d):
     SELECT * FROM r WHERE rank <= quota""",
 )
 def mutation_quota(spark, d):
-    picked = mu.mutation_quota(mu.mutate(mutation_sources(spark, d)), {"train": 20, "validation": 5, "test": 10}, 42)
+    picked = mu.mutation_quota(mutated(spark, d), {"train": 20, "validation": 5, "test": 10}, 42)
     return picked.select("id", "source_split", "mutation_operator", "rank", "quota")
 
 

@@ -139,3 +139,28 @@ matched AS (
     min(turn) AS first_turn, arg_min(role, turn) AS first_role, arg_min(score, turn) AS first_score,
     arg_min(kind, turn) AS first_kind
   FROM hits GROUP BY ALL)"""
+
+
+# Constants of the Mersenne twister.
+MERSENNE = """init(i, v) AS (
+    SELECT 0::BIGINT, 19650218::BIGINT UNION ALL SELECT i + 1, (1812433253 * xor(v, v >> 30) + i + 1) & 4294967295 FROM init WHERE i < 623
+  ), start AS (SELECT list(v ORDER BY i) AS s FROM init),
+  mix1(seed, k, v, v0) AS (
+    SELECT seed, 0::BIGINT, x, x FROM (SELECT seed, (xor(s[2], xor(s[1], s[1] >> 30) * 1664525) + ('0x' || substr(seed, 9, 8))::BIGINT) & 4294967295 AS x FROM seeds, start)
+    UNION ALL
+    SELECT seed, k + 1, (xor(CASE WHEN k = 622 THEN v0 ELSE s[k + 3] END, xor(v, v >> 30) * 1664525)
+      + CASE WHEN k % 2 = 0 THEN ('0x' || substr(seed, 1, 8))::BIGINT + 1 ELSE ('0x' || substr(seed, 9, 8))::BIGINT END) & 4294967295, v0
+    FROM mix1, start WHERE k < 623
+  ), half AS (SELECT seed, list(v ORDER BY k) AS s FROM mix1 GROUP BY seed),
+  mix2(seed, k, v) AS (
+    SELECT seed, 0::BIGINT, (xor(s[2], xor(s[624], s[624] >> 30) * 1566083941) - 2) & 4294967295 FROM half
+    UNION ALL
+    SELECT m.seed, k + 1, (xor(CASE WHEN k = 621 THEN s[624] ELSE s[k + 3] END, xor(v, v >> 30) * 1566083941) - CASE WHEN k = 621 THEN 1 ELSE k + 3 END) & 4294967295
+    FROM mix2 m JOIN half h ON m.seed = h.seed WHERE k < 622
+  ), state AS (SELECT seed, [2147483648, list_last(list(v ORDER BY k))] || list(v ORDER BY k)[1:622] AS s FROM mix2 GROUP BY seed),
+  drawn AS (
+    SELECT seed, t, xor(s[t + 397], ((s[t] & 2147483648) | (s[t + 1] & 2147483647)) >> 1) AS a, s[t + 1] & 1 AS odd FROM state, range(1, 60) AS r(t)
+  ), b1 AS (SELECT seed, t, CASE WHEN odd = 1 THEN xor(a, 2567483615) ELSE a END AS x FROM drawn),
+  b2 AS (SELECT seed, t, xor(x, x >> 11) AS x FROM b1), b3 AS (SELECT seed, t, xor(x, (x << 7) & 2636928640) AS x FROM b2),
+  b4 AS (SELECT seed, t, xor(x, (x << 15) & 4022730752) AS x FROM b3), bits AS (SELECT seed, t, xor(x, x >> 18) AS x FROM b4),
+  picks AS (SELECT seed, n, min_by(x >> (32 - len(bin(n))), t) AS pick FROM bits JOIN (SELECT DISTINCT seed, n FROM seeds) USING (seed) WHERE x >> (32 - len(bin(n))) < n GROUP BY ALL)"""

@@ -200,6 +200,54 @@ def test_rename_stays_out_of_nested_scopes(spark):
     assert r.old_fragment == "outer" and "result = 10" in r.expected_mutated_function
 
 
+RICH = {
+    "def s(a, b):\n    return a < b <= (a, b) and (a if b else a) not in [b == a]\n": [
+        ("modify_comparison_operator", 2, 11, "a < b <= (a, b)", "a <= b <= (a, b)"),
+        ("modify_comparison_operator", 2, 11, "a < b <= (a, b)", "a < b < (a, b)"),
+        ("modify_comparison_operator", 2, 31, "(a if b else a) not in [b == a]", "(a if b else a) in [b == a]"),
+        ("modify_comparison_operator", 2, 55, "b == a", "b != a"),
+        ("modify_return_expression", 2, 4, "a < b <= (a, b) and (a if b else a) not in [b == a]", "None"),
+        ("modify_type_annotation", 1, 6, "a", "a: object"),
+        ("modify_type_annotation", 1, 9, "b", "b: object"),
+    ],
+    "def s(self, *v, k: int=1.5, **o):\n    é = f'{{é}}{v[0]}{(v, k)}\"{True}'\n    self.log.debug(f'{k!r}')\n    return\n": [
+        ("modernize_string_formatting", 2, 8, "f'{{é}}{v[0]}{(v, k)}\"{True}'", "'{{é}}{}{}\"{}'.format(v[0], (v, k), True)"),
+        ("remove_output_statement", 3, 4, "self.log.debug(f'{k!r}')", "<deleted>"),
+        ("replace_literal_value", 1, 23, "1.5", "2.5"),
+        ("replace_literal_value", 2, 18, "0", "1"),
+        ("replace_literal_value", 2, 31, "True", "False"),
+        ("rename_local_identifier", 2, 4, "é", "é_updated"),
+    ],
+    "async def s(x, /, y):\n    try:\n        a_ = y = -10 ** 20\n    except:\n        b = [y for y in x]\n    except_ = lambda: a_\n    b_updated = super(x, self).q\n    return None\n": [
+        ("modify_exception_handler", 4, 4, "except", "except Exception"),
+        ("modernize_super_call", 7, 16, "super(x, self)", "super()"),
+        ("modify_type_annotation", 1, 12, "x", "x: object"),
+        ("modify_type_annotation", 1, 18, "y", "y: object"),
+        ("replace_literal_value", 3, 18, "10", "11"),
+        ("replace_literal_value", 3, 24, "20", "21"),
+        ("rename_local_identifier", 7, 4, "b_updated", "b_updated_updated"),
+        ("rename_local_identifier", 6, 4, "except_", "except__updated"),
+    ],
+}
+
+
+def test_candidates_of_rich_functions(spark):
+    df = spark.createDataFrame([(i, "train", c) for i, c in enumerate(RICH)], "source_index int, split string, code string")
+    got = {}
+    for r in mu.mutation_candidates(df).collect():
+        got.setdefault(r.source_index, []).append((r.mutation_operator, r.line, r.column, r.old, r.new))
+        canonical = ast.unparse(ast.parse(list(RICH)[r.source_index])) + "\n"
+        edited = canonical
+        for e in reversed(r.edits):
+            edited = edited[: e.start] + e.text + edited[e.end :]
+        assert ast.dump(ast.parse(edited)) != ast.dump(ast.parse(canonical))
+    for i, (code, want) in enumerate(RICH.items()):
+        assert code == ast.unparse(ast.parse(code)) + "\n"
+        column = lambda line, c: len(code.splitlines()[line - 1][:c].encode())
+        assert sorted(got[i]) == sorted((rule, line, column(line, c), *rest) for rule, line, c, *rest in want)
+    assert mu.mutation_candidates(df, longest=12).where("old = 'a < b <= (a, b)'").count() == 0
+
+
 def test_mutation_is_the_same_on_any_partitioning(spark):
     rows = [(i, "train", f"def f{i}(a):\n    if a < {i}:\n        return a + {i}\n    return {i} * 2\n") for i in range(12)]
     df = spark.createDataFrame(rows, "source_index int, split string, code string")
@@ -209,7 +257,7 @@ def test_mutation_is_the_same_on_any_partitioning(spark):
 
 def test_literal_edits_of_every_source(spark):
     """Rich functions hold two literals: the generator seeded by rule and source picks one."""
-    from codelineage.plans.code import literal_mutations_all, mutation_sources
+    from codelineage.plans.code import literal_mutations, mutation_sources
 
     sf = "/root/testdata/sf0.001"
     want, rich = {}, Counter()
@@ -223,7 +271,7 @@ def test_literal_edits_of_every_source(spark):
         changed = r.code.replace(line, line.replace(old, str(int(old) + 1)))
         want[r.source_index] = old, str(int(old) + 1), ast.unparse(ast.parse(changed)).strip() + "\n"
         rich[r.source_index % 4 == 0, "total" in line and "<" in line] += 1
-    got = {r[0]: (r[1], r[2], r[3]) for r in literal_mutations_all(spark, sf).collect()}
+    got = {r[0]: (r[1], r[2], r[3]) for r in literal_mutations(spark, sf).collect()}
     assert got == want and min(rich[True, True], rich[True, False]) > 0
 
 
@@ -292,11 +340,11 @@ def test_repo_rules(spark):
 
 
 def test_every_customer_counts_for_its_repository(spark, tmp_path):
-    from codelineage.plans.code import all_repo_rules
+    from codelineage.plans.code import repo_rules
 
     rows = [(k, 1, "BUILDING" if 30 <= k < 34 else "MACHINERY") for k in range(1, 50) if k != 20]
     spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
-    got = {r.repo: r.stars for r in all_repo_rules(spark, str(tmp_path)).collect()}
+    got = {r.repo: r.stars for r in repo_rules(spark, str(tmp_path)).collect()}
     # 3, 4, 5 and 6 shut out the first, the building customers the fourth; 20 is missing
     assert got == {"repo_1": 100, "repo_2": 90, "repo_4": 100}
 
