@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codelineage.functions.pycode import extract_functions
-from codelineage.session import checkpointed
+from codelineage.functions.pycode import extract_functions, mark_functions
 
 # Cutoff and caps of the reference. Caps are arguments; without one nothing is cut.
 CUTOFF = "2022-12-31 23:59:59"
@@ -55,55 +54,63 @@ def considered_commits(commits: DataFrame, cutoff: str = CUTOFF, cap: int | None
     return _up_to(until.withColumn("nth", F.row_number().over(order)), cap)
 
 
-def _changes_in(commits: DataFrame, versions: DataFrame) -> DataFrame:
-    """Changed functions of the newest adjacent pair that has any, per file.
+FILE = ["repo", "path"]
 
-    Functions of all versions are laid side by side per (file, name); the
-    next older version is the next row when its number is one higher.
-    """
-    have = commits.join(versions.select("repo", "path", "sha", "content"), ["repo", "path", "sha"])
-    commit = ["repo", "path", "sha", "author_date", "message", "nth"]
-    parsed = have.where(F.col("content").isNotNull()).select(*commit, extract_functions(F.col("content")).alias("found"))
-    one = parsed.select(*commit, F.inline("found"))
-    older = W.partitionBy("repo", "path", "name").orderBy("nth")
-    was = F.lead(F.struct("nth", "sha", "author_date", "message", "code", "start_line", "end_line", "fingerprint")).over(older)
-    pairs = one.withColumn("old", was).where(
-        (F.col("old.nth") == F.col("nth") + 1) & (F.col("old.fingerprint") != F.col("fingerprint"))
-    )
-    newest = F.min("nth").over(W.partitionBy("repo", "path"))
-    o = lambda c: F.col(f"old.{c}").alias(f"old_{c}")
-    return pairs.withColumn("pair", newest).where(F.col("nth") == F.col("pair")).select(
-        "repo", "path", F.col("name").alias("function_name"),
-        o("sha"), F.col("sha").alias("new_sha"),
-        o("author_date"), F.col("author_date").alias("new_author_date"),
-        o("message"), F.col("message").alias("new_message"),
-        o("code"), F.col("code").alias("new_code"),
-        o("start_line"), F.col("start_line").alias("new_start_line"),
-        o("end_line"), F.col("end_line").alias("new_end_line"),
-        "pair",
-    )
 
+def changed_names(commits: DataFrame, versions: DataFrame) -> DataFrame:
+    """Names of the functions whose body changed in each file's latest valid adjacent pair of commits.
 
-def changed_functions(commits: DataFrame, versions: DataFrame, first_look: int = 4) -> DataFrame:
-    """Functions whose body changed in each file's latest valid adjacent pair.
-
-    Most files change among their newest versions, so those are parsed first
-    and older ones only for files still without a pair.
+    Versions are parsed where they are read; a row per function with the digest of its
+    body is all that is shuffled and sorted. A function is laid side by side with its next older
+    version; the rank filter keeps the newest changed pair of each file before the shuffle.
     """
-    if first_look >= COMMITS_PER_FILE:
-        return _changes_in(commits, versions)
-    # Kept in the shared folder: the result also decides which files stay open.
-    near = checkpointed(_changes_in(commits.where(F.col("nth") <= first_look), versions))
-    open_files = commits.join(near.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
-    # The pair (first_look, first_look + 1) is still untested.
-    far = _changes_in(open_files.where(F.col("nth") >= first_look), versions)
-    return near.unionByName(far)
+    marked = versions.where(F.col("content").isNotNull()).select(*FILE, "sha", mark_functions(F.col("content")).alias("found"))
+    numbered = commits.select(*FILE, "sha", "nth").join(marked, [*FILE, "sha"])
+    one = numbered.select(*FILE, "nth", "sha", F.inline("found"))
+    older = W.partitionBy(*FILE, "name").orderBy("nth")
+    pairs = one.withColumn("old", F.lead(F.struct("nth", "sha", "mark")).over(older)).where(
+        (F.col("old.nth") == F.col("nth") + 1) & (F.col("old.mark") != F.col("mark"))
+    )
+    changed = pairs.select(*FILE, F.col("name").alias("function_name"), F.col("nth").alias("pair"), F.col("old.sha").alias("old_sha"), F.col("sha").alias("new_sha"))
+    newest = F.rank().over(W.partitionBy(*FILE).orderBy("pair"))
+    return changed.withColumn("place", newest).where("place = 1").drop("place")
+
+
+def with_commits(changed: DataFrame, commits: DataFrame) -> DataFrame:
+    """Date and message of both commits beside the changed functions."""
+    for side in ("old", "new"):
+        said = commits.select(
+            *FILE, F.col("sha").alias(f"{side}_sha"), F.col("author_date").alias(f"{side}_author_date"), F.col("message").alias(f"{side}_message")
+        )
+        changed = changed.join(said, [*FILE, f"{side}_sha"])
+    return changed
+
+
+def with_code(changed: DataFrame, versions: DataFrame) -> DataFrame:
+    """Code and lines of both versions beside the changed functions; only the versions of picked pairs are parsed again."""
+    shas = changed.select(*FILE, F.explode(F.array_distinct(F.array("old_sha", "new_sha"))).alias("sha")).distinct()
+    texts = versions.join(shas, [*FILE, "sha"], "left_semi").select(*FILE, "sha", extract_functions(F.col("content")).alias("found"))
+    one = texts.select(*FILE, "sha", F.inline("found"))
+    for side in ("old", "new"):
+        own = one.select(
+            *FILE, F.col("sha").alias(f"{side}_sha"), F.col("name").alias("function_name"), F.col("code").alias(f"{side}_code"),
+            F.col("start_line").alias(f"{side}_start_line"), F.col("end_line").alias(f"{side}_end_line"),
+        )
+        changed = changed.join(own, [*FILE, f"{side}_sha", "function_name"])
+    return changed
+
+
+def changed_functions(commits: DataFrame, versions: DataFrame) -> DataFrame:
+    """Functions whose body changed in each file's latest valid adjacent pair, with commits and code."""
+    found = with_code(with_commits(changed_names(commits, versions), commits), versions)
+    both = [f"{side}_{c}" for c in ("sha", "author_date", "message", "code", "start_line", "end_line") for side in ("old", "new")]
+    return found.select(*FILE, "function_name", *both, "pair")
 
 
 def changed_files(functions: DataFrame) -> DataFrame:
-    """One row per file with its commit pair and number of changed functions."""
-    pair = ["repo", "path", "old_sha", "new_sha", "old_author_date", "new_author_date", "old_message", "new_message"]
-    return functions.groupBy(*pair).agg(F.count("*").alias("changed_functions"))
+    """One row per file with its commit pair (dates and messages, where given) and number of changed functions."""
+    both = [f"{side}_{c}" for c in ("sha", "author_date", "message") for side in ("old", "new")]
+    return functions.groupBy(*FILE, *[c for c in both if c in functions.columns]).agg(F.count("*").alias("changed_functions"))
 
 
 def valid_files_cap(changed: DataFrame, files: DataFrame, need: int | None = None) -> DataFrame:

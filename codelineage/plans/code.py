@@ -305,21 +305,33 @@ def versions(spark, d):
 CUTOFF = "2001-06-30 00:00:00"
 PAIRS = f"""ranked AS (SELECT o_custkey AS k, o_orderkey AS sha, o_orderdate, o_orderpriority, floor(o_totalprice / 100000) AS level,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth FROM orders WHERE o_orderdate <= TIMESTAMP '{CUTOFF}'),
-  adj AS (SELECT *, lead(sha) OVER w AS old_sha, lead(level) OVER w AS old_level FROM ranked WHERE nth <= 50 WINDOW w AS (PARTITION BY k ORDER BY nth)),
+  adj AS (SELECT *, lead(sha) OVER w AS old_sha, lead(level) OVER w AS old_level, lead(o_orderdate) OVER w AS old_date, lead(o_orderpriority) OVER w AS old_message FROM ranked WHERE nth <= 50 WINDOW w AS (PARTITION BY k ORDER BY nth)),
   hit AS (SELECT * FROM adj WHERE sha % 9 <> 0 AND old_sha % 9 <> 0 AND level <> old_level QUALIFY row_number() OVER (PARTITION BY k ORDER BY nth) = 1),
-  pairs AS (SELECT 'repo_' || (k // 10) AS repo, 'src/f_' || k || '.py' AS path, k, sha AS new_sha, old_sha, nth FROM hit)"""
+  pairs AS (SELECT 'repo_' || (k // 10) AS repo, 'src/f_' || k || '.py' AS path, k, sha AS new_sha, old_sha, nth,
+    level AS new_level, old_level, o_orderdate AS new_date, old_date, o_orderpriority AS new_message, old_message FROM hit)"""
+
+
+def considered(spark, d):
+    return m.considered_commits(commits(spark, d), CUTOFF, m.COMMITS_PER_FILE)
 
 
 def changes(spark, d):
-    return m.changed_functions(m.considered_commits(commits(spark, d), CUTOFF, m.COMMITS_PER_FILE), versions(spark, d))
+    """The changed functions by name; their code is fetched only where a query shows it."""
+    return m.changed_names(considered(spark, d), versions(spark, d))
 
 
 @R.add(
     "changed_functions",
-    f"WITH {PAIRS} SELECT repo, path, 'f' AS function_name, old_sha, new_sha FROM pairs",
+    f"""WITH {PAIRS} SELECT repo, path, 'f' AS function_name, old_sha, new_sha, nth AS pair, CAST(new_level AS BIGINT)::VARCHAR AS new_value,
+    CAST(old_level AS BIGINT)::VARCHAR AS old_value, 1 AS new_start_line, 2 AS old_end_line, new_message, old_message FROM pairs""",
 )
 def changed_functions(spark, d):
-    return changes(spark, d).select("repo", "path", "function_name", "old_sha", "new_sha")
+    """Both versions of every changed function; the value is what its code returns beyond the argument."""
+    found = m.changed_functions(considered(spark, d), versions(spark, d))
+    value = lambda side: F.regexp_extract(f"{side}_code", r"(?s)^def f\(x\):\n    return x \+ (\d+)\n$", 1).alias(f"{side}_value")
+    return found.select(
+        "repo", "path", "function_name", "old_sha", "new_sha", "pair", value("new"), value("old"), "new_start_line", "old_end_line", "new_message", "old_message"
+    )
 
 
 @R.add("latest_change_pair", f"WITH {PAIRS} SELECT repo, path, old_sha, new_sha, nth AS pair FROM pairs")
@@ -327,9 +339,14 @@ def latest_change_pair(spark, d):
     return changes(spark, d).select("repo", "path", "old_sha", "new_sha", "pair").distinct()
 
 
-@R.add("changed_files", f"WITH {PAIRS} SELECT repo, path, old_sha, new_sha, 1 AS changed_functions FROM pairs")
+@R.add(
+    "changed_files",
+    f"WITH {PAIRS} SELECT repo, path, old_sha, new_sha, date_diff('day', old_date, new_date) AS days, 1 AS changed_functions FROM pairs",
+)
 def changed_files(spark, d):
-    return m.changed_files(changes(spark, d)).select("repo", "path", "old_sha", "new_sha", "changed_functions")
+    both = m.with_commits(changes(spark, d), considered(spark, d))
+    days = F.datediff("new_author_date", "old_author_date").cast("long").alias("days")
+    return m.changed_files(both).select("repo", "path", "old_sha", "new_sha", days, "changed_functions")
 
 
 VALID = f"""{REPOS}, {FILES}, {PAIRS}, placed AS (SELECT p.*, t.tree_pos, row_number() OVER (PARTITION BY p.repo ORDER BY t.tree_pos) AS n
@@ -364,8 +381,8 @@ FUNCTION_IDS = f"""WITH {VALID} SELECT 'function_' || row_number() OVER (ORDER B
 @R.add("function_ids", FUNCTION_IDS)
 @R.add("all_function_ids", FUNCTION_IDS)
 def function_ids(spark, d):
-    # The mined functions feed three branches: keep them instead of parsing again.
-    funcs = checkpointed(changes(spark, d))
+    # The mined names feed three branches: keep them instead of parsing again. Places come from the code.
+    funcs = checkpointed(m.with_code(changes(spark, d), versions(spark, d)))
     valid = m.valid_files_cap(m.changed_files(funcs), m.file_cap(files(spark, d), m.FILES_PER_REPO), m.VALID_FILES)
     ranked = m.repo_rank(m.repo_rules(repos(spark, d)), valid)
     return m.function_ids(ranked, valid, funcs).select("id", "repo", "path", "rank")

@@ -309,7 +309,26 @@ def test_latest_pair_across_looks(spark):
     seen = m.considered_commits(c.withColumn("author_date", F.to_timestamp("author_date")))
     got = {r.path: (r.old_sha, r.new_sha) for r in m.changed_functions(seen, v).collect()}
     assert got == {"same": ("same5", "same4"), "late": ("late7", "late6"), "gap": ("gap4", "gap3")}
-    assert {r.path: r.old_sha for r in m.changed_functions(seen, v, first_look=99).collect()} == {k: o for k, (o, _) in got.items()}
+    names = m.changed_names(seen, v).collect()
+    assert {r.path: (r.old_sha, r.new_sha) for r in names} == got and {r.function_name for r in names} == {"f"}
+    full = {r.path: (r.old_code, r.new_code, r.old_author_date < r.new_author_date) for r in m.changed_functions(seen, v).collect()}
+    assert full == {"same": (f(2), f(1), True), "late": (f(2), f(1), True), "gap": (f(3), f(2), True)}
+
+
+def test_marks_are_equal_where_dumps_are():
+    from codelineage.functions.pycode import function_marks, functions
+
+    bodies = ["return 1", "return 1.0", "return True", "return  1  # c", "return u'a'", "return 'a'", "return b'a'", "pass", "return x", "return (x)", "x: int = 1", "x = 1", "def g(): return 1", "return '\\ud800'"]
+    sources = [f"class C:\n  def f(x):\n    {b}\nasync def h():\n  class D:\n    def f(self): {b}\ndef h(): {b}\n" for b in bodies]
+    for a in sources:
+        want = {f[0] for f in functions(a)}
+        got = {f["name"]: f["mark"] for f in function_marks(a)}
+        assert set(got) == want
+        for b in sources:
+            other, dumps = {f["name"]: f["mark"] for f in function_marks(b)}, dict((f[0], f[4]) for f in functions(b))
+            same = {n for n, *_, d in functions(a) if dumps.get(n) == d}
+            assert {n for n in got if other.get(n) == got[n]} == same
+    assert function_marks("def (") == [] and function_marks("") == []
 
 
 def test_cutoff_applies_before_adjacency(spark):
