@@ -121,203 +121,212 @@ def previous_user_turn(messages: DataFrame, chunk: int = 65536) -> DataFrame:
     )
 
 
-def _keys(df: DataFrame, code: str) -> DataFrame:
-    """Digest keys per comparison level: raw, whitespace, syntax, trimmed lines."""
-    text = F.col(code)
-    return df.withColumns(
-        {
-            "raw_key": F.sha2(text, 256),
-            "ws_key": F.sha2(t.norm_ws(text), 256),
-            "syn_key": F.sha2(t.norm_syntax(text), 256),
-            "line_key": F.sha2(F.array_join(t.trimmed_lines(text), "\n"), 256),
-        }
-    )
+LEVELS = ("raw", "ws", "syn", "shape")
+RARITY_BUCKETS = 16_384
+
+
+def _digest(c: Column) -> Column:
+    """The first 128 bits of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(c, 256), 1, 32))
+
+
+def _prepared(df: DataFrame, code: str) -> DataFrame:
+    """Every text with a digest per comparison level and its lines cut into tokens, once, in the shared folder."""
+    ids = [c for c in df.columns if c != code]
+    cut = df.select(*ids, F.coalesce(code, F.lit("")).alias("code")).withColumn("features", t.line_features(F.col("code")))
+    shapes = F.array_join(F.transform("features", lambda f: f["shape"]), "\n")
+    lines = F.array_join(t.trimmed_lines(F.col("code")), "\n")
+    return checkpointed(
+        cut.select(
+            *ids, "features", F.size("features").alias("n_lines"),
+            _digest(F.col("code")).alias("raw"), _digest(t.norm_ws(F.col("code"))).alias("ws"), _digest(t.norm_syntax(F.col("code"))).alias("syn"),
+            _digest(F.concat(F.size("features").cast("string"), F.lit(" "), shapes)).alias("shape"), _digest(lines).alias("line"),
+        )
+    )
+
+
+def _texts(prepared: DataFrame) -> DataFrame:
+    """Texts of a conversation with the same trimmed lines, once."""
+    return prepared.groupBy("conv_id", "line").agg(*[F.first(c).alias(c) for c in ("syn", "shape", "n_lines", "features")])
+
+
+def _word(line: Column, slot: Column, word: Column) -> Column:
+    return F.xxhash64(line, slot, word)
+
+
+def _line_words(line: Column, f: Column) -> Column:
+    """A number per token of a line, made of its place and text."""
+    return F.transform(f["tokens"], lambda x, i: _word(line, i, x))
 
 
-def tier_matches(blocks: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Exact, whitespace and syntax matches: counts and first match per block.
+def _rarity(right: DataFrame) -> Column:
+    """How often the words of a hash bucket stand in ``right``, an array of ``RARITY_BUCKETS`` counts.
 
-    Equal text implies equal whitespace form implies equal syntax form, so the
-    snippets are aggregated at each of the three levels and a block needs one
-    row from each; the pairs are never listed.
+    Counts steer the choice of probes only: any choice finds every pair.
     """
-    b = _keys(blocks, "content").select("conv_id", "block", "raw_key", "ws_key", "syn_key")
-    s = _keys(snippets, "code").select("conv_id", "turn", "snippet_no", "role", "raw_key", "ws_key", "syn_key")
-    levels = []
-    for level in ("raw", "ws", "syn"):
-        levels.append(
-            s.groupBy("conv_id", f"{level}_key").agg(
-                F.count("*").alias(f"n_{level}"),
-                F.min(F.struct("turn", "snippet_no", "role", "raw_key", "ws_key")).alias(f"first_{level}"),
-            )
-        )
-    out = b
-    for level, side in zip(("raw", "ws", "syn"), levels):
-        out = out.join(side, ["conv_id", f"{level}_key"], "left")
-    n = lambda level: F.coalesce(F.col(f"n_{level}"), F.lit(0))
-    first = F.col("first_syn")
-    kind = (
-        F.when(first["raw_key"] == F.col("raw_key"), "exact")
-        .when(first["ws_key"] == F.col("ws_key"), "whitespace")
-        .otherwise("normalized")
-    )
-    score = F.when(kind == "exact", 100.0).when(kind == "whitespace", 95.0).otherwise(85.0)
-    return out.select(
-        "conv_id",
-        "block",
-        n("raw").alias("n_exact"),
-        (n("ws") - n("raw")).alias("n_whitespace"),
-        (n("syn") - n("ws")).alias("n_normalized"),
-        F.when(
-            first.isNotNull(),
-            F.struct(
-                first["turn"].alias("turn"),
-                first["snippet_no"].alias("snippet_no"),
-                first["role"].alias("role"),
-                score.alias("score"),
-                kind.alias("kind"),
-            ),
-        ).alias("first_tier"),
-    )
+    words = right.select(F.posexplode("features").alias("i", "f")).select(F.explode(_all_words(F.col("i"), F.col("f"))).alias("word"))
+    counts = dict(words.groupBy(_bucket(F.col("word")).alias("b")).count().collect())
+    return F.split(F.lit(",".join(str(counts.get(b, 0)) for b in range(RARITY_BUCKETS))), ",").cast("array<bigint>")
 
 
-def _line_keys(df: DataFrame, ids: list[str]) -> DataFrame:
-    """One row per (line position, shape) and (line position, token position, token)."""
-    lines = df.select(*ids, F.posexplode("features").alias("line", "f"))
-    entries = F.concat(
-        F.array(F.struct(F.lit(-1).alias("slot"), F.col("f.shape").alias("word"))),
-        F.transform("f.tokens", lambda x, i: F.struct(i.alias("slot"), x.alias("word"))),
-    )
-    return lines.select(*ids, "line", F.size("f.tokens").alias("n_tokens"), F.explode(entries).alias("e")).select(
-        *ids, "line", "n_tokens", F.col("e.slot").alias("slot"), F.xxhash64("line", "e.slot", "e.word").alias("word")
-    )
+def _bucket(word: Column) -> Column:
+    return F.pmod(word, F.lit(RARITY_BUCKETS)).cast("int")
 
 
-def fuzzy_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every pair that can reach the fuzzy threshold, without listing all pairs.
+def _all_words(line: Column, f: Column) -> Column:
+    return F.concat(F.array(_word(line, F.lit(-1), f["shape"])), _line_words(line, f))
 
-    Lines are compared by position. A pair with at least 70 % similar lines
-    shares a similar line inside ANY ``floor(0.3 n) + 1`` positions of the left
-    block, and two similar lines share their shape or a token inside ANY
-    ``floor(0.3 m) + 1`` token positions of the left line (equal squeezed text
-    implies equal tokens). The left side therefore probes only its rarest
-    positions, and common lines or words are not used as join keys unless
-    a block has nothing rarer. Hash collisions only add candidates.
+
+def _probes(features: Column, rarity: Column) -> Column:
+    """The words a text asks for: the rarest of a sufficient choice of its lines.
+
+    Lines are compared by position. A pair with at least 70 % similar lines shares a similar
+    line inside ANY ``floor(0.3 n) + 1`` positions of the text, and two similar lines share their
+    shape or a token inside ANY ``floor(0.3 m) + 1`` token positions of the line (equal
+    squeezed text implies equal tokens). Hash collisions only add candidates.
     """
-    probe = _line_keys(left, ["conv_id", "left_id", "n_lines"])
-    index = _line_keys(right, ["conv_id", "right_id", "n_lines"]).select(
-        "conv_id", "right_id", "word", F.col("n_lines").alias("right_lines")
-    )
-    seen = index.groupBy("conv_id", "word").agg(F.count("*").alias("seen"))
-    costed = probe.join(seen, ["conv_id", "word"], "left").fillna(0, ["seen"])
-    per_line = W.partitionBy("conv_id", "left_id", "line")
-    rarest = per_line.orderBy(F.col("slot") >= 0, "seen", "slot")
-    # The shape (slot -1) sorts first and is always kept.
-    chosen = costed.withColumn("nth", F.row_number().over(rarest)).where(
-        F.col("nth") <= F.floor(F.col("n_tokens") * 3 / 10) + 2
-    )
-    line_cost = (
-        chosen.groupBy("conv_id", "left_id", "n_lines", "line")
-        .agg(F.sum("seen").alias("cost"), F.collect_list(F.struct("word", "seen")).alias("words"))
-        .withColumn("nth", F.row_number().over(W.partitionBy("conv_id", "left_id").orderBy("cost", "line")))
-        .where(F.col("nth") <= F.floor(F.col("n_lines") * 3 / 10) + 1)
-    )
-    keys = (
-        line_cost.select("conv_id", "left_id", "n_lines", F.explode("words").alias("w"))
-        .where(F.col("w.seen") > 0)
-        .select("conv_id", "left_id", "n_lines", F.col("w.word").alias("word"))
-    )
-    near = (F.col("n_lines") >= F.col("right_lines") * 0.7 - 1e-9) & (
-        F.col("right_lines") >= F.col("n_lines") * 0.7 - 1e-9
-    )
-    return keys.join(index, ["conv_id", "word"]).where(near).select("conv_id", "left_id", "right_id").distinct()
+    seen = lambda w: F.get(rarity, _bucket(w))
 
+    def line(f: Column, i: Column) -> Column:
+        shape = _word(i, F.lit(-1), f["shape"])
+        ranked = F.array_sort(F.transform(_line_words(i, f), lambda w: F.struct(seen(w).alias("seen"), w.alias("word"))))
+        chosen = F.concat(F.array(F.struct(seen(shape).alias("seen"), shape.alias("word"))), F.slice(ranked, 1, F.floor(F.size(ranked) * 3 / 10).cast("int") + 1))
+        return F.struct(F.aggregate(chosen, F.lit(0).cast("long"), lambda n, w: n + w["seen"]).alias("cost"), i.alias("line"), chosen.alias("words"))
+
+    lines = F.array_sort(F.transform(features, line))
+    kept = F.slice(lines, 1, F.floor(F.size(lines) * 3 / 10).cast("int") + 1)
+    words = F.filter(F.flatten(F.transform(kept, lambda x: x["words"])), lambda w: w["seen"] > 0)
+    return F.array_distinct(F.transform(words, lambda w: w["word"]))
 
-def fuzzy_matches(blocks: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Fuzzy matches (score >= 70, syntax forms differ) per block.
 
-    Blocks and snippets with the same trimmed lines are compared once.
+def _fuzzy_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(conv_id, line, other, score) of the texts that match by their lines alone: score of 70 or more, neither equal
+    syntax form nor equal shapes, which are refused before they are paired.
+
+    The candidate join carries ids and digests only. Rare words are probed first, and what is left of
+    hot words is a join that adaptive execution can split.
     """
-    b = _keys(blocks, "content").select("conv_id", "block", "line_key", "syn_key", "content")
-    s = _keys(snippets, "code")
-    left = (
-        b.groupBy("conv_id", F.col("line_key").alias("left_id"), F.col("syn_key").alias("left_syn"))
-        .agg(F.first("content").alias("content"))
-        .withColumn("features", t.line_features(F.col("content")))
-        .withColumn("n_lines", F.size("features"))
-        .drop("content")
-    )
-    right = (
-        s.groupBy("conv_id", F.col("line_key").alias("right_id"), F.col("syn_key").alias("right_syn"))
-        .agg(
-            F.first("code").alias("code"),
-            F.count("*").alias("copies"),
-            F.min(F.struct("turn", "snippet_no", "role")).alias("first"),
-        )
-        .withColumn("features", t.line_features(F.col("code")))
-        .withColumn("n_lines", F.size("features"))
-        .drop("code")
-    )
-    # Cut into lines and tokens once: both tables feed the candidate search and the scoring.
-    left, right = checkpointed(left), checkpointed(right)
-    pairs = fuzzy_candidates(left, right)
-    scored = (
-        pairs.join(left.select("conv_id", "left_id", "left_syn", F.col("features").alias("lf")), ["conv_id", "left_id"])
-        .join(
-            right.select("conv_id", "right_id", "right_syn", "copies", "first", F.col("features").alias("rf")),
-            ["conv_id", "right_id"],
-        )
-        .where(F.col("left_syn") != F.col("right_syn"))
-        .withColumn("score", t.fuzzy_score(F.col("lf"), F.col("rf")))
-        .where(F.col("score") >= FUZZY_MIN)
+    rarity = _rarity(right)
+    texts, others = _texts(left), _texts(right)
+    keys = ["conv_id", "line", "syn", "shape", "n_lines"]
+    asked = texts.select(*keys, F.explode(_probes(F.col("features"), rarity)).alias("word"))
+    index = others.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.posexplode("features").alias("i", "f")).select(
+        *[f"r_{k}" for k in keys], F.explode(_all_words(F.col("i"), F.col("f"))).alias("word")
     )
-    per_text = scored.groupBy("conv_id", "left_id").agg(
-        F.sum("copies").alias("n_fuzzy"),
-        F.max("score").alias("best_fuzzy"),
-        F.min(
-            F.struct(
-                F.col("first.turn").alias("turn"),
-                F.col("first.snippet_no").alias("snippet_no"),
-                F.col("first.role").alias("role"),
-                F.col("score").alias("score"),
-                F.lit("fuzzy").alias("kind"),
-            )
-        ).alias("first_fuzzy"),
-    )
-    return b.select("conv_id", "block", F.col("line_key").alias("left_id")).join(per_text, ["conv_id", "left_id"])
+    same = (F.col("conv_id").eqNullSafe(F.col("r_conv_id"))) & (asked.word == index.word)
+    apart = (F.col("syn") != F.col("r_syn")) & (F.col("shape") != F.col("r_shape"))
+    near = (F.col("n_lines") >= F.col("r_n_lines") * 0.7 - 1e-9) & (F.col("r_n_lines") >= F.col("n_lines") * 0.7 - 1e-9)
+    pairs = asked.join(index, same & apart & near).select("conv_id", "line", F.col("r_line").alias("other")).distinct()
+    own = texts.select("conv_id", "line", F.col("features").alias("lf"))
+    far = others.select("conv_id", F.col("line").alias("other"), F.col("features").alias("rf"))
+    scored = pairs.join(own, ["conv_id", "line"]).join(far, ["conv_id", "other"])
+    return scored.withColumn("score", t.fuzzy_score(F.col("lf"), F.col("rf"))).where(F.col("score") >= FUZZY_MIN).select("conv_id", "line", "other", "score")
+
+
+def _by_level(prepared: DataFrame, levels: tuple[str, ...], *others: str) -> DataFrame:
+    """A row per level of every text, under its digest there; ``both`` stands for equal shapes and syntax forms."""
+    key = lambda level: F.concat("shape", "syn") if level == "both" else F.col(level)
+    each = F.array(*[F.struct(F.lit(level).alias("level"), key(level).alias("key")) for level in levels])
+    return prepared.select("conv_id", *others, F.inline(each))
+
+
+def _kind(own: str, first: Column) -> Column:
+    """How a snippet of the same syntax form matches the text of this row."""
+    return F.when(first["raw"] == F.col(f"{own}raw"), "exact").when(first["ws"] == F.col(f"{own}ws"), "whitespace").when(first["syn"] == F.col(f"{own}syn"), "normalized")
+
+
+def _score(kind: Column) -> Column:
+    return F.when(kind == "exact", 100.0).when(kind == "whitespace", 95.0).when(kind == "normalized", 85.0)
 
 
 def match_blocks(blocks: DataFrame, snippets: DataFrame) -> DataFrame:
     """All match levels of every block: counts, best score and first match.
 
-    The structural level cannot reach its threshold and is left out.
+    Equal text implies equal whitespace form implies equal syntax form; texts whose lines have the same shapes are
+    fuzzy matches of 100. At these levels snippets are aggregated per digest and a block needs
+    one row from each, so no pairs are listed; pairs of other texts come from ``_fuzzy_pairs`` and join the same
+    aggregation. The structural level cannot reach its threshold and is left out.
     """
-    fuzzy = fuzzy_matches(blocks, snippets).select("conv_id", "block", "n_fuzzy", "best_fuzzy", "first_fuzzy")
-    n_fuzzy = F.coalesce("n_fuzzy", F.lit(0))
+    return _matched(*_both_prepared(blocks, snippets))
+
+
+def _both_prepared(blocks: DataFrame, snippets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = _prepared(blocks.select("conv_id", "block", "content"), "content")
+    return own, _prepared(snippets.select("conv_id", "turn", "snippet_no", "role", "code"), "code")
+
+
+def _matched(own: DataFrame, others: DataFrame) -> DataFrame:
+    place = F.struct("turn", "snippet_no", "role", "raw", "ws", "syn")
+    said = _by_level(others, (*LEVELS, "both"), "turn", "snippet_no", "role", "raw", "ws", "syn").select(
+        "conv_id", "level", "key", F.lit(1).alias("n"), F.lit(None).cast("double").alias("score"), place.alias("at")
+    )
+    first_of = others.groupBy("conv_id", F.col("line").alias("other")).agg(F.count("*").alias("n"), F.min(place).alias("at"))
+    by_lines = _fuzzy_pairs(own, others).join(first_of, ["conv_id", "other"]).select(
+        "conv_id", F.lit("line").alias("level"), F.col("line").alias("key"), F.col("n").cast("int").alias("n"), "score", F.col("at")
+    )
+    held = said.unionByName(by_lines).groupBy("conv_id", "level", "key").agg(
+        F.sum("n").alias("n"), F.max("score").alias("best"), F.min(F.struct("at", "score")).alias("first")
+    )
+    asked = _by_level(own, (*LEVELS, "both", "line"), "block", "raw", "ws", "syn")
+    hits = asked.join(held, ["conv_id", "level", "key"], "left")
+    at, level = F.col("first.at"), F.col("level")
+    tier = _kind("", at)
+    # Of snippets with the same shapes the first may have the block's own syntax form: then the tiers have it.
+    kind = F.when(level == "syn", tier).when((level == "line") | ((level == "shape") & (at["syn"] != F.col("syn"))), "fuzzy")
+    score = F.when(level == "line", F.col("first.score")).when(level == "shape", 100.0).otherwise(_score(tier))
+    first = F.when(
+        at.isNotNull() & kind.isNotNull(),
+        F.struct(at["turn"].alias("turn"), at["snippet_no"].alias("snippet_no"), at["role"].alias("role"), score.alias("score"), kind.alias("kind")),
+    )
+    n = lambda name: F.coalesce(F.max(F.when(level == name, F.col("n"))), F.lit(0).cast("long"))
+    per_block = hits.withColumn("found", first).groupBy("conv_id", "block").agg(
+        *[n(name).alias(f"_{name}") for name in (*LEVELS, "both", "line")], F.max("best").alias("_best"), F.min("found").alias("first")
+    )
+    count = {
+        "n_exact": F.col("_raw"), "n_whitespace": F.col("_ws") - F.col("_raw"), "n_normalized": F.col("_syn") - F.col("_ws"),
+        "n_fuzzy": F.col("_shape") - F.col("_both") + F.col("_line"),
+    }
+    counted = per_block.select("conv_id", "block", *[c.alias(name) for name, c in count.items()], "_best", (F.col("_shape") > F.col("_both")).alias("_shaped"), "first")
     best = F.greatest(
-        F.when(F.col("n_exact") > 0, 100.0),
+        F.when((F.col("n_exact") > 0) | F.col("_shaped"), 100.0),
         F.when(F.col("n_whitespace") > 0, 95.0),
         F.when(F.col("n_normalized") > 0, 85.0),
-        F.col("best_fuzzy"),
-    )
-    earlier = F.struct("first_fuzzy.turn", "first_fuzzy.snippet_no") < F.struct("first_tier.turn", "first_tier.snippet_no")
-    use_fuzzy = F.col("first_tier").isNull() | (F.col("first_fuzzy").isNotNull() & earlier)
-    first = F.when(use_fuzzy, F.col("first_fuzzy")).otherwise(F.col("first_tier"))
-    return (
-        tier_matches(blocks, snippets)
-        .join(fuzzy, ["conv_id", "block"], "left")
-        .select(
-            "conv_id",
-            "block",
-            "n_exact",
-            "n_whitespace",
-            "n_normalized",
-            n_fuzzy.alias("n_fuzzy"),
-            (F.col("n_exact") + F.col("n_whitespace") + F.col("n_normalized") + n_fuzzy).alias("n_matches"),
-            best.alias("best_score"),
-            first.alias("first"),
-        )
+        F.col("_best"),
     )
+    total = F.col("n_exact") + F.col("n_whitespace") + F.col("n_normalized") + F.col("n_fuzzy")
+    return counted.select("conv_id", "block", *count, total.alias("n_matches"), best.alias("best_score"), "first")
+
+
+def fuzzy_matches(blocks: DataFrame, snippets: DataFrame) -> DataFrame:
+    """Blocks with fuzzy matches (score >= 70, syntax forms differ) and their number."""
+    return match_blocks(blocks, snippets).where(F.col("n_fuzzy") > 0).select("conv_id", "block", "n_fuzzy")
+
+
+def ranked_matches(blocks: DataFrame, snippets: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` best matching snippets of every block, best score first, then earliest.
+
+    Each digest keeps its first ``k`` snippets (for shapes of each of its first ``k`` + 1 syntax forms) before a
+    block meets them, so a text that a whole conversation repeats adds ``k`` rows to a block.
+    """
+    return _ranked(*_both_prepared(blocks, snippets), k)
+
+
+def _ranked(own: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    rows = _by_level(others, (*LEVELS, "line"), "turn", "snippet_no", "role", "raw", "ws", "syn")
+    group, early = ["conv_id", "level", "key"], F.struct("turn", "snippet_no")
+    in_form = W.partitionBy(*group, "syn")
+    few = rows.withColumn("nth", F.row_number().over(in_form.orderBy("turn", "snippet_no"))).where(F.col("nth") <= k)
+    few = few.withColumn("begins", F.min(early).over(in_form)).withColumn("form", F.dense_rank().over(W.partitionBy(*group).orderBy("begins", "syn")))
+    few = few.where(F.col("form") <= k + 1).select(*group, "turn", "snippet_no", "role", *[F.col(c).alias(f"s_{c}") for c in ("raw", "ws", "syn")])
+    asked = _by_level(own, LEVELS, "block", "raw", "ws", "syn")
+    tier = F.when(F.col("s_raw") == F.col("raw"), "exact").when(F.col("s_ws") == F.col("ws"), "whitespace").when(F.col("s_syn") == F.col("syn"), "normalized")
+    equal = asked.join(few.where("level <> 'line'"), group).withColumn("kind", F.coalesce(tier, F.lit("fuzzy")))
+    found = equal.select("conv_id", "block", "turn", "snippet_no", "role", "kind", F.coalesce(_score(F.col("kind")), F.lit(100.0)).alias("score"))
+    lines = few.where("level = 'line'").select("conv_id", F.col("key").alias("other"), "turn", "snippet_no", "role")
+    fuzzy = _fuzzy_pairs(own, others).join(lines, ["conv_id", "other"]).join(own.select("conv_id", "block", "line"), ["conv_id", "line"])
+    found = found.distinct().unionByName(fuzzy.select("conv_id", "block", "turn", "snippet_no", "role", F.lit("fuzzy").alias("kind"), "score"))
+    order = W.partitionBy("conv_id", "block").orderBy(F.desc("score"), "turn", "snippet_no")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def confidence(score: Column, exact_or_ws: Column, n_matches: Column) -> Column:

@@ -294,7 +294,7 @@ def versions(spark, d):
     bad = F.col("o_orderkey") % 9 == 0
     raw = F.when(bad, F.unhex(F.lit("FFFE"))).otherwise(F.encode(text, "UTF-8"))
     return m.decoded(
-        table(spark, d, "orders").select(
+        spread_table(spark, d, "orders").select(
             F.concat(F.lit("repo_"), F.floor(k / 10)).alias("repo"), F.concat(F.lit("src/f_"), k, F.lit(".py")).alias("path"),
             F.col("o_orderkey").alias("sha"), F.base64(raw).alias("content_b64"),
         ),

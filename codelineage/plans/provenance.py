@@ -176,6 +176,17 @@ def best_match(spark, d):
     )
 
 
+@R.add(
+    "ranked_matches",
+    f"""WITH {q.MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY score DESC, turn) AS rank FROM hits)
+    SELECT conv_id, block, rank, turn, role, kind, round(score, 6) AS score FROM r WHERE rank <= 3""",
+)
+def ranked_matches(spark, d):
+    """The three best matching snippets of every block."""
+    found = p.ranked_matches(code_blocks(spark, d), sn.snippets(fenced(spark, d)), 3)
+    return found.select("conv_id", "block", "rank", "turn", "role", "kind", F.round("score", 6).alias("score"))
+
+
 @R.add(
     "attribution_summary",
     f"""WITH {ATTRIBUTED}, n AS (SELECT label, count(*) AS blocks, avg(confidence) AS c FROM attributed GROUP BY 1),
