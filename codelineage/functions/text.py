@@ -172,9 +172,12 @@ def line_jaccard(a: Column, b: Column) -> Column:
     )
 
 
-def bounded_levenshtein(a: Column, b: Column) -> Column:
-    gap = F.abs(F.length(a) - F.length(b))
-    return F.when(gap > 1000, F.greatest(F.length(a), F.length(b))).otherwise(F.levenshtein(a, b))
+def bounded_levenshtein(a: Column, b: Column, gap: int | None = None) -> Column:
+    """Edit distance; texts whose lengths differ by more than ``gap``, where given, count as wholly different."""
+    distance = F.levenshtein(a, b)
+    if gap is None:
+        return distance
+    return F.when(F.abs(F.length(a) - F.length(b)) > gap, F.greatest(F.length(a), F.length(b))).otherwise(distance)
 
 
 def word_overlap(a: Column, b: Column) -> Column:
@@ -201,64 +204,100 @@ def code_shape(c: Column) -> Column:
     return F.lower(squeeze(F.regexp_replace(c, words, "ID")))
 
 
-def shape_ratio(x: Column, y: Column) -> Column:
+def shape_ratio(x: Column, y: Column, gap: int | None = None) -> Column:
     short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
     return (
         F.when(x == y, F.lit(1.0))
         .when(F.contains(x, y) | F.contains(y, x), short / long)
-        .otherwise(1 - bounded_levenshtein(x, y) / long)
+        .otherwise(1 - bounded_levenshtein(x, y, gap) / long)
     )
 
 
-def shape_similarity(a: Column, b: Column) -> Column:
-    return shape_ratio(code_shape(a), code_shape(b))
+def shape_similarity(a: Column, b: Column, gap: int | None = None) -> Column:
+    return shape_ratio(code_shape(a), code_shape(b), gap)
 
 
-def edit_similarity(x: Column, y: Column, floor: float) -> Column:
+def edit_similarity(x: Column, y: Column, floor: float, gap: int | None = None) -> Column:
     """1 - distance / longer length, or 0 when it is below ``floor``: only a band of the table is filled."""
-    gap, long = F.abs(F.length(x) - F.length(y)), F.greatest(F.length(x), F.length(y))
+    apart, long = F.abs(F.length(x) - F.length(y)), F.greatest(F.length(x), F.length(y))
     limit = F.ceil(long * (1 - floor)).cast("int")
     distance = F.call_function("levenshtein", x, y, limit)
-    return F.when((gap > 1000) | (gap > limit), F.lit(0.0)).when(distance < 0, F.lit(0.0)).otherwise(1 - distance / long)
+    far = apart > limit if gap is None else (apart > gap) | (apart > limit)
+    return F.when(far, F.lit(0.0)).when(distance < 0, F.lit(0.0)).otherwise(1 - distance / long)
 
 
-def chat_similarity(df: DataFrame, a: str, b: str, name: str = "similarity", floor: float = 0.0) -> DataFrame:
-    """Add the similarity of a text with a chat reply; texts under 20 characters must be equal.
+COMMENT = "^(#|//|\"\"\"|''')"
+BAG = " etaoinsr(=_"
+SHAPES_MIN = 0.9
 
-    Otherwise, in order: containment of a text that is not a comment counts 1,
-    then shapes above 0.9, containment by length, edit distance when the lengths are within
-    half, and word overlap. Edit similarities below ``floor`` read as 0. The steps are separate columns, so each is
-    computed once, and the edit distances only where they decide.
+
+def chat_form(c: Column) -> Column:
+    """What the chat similarity needs of one text: squeezed text, shape, lengths, number of different words, counts of some characters."""
+    x, shape = norm_line(c), code_shape(c)
+    count = lambda text, ch: F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
+    return F.transform(
+        F.array(F.struct(x.alias("x"), shape.alias("sx"))),
+        lambda f: F.struct(
+            f["x"].alias("x"), f["sx"].alias("sx"), F.length(f["x"]).alias("n"), F.length(f["sx"]).alias("sn"),
+            F.size(F.array_distinct(F.split(f["x"], f"{WS}+"))).alias("words"),
+            F.array(*[count(f["x"], ch) for ch in BAG]).alias("bag"),
+        ),
+    )[0]
+
+
+def may_be_similar(a: Column, b: Column, floor: float) -> Column:
+    """False only where the chat similarity of two forms cannot exceed ``floor`` (0.5 or more).
+
+    Short texts must be equal; else one text holds the other, or the shapes are as long as a similarity of
+    0.9 asks for, or the lengths and the character counts leave room for the edit distance, or, for lengths
+    not within half, the numbers of different words for the overlap.
     """
-    x, y, sx, sy = (F.col(f"_{n}") for n in ("x", "y", "sx", "sy"))
-    short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    short, long = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+    lacks = lambda p, q: F.aggregate(F.zip_with(p["bag"], q["bag"], lambda i, j: F.greatest(i - j, F.lit(0))), F.lit(0), lambda n, d: n + d)
+    room = long * (1 - floor)
+    edits = (long - short < room) & (lacks(a, b) < room) & (lacks(b, a) < room)
+    overlap = (short * 2 <= long) & (F.least(a["words"], b["words"]) > F.greatest(a["words"], b["words"]) * floor)
+    shapes = F.least(a["sn"], b["sn"]) >= F.greatest(a["sn"], b["sn"]) * SHAPES_MIN
+    inside = F.contains(a["x"], b["x"]) | F.contains(b["x"], a["x"])
+    return F.when(short < 20, a["x"] == b["x"]).otherwise(shapes | edits | overlap | inside)
+
+
+def form_similarity(df: DataFrame, a: str, b: str, name: str = "similarity", floor: float = 0.0, gap: int | None = None) -> DataFrame:
+    """Add the similarity of two texts given by their forms; texts under 20 characters must be equal.
+
+    Otherwise, in order: containment of a text that is not a comment counts 1, then shapes above 0.9, containment by
+    length, edit distance when the lengths are within half, and word overlap. Edit similarities below ``floor`` read as
+    0. The steps are separate columns, so each is computed once, and the edit distances only where they decide.
+    """
+    x, y, sx, sy = F.col(a)["x"], F.col(b)["x"], F.col(a)["sx"], F.col(b)["sx"]
+    short, long = F.least(F.col(a)["n"], F.col(b)["n"]), F.greatest(F.col(a)["n"], F.col(b)["n"])
     within = F.contains(x, y) | F.contains(y, x)
-    shapes_long = F.greatest(F.length(sx), F.length(sy))
     shape = (
         F.when(sx == sy, F.lit(1.0))
-        .when(F.contains(sx, sy) | F.contains(sy, sx), F.least(F.length(sx), F.length(sy)) / shapes_long)
-        .otherwise(edit_similarity(sx, sy, 0.9))
+        .when(F.contains(sx, sy) | F.contains(sy, sx), F.least(F.length(sx), F.length(sy)) / F.greatest(F.length(sx), F.length(sy)))
+        .otherwise(edit_similarity(sx, sy, SHAPES_MIN, gap))
     )
     # Squeezed texts are one line, so "90 % of the significant lines" is containment of that line.
-    comment = "^(#|//|\"\"\"|''')"
-    known = (
-        F.when(short < 20, (x == y).cast("double"))
-        .when(within & ~x.rlike(comment) & ~y.rlike(comment), F.lit(1.0))
-    )
+    known = F.when(short < 20, (x == y).cast("double")).when(within & ~x.rlike(COMMENT) & ~y.rlike(COMMENT), F.lit(1.0))
     ratio = (
         F.when(within, short / long)
-        .when((long - short) / long < 0.5, edit_similarity(x, y, floor) if floor else 1 - bounded_levenshtein(x, y) / long)
+        .when((long - short) / long < 0.5, edit_similarity(x, y, floor, gap) if floor else 1 - bounded_levenshtein(x, y, gap) / long)
         .otherwise(word_overlap(x, y))
     )
     return (
-        df.withColumns({"_x": norm_line(F.col(a)), "_y": norm_line(F.col(b)), "_sx": code_shape(F.col(a)), "_sy": code_shape(F.col(b))})
-        .withColumn("_known", known)
+        df.withColumn("_known", known)
         .withColumn("_shape", F.when(F.col("_known").isNull(), shape))
-        .withColumn(name, F.coalesce("_known", F.when(F.col("_shape") > 0.9, F.col("_shape")).otherwise(ratio)))
-        .drop("_x", "_y", "_sx", "_sy", "_known", "_shape")
+        .withColumn(name, F.coalesce("_known", F.when(F.col("_shape") > SHAPES_MIN, F.col("_shape")).otherwise(ratio)))
+        .drop("_known", "_shape")
     )
 
 
+def chat_similarity(df: DataFrame, a: str, b: str, name: str = "similarity", floor: float = 0.0, gap: int | None = None) -> DataFrame:
+    """``form_similarity`` of two text columns."""
+    formed = df.withColumns({"_fa": chat_form(F.col(a)), "_fb": chat_form(F.col(b))})
+    return form_similarity(formed, "_fa", "_fb", name, floor, gap).drop("_fa", "_fb")
+
+
 # Requirement boilerplate patterns and prefix.
 REQUIREMENT_PREFIX = r"^[A-Z][A-Z_]{2,}:\s*"
 BOILERPLATE = (

@@ -1,8 +1,9 @@
 """Checks of texts against the assistant's replies of their conversation.
 
 ``contents`` has one row per checked text: ``conv_id``, further columns of ``text_keys``
-that tell the texts of a conversation apart, and ``content``. Every reply is compared with
-every text of its conversation; a huge conversation is split over tasks.
+that tell the texts of a conversation apart, and ``content``. Texts are brought to their form once, before
+they meet; a pair becomes a row only if lengths, counts or containment leave room for the similarity, and a
+conversation with many replies is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codelineage.functions import text as t
@@ -18,8 +20,13 @@ from codelineage.session import checkpointed
 
 SOURCED_MIN = 0.7
 SAME_GROUP_MIN = 0.9
-# Fixed value: characters of a sentence that the reference shows.
+# Characters of a sentence that the queries show, and the difference of lengths from which they take texts as wholly different.
 LONGEST_SENTENCE = 300
+LONGEST_GAP = 1000
+# Replies of a conversation that one task compares with its texts.
+TASK_REPLIES = 1024
+# First and largest number of portions of a group of texts that one round settles.
+ROUND_PORTIONS = (128, 1024)
 # Fixed value: fenced code as the chat view reads it (a line break after the language).
 CHAT_FENCE = r"(?s)```(\w+)?\n(.*?)```"
 
@@ -45,12 +52,33 @@ def reply_pieces(messages: DataFrame) -> DataFrame:
     )
 
 
-def best_sentence(df: DataFrame, keys: list[str], content: str, text: str, longest: int | None = None) -> DataFrame:
+def similar_pairs(left: DataFrame, a: str, right: DataFrame, b: str, floor: float, gap: int | None = None, task_rows: int = TASK_REPLIES) -> DataFrame:
+    """Pairs of a conversation whose texts ``a`` and ``b`` are more than ``floor`` similar, with ``similarity``.
+
+    The rows of ``right`` are dealt into parts of about ``task_rows`` by the hash of their text, and
+    ``left`` is repeated per part, so that no task holds a whole conversation.
+    """
+    parts = right.groupBy("conv_id").agg(F.ceil(F.count("*") / task_rows).cast("int").alias("_parts"))
+    dealt = right.join(parts, "conv_id").withColumn("_part", F.pmod(F.xxhash64(b), F.col("_parts")).cast("int")).drop("_parts")
+    asked = left.join(parts, "conv_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    asked, dealt = asked.withColumn("_fa", t.chat_form(F.col(a))), dealt.withColumn("_fb", t.chat_form(F.col(b)))
+    twice = {c: f"_r_{c}" for c in ("conv_id", "_part")}
+    for c, other in twice.items():
+        dealt = dealt.withColumnRenamed(c, other)
+    same = (F.col("conv_id") == F.col("_r_conv_id")) & (F.col("_part") == F.col("_r__part"))
+    pairs = asked.join(dealt, same & t.may_be_similar(F.col("_fa"), F.col("_fb"), floor))
+    scored = t.form_similarity(pairs, "_fa", "_fb", floor=floor, gap=gap)
+    return scored.where(F.col("similarity") > floor).drop("_fa", "_fb", "_part", *twice.values())
+
+
+def best_sentence(
+    df: DataFrame, keys: list[str], content: str, text: str, longest: int | None = None, gap: int | None = None
+) -> DataFrame:
     """Sentence of ``text`` most similar to ``content``, whole or its first ``longest`` characters."""
     c, x = F.col(content), F.col(text)
     sentences = F.filter(F.split(x, r"[.!?\n]+"), lambda s: F.length(t.js_trim(s)) > 10)
     each = df.select(*keys, content, F.posexplode_outer(sentences).alias("pos", "s")).where(F.col("pos").isNotNull())
-    scored = t.chat_similarity(each, content, "s", "sim").select(
+    scored = t.chat_similarity(each, content, "s", "sim", gap=gap).select(
         *keys, (-F.col("pos")).alias("early"), t.js_trim(F.col("s")).alias("s"), "sim"
     )
     best = scored.where(F.col("sim") > 0).groupBy(*keys).agg(F.max(F.struct("sim", "early", "s")).alias("b"))
@@ -67,26 +95,49 @@ def best_sentence(df: DataFrame, keys: list[str], content: str, text: str, longe
     return df.join(best, keys, "left").select(*keys, F.coalesce("b.sim", F.lit(0.0)).alias("similarity"), chosen.alias("sentence"))
 
 
-def sourced_matches(contents: DataFrame, messages: DataFrame, text_keys: tuple[str, ...] = ("conv_id",), longest: int | None = None) -> DataFrame:
+def sourced_matches(
+    contents: DataFrame, messages: DataFrame, text_keys: tuple[str, ...] = ("conv_id",), longest: int | None = None, gap: int | None = None
+) -> DataFrame:
     """Pieces more than 70 % similar to the checked text; whole replies are cut to their best sentence."""
-    pairs = reply_pieces(messages).join(contents, "conv_id")
-    scored = t.chat_similarity(pairs, "content", "piece", floor=SOURCED_MIN).where(F.col("similarity") > SOURCED_MIN)
+    scored = similar_pairs(contents, "content", reply_pieces(messages), "piece", SOURCED_MIN, gap)
     keys = [*text_keys, "turn", "piece_no"]
     whole = scored.where(F.col("kind") == "text")
-    cut = best_sentence(whole.select(*keys, "content", "piece"), keys, "content", "piece", longest)
+    cut = best_sentence(whole.select(*keys, "content", "piece"), keys, "content", "piece", longest, gap)
     portions = whole.join(cut.select(*keys, "sentence"), keys).select(*keys, "similarity", F.col("sentence").alias("portion"))
     code = scored.where(F.col("kind") != "text").select(*keys, "similarity", F.col("piece").alias("portion"))
     return code.unionByName(portions)
 
 
-def dedupe_matches(matches: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+def _representatives(block: DataFrame, keys: list[str], gap: int | None) -> DataFrame:
+    """Those of the first portions of each text that are similar to no earlier representative.
+
+    Similar pairs of a block are gathered per text, at most a block's portions squared, and settled in order.
+    """
+    same = [F.col(k) == F.col(f"_e_{k}") for k in keys]
+    earlier = block.select(*[F.col(k).alias(f"_e_{k}") for k in keys], F.col("nth").alias("before"), F.col("form").alias("_e_form"))
+    meet = (F.col("before") < F.col("nth")) & t.may_be_similar(F.col("form"), F.col("_e_form"), SAME_GROUP_MIN)
+    for condition in same:
+        meet = meet & condition
+    near = t.form_similarity(block.join(earlier, meet), "form", "_e_form", "sim", SAME_GROUP_MIN, gap).where(F.col("sim") > SAME_GROUP_MIN)
+    links = near.groupBy(*keys, "nth").agg(F.collect_list("before").alias("like"))
+    listed = block.select(*keys, "nth").join(links, [*keys, "nth"], "left").select(
+        *keys, F.struct("nth", F.coalesce("like", F.array().cast("array<int>")).alias("like")).alias("item")
+    )
+    items = listed.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    none = F.array().cast("array<int>")
+    step = lambda reps, item: F.when(F.arrays_overlap(reps, item["like"]), reps).otherwise(F.concat(reps, F.array(item["nth"])))
+    chosen = items.select(*keys, F.explode(F.aggregate("items", none, step)).alias("nth"))
+    return block.join(chosen, [*keys, "nth"])
+
+
+def dedupe_matches(matches: DataFrame, keys: tuple[str, ...] = ("conv_id",), gap: int | None = None) -> DataFrame:
     """Group matches by their first representative more than 90 % similar; keep the best per group.
 
-    Equal normalised portions always share a group and are merged first. Then,
-    round by round, the earliest open portion of every conversation becomes a
-    representative and takes the open portions similar to it. A round is one
-    aggregation and a many-to-one join, so no group is gathered in one task; every round
-    takes a portion of each conversation that has one left, so the rounds end.
+    Equal normalised portions always share a group and are merged first. A round settles the first open
+    portions of every text (128, then twice as many each time up to 1 024): those
+    similar to no earlier representative become representatives, all at once, and every
+    open portion goes to the earliest of them it is similar to. The number of rounds thus follows
+    the number of groups divided by hundreds, and no group is gathered in one task.
     """
     keys = list(keys)
     order = F.struct("turn", "piece_no")
@@ -95,34 +146,36 @@ def dedupe_matches(matches: DataFrame, keys: tuple[str, ...] = ("conv_id",)) ->
         matches.withColumn("norm", t.norm_line(F.col("portion")))
         .groupBy(*keys, "norm")
         .agg(F.min(F.struct("turn", "piece_no", "portion")).alias("first"), F.min(best).alias("best"), F.count("*").alias("copies"))
-        .select(*keys, "first.turn", "first.piece_no", "first.portion", "best", "copies")
+        .select(*keys, "first.turn", "first.piece_no", t.chat_form(F.col("first.portion")).alias("form"), "best", "copies")
     )
-    open_rows, done = checkpointed(merged), None
+    open_rows, done, (size, largest) = checkpointed(merged), None, ROUND_PORTIONS
     while True:
-        reps = open_rows.groupBy(*keys).agg(
-            F.min(order).alias("rep"), F.min_by("portion", order).alias("rep_portion")
-        )
-        compared = t.chat_similarity(open_rows.join(reps, keys), "portion", "rep_portion", "to_rep", floor=SAME_GROUP_MIN)
-        taken = (order == F.col("rep")) | (F.col("to_rep") > SAME_GROUP_MIN)
-        tested = checkpointed(compared.withColumn("taken", taken).drop("to_rep"))
-        group = tested.where("taken").groupBy(*keys, "rep").agg(
-            F.min("best").alias("best"), F.sum("copies").alias("portions")
-        )
+        first = W.partitionBy(*keys).orderBy("turn", "piece_no")
+        block = open_rows.select(*keys, "turn", "piece_no", "form").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= size)
+        reps = _representatives(block, keys, gap).select(*[F.col(k).alias(f"_r_{k}") for k in keys], order.alias("rep"), F.col("form").alias("_r_form"))
+        like = (order == F.col("rep")) | ((F.col("rep") < order) & t.may_be_similar(F.col("form"), F.col("_r_form"), SAME_GROUP_MIN))
+        for k in keys:
+            like = like & (F.col(k) == F.col(f"_r_{k}"))
+        met = open_rows.select(*keys, "turn", "piece_no", "form").join(reps, like)
+        compared = t.form_similarity(met, "form", "_r_form", "to_rep", SAME_GROUP_MIN, gap)
+        taken = compared.where((order == F.col("rep")) | (F.col("to_rep") > SAME_GROUP_MIN))
+        home = taken.groupBy(*keys, "turn", "piece_no").agg(F.min("rep").alias("rep"))
+        tested = checkpointed(open_rows.join(home, [*keys, "turn", "piece_no"], "left"))
+        group = tested.where("rep is not null").groupBy(*keys, "rep").agg(F.min("best").alias("best"), F.sum("copies").alias("portions"))
         done = group if done is None else done.unionByName(group)
-        open_rows = tested.where(~F.col("taken")).drop("rep", "rep_portion", "taken")
+        open_rows, size = tested.where("rep is null").drop("rep"), min(2 * size, largest)
         if open_rows.isEmpty():
             return done.select(
                 *keys, F.col("rep.turn").alias("turn"), F.col("rep.piece_no").alias("piece_no"),
                 (-F.col("best.low")).alias("similarity"), F.col("best.portion").alias("portion"), "portions",
-            )
+            )
 
 
-def assistant_sourced(contents: DataFrame, messages: DataFrame, text_keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+def assistant_sourced(contents: DataFrame, messages: DataFrame, text_keys: tuple[str, ...] = ("conv_id",), gap: int | None = None) -> DataFrame:
     """Per checked text: overall similarity (the best group) and whether it came from the assistant."""
     keys = list(text_keys)
-    best = sourced_matches(contents, messages, text_keys).groupBy(*keys).agg(
-        F.max("similarity").alias("best"), F.count("*").alias("matches")
-    )
+    found = similar_pairs(contents, "content", reply_pieces(messages), "piece", SOURCED_MIN, gap)
+    best = found.groupBy(*keys).agg(F.max("similarity").alias("best"), F.count("*").alias("matches"))
     overall = F.coalesce("best", F.lit(0.0))
     return contents.join(best, keys, "left").select(
         *keys, overall.alias("overall_similarity"), (overall > SOURCED_MIN).alias("is_assistant_sourced"),
@@ -133,15 +186,19 @@ def assistant_sourced(contents: DataFrame, messages: DataFrame, text_keys: tuple
 def first_appearance(
     contents: DataFrame,
     snippets: DataFrame,
-    similarity: Callable[..., DataFrame] = t.chat_similarity,
+    similarity: Callable[..., DataFrame] | None = None,
     text_keys: tuple[str, ...] = ("conv_id",),
+    gap: int | None = None,
 ) -> DataFrame:
     """Earliest snippet of the conversation more than 70 % similar to the checked text.
 
-    ``similarity(df, a, b, name, floor)`` adds the measure as a column; any other can be passed.
+    ``similarity(df, a, b, name, floor)`` adds another measure as a column; it is then asked for every pair.
     """
-    scored = similarity(snippets.join(contents, "conv_id"), "content", "code", "similarity", floor=SOURCED_MIN)
-    near = scored.where(F.col("similarity") > SOURCED_MIN)
+    if similarity is None:
+        near = similar_pairs(contents, "content", snippets, "code", SOURCED_MIN, gap)
+    else:
+        scored = similarity(snippets.join(contents, "conv_id"), "content", "code", "similarity", floor=SOURCED_MIN)
+        near = scored.where(F.col("similarity") > SOURCED_MIN)
     return near.groupBy(*text_keys).agg(F.min(F.struct("turn", "snippet_no", "role")).alias("f")).select(
         *text_keys, F.col("f.turn").alias("first_turn"), F.col("f.role").alias("first_role")
     )

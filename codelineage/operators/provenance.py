@@ -189,11 +189,11 @@ def _probes(features: Column, rarity: Column) -> Column:
 
     def line(f: Column, i: Column) -> Column:
         shape = _word(i, F.lit(-1), f["shape"])
-        ranked = F.array_sort(F.transform(_line_words(i, f), lambda w: F.struct(seen(w).alias("seen"), w.alias("word"))))
+        ranked = F.sort_array(F.transform(_line_words(i, f), lambda w: F.struct(seen(w).alias("seen"), w.alias("word"))))
         chosen = F.concat(F.array(F.struct(seen(shape).alias("seen"), shape.alias("word"))), F.slice(ranked, 1, F.floor(F.size(ranked) * 3 / 10).cast("int") + 1))
         return F.struct(F.aggregate(chosen, F.lit(0).cast("long"), lambda n, w: n + w["seen"]).alias("cost"), i.alias("line"), chosen.alias("words"))
 
-    lines = F.array_sort(F.transform(features, line))
+    lines = F.sort_array(F.transform(features, line))
     kept = F.slice(lines, 1, F.floor(F.size(lines) * 3 / 10).cast("int") + 1)
     words = F.filter(F.flatten(F.transform(kept, lambda x: x["words"])), lambda w: w["seen"] > 0)
     return F.array_distinct(F.transform(words, lambda w: w["word"]))

@@ -8,6 +8,7 @@ from codelineage.functions import text as t
 from codelineage.operators import files as f
 from codelineage.operators import provenance as p
 from codelineage.operators import reports
+from codelineage.operators.chat import LONGEST_GAP
 from codelineage.operators import snippets as sn
 from codelineage.plans import sqltext as q
 from codelineage.plans.base import Registry
@@ -162,7 +163,7 @@ def shape_sim(spark, d):
     own = messages(spark, d).select("conv_id", F.col("turn").alias("block"), "text")
     both = code_blocks(spark, d).join(own, ["conv_id", "block"])
     fold = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
-    return both.select("conv_id", "block", F.round(t.shape_similarity(fold("content"), fold("text")), 6).alias("score"))
+    return both.select("conv_id", "block", F.round(t.shape_similarity(fold("content"), fold("text"), LONGEST_GAP), 6).alias("score"))
 
 
 # DuckDB counts bytes, so both sides fold other characters to one ASCII mark.
@@ -176,7 +177,7 @@ def shape_sim(spark, d):
 def bounded_lev(spark, d):
     both = _block_with_prompt(spark, d)
     fold = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
-    return both.select("conv_id", "block", t.bounded_levenshtein(fold("content"), fold("prompt")).alias("distance"))
+    return both.select("conv_id", "block", t.bounded_levenshtein(fold("content"), fold("prompt"), LONGEST_GAP).alias("distance"))
 
 
 @R.add(

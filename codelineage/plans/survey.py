@@ -32,25 +32,25 @@ def checked_texts(spark, d):
 
 @R.add("assistant_sourced")
 def assistant_sourced(spark, d):
-    out = ch.assistant_sourced(checked_texts(spark, d), messages(spark, d), TEXT)
+    out = ch.assistant_sourced(checked_texts(spark, d), messages(spark, d), TEXT, ch.LONGEST_GAP)
     return out.withColumn("overall_similarity", F.round("overall_similarity", 6))
 
 
 @R.add("match_dedupe")
 def match_dedupe(spark, d):
-    matches = ch.sourced_matches(checked_texts(spark, d), code_chat(spark, d), TEXT, ch.LONGEST_SENTENCE)
-    return ch.dedupe_matches(matches, TEXT).withColumn("similarity", F.round("similarity", 6))
+    matches = ch.sourced_matches(checked_texts(spark, d), code_chat(spark, d), TEXT, ch.LONGEST_SENTENCE, ch.LONGEST_GAP)
+    return ch.dedupe_matches(matches, TEXT, ch.LONGEST_GAP).withColumn("similarity", F.round("similarity", 6))
 
 
 @R.add("best_sentence")
 def best_sentence(spark, d):
     pairs = messages(spark, d).where("role = 'assistant'").join(checked_texts(spark, d), "conv_id")
-    return ch.best_sentence(pairs, [*TEXT, "turn"], "content", "text", ch.LONGEST_SENTENCE).withColumn("similarity", F.round("similarity", 6))
+    return ch.best_sentence(pairs, [*TEXT, "turn"], "content", "text", ch.LONGEST_SENTENCE, ch.LONGEST_GAP).withColumn("similarity", F.round("similarity", 6))
 
 
 @R.add("first_appearance")
 def first_appearance(spark, d):
-    return ch.first_appearance(checked_texts(spark, d), sn.snippets(code_chat(spark, d)), text_keys=TEXT)
+    return ch.first_appearance(checked_texts(spark, d), sn.snippets(code_chat(spark, d)), text_keys=TEXT, gap=ch.LONGEST_GAP)
 
 
 # --- survey ----------------------------------------------------------------------

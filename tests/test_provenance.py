@@ -172,7 +172,8 @@ def test_shape_similarity(spark):
 
 def test_bounded_levenshtein(spark):
     assert one(spark, t.bounded_levenshtein, "kitten", "sitting") == 3
-    assert one(spark, t.bounded_levenshtein, "a" * 1002, "a") == 1002
+    assert one(spark, t.bounded_levenshtein, "a" * 1002, "a") == 1001
+    assert one(spark, lambda a, b: t.bounded_levenshtein(a, b, 1000), "a" * 1002, "a") == 1002
 
 
 def test_clean_requirement(spark):
@@ -289,6 +290,84 @@ def test_match_groups_keep_the_best(spark):
     assert got == {(1, 0): (0.95, 3), (1, 2): (0.9, 1), (2, 0): (0.75, 1)}
 
 
+def chat_texts(rng, n):
+    """Texts of all kinds: code, prose, comments, copies with edits, parts of one another."""
+    words = ["alpha", "beta", "return", "x", "(", "'lit'", "# c", "\n", "if", "42", "gamma_delta", "und", "the"]
+    out = []
+    while len(out) < n:
+        if out and rng.random() < 0.6:
+            parts = rng.choice(out).split(" ")
+            for _ in range(rng.choice([0, 1, 2, 5])):
+                parts[rng.randrange(len(parts))] = rng.choice(words)
+            parts = parts[: rng.choice([len(parts), len(parts), max(1, len(parts) // 2)])]
+            parts = ["# " + parts[0], *parts[1:]] if rng.random() < 0.1 else parts
+        else:
+            parts = [rng.choice(words) for _ in range(rng.choice([1, 3, 6, 12]))]
+        out.append(" ".join(parts))
+    return out
+
+
+@pytest.mark.parametrize("task_rows", [7, 1024])
+def test_similar_pairs_are_those_of_the_double_loop(spark, task_rows):
+    rng = random.Random(9)
+    left = [(c, i, x) for c in (1, 2) for i, x in enumerate(chat_texts(rng, 30))]
+    right = [(c, i, x) for c in (1, 2, 3) for i, x in enumerate(chat_texts(rng, 30) + [x for k, _, x in left if k == c][:6])]
+    a = spark.createDataFrame(left, "conv_id long, i int, a string")
+    b = spark.createDataFrame(right, "conv_id long, j int, b string")
+    got = {(r.conv_id, r.i, r.j): r.similarity for r in chat.similar_pairs(a, "a", b, "b", 0.7, task_rows=task_rows).collect()}
+    want = {(c, i, j): py_chat(x, y) for c, i, x in left for k, j, y in right if c == k and py_chat(x, y) > 0.7}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    met = a.join(b, "conv_id").withColumns({"f": t.chat_form(F.col("a")), "g": t.chat_form(F.col("b"))})
+    listed = met.where(t.may_be_similar(F.col("f"), F.col("g"), 0.7)).count()
+    assert len(want) <= listed < 0.5 * met.count()
+
+
+def py_groups(rows):
+    """First-fit groups, portion after portion: {(turn, piece): (best similarity, portions)}."""
+    reps, out = [], {}
+    for turn, piece, similarity, portion in sorted(rows):
+        norm = " ".join(portion.split()).lower()
+        home = next((r for r in reps if r[2] == norm or py_chat(r[1], portion) > 0.9), None)
+        if home is None:
+            home = ((turn, piece), portion, norm)
+            reps.append(home)
+        best, n = out.get(home[0], (0.0, 0))
+        out[home[0]] = (max(best, similarity), n + 1)
+    return out
+
+
+def test_groups_are_those_of_the_loop(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = {c: [(i, 0, round(0.7 + 0.3 * rng.random(), 3), x) for i, x in enumerate(chat_texts(rng, n))] for c, n in ((1, 26), (2, 9), (3, 1))}
+    df = spark.createDataFrame([(c, *r) for c, own in rows.items() for r in own], "conv_id long, turn long, piece_no int, similarity double, portion string")
+    for sizes in ((64, 512), (4, 16)):
+        monkeypatch.setattr(chat, "ROUND_PORTIONS", sizes)
+        got = {c: {} for c in rows}
+        for r in chat.dedupe_matches(df).collect():
+            got[r.conv_id][(r.turn, r.piece_no)] = (r.similarity, r.portions)
+        assert got == {c: py_groups(own) for c, own in rows.items()}
+
+
+def test_rounds_follow_hundreds_of_groups(spark, monkeypatch):
+    rows = [(1, i, 0, 0.8, f"piece {i}") for i in range(2000)] + [(2, 0, 0, 0.9, "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, piece_no int, similarity double, portion string")
+    calls, plain = [], chat.checkpointed
+    monkeypatch.setattr(chat, "checkpointed", lambda d: calls.append(1) or plain(d))
+    assert chat.dedupe_matches(df).count() == 2001
+    assert len(calls) - 1 < 10
+
+
+def test_long_conversation_in_parts(spark):
+    """2 000 replies against 20 texts: rows that are compared follow the matches, and several tasks share the conversation."""
+    rng = random.Random(2)
+    replies = [(1, i, " ".join(f"w{rng.randrange(9000)}" for _ in range(5 + i % 40))) for i in range(2000)]
+    texts = [(1, k, replies[k * 99][2] + " more") for k in range(20)]
+    a = spark.createDataFrame(texts, "conv_id long, k int, content string")
+    b = spark.createDataFrame(replies, "conv_id long, turn int, piece string")
+    got = {(r.k, r.turn) for r in chat.similar_pairs(a, "content", b, "piece", 0.7).select("k", "turn").collect()}
+    assert {(k, k * 99) for k in range(20)} <= got
+
+
 def test_assistant_sourced(spark):
     msgs = spark.createDataFrame(
         [(1, 0, "user", "hi"), (1, 1, "assistant", "Sure:\n```py\ndef add(a, b):\n    return a + b\n```\n"), (2, 0, "assistant", "Nothing about that topic at all.")], MSG
