@@ -12,7 +12,7 @@ from codelineage.operators.chat import LONGEST_GAP
 from codelineage.operators import snippets as sn
 from codelineage.plans import sqltext as q
 from codelineage.plans.base import Registry
-from codelineage.plans.provenance import ATTRIBUTED, BESIDE, _block_with_prompt, attributions, code_chat
+from codelineage.plans.provenance import ATTRIBUTED, BESIDE, _block_with_prompt, attributions, code_chat, fenced
 from codelineage.session import scratch_path
 from codelineage.sources.tables import code_blocks, messages, spread_table, table
 
@@ -508,8 +508,12 @@ def mixed_blocks(spark, d):
 
 
 def attributed_blocks(spark, d):
+    return placed(attributions(spark, d))
+
+
+def placed(found):
     """Attributions with a commit per conversation and a file per message."""
-    return attributions(spark, d).select(
+    return found.select(
         F.concat(F.lit("c"), "conv_id").alias("commit"), F.concat(F.lit("src/m"), "block", F.lit(".py")).alias("file_path"),
         F.concat(F.lit("f_"), "block").alias("function_name"), F.lit(0).alias("start_line"), F.col("block").alias("end_line"),
         "label", "confidence", "reason", "first_turn", "first_role", "first_score", "n_matches",
@@ -532,9 +536,41 @@ def commit_stats(spark, d):
     return reports.commit_stats(attributed_blocks(spark, d))
 
 
+def logged_blocks(spark, d):
+    """The attributions with the tag each block would get and its three best matching snippets."""
+    keys = ["conv_id", "block"]
+    found = attributions(spark, d)
+    ranked = p.ranked_matches(code_blocks(spark, d), sn.snippets(fenced(spark, d)), 3)
+    language = F.when(F.col("conv_id") % 2 == 0, "python").otherwise("go")
+    tag = f.tag_text(language, F.col("label"), F.lit("2024-05-06").cast("timestamp"))
+    return reports.with_matches(found, ranked, tuple(keys)).select(
+        F.concat(F.lit("c"), "conv_id").alias("commit"), F.concat(F.lit("src/m"), "block", F.lit(".py")).alias("file_path"),
+        F.concat(F.lit("f_"), "block").alias("function_name"), F.lit(0).alias("start_line"), F.col("block").alias("end_line"),
+        "label", "confidence", "reason", "first_turn", "first_role", "first_score", "n_matches", tag.alias("tag"), "matches",
+    )
+
+
 @R.add("commit_log")
 def commit_log(spark, d):
-    return reports.commit_log(attributed_blocks(spark, d))
+    return reports.commit_log(logged_blocks(spark, d))
+
+
+@R.add(
+    "commit_log_matches",
+    f"""WITH {ATTRIBUTED}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY score DESC, turn) AS rank FROM hits),
+    m AS (SELECT conv_id, block, rank, turn, role, kind, round(score, 6) AS score FROM r WHERE rank <= 3)
+    SELECT 'c' || a.conv_id AS commit, 'src/m' || a.block || '.py' AS file, CASE WHEN a.conv_id % 2 = 0 THEN '#' ELSE '//' END || ' @Authorship: ' || label || ' | timestamp=2024-05-06' AS tag,
+      rank, turn, role, kind, score
+    FROM attributed a LEFT JOIN m ON a.conv_id = m.conv_id AND a.block = m.block""",
+)
+def commit_log_matches(spark, d):
+    """Tags and ranked matches as they read back from the log documents."""
+    shape = "struct<commit:string,filePath:string,tag:string,matches:array<struct<rank:int,messageIndex:bigint,messageRole:string,similarityScore:double,matchType:string>>>"
+    lines = commit_log(spark, d).where("line_no > 0").select(F.from_json("line", shape).alias("e")).select("e.*")
+    return lines.select("commit", F.col("filePath").alias("file"), "tag", F.explode_outer("matches").alias("m")).select(
+        "commit", "file", "tag", "m.rank", F.col("m.messageIndex").alias("turn"), F.col("m.messageRole").alias("role"), F.col("m.matchType").alias("kind"),
+        F.col("m.similarityScore").alias("score"),
+    )
 
 
 @R.add(
@@ -558,6 +594,9 @@ def prompt_table(spark, d):
     return made.select("id", (F.length("user_prompt") - frame).alias("n"), "prompt_version")
 
 
+LOG_SCHEMA = "commit string, commitHash string, functionName string, detectedLabel string, confidenceScore double, firstMatchSource string"
+
+
 @R.add(
     "function_log",
     f"""WITH {COMMITS} SELECT commit, file_path AS "commitHash", function_name AS "functionName", label AS "detectedLabel", confidence AS "confidenceScore",
@@ -567,5 +606,4 @@ def function_log(spark, d):
     """The per-function log, appended as JSON lines and read back."""
     path = scratch_path(spark, "log")
     reports.append_log(attributed_blocks(spark, d), path)
-    schema = "commit string, commitHash string, functionName string, detectedLabel string, confidenceScore double, firstMatchSource string"
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(LOG_SCHEMA).json(path)

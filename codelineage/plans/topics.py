@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from codelineage.functions import text as t
 from codelineage.functions.ordering import stable_digest
 from codelineage.operators import evaluation as e
-from codelineage.operators import snippets as sn
 from codelineage.operators import topics as tp
 from codelineage.operators.astdelta import ast_nodes
 from codelineage.operators.provenance import first_lines
 from codelineage.plans import sqltext as q
 from codelineage.plans.base import Registry
 from codelineage.plans.code import mutation_sources
-from codelineage.plans.files import REQUIREMENTS, requirement_texts
+from codelineage.plans.files import COMMITS, LOG_SCHEMA, REQUIREMENTS, placed, requirement_texts
 from codelineage.plans.provenance import fenced
 from codelineage.session import checkpointed, scratch_path
 from codelineage.sources.tables import edited, messages, table
@@ -156,10 +155,22 @@ def stream_attribution(spark, d):
 )
 def stream_block_labels(spark, d):
     out = scratch_path(spark, "labels")
-    query = st.attribute_batches(block_stream(spark, d), sn.snippets(fenced(spark, d)), messages(spark, d), out)
+    query = st.attribute_batches(block_stream(spark, d), messages(spark, d), out, fenced(spark, d))
     return st.finished(query, spark, out).select("conv_id", "block", "label")
 
 
+@R.add(
+    "stream_function_log",
+    f"""WITH {COMMITS} SELECT commit, file_path AS "commitHash", function_name AS "functionName", label AS "detectedLabel", confidence AS "confidenceScore",
+    CASE WHEN first_turn IS NULL THEN 'not_found' WHEN first_role = 'user' THEN 'user_prompt' ELSE 'chatbot_response' END AS "firstMatchSource" FROM commits""",
+)
+def stream_function_log(spark, d):
+    """The per-function log as the stream of blocks writes it, read back."""
+    out = scratch_path(spark, "stream-log")
+    st._run(st.log_batches(block_stream(spark, d), messages(spark, d), out, placed, fenced(spark, d)))
+    return st.read_log(spark, out, LOG_SCHEMA)
+
+
 def commit_stream(spark, d):
     """Events as commits of one repository per user."""
     return st.table_stream(spark, d, "events").select(

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from codelineage.operators import provenance as p
-from codelineage.operators.reports import commit_stats
+from codelineage.operators.reports import commit_stats, log_entries
+from codelineage.operators.snippets import snippets
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,23 +38,73 @@ def _run(query: StreamingQuery) -> None:
         raise query.exception()
 
 
-def dedupe_commits(commits: DataFrame, out: str, buckets: int = 64) -> StreamingQuery:
+# Known keys: hash buckets, and runs of one level that are merged into one of the next.
+KEY_BUCKETS, RUNS = 64, 8
+
+
+def key_runs(batch_id: int, width: int = RUNS) -> list[tuple[int, int]]:
+    """The runs (level, number) that hold the keys of all batches before ``batch_id``.
+
+    Run n of level l holds batches n * width ** l and the following width ** l - 1: fewer than ``width`` runs a level.
+    """
+    out, level = [], 0
+    while batch_id:
+        out += [(level, n) for n in range(batch_id - batch_id % width, batch_id)]
+        batch_id, level = batch_id // width, level + 1
+    return out
+
+
+def _run_path(out: str, level: int, number: int) -> str:
+    return f"{out}/keys/level={level}/run={number}"
+
+
+def _read_runs(spark: SparkSession, out: str, runs: list[tuple[int, int]], schema: T.StructType) -> DataFrame:
+    paths = [_run_path(out, *run) for run in runs]
+    return spark.read.schema(schema).option("basePath", f"{out}/keys").parquet(*paths).select(*schema.names)
+
+
+def merge_runs(spark: SparkSession, out: str, batch_id: int, schema: T.StructType, width: int = RUNS) -> None:
+    """Merge full groups of runs before a batch. The names follow from the batch number, so a repeated batch writes the same runs again."""
+    level = 1
+    while batch_id and batch_id % width**level == 0:
+        number = batch_id // width**level - 1
+        parts = _read_runs(spark, out, [(level - 1, n) for n in range(number * width, (number + 1) * width)], schema)
+        merged = parts.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+        merged.parquet(_run_path(out, level, number))
+        level += 1
+
+
+def known_keys(spark: SparkSession, out: str, batch_id: int, buckets: list[int], schema: T.StructType) -> DataFrame:
+    """Keys of earlier batches in some buckets. The bucket numbers are literals, so files of others are not read."""
+    runs = key_runs(batch_id)
+    if not runs:
+        return spark.createDataFrame([], schema)
+    return _read_runs(spark, out, runs, schema).where(F.col("bucket").isin(buckets))
+
+
+def dedupe_commits(commits: DataFrame, out: str, buckets: int = KEY_BUCKETS) -> StreamingQuery:
     """Each (repo, commit) once, however late or often it is announced.
 
-    What was passed on is the table of known keys, kept in hash buckets: a batch
-    is compared with the buckets of its own keys only, and no state expires.
+    What was passed on is a table of known keys in hash buckets, written as a run per batch; runs are merged eight by
+    eight, so a bucket has a few files, whatever the history. A batch reads the buckets of its own keys only
+    (their numbers, at most ``buckets``, come to the driver), and no state expires.
     """
-    keys, schema = ["repo", "commit"], commits.schema
+    keys = ["repo", "commit"]
     spread = commits.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    known_schema = T.StructType([*spread.schema.fields, T.StructField("batch", T.LongType())])
-    _empty(commits.sparkSession, f"{out}/data/batch=-1/bucket=-1", schema)
+    schema = T.StructType([f for f in spread.schema.fields if f.name in (*keys, "bucket")])
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = batch.sparkSession.read.schema(known_schema).parquet(f"{out}/data")
-        known = known.where(F.col("batch") < batch_id).select("bucket", *keys)
+        spark = batch.sparkSession
+        merge_runs(spark, out, batch_id, schema)
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
+        known = known_keys(spark, out, batch_id, touched, schema).select("bucket", *keys)
         fresh = batch.dropDuplicates(keys).join(known, ["bucket", *keys], "left_anti")
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/batch={batch_id}")
+        data = f"{out}/data/batch={batch_id}"
+        fresh.write.mode("overwrite").parquet(data)
+        new = spark.read.schema(spread.schema).parquet(data).select(*schema.names)
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_run_path(out, 0, batch_id))
 
+    _empty(commits.sparkSession, f"{out}/data/batch=-1", spread.schema)
     return _start(spread, out, each=each)
 
 
@@ -96,23 +147,45 @@ def attribute_stream(blocks: DataFrame, lookup: DataFrame, out: str) -> Streamin
     return _start(p.label_lines(blocks, lookup), out)
 
 
-def attribute_batches(
-    blocks: DataFrame, snippets: DataFrame, messages: DataFrame, out: str
-) -> StreamingQuery:
+def _of_batch(batch: DataFrame, messages: DataFrame, chats: DataFrame) -> DataFrame:
+    """Attributions of a batch; only the chats of its own conversations are parsed."""
+    needed = batch.select("conv_id").distinct()
+    mine = lambda df: df.join(needed, "conv_id", "left_semi")
+    return p.attribute_blocks(batch, snippets(mine(chats)), mine(messages))
+
+
+def attribute_batches(blocks: DataFrame, messages: DataFrame, out: str, chats: DataFrame | None = None) -> StreamingQuery:
     """Block labels per micro-batch: a block arrives as one row, so its lines are never split over batches.
 
-    Only the chats of the conversations in the batch take part.
+    ``chats`` are the messages whose code counts, ``messages`` by default; they are filtered before they are parsed.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        needed = batch.select("conv_id").distinct()
-        mine = lambda df: df.join(needed, "conv_id", "left_semi")
-        labels = p.attribute_blocks(batch, mine(snippets), mine(messages))
+        labels = _of_batch(batch, messages, messages if chats is None else chats)
         labels.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
     return _start(blocks, out, each=each)
 
 
+def log_batches(blocks: DataFrame, messages: DataFrame, out: str, describe: Callable[[DataFrame], DataFrame], chats: DataFrame | None = None) -> StreamingQuery:
+    """The function log, written as commits arrive: one JSON line per attributed function.
+
+    ``describe`` adds commit, file, function and lines to the attributions of a batch. A batch owns its folder
+    and replaces it, so a batch that is run again leaves no double line.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        found = describe(_of_batch(batch, messages, messages if chats is None else chats))
+        log_entries(found).select("entry.*").write.mode("overwrite").json(f"{out}/log/batch={batch_id}")
+
+    return _start(blocks, out, each=each)
+
+
+def read_log(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """All lines of a log written by ``log_batches``."""
+    return spark.read.schema(schema).json(f"{out}/log").drop("batch")
+
+
 def latest_report(attributions: DataFrame, out: str) -> StreamingQuery:
     """Keeps the attributions as they come; ``read_latest`` reports on the newest commit, over all its batches."""
 

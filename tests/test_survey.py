@@ -2,11 +2,13 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelineage.operators import survey as sv
 from codelineage.sources import json_files as js
@@ -165,6 +167,53 @@ def test_dedupe_passes_late_commits_and_no_repeats(spark, tmp_path):
     assert again.count() == 15
 
 
+def test_runs_of_known_keys_cover_all_earlier_batches():
+    for width in (2, 3, 8):
+        for batch in range(200):
+            runs = st.key_runs(batch, width)
+            assert sorted(b for level, n in runs for b in range(n * width**level, (n + 1) * width**level)) == list(range(batch))
+            assert max([sum(l == level for l, _ in runs) for level, _ in runs], default=0) < width
+
+
+def test_a_batch_reads_the_files_of_its_own_buckets(spark, tmp_path):
+    out, schema = str(tmp_path), T.StructType([T.StructField(c, k) for c, k in (("repo", T.LongType()), ("commit", T.LongType()), ("bucket", T.IntegerType()))])
+    for batch in range(10):
+        st.merge_runs(spark, out, batch, schema)
+        rows = spark.createDataFrame([(batch, c, c % 6) for c in range(12)] if batch != 4 else [], schema)
+        rows.coalesce(1).write.mode("overwrite").partitionBy("bucket").parquet(st._run_path(out, 0, batch))
+    assert sorted(st.key_runs(10)) == [(0, 8), (0, 9), (1, 0)]
+    known = st.known_keys(spark, out, 10, [3], schema)
+    assert {(r.repo, r.commit) for r in known.collect()} == {(b, c) for b in range(10) for c in (3, 9) if b != 4}
+    scan = known._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ = 3", scan)
+    read = known.select(F.input_file_name().alias("f")).distinct().count()
+    assert read == 3  # one bucket of one merged and two single runs
+    assert len(list(tmp_path.glob("keys/level=*/run=*/bucket=*/*.parquet"))) == 6 * 9 + 6
+    # a repeated batch merges again without another result
+    st.merge_runs(spark, out, 8, schema)
+    assert st.known_keys(spark, out, 10, list(range(6)), schema).count() == 12 * 9
+
+
+def test_log_of_a_repeated_batch_has_no_double_line(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    messages = spark.createDataFrame([(c, 0, "assistant", f"```py\nx{c} = call({c})\n```") for c in range(3)], "conv_id long, turn long, role string, text string")
+    blocks = lambda rows: spark.createDataFrame(rows, "conv_id long, block long, content string").coalesce(1).write.mode("append").parquet(src)
+    blocks([(0, 0, "x0 = call(0)"), (1, 0, "mine = 1")])
+    describe = lambda found: found.withColumns({"commit": F.lit("c"), "file_path": F.lit("f"), "function_name": F.col("conv_id").cast("string"), "start_line": F.lit(0), "end_line": F.lit(1)})
+    run = lambda: st._run(st.log_batches(spark.readStream.schema("conv_id long, block long, content string").parquet(src), messages, out, describe))
+    read = lambda: sorted((r.functionName, r.detectedLabel) for r in st.read_log(spark, out, "functionName string, detectedLabel string").collect())
+    run()
+    first = read()
+    assert first == [("0", "LLM_GENERATED"), ("1", "HUMAN_WRITTEN")]
+    for name in ("0", ".0.crc"):  # as after a crash between the write and its commit
+        (tmp_path / "out" / "_checkpoint" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert read() == first
+    blocks([(2, 0, "x2 = call(2)")])
+    run()
+    assert read() == [*first, ("2", "LLM_GENERATED")]
+
+
 def test_latest_report_counts_a_commit_over_all_its_batches(spark, tmp_path):
     out = str(tmp_path / "out")
     columns = "commit long, ts timestamp, label string, start_line int, end_line int"
