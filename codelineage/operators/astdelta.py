@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codelineage.functions.pycode import ast_features, ast_graph
 from codelineage.functions.text import normalize_code
+from codelineage.session import checkpointed
 
 PLACE = ["node_type", "parent_type", "field", "path", "statement"]
 KEY = [*PLACE, "detail"]
@@ -236,6 +237,28 @@ def neighbor_mean(nodes: DataFrame, edges: DataFrame, value: str, rounds: int =
     return state
 
 
+def relation_mean(nodes: DataFrame, edges: DataFrame, value: str, weights: dict[str, float], rounds: int = 2, salt: int = 16) -> DataFrame:
+    """Repeated sum over relations of the weighted mean of neighbour states, added to the node's own state.
+
+    ``edges(graph, src, dst, relation)``; relations without a weight are left out. Edges and the states of
+    every round are kept in the shared folder, so a round reads the edges once. Incoming states are summed
+    per salt first, so a node with very many neighbours is aggregated in parts.
+    """
+    names = F.create_map(*[x for r, w in weights.items() for x in (F.lit(r), F.lit(float(w)))])
+    kept = checkpointed(edges.withColumn("weight", F.try_element_at(names, F.col("relation"))).where("weight is not null"))
+    state = checkpointed(nodes.select("graph", "node", F.col(value).cast("double").alias("x")))
+    for _ in range(rounds):
+        sent = kept.join(state.withColumnRenamed("node", "src"), ["graph", "src"])
+        part = sent.groupBy("graph", "dst", "relation", "weight", F.pmod(F.xxhash64("src"), F.lit(salt)).alias("salt")).agg(
+            F.sum("x").alias("s"), F.count("*").alias("c")
+        )
+        mean = part.groupBy("graph", "dst", "relation", "weight").agg((F.sum("s") / F.sum("c")).alias("m"))
+        told = mean.groupBy("graph", F.col("dst").alias("node")).agg(F.sum(F.col("weight") * F.col("m")).alias("told"))
+        moved = F.col("x") + F.coalesce("told", F.lit(0.0))
+        state = checkpointed(state.join(told, ["graph", "node"], "left").select("graph", "node", moved.alias("x")))
+    return state
+
+
 def graph_pool(state: DataFrame) -> DataFrame:
     return state.groupBy("graph").agg(F.avg("x").alias("mean_state"), F.max("x").alias("max_state"))
 

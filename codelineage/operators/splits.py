@@ -107,3 +107,11 @@ def permuted(df: DataFrame, seed: int) -> DataFrame:
     a = hash_rank(df.withColumn("_d", stable_digest("permute-a", seed, F.col("id"))), [], "_d", "id", "slot")
     b = hash_rank(df.withColumn("_d", stable_digest("permute-b", seed, F.col("id"))), [], "_d", "id", "slot")
     return a.select("slot", "id", "true_label").join(b.select("slot", "predicted_label"), "slot").drop("slot")
+
+
+def moved_columns(df: DataFrame, columns: list[str], seed: int) -> DataFrame:
+    """The same rows with the values of some columns moved to other rows: ranks of two hash orders joined."""
+    tag = "+".join(columns)
+    a = hash_rank(df.withColumn("_d", stable_digest(f"move-a-{tag}", seed, F.col("id"))), [], "_d", "id", "slot").drop("_d")
+    b = hash_rank(df.select("id", *columns).withColumn("_d", stable_digest(f"move-b-{tag}", seed, F.col("id"))), [], "_d", "id", "slot")
+    return a.drop(*columns).join(b.select("slot", *columns), "slot").select(*df.columns)

@@ -217,6 +217,40 @@ def neighbor_agg(spark, d):
     return pooled.select("graph", F.round("mean_state", 6).alias("mean_state"), F.round("max_state", 6).alias("max_state"))
 
 
+RELATIONS = {"next": 1.0, "previous": 0.5, "same_priority_next": 0.25, "same_priority_previous": 0.125}
+
+
+def _relation_round(n: int) -> str:
+    """One round over the states of the round before."""
+    return f"""m{n} AS (SELECT e.graph, e.dst AS node, relation, avg(s.v) AS m FROM edges e JOIN s{n - 1} s ON s.node = e.src AND s.graph = e.graph GROUP BY ALL),
+    t{n} AS (SELECT graph, node, sum(m * w) AS told FROM m{n} JOIN weights USING (relation) GROUP BY ALL),
+    s{n} AS (SELECT s.graph, s.node, v + coalesce(told, 0) AS v FROM s{n - 1} s LEFT JOIN t{n} t ON s.graph = t.graph AND s.node = t.node)"""
+
+
+@R.add(
+    "relation_agg",
+    f"""WITH s0 AS (SELECT o_custkey AS graph, o_orderkey AS node, o_totalprice AS v, o_orderpriority AS kind FROM orders),
+    up AS (SELECT graph, node AS src, lead(node) OVER (PARTITION BY graph ORDER BY node) AS a, lead(node) OVER (PARTITION BY graph, kind ORDER BY node) AS b FROM s0),
+    edges AS (SELECT graph, src, a AS dst, 'next' AS relation FROM up WHERE a IS NOT NULL UNION ALL SELECT graph, a, src, 'previous' FROM up WHERE a IS NOT NULL
+      UNION ALL SELECT graph, src, b, 'same_priority_next' FROM up WHERE b IS NOT NULL UNION ALL SELECT graph, b, src, 'same_priority_previous' FROM up WHERE b IS NOT NULL),
+    weights(relation, w) AS (VALUES {", ".join(f"('{r}', {w}::DOUBLE)" for r, w in RELATIONS.items())}),
+    {_relation_round(1)}, {_relation_round(2)}, {_relation_round(3)}
+    SELECT graph, round(avg(v), 4) AS mean_state, round(max(v), 4) AS max_state FROM s3 GROUP BY 1""",
+)
+def relation_agg(spark, d):
+    """Orders of a customer in two chains, of all and of equal priority, each with edges both ways; three rounds."""
+    nodes = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("graph"), F.col("o_orderkey").alias("node"), F.col("o_totalprice").alias("v"), F.col("o_orderpriority").alias("kind")
+    )
+    chain = lambda *by: F.lead("node").over(W.partitionBy("graph", *by).orderBy("node"))
+    up = nodes.select("graph", "node", chain().alias("a"), chain("kind").alias("b"))
+    edge = lambda src, dst, kind: F.when(F.col(src).isNotNull() & F.col(dst).isNotNull(), F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("relation")))
+    listed = F.array(edge("node", "a", "next"), edge("a", "node", "previous"), edge("node", "b", "same_priority_next"), edge("b", "node", "same_priority_previous"))
+    edges = up.select("graph", F.inline(F.array_compact(listed)))
+    pooled = x.graph_pool(x.relation_mean(nodes, edges, "v", RELATIONS, rounds=3))
+    return pooled.select("graph", F.round("mean_state", 4).alias("mean_state"), F.round("max_state", 4).alias("max_state"))
+
+
 @R.add(
     "vocabulary",
     """WITH t AS (SELECT event_id, event_type || '_' || CAST(json_extract_string(props, '$.k') AS INTEGER) AS value FROM events WHERE event_id % 10 < 7),

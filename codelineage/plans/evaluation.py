@@ -11,6 +11,8 @@ from codelineage.operators import evaluation as e
 from codelineage.operators import splits as s
 from codelineage.plans import sqltext as q
 from codelineage.plans.base import Registry
+from codelineage.session import scratch_path
+from codelineage.sources import json_files as js
 from codelineage.sources.tables import table
 
 R = Registry()
@@ -189,6 +191,24 @@ def topic_report(spark, d):
     return e.rounded(e.topic_report(line_predictions(spark, d)))
 
 
+@R.add(
+    "split_folder",
+    f"""WITH {LABELLED} SELECT id, split, function_name, label, row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, repo_full_name, id) AS place
+    FROM labelled""",
+)
+def split_folder(spark, d):
+    """A folder of splits with its thresholds, read as one source, labelled, written in order and read back with places."""
+    folder, ordered = scratch_path(spark, "splits"), scratch_path(spark, "ordered")
+    df = scored(spark, d).select("id", "repo_full_name", "function_name", "score", "split")
+    for name in js.SPLITS:
+        js.write_json_arrays(df.where(F.col("split") == name).drop("split"), f"{folder}/{name}.json")
+    js.write_json(e.train_thresholds(df), f"{folder}/thresholds.json")
+    rows, thresholds = js.read_splits(spark, folder, "id long, repo_full_name string, function_name string, score double")
+    labels = e.assign_labels(rows, thresholds)
+    js.write_ordered(labels, ordered, ["split_rank", "repo_full_name", "id"])
+    return js.read_ordered(spark, ordered, "id long, split string, function_name string, label string")
+
+
 @R.add(
     "external_report",
     f"""WITH {PREDICTED}, ext AS (SELECT label AS true_label, CASE WHEN k < 33 THEN 'low' WHEN k < 66 THEN 'mid' ELSE 'high' END AS predicted_label,

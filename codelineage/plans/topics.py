@@ -67,7 +67,7 @@ def topic_rows(spark, d):
 
 def assigned(spark, d):
     rows = topic_rows(spark, d)
-    model = tp.fit_topics(rows.where("is_train"))
+    model = tp.fit_topics(rows.where("is_train"), vocabulary=6000, least=3)
     return model, tp.assign_topics(model, rows)
 
 
@@ -83,14 +83,20 @@ def topic_examples(spark, d):
     return tp.topic_examples(assigned(spark, d)[1]).withColumn("weight", F.round("weight", 6))
 
 
+CLASSES = tuple(e.LABELS)
+
+
 def model_rows(spark, d):
-    """Generated functions with a requirement text; the class follows the size of the part."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_size")
+    """Generated functions with a requirement text. The class adds a point for the product line, one for the make-up of the code
+    and one by chance: neither text nor code names it, each input tells a part, none tells all."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type")
     digest = stable_digest("model-split-v1", 42, F.col("id"))
-    label = F.when(F.col("p_size") <= 17, 0).when(F.col("p_size") <= 34, 1).otherwise(2)
+    chance = F.conv(F.substring(stable_digest("model-class-v1", 42, F.col("id")), 1, 2), 16, 10).cast("int") < 32
+    line = F.col("p_type").isin("ECONOMY", "PROMO", "SMALL").cast("int")
+    rich = (F.col("id") % 4 == 0).cast("int")
+    label = F.least(F.lit(2), line + rich + chance.cast("int"))
     texts = p.select(
-        "id", F.concat_ws(" ", F.lit("Return"), "p_name", F.lit("of type"), "p_type", F.lit("level"), F.concat(F.lit("size_"), "p_size")).alias("requirement"),
-        label.alias("label_id"), (digest < "b3").alias("is_train"),
+        "id", F.concat_ws(" ", F.lit("Return"), "p_name", F.lit("of type"), "p_type").alias("requirement"), label.alias("label_id"), (digest < "b3").alias("is_train")
     )
     code = mutation_sources(spark, d).select(F.col("source_index").alias("id"), "code")
     nodes = ast_nodes(code, "code")
@@ -99,7 +105,7 @@ def model_rows(spark, d):
     return texts.join(nodes.groupBy("id").agg(words.alias("bag")), "id")
 
 
-def _predict(spark, d, blocks):
+def _fit(rows, blocks):
     stages, columns = [], []
     if "text" in blocks:
         stages += tp.text_stages("requirement", "text")
@@ -107,9 +113,12 @@ def _predict(spark, d, blocks):
     if "tree" in blocks:
         stages += tp.bag_stages("bag", "tree")
         columns.append("tree")
-    rows = model_rows(spark, d)
-    pipeline = tp.classifier(stages, columns, e.LABELS)
-    return tp.fit_predict(pipeline, rows.where("is_train"), rows.where("NOT is_train"), e.LABELS)
+    return tp.classifier(stages, columns, CLASSES).fit(rows.where("is_train"))
+
+
+def _predict(spark, d, blocks):
+    rows = checkpointed(model_rows(spark, d))
+    return tp.predicted(_fit(rows, blocks), rows.where("NOT is_train"), CLASSES)
 
 
 def _report(predictions):
@@ -131,6 +140,58 @@ def ml_fusion(spark, d):
     return _report(_predict(spark, d, ["text", "tree"]))
 
 
+MOVED = {"text moved": ["requirement"], "tree moved": ["bag"], "both moved": ["requirement", "bag"]}
+
+
+def _diagnosed(spark, d):
+    rows = checkpointed(model_rows(spark, d))
+    return tp.input_diagnostic(_fit(rows, ["text", "tree"]), rows.where("NOT is_train"), MOVED, CLASSES, 42)
+
+
+@R.add("ml_shuffled_inputs")
+def ml_shuffled_inputs(spark, d):
+    """Accuracy of the combined model on true inputs and on inputs moved to other rows, side by side."""
+    hit = (F.col("true_label") == F.col("predicted_label")).cast("int")
+    return _diagnosed(spark, d).groupBy("inputs").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))
+
+
+@R.add(
+    "ml_properties",
+    """SELECT unnest(['probabilities add up to one', 'the label has the highest probability', 'true inputs beat each moved one', 'every input is scored on all rows']) AS property, true AS holds""",
+)
+def ml_properties(spark, d):
+    """What must hold of any run of the models, whatever their weights."""
+    out = checkpointed(_diagnosed(spark, d))
+    values = F.map_values("probabilities")
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    right = lambda name: F.count_if((F.col("inputs") == name) & (F.col("true_label") == F.col("predicted_label")))
+    one = out.agg(
+        F.bool_and(F.abs(total - 1) < 1e-9).alias("sums"),
+        F.bool_and(F.array_max(values) == F.element_at("probabilities", F.col("predicted_label"))).alias("top"),
+        *[right(name).alias(name) for name in ("true", *MOVED)],
+        *[F.count_if(F.col("inputs") == name).alias(f"n {name}") for name in ("true", *MOVED)],
+    )
+    n = lambda name: F.col(f"n {name}")
+    checks = {
+        "probabilities add up to one": F.col("sums"),
+        "the label has the highest probability": F.col("top"),
+        "true inputs beat each moved one": F.col("true") > F.greatest(*[F.col(f"`{m}`") for m in MOVED]),
+        "every input is scored on all rows": (n("true") == n("text moved")) & (n("true") == n("tree moved")) & (n("true") == n("both moved")),
+    }
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("property"), c.alias("holds")) for k, c in checks.items()])))
+
+
+@R.add("ml_outside")
+def ml_outside(spark, d):
+    """Rows without a class, scored by the saved model read back from its folder; their classes come from elsewhere."""
+    rows, path = checkpointed(model_rows(spark, d)), scratch_path(spark, "model")
+    tp.save_model(_fit(rows, ["text", "tree"]), path)
+    outside = rows.where("NOT is_train").select("id", "requirement", "bag")
+    scored = tp.predicted(tp.load_model(path), outside, CLASSES)
+    truth = rows.select("id", F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("label_id") + 1).alias("true_label"))
+    return _report(scored.join(truth, "id"))
+
+
 # --- streams ------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,6 +42,38 @@ def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def read_splits(spark: SparkSession, folder: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """The splits of a folder (``train``, ``validation`` and ``test`` with ``.json``, a file or folder of JSON arrays each)
+    in the fixed order, and its checked thresholds record."""
+    parts = {name: read_json_array(spark, f"{folder}/{name}.json", schema) for name in SPLITS}
+    thresholds = spark.read.option("multiLine", True).json(f"{folder}/thresholds.json")
+    return union_splits(parts), check_thresholds(thresholds)
+
+
+def write_json_arrays(df: DataFrame, path: str, rows: int = 1000) -> None:
+    """Records as files that hold one JSON array each, of about ``rows`` records."""
+    files = max(1, -(-df.count() // rows))
+    file = F.pmod(F.xxhash64(*df.columns), F.lit(files)).alias("file")
+    arrays = df.groupBy(file).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    arrays.write.mode("errorifexists").partitionBy("file").text(path)
+
+
+def write_ordered(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Records as JSON lines in the order of the keys: files by name, lines in a file. Ranges are sorted apart, never all in one task."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("errorifexists").json(path)
+
+
+def read_ordered(spark: SparkSession, path: str, schema: StructType | str, name: str = "place") -> DataFrame:
+    """Records of ``write_ordered`` with their place, from 1. Lines are numbered inside their file, file sizes give the offsets."""
+    rows = spark.read.schema(schema).json(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")
+    )
+    before = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)  # one row a file
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy("_file").orderBy("_block", "_line"))
+    return rows.withColumn("_nth", inside).join(sizes, "_file").withColumn(name, F.col("_offset") + F.col("_nth")).drop("_file", "_block", "_line", "_nth", "_offset")
+
+
 def with_source_index(df: DataFrame, position: str = "position") -> DataFrame:
     """Running index over (split order, position in the split).
 
