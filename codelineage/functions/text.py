@@ -64,6 +64,11 @@ def norm_syntax(c: Column) -> Column:
     return reduce(lambda col, step: F.regexp_replace(col, step[0], step[1]), steps, norm_ws(c))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where a lambda in ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def split_lines(c: Column) -> Column:
     return F.split(c, "\n")
 

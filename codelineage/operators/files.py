@@ -134,18 +134,33 @@ def hunk_texts(lines: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _headers(lines: Column) -> Column:
-    """Header positions with indent, in line order."""
+def header_spans(lines: Column) -> Column:
+    """Header lines in order, each with its indent and the last line of its block.
+
+    A block ends before the next header that is not indented deeper. One pass from the last header back keeps
+    a stack of headers with rising indents, at most as many as there are levels.
+    """
     marked = F.transform(
-        lines, lambda l, i: F.struct(i.alias("pos"), indent_of(l).alias("indent"), is_header(l).alias("is_header"), l.alias("line"))
+        lines, lambda l, i: F.struct(i.alias("start"), indent_of(l).alias("indent"), is_header(l).alias("is_header"), l.alias("line"))
     )
-    return F.filter(marked, lambda x: x["is_header"])
 
+    def spans(heads: Column) -> Column:
+        none = F.struct(
+            F.expr("cast(array() AS array<struct<start:int,indent:int>>)").alias("stack"), F.array().cast("array<int>").alias("ends")
+        )
+
+        def step(acc: Column, h: Column) -> Column:
+            lower = F.filter(acc["stack"], lambda s: s["indent"] <= h["indent"])
+            end = F.coalesce(F.try_element_at(lower, F.lit(-1))["start"], F.size(lines)) - 1
+            own = F.array(F.struct(h["start"].alias("start"), h["indent"].alias("indent")))
+            stack = F.concat(F.filter(lower, lambda s: s["indent"] < h["indent"]), own)
+            return F.struct(stack.alias("stack"), F.concat(acc["ends"], F.array(end)).alias("ends"))
+
+        ends = F.aggregate(F.reverse(heads), none, step, lambda acc: F.reverse(acc["ends"]))
+        whole = lambda h, e: F.struct(h["start"].alias("start"), h["indent"].alias("indent"), h["line"].alias("line"), e.alias("end"))
+        return F.zip_with(heads, ends, whole)
 
-def block_end(lines: Column, heads: Column, start: Column, indent: Column) -> Column:
-    """Line before the next header that is not indented deeper, else the last line."""
-    later = F.filter(heads, lambda h: (h["pos"] > start) & (h["indent"] <= indent))
-    return F.coalesce(F.array_min(F.transform(later, lambda h: h["pos"])) - 1, F.size(lines) - 1)
+    return t.let(F.filter(marked, lambda x: x["is_header"]), spans)
 
 
 def has_tag_above(lines: Column, at: Column) -> Column:
@@ -156,6 +171,11 @@ def has_tag_above(lines: Column, at: Column) -> Column:
     return F.coalesce(F.when(blank, far.rlike(t.TAG_LINE)).otherwise(near.rlike(t.TAG_LINE)), F.lit(False))
 
 
+def tags_above(lines: Column) -> Column:
+    """``has_tag_above`` of every line, in one array."""
+    return F.transform(lines, lambda _, i: has_tag_above(lines, i))
+
+
 def tag_line_above(lines: Column, at: Column) -> Column:
     """Position of the tag found by the same look-back, with the strict tag pattern."""
     near, far = F.when(at >= 1, F.get(lines, at - 1)), F.when(at >= 2, F.get(lines, at - 2))
@@ -164,74 +184,89 @@ def tag_line_above(lines: Column, at: Column) -> Column:
 
 
 def function_blocks(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """All function and class blocks of a file; blocks nested in an earlier block are skipped."""
-    lines, heads = F.col("_lines"), F.col("_heads")
-    spans = F.transform(
-        heads,
-        lambda h: F.struct(
-            h["pos"].alias("start"), block_end(lines, heads, h["pos"], h["indent"]).alias("end"), h["line"].alias("line")
-        ),
-    )
-    empty = F.slice(spans, 1, 0)
+    """All function and class blocks of a file; blocks nested in an earlier block are skipped.
+
+    A header opens an outer block exactly if no header before it is indented less. Only finished blocks
+    leave the file's row.
+    """
+    lines = F.col("_lines")
+    none = F.struct(F.lit(2**31 - 1).alias("low"), F.slice("_spans", 1, 0).alias("kept"))
     outer = F.aggregate(
-        spans,
-        F.struct(empty.alias("kept"), F.lit(-1).alias("upto")),
+        "_spans",
+        none,
         lambda acc, s: F.when(
-            s["start"] > acc["upto"],
-            F.struct(F.concat(acc["kept"], F.array(s)).alias("kept"), s["end"].alias("upto")),
+            s["indent"] <= acc["low"], F.struct(s["indent"].alias("low"), F.concat(acc["kept"], F.array(s)).alias("kept"))
         ).otherwise(acc),
         lambda acc: acc["kept"],
     )
-    rows = (
-        df.withColumn("_lines", t.split_lines(content))
-        .withColumn("_heads", _headers(lines))
-        .withColumn("_b", F.explode_outer(outer))
-        .where(F.col("_b").isNotNull())
+    block = lambda b: F.struct(
+        function_name(b["line"]).alias("function_name"), b["start"].alias("start_line"), b["end"].alias("end_line"),
+        has_tag_above(lines, b["start"]).alias("has_tag"),
+        F.array_join(F.slice(lines, b["start"] + 1, b["end"] - b["start"] + 1), "\n").alias("block"),
     )
+    cut = df.withColumn("_lines", t.split_lines(content)).withColumn("_spans", header_spans(lines)).withColumn("_blocks", F.transform(outer, block))
+    rows = cut.select(*df.columns, F.explode_outer("_blocks").alias("_b")).where(F.col("_b").isNotNull())
     b = F.col("_b")
-    body = F.array_join(F.slice(lines, b["start"] + 1, b["end"] - b["start"] + 1), "\n")
     return rows.select(
-        *df.columns,
-        function_name(b["line"]).alias("function_name"),
-        b["start"].alias("start_line"),
-        b["end"].alias("end_line"),
-        language_of(F.col(path)).alias("language"),
-        has_tag_above(lines, b["start"]).alias("has_tag"),
-        body.alias("block"),
+        *df.columns, b["function_name"].alias("function_name"), b["start_line"].alias("start_line"), b["end_line"].alias("end_line"),
+        language_of(F.col(path)).alias("language"), b["has_tag"].alias("has_tag"), b["block"].alias("block"),
     )
 
 
-def containing_function(lines: Column, at: Column) -> Column:
-    """Nearest header at or up to 50 lines above a 0-based position: (name, start, end) or null."""
-    heads = _headers(lines)
-    near = F.filter(heads, lambda h: (h["pos"] <= at) & (h["pos"] >= F.greatest(F.lit(0), at - 50)))
+def _owner(span: Column) -> Column:
+    return F.struct(function_name(span["line"]).alias("name"), span["start"].alias("start"), span["end"].alias("end"))
+
+
+def containing_function(lines: Column, at: Column, look_back: int | None = None, spans: Column | None = None) -> Column:
+    """Nearest header at or above a 0-based position, at most ``look_back`` lines where given: (name, start, end) or null.
+
+    ``spans`` are the ``header_spans`` of the lines, where a caller has them already.
+    """
+    near = F.filter(header_spans(lines) if spans is None else spans, lambda s: s["start"] <= at)
     last = F.try_element_at(near, F.lit(-1))
-    return F.when(
-        last.isNotNull(),
-        F.struct(
-            function_name(last["line"]).alias("name"), last["pos"].alias("start"),
-            block_end(lines, heads, last["pos"], last["indent"]).alias("end"),
-        ),
-    )
+    close = last.isNotNull() if look_back is None else last["start"] >= at - look_back
+    return F.when(close, _owner(last))
+
+
+def line_owners(lines: Column, spans: Column, look_back: int | None = None) -> Column:
+    """``containing_function`` of every line in one array: each header owns the lines up to the next one."""
+    nothing = F.expr("cast(null AS struct<name:string,start:int,end:int>)")
+    begin = F.coalesce(F.get(spans, F.lit(0))["start"], F.size(lines))
+
+    def own(span: Column, i: Column) -> Column:
+        upto = F.coalesce(F.get(spans, i + 1)["start"], F.size(lines))
+        reach = F.lit(None).cast("int") if look_back is None else span["start"] + look_back
+        held = lambda who: F.transform(F.sequence(span["start"], upto - 1), lambda at: F.when(F.coalesce(at <= reach, F.lit(True)), who))
+        return t.let(_owner(span), held)
 
+    return F.concat(F.array_repeat(nothing, begin), F.flatten(F.transform(spans, own)))
 
-def hunk_blocks(df: DataFrame, hunks: DataFrame, key: str) -> DataFrame:
+
+def hunk_blocks(df: DataFrame, hunks: DataFrame, key: str, look_back: int | None = None) -> DataFrame:
     """Blocks of changed hunks: the containing function, else the hunk itself (HunkAt<n>).
 
-    The 1-based hunk start is used as a 0-based position.
+    The 1-based hunk start is used as a 0-based position. A file meets the list of its hunks, so its lines
+    are not repeated per hunk.
     """
-    rows = hunks.where(F.col("n_added") > 0).join(df.select(key, t.split_lines("content").alias("lines")), key)
-    at, size = F.col("start.new_start"), F.col("start.new_count")
-    owner = F.col("owner")
-    first = F.coalesce(owner["start"], at)
-    last = F.coalesce(owner["end"], at + size - 1)
-    # slice(max(0, first), end): nothing when the span starts behind the text
-    return rows.withColumn("owner", containing_function(F.col("lines"), at)).select(
-        key, "hunk", F.coalesce(owner["name"], F.concat(F.lit("HunkAt"), at)).alias("function_name"),
-        first.alias("start_line"), last.alias("end_line"),
-        F.array_join(F.slice(F.col("lines"), F.greatest(first, F.lit(0)) + 1, F.greatest(last - first + 1, F.lit(0))), "\n").alias("block"),
-        F.col("added").alias("context"),
+    listed = hunks.where(F.col("n_added") > 0).groupBy(key).agg(
+        F.collect_list(F.struct("hunk", F.col("start.new_start").alias("at"), F.col("start.new_count").alias("size"), F.col("added").alias("context"))).alias("_hunks")
     )
+    lines = F.col("_lines")
+    files = df.select(key, t.split_lines("content").alias("_lines")).withColumn("_spans", header_spans(lines)).join(listed, key)
+
+    def block(h: Column) -> Column:
+        def with_owner(owner: Column) -> Column:
+            first, last = F.coalesce(owner["start"], h["at"]), F.coalesce(owner["end"], h["at"] + h["size"] - 1)
+            # slice(max(0, first), end): nothing when the span starts behind the text
+            text = F.array_join(F.slice(lines, F.greatest(first, F.lit(0)) + 1, F.greatest(last - first + 1, F.lit(0))), "\n")
+            return F.struct(
+                h["hunk"].alias("hunk"), F.coalesce(owner["name"], F.concat(F.lit("HunkAt"), h["at"])).alias("function_name"),
+                first.alias("start_line"), last.alias("end_line"), text.alias("block"), h["context"].alias("context"),
+            )
+
+        return t.let(containing_function(lines, h["at"], look_back, F.col("_spans")), with_owner)
+
+    return files.select(key, F.inline(F.transform("_hunks", block)))
 
 
 def block_coverage(functions: DataFrame, hunks: DataFrame, key: str) -> DataFrame:
@@ -259,59 +294,78 @@ def without_deleted(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("status") != "D")
 
 
+def _ranges(marks: Column, state: dict[str, Column], step, finish) -> Column:
+    """A fold over the marks of all lines whose result is ranges of line numbers; texts are cut out afterwards."""
+    none = F.expr("cast(array() AS array<struct<first:int,size:int>>)")
+    start = F.struct(F.lit(0).alias("i"), none.alias("done"), *[v.alias(k) for k, v in state.items()])
+    return F.aggregate(marks, start, step, finish)
+
+
+def _range(first: Column, size: Column) -> Column:
+    return F.array(F.struct(first.alias("first"), size.alias("size")))
+
+
 def sections(code: Column) -> Column:
     """Text cut before every definition line that follows some text."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    def step(acc: Column, line: Column) -> Column:
-        cut = line.rlike(SECTION) & (F.length(t.js_trim(acc["open"])) > 0)
-        done = F.when(cut, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        held = F.concat(F.when(cut, F.lit("")).otherwise(acc["open"]), line, F.lit("\n"))
-        return F.struct(done.alias("done"), held.alias("open"))
+    def cut(lines: Column) -> Column:
+        marks = F.transform(lines, lambda l: F.struct(l.rlike(SECTION).alias("cut"), (F.length(t.js_trim(l)) > 0).alias("text")))
 
-    def finish(acc: Column) -> Column:
-        tail = F.length(t.js_trim(acc["open"])) > 0
-        every = F.when(tail, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        return F.when(F.size(every) == 0, F.array(code)).otherwise(every)
+        def step(acc: Column, m: Column) -> Column:
+            here = m["cut"] & acc["text"]
+            return F.struct(
+                (acc["i"] + 1).alias("i"),
+                F.when(here, F.concat(acc["done"], _range(acc["first"], acc["i"] - acc["first"]))).otherwise(acc["done"]).alias("done"),
+                F.when(here, acc["i"]).otherwise(acc["first"]).alias("first"),
+                (m["text"] | (acc["text"] & ~here)).alias("text"),
+            )
 
-    return F.aggregate(t.split_lines(code), start, step, finish)
+        tail = lambda acc: F.when(acc["text"], F.concat(acc["done"], _range(acc["first"], acc["i"] - acc["first"]))).otherwise(acc["done"])
+        found = _ranges(marks, {"first": F.lit(0), "text": F.lit(False)}, step, tail)
+        texts = F.transform(found, lambda r: F.concat(F.array_join(F.slice(lines, r["first"] + 1, r["size"]), "\n"), F.lit("\n")))
+        return t.let(texts, lambda every: F.when(F.size(every) == 0, F.array(code)).otherwise(every))
+
+    return t.let(t.split_lines(code), cut)
 
 
 def segments(code: Column) -> Column:
     """Code cut into definitions and standalone lines, longer than 10 characters."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"),
-        F.lit(False).alias("inside"), F.lit(0).alias("base"),
-    )
-    text = lambda acc: F.array(t.js_trim(F.array_join(acc["open"], "\n")))
-
-    def step(acc: Column, line: Column) -> Column:
-        trimmed, indent = t.js_trim(line), indent_of(line)
-        blank = F.length(trimmed) == 0
-        arrow = F.contains(trimmed, F.lit("= function")) | F.contains(trimmed, F.lit("=> "))
-        opens = trimmed.rlike("^(def |class |function |async |export function)") | (
-            trimmed.rlike("^(const |let |var |export const)") & arrow
-        )
-        ends = ~blank & (indent <= acc["base"]) & ~trimmed.rlike("^(#|//|\"\"\"|''')") & (F.size(acc["open"]) > 1)
-        flushed = F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], text(acc))).otherwise(acc["done"])
-        state = lambda done, held, inside, base: F.struct(
-            done.alias("done"), held.alias("open"), inside.alias("inside"), base.alias("base")
-        )
-        none = F.array().cast("array<string>")
-        yes, no = F.lit(True), F.lit(False)
-        return (
-            F.when(blank & ~acc["inside"], acc)
-            .when(opens, state(flushed, F.array(line), yes, indent))
-            .when(acc["inside"] & ends, state(F.concat(acc["done"], text(acc), F.array(trimmed)), none, no, acc["base"]))
-            .when(acc["inside"], state(acc["done"], F.concat(acc["open"], F.array(line)), yes, acc["base"]))
-            .otherwise(state(F.concat(acc["done"], F.array(trimmed)), acc["open"], no, acc["base"]))
-        )
 
-    done = F.aggregate(
-        t.split_lines(code), start, step,
-        lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], text(acc))).otherwise(acc["done"]),
-    )
-    return F.filter(done, lambda s: F.length(t.js_trim(s)) > 10)
+    def mark(line: Column) -> Column:
+        def of(trimmed: Column) -> Column:
+            arrow = F.contains(trimmed, F.lit("= function")) | F.contains(trimmed, F.lit("=> "))
+            opens = trimmed.rlike("^(def |class |function |async |export function)") | (trimmed.rlike("^(const |let |var |export const)") & arrow)
+            return F.struct(
+                (F.length(trimmed) == 0).alias("blank"), opens.alias("opens"), indent_of(line).alias("indent"),
+                trimmed.rlike("^(#|//|\"\"\"|'')").alias("comment"),
+            )
+
+        return t.let(t.js_trim(line), of)
+
+    def cut(lines: Column) -> Column:
+        # ``size`` counts the lines of the definition that is open from ``first`` on; 0 means none is.
+        def step(acc: Column, m: Column) -> Column:
+            inside, held = acc["size"] > 0, _range(acc["first"], acc["size"])
+            ends = ~m["blank"] & (m["indent"] <= acc["base"]) & ~m["comment"] & (acc["size"] > 1)
+            alone = _range(acc["i"], F.lit(1))
+            state = lambda done, first, size, base: F.struct(
+                (acc["i"] + 1).alias("i"), done.alias("done"), first.alias("first"), size.alias("size"), base.alias("base")
+            )
+            flushed = F.when(inside, F.concat(acc["done"], held)).otherwise(acc["done"])
+            return (
+                F.when(m["blank"] & ~inside, state(acc["done"], acc["first"], acc["size"], acc["base"]))
+                .when(m["opens"], state(flushed, acc["i"], F.lit(1), m["indent"]))
+                .when(inside & ends, state(F.concat(acc["done"], held, alone), acc["first"], F.lit(0), acc["base"]))
+                .when(inside, state(acc["done"], acc["first"], acc["size"] + 1, acc["base"]))
+                .otherwise(state(F.concat(acc["done"], alone), acc["first"], F.lit(0), acc["base"]))
+            )
+
+        tail = lambda acc: F.when(acc["size"] > 0, F.concat(acc["done"], _range(acc["first"], acc["size"]))).otherwise(acc["done"])
+        found = _ranges(F.transform(lines, mark), {"first": F.lit(0), "size": F.lit(0), "base": F.lit(0)}, step, tail)
+        texts = F.transform(found, lambda r: t.js_trim(F.array_join(F.slice(lines, r["first"] + 1, r["size"]), "\n")))
+        return F.filter(texts, lambda s: F.length(s) > 10)
+
+    return t.let(t.split_lines(code), cut)
 
 
 def line_ranges(numbers: Column) -> Column:

@@ -59,25 +59,33 @@ def imports(text: Column) -> Column:
 
 
 def indented_runs(text: Column) -> Column:
-    """Runs of lines indented by four blanks or a tab; blank lines do not end a run."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, line: Column) -> Column:
-        trimmed = t.js_trim(line)
-        indented = line.rlike(r"^(?:[ \t\n\x0B\f\r]{4,}|\t+)[^ \t\n\x0B\f\r]")
-        closes = ~indented & (F.length(acc["open"]) > 0) & (F.length(trimmed) > 0)
-        done = F.when(closes, F.concat(acc["done"], F.array(t.js_trim(acc["open"])))).otherwise(acc["done"])
-        held = F.when(indented, F.concat(acc["open"], trimmed, F.lit("\n"))).when(closes, F.lit("")).otherwise(acc["open"])
-        return F.struct(done.alias("done"), held.alias("open"))
-
-    return F.aggregate(
-        t.split_lines(text),
-        start,
-        step,
-        lambda acc: F.when(
-            F.length(acc["open"]) > 0, F.concat(acc["done"], F.array(t.js_trim(acc["open"])))
-        ).otherwise(acc["done"]),
-    )
+    """Runs of lines indented by four blanks or a tab; blank lines do not end a run.
+
+    A fold finds first and last line of each run, the texts are cut out afterwards.
+    """
+
+    def cut(lines: Column) -> Column:
+        indented = lambda line: line.rlike(r"^(?:[ \t\n\x0B\f\r]{4,}|\t+)[^ \t\n\x0B\f\r]")
+        marks = F.transform(lines, lambda l: F.struct(indented(l).alias("in"), (F.length(t.js_trim(l)) > 0).alias("text")))
+        run = lambda acc: F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+        start = F.struct(
+            F.lit(0).alias("i"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.expr("cast(array() AS array<struct<first:int,last:int>>)").alias("done")
+        )
+
+        def step(acc: Column, m: Column) -> Column:
+            closes = ~m["in"] & (acc["first"] >= 0) & m["text"]
+            return F.struct(
+                (acc["i"] + 1).alias("i"),
+                F.when(closes, -1).when(m["in"] & (acc["first"] < 0), acc["i"]).otherwise(acc["first"]).alias("first"),
+                F.when(m["in"], acc["i"]).otherwise(acc["last"]).alias("last"),
+                F.when(closes, F.concat(acc["done"], run(acc))).otherwise(acc["done"]).alias("done"),
+            )
+
+        runs = F.aggregate(marks, start, step, lambda acc: F.when(acc["first"] >= 0, F.concat(acc["done"], run(acc))).otherwise(acc["done"]))
+        of = lambda r: F.filter(F.slice(lines, r["first"] + 1, r["last"] - r["first"] + 1), indented)
+        return F.transform(runs, lambda r: t.js_trim(F.array_join(F.transform(of(r), t.js_trim), "\n")))
+
+    return t.let(t.split_lines(text), cut)
 
 
 def context_code(text: Column) -> Column:

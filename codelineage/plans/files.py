@@ -282,15 +282,19 @@ def function_blocks(spark, d):
     )
 
 
+# Fixed value: lines above a place where the queries look for its function.
+LOOK_BACK = 50
+
+
 @R.add(
     "containing_function",
     f"""WITH {FILES}, h AS (SELECT id, n, {NAME} AS name FROM heads WHERE is_header)
     SELECT l.id, l.n AS at, (SELECT arg_max(name, n) FROM h WHERE h.id = l.id AND h.n <= l.n AND h.n >= l.n - 50) AS name FROM flines l""",
 )
 def containing_function(spark, d):
-    rows = source_files(spark, d).select("id", t.split_lines("content").alias("lines"))
-    each = rows.select("id", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("at"))
-    return each.select("id", "at", f.containing_function(F.col("lines"), F.col("at"))["name"].alias("name"))
+    rows = source_files(spark, d).select("id", t.split_lines("content").alias("lines")).withColumn("spans", f.header_spans(F.col("lines")))
+    owners = f.line_owners(F.col("lines"), F.col("spans"), LOOK_BACK)
+    return rows.select("id", F.posexplode(owners).alias("at", "owner")).select("id", "at", F.col("owner.name").alias("name"))
 
 
 @R.add(
@@ -300,8 +304,7 @@ def containing_function(spark, d):
 )
 def tag_above(spark, d):
     rows = source_files(spark, d).select("id", t.split_lines("content").alias("lines"))
-    each = rows.select("id", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("at"))
-    return each.select("id", "at", f.has_tag_above(F.col("lines"), F.col("at")).alias("has_tag"))
+    return rows.select("id", F.posexplode(f.tags_above(F.col("lines"))).alias("at", "has_tag"))
 
 
 DIFFS = f"""{FILES}, o AS (SELECT id, unnest(string_split(old, chr(10))) AS line, unnest(range(0, len(string_split(old, chr(10))))) AS n FROM files),
@@ -364,7 +367,7 @@ def block_coverage(spark, d):
     plain = F.regexp_replace("content", "(def|class|async) ", "text ")
     files = files.withColumn("content", F.when(F.col("id") % 3 == 0, plain).otherwise(F.col("content")))
     diff = files.select("id", f.positional_diff(F.col("old"), F.col("content")).alias("diff"))
-    hunks = f.hunk_blocks(files, f.hunk_texts(f.diff_lines(diff, "id", "diff"), "id"), "id")
+    hunks = f.hunk_blocks(files, f.hunk_texts(f.diff_lines(diff, "id", "diff"), "id"), "id", LOOK_BACK)
     return f.block_coverage(f.function_blocks(files), hunks, "id")
 
 

@@ -1,6 +1,8 @@
 """Diffs, blocks, sections, tags and logs on small files."""
 
 import json
+import re
+import random
 
 from pyspark.sql import functions as F
 
@@ -62,8 +64,34 @@ def test_hunk_falls_back_when_the_header_is_late(spark):
 def test_containing_function_looks_back_fifty_lines(spark):
     lines = "def far():\n" + "\n".join("x" for _ in range(60))
     df = spark.createDataFrame([(lines,)], "c string").select(t.split_lines("c").alias("l"))
-    got = df.select(*[f.containing_function(F.col("l"), F.lit(n))["name"].alias(f"n{n}") for n in (0, 50, 51)]).first()
-    assert tuple(got) == ("far", "far", None)
+    at = lambda n, back: f.containing_function(F.col("l"), F.lit(n), back)["name"].alias(f"n{n}")
+    assert tuple(df.select(*[at(n, 50) for n in (0, 50, 51)]).first()) == ("far", "far", None)
+    assert tuple(df.select(*[at(n, None) for n in (0, 50, 60)]).first()) == ("far", "far", "far")
+    owners = df.withColumn("s", f.header_spans(F.col("l"))).select(f.line_owners(F.col("l"), F.col("s"), 50)).first()[0]
+    assert [o and o["name"] for o in owners] == ["far"] * 51 + [None] * 10
+
+
+def plain_spans(lines):
+    heads = [(i, len(l) - len(l.lstrip()), l) for i, l in enumerate(lines) if re.match(r"\s*(def|class) ", l)]
+    return [(i, next((j - 1 for j, other, _ in heads if j > i and other <= indent), len(lines) - 1)) for i, indent, _ in heads]
+
+
+def test_extents_of_a_long_file(spark):
+    rng = random.Random(6)
+    lines = [" " * (2 * rng.randrange(6)) + rng.choice(["def f():", "class K:", "x = 1", "", "y"]) for _ in range(6000)]
+    df = spark.createDataFrame([("a.py", "\n".join(lines))], "path string, content string")
+    got = [(s["start"], s["end"]) for s in df.select(f.header_spans(t.split_lines("content"))).first()[0]]
+    want = plain_spans(lines)
+    assert got == want
+    outer, upto = [], -1
+    for start, end in want:
+        if start > upto:
+            outer.append((start, end, "\n".join(lines[start : end + 1])))
+            upto = end
+    assert [(r.start_line, r.end_line, r.block) for r in f.function_blocks(df).orderBy("start_line").collect()] == outer
+    cut = df.select(f.sections(F.col("content"))).first()[0]
+    assert "".join(cut) == "\n".join(lines) + "\n" and len(cut) > 1000
+    assert sum(map(len, df.select(f.segments(F.col("content"))).first()[0])) > 10_000
 
 
 def test_sections_and_segments(spark):
