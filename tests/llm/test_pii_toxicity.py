@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -163,3 +164,34 @@ def test_isotonic_means_rise_and_keep_the_total():
     assert (np.diff(starts) > 0).all() and (np.diff(values) > 0).all()
     at = np.searchsorted(starts, raw, side="right") - 1
     assert abs(values[at].sum() - y.sum()) < 1e-6
+
+
+def test_query_over_its_table_against_the_plain_patterns(spark):
+    """Counts, digest and presence of the rules' spans for every document, by the patterns and checks alone."""
+    from codelineage.llm.queries import op5_pii
+
+    def valid(k, x):
+        digits = re.sub("[^0-9]", "", x)
+        if k == 1:
+            return all(int(n) <= 255 for n in x.split("."))
+        if k == 2:
+            odd = sum(int(c) for c in digits[::-1][::2]) + sum(sum(divmod(2 * int(c), 10)) for c in digits[::-1][1::2])
+            return 14 <= len(digits) <= 19 and odd % 10 == 0
+        return k == 0 or 10 <= len(digits) <= 15
+
+    sf, kinds = "/root/testdata/sf0.001", ("email", "ip", "card", "phone")
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = r.text or ""
+        found = sorted((m.start(), k, m.end()) for k, p in enumerate(PLAIN) for m in re.finditer(p, text) if valid(k, m[0]))
+        want[r.doc_id] = ([sum(k == n for _, k, _ in found) for n in range(4)], ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in found))
+    rows = op5_pii(spark, sf).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        counts, base = want[r.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(base.split(",")) - {""} <= set(spans)
+        place = [(int(a), kinds.index(k), int(b)) for k, a, b in (x.split(":") for x in spans)]
+        assert place == sorted(place) and len(place) == len(set(place))
