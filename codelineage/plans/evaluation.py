@@ -567,8 +567,7 @@ def quota_batch(spark, d):
 @R.add("batch_complement", f"WITH {QUOTAS} SELECT id, split, category FROM picked WHERE NOT selected")
 def batch_complement(spark, d):
     picked = s.quota_batch(operator_rows(spark, d), quotas(spark, d), SEED)
-    rows = operator_rows(spark, d)
-    return rows.join(picked.where("selected").select("id"), "id", "left_anti")
+    return picked.where("NOT selected").select("id", "split", "category")
 
 
 @R.add(

@@ -253,13 +253,13 @@ def json_roundtrip(spark, d):
 
 @R.add("json_payload", "SELECT event_id, event_type FROM events")
 def json_payload(spark, d):
-    """Records wrapped as {"results": [...]}, one document per user and record slice, then unwrapped."""
+    """Records wrapped as {"results": [...]}, one document a file and slice of records, then unwrapped; a path that is not there adds none."""
     ev, path = table(spark, d, "events"), scratch_path(spark, "payload")
     part = F.floor(F.col("event_id") / 1000)
-    docs = ev.groupBy("user_id", part.alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("event_id", "event_type")).alias("results"))).alias("value"))
-    docs.select("value").write.text(path)
-    # One document per line here, so no multi-line parsing is needed.
-    return spark.read.schema("results array<struct<event_id:bigint,event_type:string>>").json(path).select(F.inline("results"))
+    docs = ev.groupBy(part.alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("event_id", "event_type")).alias("results"))).alias("value"))
+    docs.write.partitionBy("part").text(path)
+    record = "event_id bigint, event_type string"
+    return js.read_results(spark, path, record).unionByName(js.read_optional(spark, f"{path}-of-no-run", record))
 
 
 @R.add(
