@@ -38,6 +38,9 @@ TRAIN_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 CHUNK = 1 << 16
+# Raw bytes of archives that one reading task is meant for, and the most tasks.
+READ_BYTES = 8 << 20
+READ_TASKS = 50_000
 
 
 def with_first(pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -201,7 +204,11 @@ RECORD = T.StructType(
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives of a manifest, streamed file by file."""
+    """The records of all archives of a manifest, streamed file by file.
+
+    The number of tasks follows the raw bytes of the archives, at most one an archive: adaptive
+    execution would size tasks by the bytes of the paths.
+    """
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     schema = pa.schema(list(zip([f.name for f in RECORD], kinds)))
 
@@ -221,7 +228,9 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema=schema)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RECORD)
+    archives, raw = manifest.agg(F.count("*"), F.coalesce(F.sum("raw_bytes"), F.lit(0))).first()
+    tasks = max(1, min(archives, READ_TASKS, -(-raw // READ_BYTES)))
+    return manifest.select("path").repartition(tasks).mapInArrow(run, RECORD)
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -146,3 +146,10 @@ def test_tree_leaves_hold_every_point_once():
     leaves = kdtree.build(points, 30)
     assert sorted(np.concatenate(leaves).tolist()) == list(range(1000)) and max(map(len, leaves)) <= 30
     assert all(len(x) for x in kdtree.build(np.zeros((500, 3), np.int64), 20))
+
+
+def test_archives_are_read_by_tasks_in_proportion_to_their_bytes(spark):
+    manifest = spark.range(2000).selectExpr("concat('a', id) AS path", "10L AS records", f"{warc.ARCHIVE_BYTES}L AS raw_bytes")
+    assert warc.read_archives(manifest, "file:///nowhere").rdd.getNumPartitions() == 2000
+    small = spark.range(40).selectExpr("concat('a', id) AS path", "1L AS records", f"{warc.READ_BYTES // 8}L AS raw_bytes")
+    assert warc.read_archives(small, "file:///nowhere").rdd.getNumPartitions() == 5
