@@ -141,5 +141,5 @@ def test_op4_on_documents_in_several_groups(spark):
 
 
 def test_registered_queries():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in R.queries if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in R.queries if k.startswith("op")}
     assert "pipeline" in R.queries
