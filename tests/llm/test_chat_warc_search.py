@@ -148,6 +148,43 @@ def test_tree_leaves_hold_every_point_once():
     assert all(len(x) for x in kdtree.build(np.zeros((500, 3), np.int64), 20))
 
 
+def test_descent_opens_the_best_boxes_and_no_box_hides_a_hit():
+    rng = np.random.default_rng(20)
+    centres = rng.integers(-2000, 2000, (16, 5))
+    points = (centres[rng.integers(0, 16, 4000)] + rng.integers(-20, 20, (4000, 5))).astype(np.int64)
+    tree = kdtree.grow(points, 50)
+    ids, inside = tree.rows.astype(np.int64) * 3, points[tree.rows]
+    queries = points[:40]
+    bounds = kdtree.box_bounds(queries, tree.low, tree.high)
+    for node in range(len(tree.child)):
+        part = inside[tree.begin[node] : tree.end[node]]
+        assert ((part >= tree.low[node]) & (part <= tree.high[node])).all()
+        assert ((queries @ part.T).max(axis=1) <= bounds[:, node]).all()
+    for i, query in enumerate(queries):
+        names, scores, opened = kdtree.descend(tree, ids, inside, 3 * i, query, bounds[i], kdtree.LOWEST, 6)
+        every = points @ query
+        want = sorted((-int(s), 3 * j) for j, s in enumerate(every) if j != i)[:6]
+        assert [(-s, n) for s, n in sorted(zip(scores.tolist(), names.tolist()), key=lambda x: (-x[0], x[1]))] == want
+        assert opened < len(tree.child) / 3
+        kth = int(scores.min())
+        again, _, fewer = kdtree.descend(tree, ids, inside, 3 * i, query, bounds[i], kth, 6)
+        assert sorted(again.tolist()) == sorted(names.tolist()) and fewer <= opened
+        assert kdtree.descend(tree, ids, inside, 3 * i, query, bounds[i], int(bounds[i].max()) + 1, 6)[2] == 0
+
+
+def test_queries_reach_only_shards_whose_root_box_can_beat_their_bound(spark):
+    rows = [(i, [i % 7, -3]) for i in range(40)] + [(100 + i, [900 + i, 5]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, point array<bigint>").selectExpr("2 AS dims", "if(vec_id < 100, 0, 70) AS shard", "vec_id", "point")
+    trees = kdtree.plant(df)
+    assert [(t["dims"], t["shard"], t["width"]) for t in trees.orderBy("shard").collect()] == [(2, 0, 2), (2, 70, 2)]
+    asked = [(2, 0, 1, 100, [1, 0]), (2, 0, 2, 939, [1, 0]), (2, 0, 3, 940, [1, 0]), (2, 70, 4, -5, [1, 0]), (2, 70, 5, 7, [1, 0])]
+    queries = spark.createDataFrame(asked, "dims int, home int, query_id long, bound long, query array<bigint>")
+    sent = kdtree.routes(kdtree.packed(queries, "dims", "home"), trees, 71).selectExpr("shard", "explode(queries.query_id) AS q")
+    assert sorted(map(tuple, sent.collect())) == [(0, 4), (70, 1), (70, 2)]
+    hits = kdtree.meet(trees, queries.withColumn("shard", kdtree.F.lit(70)).transform(lambda d: kdtree.packed(d, "dims", "shard")), 2, 3)
+    assert sorted(map(tuple, hits.where("query_id = 1").collect())) == [(1, 138, 938), (1, 139, 939)]
+
+
 def test_archives_are_read_by_tasks_in_proportion_to_their_bytes(spark):
     manifest = spark.range(2000).selectExpr("concat('a', id) AS path", "10L AS records", f"{warc.ARCHIVE_BYTES}L AS raw_bytes")
     assert warc.read_archives(manifest, "file:///nowhere").rdd.getNumPartitions() == 2000
