@@ -3,13 +3,16 @@
 A lexicon of words and word beginnings is learnt from labelled texts by their log odds.
 Features are densities of lexicon hits, their nearness to second-person words, and
 rates of capitals, punctuation and disguised letters. The fit uses at most
-``FIT_ROWS`` labelled rows, the first in hash order, in three parts: for the lexicon, the trees
-and the calibration, so that no part sees what an earlier one has fitted. Scoring
-looks at every whole text.
+``FIT_ROWS`` labelled ids, the first in hash order, in three parts: for the lexicon, the trees
+and the calibration, so that no part sees what an earlier one has fitted. Their texts stay
+in Spark: words are counted and features taken there, and the driver gets at most
+``LEXICON_ENTRIES`` counts per kind of entry and a row of features per id, whatever the lengths of the
+texts. Scoring looks at every whole text.
 
 Null and empty texts have no words and get the score of that. Equal texts get equal scores.
 Without labels of both kinds the score is a constant. An id with several labels is toxic
-if one of them is. An empty table gives no rows. Columns named like an added one are replaced.
+if one of them is; an id with several texts is fitted by the first in order of their hashes, and
+all are scored. An empty table gives no rows. Columns named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -18,16 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelineage.llm.common import map_added, text_bytes
+from codelineage.llm.common import list_array, map_added, slices, text_bytes
 from codelineage.llm.words import U, find_words, hash_words
+from codelineage.session import checkpointed
 
 FIT_ROWS = 8_000
-CHUNK = 300
 LEXICON_ENTRIES = 3_000
+LEAST_WORD, LEAST_START, LEAST_ODDS = 4, 6, 2.0
+LEAST_ROWS, LEAST_OF_KIND = 50, 10
 PREFIXES = (4, 5, 6)
 MARKS = "!\"#%&'()+,-./:;<=>?[\\]^_`{|}~"
 NEAR = 5
@@ -90,32 +95,57 @@ class Tokens:
         return np.bincount(self.text, values, len(self.counts))
 
 
-def _odds(pairs: np.ndarray, toxic: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of distinct (key, text) pairs: keys of ``least`` toxic texts or more with high log odds, and these odds, sorted by key."""
-    keys, at = np.unique(pairs[:, 0], return_inverse=True)
-    bad = np.bincount(at, toxic[pairs[:, 1].astype(np.int64)], len(keys))
-    good = np.bincount(at, minlength=len(keys)) - bad
-    n_bad, n_good = max(toxic.sum(), 1), max((1 - toxic).sum(), 1)
-    weight = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
-    chosen = np.flatnonzero((bad >= least) & (weight >= 2.0))
-    chosen = np.sort(chosen[np.argsort(-(weight * bad)[chosen], kind="stable")][:LEXICON_ENTRIES])
-    return keys[chosen], weight[chosen]
+def _weight(bad, good, n_bad: int, n_good: int, log=np.log):
+    """Log odds of a key in ``bad`` of ``n_bad`` toxic and ``good`` of ``n_good`` other texts; numbers, arrays or columns."""
+    return log((bad + 0.5) / (max(n_bad, 1) + 1)) - log((good + 0.5) / (max(n_good, 1) + 1))
 
 
-def chunks(texts: pa.Array):
-    """(number of the first text, texts) of a few texts at a time, to bound memory."""
-    return ((first, texts.slice(first, CHUNK)) for first in range(0, len(texts), CHUNK))
+def word_counts(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(length, key, toxic texts, other texts) of whole words (length 0) and of beginnings; a text counts once a key."""
+    tokens, parts = Tokens(texts), []
+    for n in (0, *PREFIXES):
+        hashes, which = (tokens.hashes, slice(None)) if n == 0 else tokens.beginnings(n)
+        pairs = np.unique(np.stack([hashes, tokens.text[which].astype(U)], axis=1), axis=0)
+        keys, at = np.unique(pairs[:, 0], return_inverse=True)
+        bad = np.bincount(at, toxic[pairs[:, 1].astype(np.int64)], len(keys)).astype(np.int64)
+        parts.append((np.full(len(keys), n, np.int32), keys, bad, np.bincount(at, minlength=len(keys)) - bad))
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def learn_lexicon(texts: pa.Array, toxic: np.ndarray) -> Lexicon:
-    found: dict[int, list[np.ndarray]] = {n: [np.zeros((0, 2), U)] for n in (0, *PREFIXES)}
-    for first, part in chunks(texts):
-        tokens = Tokens(part)
-        for n, distinct in found.items():
-            hashes, which = (tokens.hashes, slice(None)) if n == 0 else tokens.beginnings(n)
-            distinct.append(np.unique(np.stack([hashes, (tokens.text[which] + first).astype(U)], axis=1), axis=0))
-    words = _odds(np.concatenate(found.pop(0)), toxic, 4)
-    return Lexicon(*words, {n: _odds(np.concatenate(pairs), toxic, 6) for n, pairs in found.items()})
+def choose_entries(n: np.ndarray, keys: np.ndarray, bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> Lexicon:
+    """Of each kind the ``LEXICON_ENTRIES`` keys with high log odds that have the most weight times toxic texts."""
+    weight = _weight(bad, good, n_bad, n_good)
+
+    def entries(length: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        of = np.flatnonzero((n == length) & (bad >= least) & (weight >= LEAST_ODDS))
+        of = of[np.lexsort((keys[of], -(weight * bad)[of]))][:LEXICON_ENTRIES]
+        of = of[np.argsort(keys[of])]
+        return keys[of], weight[of]
+
+    return Lexicon(*entries(0, LEAST_WORD), {length: entries(length, LEAST_START) for length in PREFIXES})
+
+
+COUNTS = T.StructType([T.StructField("n", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("key", "bad", "good")])
+
+
+def learn_lexicon(found: DataFrame, n_bad: int, n_good: int) -> Lexicon:
+    """From (text, y) of ``n_bad`` toxic and ``n_good`` other rows: keys of several toxic texts with high log odds.
+
+    Of each kind the ``LEXICON_ENTRIES`` with the most weight times texts are kept; only these reach the driver.
+    """
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            n, *rest = word_counts(batch.column("text"), batch.column("y").to_numpy().astype(float))
+            yield pa.RecordBatch.from_arrays([pa.array(n), *(pa.array(c.view(np.int64)) for c in rest)], names=COUNTS.names)
+
+    counts = found.select("text", "y").mapInArrow(run, COUNTS).groupBy("n", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    weight = _weight(F.col("bad"), F.col("good"), n_bad, n_good, F.log)
+    strong = counts.where(F.col("bad") >= F.when(F.col("n") == 0, LEAST_WORD).otherwise(LEAST_START)).withColumn("weight", weight)
+    order = Window.partitionBy("n").orderBy(F.desc(F.col("weight") * F.col("bad")), F.col("key") < 0, "key")
+    table = strong.where(F.col("weight") >= LEAST_ODDS).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= LEXICON_ENTRIES)
+    n, keys, bad, good = (c.to_numpy() for c in table.select(*COUNTS.names).toArrow().columns)
+    return choose_entries(n, keys.astype(np.int64).view(U), bad, good, n_bad, n_good)
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
@@ -249,17 +279,28 @@ class Model:
         return np.clip(self.values[at] * 0.998 + 0.002 / (1 + np.exp(-raw)), 0, 1)
 
 
+def constant(n: int, bad: float) -> Model | None:
+    """The share of toxic labels as every text's score, where there are too few of a kind to learn from."""
+    few = n < LEAST_ROWS or min(bad, n - bad) < LEAST_OF_KIND
+    return Model(None, None, np.zeros(1), np.array([bad / n if n else 0.0])) if few else None
+
+
+def train(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Model:
+    """Trees of the rows outside ``calibrate``, calibrated on the rows inside."""
+    trees = fit_trees(x[~calibrate], y[~calibrate])
+    return Model(lexicon, trees, *isotonic(trees.raw(x[calibrate]), y[calibrate]))
+
+
 def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
-    """A model from labelled texts, cut in three by their order."""
+    """A model from a few labelled texts at hand, dealt to the three parts in their order."""
+    plain = constant(len(toxic), toxic.sum())
+    if plain:
+        return plain
     part = np.arange(len(toxic)) % 5
-    if len(toxic) < 50 or min(toxic.sum(), (1 - toxic).sum()) < 10:
-        return Model(None, None, np.zeros(1), np.array([toxic.mean() if len(toxic) else 0.0]))
-    of = lambda keep: (texts.filter(pa.array(keep)), toxic[keep])
-    lexicon = learn_lexicon(*of(part < 2))
-    every = lambda t: np.concatenate([features(c, lexicon) for _, c in chunks(t)])
-    a, b = of((part == 2) | (part == 3)), of(part == 4)
-    trees = fit_trees(every(a[0]), a[1])
-    return Model(lexicon, trees, *isotonic(trees.raw(every(b[0])), b[1]))
+    of = part < 2
+    bad = int(toxic[of].sum())
+    lexicon = choose_entries(*word_counts(texts.filter(pa.array(of)), toxic[of]), bad, int(of.sum()) - bad)
+    return train(lexicon, features(texts.filter(pa.array(~of)), lexicon), toxic[~of], part[~of] == 4)
 
 
 def held_out(key: Column) -> Column:
@@ -267,15 +308,34 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Model:
-    """Fits on the first ``rows`` labelled rows in hash order that are not held out; these alone reach the driver."""
+def fitting_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
+    """(k, y, part, text) of the first ``rows`` labelled ids in hash order that are not held out; ``part`` goes round from 0 to 4."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64(key), key).limit(rows).select(F.col(key).alias("k"), "y")
-    # at most ``rows`` rows of two numbers: a bounded broadcast
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    table = found.select(F.xxhash64("k").alias("h"), "k", "t", "y").toArrow().sort_by([("h", "ascending"), ("k", "ascending"), ("t", "ascending")])
-    return fit(table.column("t").combine_chunks(), table.column("y").to_numpy().astype(float))
+    # at most ``rows`` rows of three numbers: a bounded sort and a bounded broadcast
+    nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("k"), "k"))
+    chosen = chosen.withColumn("part", (nth - 1) % 5)
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    found = texts.join(F.broadcast(chosen), "k").groupBy("k", "y", "part")
+    return found.agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select("k", "y", "part", F.col("first.text").alias("text"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Model:
+    """Fits on at most ``rows`` labelled texts: two fifths for the lexicon, two for the trees, one for the calibration."""
+    found = checkpointed(fitting_texts(docs, labels, key, text, label, rows))
+    of_lexicon = F.col("part") < 2
+    n, bad, n_part, bad_part = found.agg(F.count("*"), F.sum("y"), F.count_if(of_lexicon), F.sum(F.when(of_lexicon, F.col("y")))).first()
+    plain = constant(n, bad or 0)
+    if plain:
+        return plain
+    lexicon = learn_lexicon(found.where(of_lexicon), bad_part or 0, n_part - (bad_part or 0))
+    row = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
+    work = lambda batch: [list_array(x.ravel(), np.full(len(x), len(FEATURES)), pa.float64()) for x in [features(batch.column("text"), lexicon)]]
+    measured = map_added(found.where(~of_lexicon), "text", row, work).select(F.xxhash64("k").alias("h"), "k", "part", "y", "x")
+    table = measured.toArrow().sort_by([("h", "ascending"), ("k", "ascending")])
+    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    return train(lexicon, x, table.column("y").to_numpy().astype(float), table.column("part").to_numpy() == 4)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

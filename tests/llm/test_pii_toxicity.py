@@ -156,6 +156,37 @@ def test_scores_of_awkward_rows_and_of_no_labels(spark):
     assert {r["score"] for r in toxicity.score(df, none).collect()} == {0.0}
 
 
+def test_model_learnt_in_spark_is_that_of_the_texts_at_hand(spark):
+    rows = toxic_rows(random.Random(21), 900) + [(9000 + i, "", 0) for i in range(5)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(3, rows[3][1], "y")], "doc_id long, text string, part string").repartition(7)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (4, None)], "doc_id long, toxic int")
+    found = toxicity.fitting_texts(docs, labels, "doc_id", "text", "toxic", 700).withColumn("h", F.xxhash64("k")).orderBy("h", "k").collect()
+    assert len(found) == len({r["k"] for r in found}) <= 700 and [r["part"] for r in found] == [i % 5 for i in range(len(found))]
+    assert not any(zlib.crc32(str(r["k"]).encode()) % 3 == 1 for r in found)
+    want = toxicity.fit(pa.array([r["text"] for r in found], pa.string()), np.array([float(r["y"]) for r in found]))
+    got = toxicity.learn(docs, labels, rows=700)
+    assert np.array_equal(got.lexicon.words, want.lexicon.words) and np.allclose(got.lexicon.word_weights, want.lexicon.word_weights)
+    assert all(np.array_equal(got.lexicon.starts[n][0], want.lexicon.starts[n][0]) for n in toxicity.PREFIXES)
+    texts = pa.array([t for _, t, _ in rows], pa.string())
+    assert np.allclose(got.score(texts), want.score(texts))
+    assert len(got.lexicon.words)
+
+
+def test_lexicon_counts_texts_by_a_plain_loop():
+    texts = ["Bad bad word here", "bad? words", "", None, "here here", "badness badly"]
+    toxic = np.array([1.0, 0.0, 1.0, 0.0, 1.0, 1.0])
+    n, keys, bad, good = toxicity.word_counts(pa.array(texts, pa.string()), toxic)
+    got = {(a, k): (b, g) for a, k, b, g in zip(n.tolist(), keys.tolist(), bad.tolist(), good.tolist())}
+    words = [{w.strip("?") for w in (t or "").lower().split()} for t in texts]
+    plain = {}
+    for length in (0, *toxicity.PREFIXES):
+        for own, y in zip(words, toxic):
+            for w in {w[:length] if length else w for w in own if len(w) > length}:
+                one = plain.setdefault((length, int(toxicity._hash([w])[0])), [0, 0])
+                one[0 if y else 1] += 1
+    assert got == {k: tuple(v) for k, v in plain.items()}
+
+
 def test_isotonic_means_rise_and_keep_the_total():
     rng = np.random.default_rng(15)
     raw = np.round(rng.normal(size=300), 1)
