@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from codelineage.session import checkpointed
 
-LEAF = 256
+LEAF = 1_024
 SHARD_ROWS = 16_384
 SHARD_BYTES = 8 << 20
 BLOCK_QUERIES = 2_048
