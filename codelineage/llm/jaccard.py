@@ -18,7 +18,8 @@ comparison. A long entry is resolved by differences: with
 d(x) the shingles in which x and the entry's first set differ, x and y can only link
 if d(x) and d(y) share about half of their shingles or more, so that the rarer half of
 d(y) must meet d(x); only such pairs are compared. Sets that differ too much from the first
-set to link with those near it go on to a round with another first set. All
+set to link with those near it go on to a round with another first set, and entries that such rounds
+would not part are looked through like short ones, two blocks of bounded size at a time. All
 comparisons are exact on 64-bit shingle hashes, and no pair of an entry is passed over.
 
 Null, empty and wordless texts have empty sets and stand alone; a text with fewer
@@ -46,6 +47,7 @@ from codelineage.session import checkpointed
 BAND_GROWTH = 1.4
 PAIR_COST = 6.0
 SHORT_ENTRY = 256
+BLOCK_ROWS = 2_048
 CELLS = 64
 MET_SETS = 200_000
 COMMON_SETS, COMMON_SHARE = 0.1, 0.5  # the cost model's picture: a tenth of the sets, half filled by the same passages
@@ -395,6 +397,19 @@ def likely_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, PAIR).distinct()
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of entries (key, rows, doc, ...) with entries of more than ``BLOCK_ROWS`` rows cut into blocks of about that size.
+
+    Any two blocks of an entry, and a block with itself, make an entry of their own, so no task holds more than two
+    blocks of a key and every two rows still meet.
+    """
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
+    mine = F.pmod(F.xxhash64("doc", F.lit(41)), blocks)
+    dealt = rows.select("*", blocks.alias("blocks"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    both = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return dealt.withColumn("key", F.when(F.col("blocks") > 1, both).otherwise(F.col("key"))).drop("blocks", "mine", "other")
+
+
 def _and_end(batches):
     """The batches, then None."""
     yield from batches
@@ -464,7 +479,7 @@ def links(reps: DataFrame, member: DataFrame, repeated: DataFrame, twice: DataFr
         placed = open_.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         entries = placed.groupBy("key").agg(F.count("*").alias("rows"), F.min("doc").alias("low"), F.min("component").alias("c0"), F.max("component").alias("c1"))
         rest = kept(placed.join(entries.where("c0 < c1").select("key", "rows", "low"), "key"))
-        new = likely_pairs(rest.where(short).join(cells.select("doc", "cells"), "doc"), rule)
+        new = likely_pairs(in_blocks(rest.where(short).join(cells.select("doc", "cells"), "doc")), rule)
         long = rest.where(~short)
         more = not long.isEmpty()
         if more:
@@ -483,7 +498,7 @@ def links(reps: DataFrame, member: DataFrame, repeated: DataFrame, twice: DataFr
         open_ = kept(
             long.select("key", "doc", "n_doc", "low").join(away.select(F.col("a").alias("low"), F.col("b").alias("doc")), ["low", "doc"], "left_semi").select("key", "doc", "n_doc")
         )
-        if 2 * open_.count() > long.count():  # sets with little in common: no round would part them, so look through them
+        if 2 * open_.count() > long.count():  # sets with little in common: no round would part them, so look through them by blocks
             short = F.lit(True)
 
 
