@@ -14,9 +14,9 @@ the spans. A word is in a factor of 13 words or more exactly if one of the windo
 smaller document. A greedy parse, whose factors do not overlap, would leave the end of a match that
 begins inside another factor.
 
-Windows are compared by 64-bit hashes. Only equality with some smaller document matters, so
-that phrases repeated within a batch are resolved before anything is shuffled: a
-passage that very many documents share reaches its block once per batch.
+Phrases and windows are compared by two 64-bit hashes. Only equality with some smaller document matters, so
+that phrases and windows repeated within a batch are resolved before anything is shuffled: a
+passage that very many documents share reaches its block once per batch, and so does a window at its borders.
 
 Null, empty and wordless texts have no windows and keep nothing; texts of fewer than 13 words are
 kept whole. Rows with a null id are kept whole and are no reference. Of rows that share an id
@@ -81,6 +81,20 @@ def phrases(hashes: np.ndarray, first: np.ndarray):
 PHRASE = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "phrase", "doc", "place", "ref")])
 
 
+def resolved(one: np.ndarray, two: np.ndarray, doc: np.ndarray, place: np.ndarray):
+    """Both keys, the smallest document of the batch with these keys, and whether that settles a row.
+
+    A settled row is spread evenly: under its own keys it would only be met again.
+    """
+    order = np.lexsort((doc, two, one))
+    group = np.flatnonzero(np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])
+    low = np.empty(len(doc), np.int64)
+    low[order] = np.repeat(doc[order][group], np.diff(np.r_[group, len(doc)]))
+    known = low < doc
+    spread = mix(place.astype(U), 35) + mix(doc.astype(U), 36)
+    return np.where(known, spread, one), np.where(known, spread, two), low, known
+
+
 def index_phrases(docs: DataFrame) -> DataFrame:
     """Every phrase of (id, text); ``ref`` is a smaller document of the same batch with the phrase, if there is one."""
 
@@ -93,14 +107,7 @@ def index_phrases(docs: DataFrame) -> DataFrame:
                 continue
             doc = ids[text]
             place = ((start - first[text]) * 16 + count) * TAG + tags(batch.column("text"))[text]
-            order = np.lexsort((doc, content))
-            group = np.flatnonzero(np.r_[True, np.diff(content[order]) != 0])
-            low = np.empty(len(doc), np.int64)
-            low[order] = np.repeat(doc[order][group], np.diff(np.r_[group, len(doc)]))
-            known = low < doc
-            # a phrase already resolved is spread evenly, its own anchor would only be met again
-            spread = mix(place.astype(U), 35) + mix(doc.astype(U), 36)
-            anchor, content = np.where(known, spread, anchor), np.where(known, spread, content)
+            anchor, content, low, known = resolved(anchor, content, doc, place)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(place), pa.array(low, mask=~known)],
                 names=[f.name for f in PHRASE],
@@ -115,7 +122,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc", tag).agg(F.collect_list(F.struct(F.expr(f"place div {TAG}").alias("at"), "ref")).alias("found"))
 
 
-WINDOW_ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("window", "doc", "place")])
+WINDOW_ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("window", "check", "doc", "place", "ref")])
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -123,7 +130,7 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 
 def boundary_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(window, doc, place) for the windows of the phrases in ``rows``."""
+    """The windows of the phrases in ``rows``, by two hashes; ``ref`` as in ``index_phrases``."""
     listed = _grouped(rows.withColumn("ref", F.lit(None).cast("long")))
     listed = listed.withColumnRenamed("tag", "tag_")
     joined = _tagged(docs).join(listed, (F.col("id") == F.col("doc")) & (F.col("tag") == F.col("tag_")))
@@ -131,7 +138,7 @@ def boundary_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches, "text"):
             _, _, _, _, first, hashes = batch_words(batch.column("text"))
-            windows = runs(hashes, WINDOW)
+            windows, checks = runs(hashes, WINDOW), runs(mix(hashes, 37), WINDOW)
             lists = batch.column("at")
             owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
             at = lists.flatten().to_numpy()
@@ -140,8 +147,10 @@ def boundary_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
             place = at[row] // 16 + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             text = owner[row]
             tag = batch.column("tag").to_numpy()[text]
+            at_word, doc, place = first[text] + place, batch.column("id").to_numpy()[text], (place * 16 + 1) * TAG + tag
+            window, check, low, known = resolved(windows[at_word], checks[at_word], doc, place)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(windows[first[text] + place].view(np.int64)), pa.array(batch.column("id").to_numpy()[text]), pa.array((place * 16 + 1) * TAG + tag)],
+                [pa.array(window.view(np.int64)), pa.array(check.view(np.int64)), pa.array(doc), pa.array(place), pa.array(low, mask=~known)],
                 names=[f.name for f in WINDOW_ROW],
             )
 
@@ -162,8 +171,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     check = F.col("ref").isNull() & (F.col("low") != F.col("high")) & (F.col("doc_low") != F.col("doc_high"))
     rows = checkpointed(seen.select("doc", "place", ref.alias("ref"), check.alias("check")).where("ref is not null or check"))
     open_ = rows.where("check and ref is null").select("doc", "place")
-    windows = boundary_windows(docs, open_).withColumn("first", F.min("doc").over(Window.partitionBy("window")))
-    single = windows.where("first < doc").select("doc", "place", F.col("first").alias("ref"))
+    windows = boundary_windows(docs, open_).withColumn("first", F.min("doc").over(Window.partitionBy("window", "check")))
+    single = windows.select("doc", "place", F.coalesce("ref", F.when(F.col("first") < F.col("doc"), F.col("first"))).alias("ref")).where("ref is not null")
     return _grouped(rows.where("ref is not null").select("doc", "place", "ref").unionByName(single))
 
 

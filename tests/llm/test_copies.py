@@ -94,6 +94,46 @@ def test_a_long_entry_with_repeated_ids(spark, monkeypatch, extra):
     assert 10 < len({r["component_id"] for r in got}) < 40
 
 
+def test_long_entries_are_looked_through_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 5)
+    rows = [(7, 40, d) for d in range(40)] + [(8, 5, d) for d in range(100, 105)] + [(9, 11, d) for d in range(200, 211)]
+    cut = jaccard.in_blocks(spark.createDataFrame(rows, "key long, rows long, doc long")).select("key", "doc").collect()
+    entries = {}
+    for r in cut:
+        entries.setdefault(r["key"], set()).add(r["doc"])
+    assert entries.pop(8) == set(range(100, 105))
+    met = {(a, b) for docs in entries.values() for a in docs for b in docs if a < b}
+    assert met == {(a, b) for first, n in ((0, 40), (200, 11)) for a in range(first, first + n) for b in range(a + 1, first + n)}
+    assert max(map(len, entries.values())) < 30 and len(entries) == 8 * 9 // 2 + 3 * 4 // 2
+
+
+def test_links_among_unrelated_sets_of_one_entry_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT_ENTRY", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
+    one_entry = lambda docs, schemes, rule: docs.select(F.lit(128 + schemes[-1].band).cast("long").alias("key"), F.col("id").alias("doc")).distinct()
+    monkeypatch.setattr(jaccard, "index_entries", one_entry)
+    cut, in_blocks = [], jaccard.in_blocks
+    monkeypatch.setattr(jaccard, "in_blocks", lambda rows: cut.append(rows.agg(F.max("rows")).first()[0]) or in_blocks(rows))
+    rng = random.Random(33)
+    rows = []
+    for i in range(60):  # sets with nothing in common but for a copy with one word changed of every third
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            words[-1] = "other"
+            rows.append((1000 + i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(frame(spark, rows)).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert max(c or 0 for c in cut) > 3
+
+
+def test_rows_are_settled_by_both_hashes():
+    one, two = np.array([5, 5, 5, 6], np.uint64), np.array([1, 1, 2, 1], np.uint64)
+    a, b, low, known = rlz.resolved(one, two, np.array([9, 4, 9, 9]), np.arange(4))
+    assert known.tolist() == [True, False, False, False] and low[0] == 4
+    assert a[1:].tolist() == [5, 5, 6] and b[1:].tolist() == [1, 2, 1] and (a[0], b[0]) != (5, 1)
+
+
 def test_linked_sets_share_an_index_entry_after_the_common_ones_are_left_out():
     """The allowances of every scheme suffice, whatever counts the entries have."""
     rng = np.random.default_rng(9)
