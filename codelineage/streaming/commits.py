@@ -20,9 +20,13 @@ from codelineage.operators.snippets import snippets
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables as a file stream."""
+    """One of the tables as a file stream, be it a file or a folder of files.
+
+    A stream refuses the plain path of a file, and a filter on file names misses the parts of a folder; a pattern that
+    only this path fits takes both.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _start(stream: DataFrame, out: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

@@ -221,4 +221,14 @@ def test_latest_report_counts_a_commit_over_all_its_batches(spark, tmp_path):
     for i, rows in enumerate([[(7, day(2), "LLM_GENERATED", 1, 3)] * 3 + [(6, day(1), "MIXED", 1, 2)], [(7, day(2), "HUMAN_WRITTEN", 4, 5)] * 3]):
         spark.createDataFrame(rows, columns).write.parquet(f"{out}/data/batch={i}")
     r = st.read_latest(spark, out).first()
-    assert (r["commit"], r["analyzed_lines"], r["llm_generated"], r["human_written"]) == (7, 6, 3, 3)
\ No newline at end of file
+    assert (r["commit"], r["analyzed_lines"], r["llm_generated"], r["human_written"]) == (7, 6, 3, 3)
+
+def test_table_stream_reads_files_and_folders(spark, tmp_path):
+    rows = spark.range(20).withColumn("text", F.lit("x"))
+    rows.repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "single.parquet")
+    for name in ("parts", "single"):
+        out = str(tmp_path / f"out-{name}")
+        got = st.finished(st.latest_report(st.table_stream(spark, str(tmp_path), name), out), spark, out)
+        assert sorted(r.id for r in got.collect()) == list(range(20))
