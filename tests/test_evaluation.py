@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -112,6 +113,13 @@ def test_hash_rank_with_one_hot_group(spark):
     assert got == want
 
 
+def test_hash_rank_sends_no_side_through_the_driver(spark, capsys):
+    df = spark.createDataFrame([("a", i) for i in range(50)], "g string, id int").withColumn("d", stable_digest("t", 1, F.col("id")))
+    df.write.mode("overwrite").parquet(path := tempfile.mkdtemp() + "/rows")
+    hash_rank(spark.read.parquet(path), ["g"], "d", "id").explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_grouped_split_is_greedy(spark):
     sizes = {f"r{i}": random.Random(i).randint(1, 30) for i in range(40)} | {"hot": 300}
     df = spark.createDataFrame([(r,) for r, n in sizes.items() for _ in range(n)], "repo string")
