@@ -4,8 +4,10 @@ import ast
 import hashlib
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +196,46 @@ def test_inapplicable_and_failed(spark):
     assert all(got[(8, r)] == "failed" for r in mu.RULES)
 
 
+def test_chosen_rules_and_bare_checks_are_the_same_attempts(spark):
+    sources = [*(c for c, *_ in SAMPLES.values()), "def broken(", "x = 1"]
+    rows = spark.createDataFrame([(i, "train", c) for i, c in enumerate(sources)], "source_index int, split string, code string")
+    every = {r.id: r.asDict(recursive=True) for r in mu.mutate(rows).collect()}
+    few = {r.id: r.asDict(recursive=True) for r in mu.mutate(rows, rules=["replace_literal_value", "modernize_super_call"]).collect()}
+    assert few == {k: v for k, v in every.items() if k in few} and len(few) == 2 * len(sources)
+    bare = mu.mutate(rows, texts=False)
+    assert "expected_mutated_function" not in bare.columns
+    assert {r.id: r.status for r in bare.collect()} == {k: v["status"] for k, v in every.items()}
+
+
+def test_equal_trees_differ_in_places_only():
+    codes = ["x = 1", "x = True", "x = 1.0", "x = (1)", "x=1", "x = y", "def f():\n    return 1", "def f():\n  return (1)", "f(a, b)", "f(a)"]
+    for a in codes:
+        for b in codes:
+            one, other = ast.parse(a), ast.parse(b)
+            assert pycode.same_tree(one, other) == (ast.dump(one) == ast.dump(other))
+
+
+def test_a_batch_is_done_piece_by_piece():
+    class Row(dict):
+        pass
+
+    alive, most = weakref.WeakSet(), 0
+
+    def each(text):
+        nonlocal most
+        row = Row(name=text, mark=b"m")
+        Row.__hash__ = object.__hash__
+        alive.add(row)
+        most = max(most, len(alive))
+        return [row]
+
+    kind = pa.list_(pa.struct([("name", pa.string()), ("mark", pa.binary())]))
+    texts = [str(i) for i in range(1000)]
+    got = pycode._in_pieces(each, kind, (pa.array(texts),)).to_pylist()
+    assert [r[0]["name"] for r in got] == texts and most <= 2 * pycode.PIECE
+    assert pycode._in_pieces(each, kind, (pa.array([], pa.string()),)).to_pylist() == []
+
+
 def test_rename_stays_out_of_nested_scopes(spark):
     code = "def o(v):\n    outer = v\n    def i():\n        result = 10\n        return result\n    return outer\n"
     r = mutated(spark, [code]).where("mutation_operator = 'rename_local_identifier'").first()
