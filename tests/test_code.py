@@ -154,6 +154,14 @@ SAMPLES = {
 }
 
 
+def test_bags_hold_what_the_nodes_hold(spark):
+    df = spark.createDataFrame([(1, "def f_12(a):\n    return a + 3\n"), (2, "x = 'two Words'"), (3, "def (")], "id int, code string")
+    want = defaultdict(Counter)
+    for r in x.ast_nodes(df, "code").collect():
+        want[r.id].update([f"t:{r.type}", f"f:{r.field}", *r.lexemes])
+    assert {r.id: Counter(r.bag) for r in x.ast_bags(df, "code").collect()} == want and set(want) == {1, 2}
+
+
 def mutated(spark, sources):
     rows = [(i, "train", c) for i, c in enumerate(sources)]
     return mu.mutate(spark.createDataFrame(rows, "source_index int, split string, code string"))
