@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,15 +52,27 @@ def reply_pieces(messages: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(left: DataFrame, right: DataFrame, b: str, task_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``left`` repeated per part and ``right`` dealt into parts of about ``task_rows`` by the hash of ``b``; a part is ``_part`` of ``conv_id``."""
+    parts = right.groupBy("conv_id").agg(F.ceil(F.count("*") / task_rows).cast("int").alias("_parts"))
+    dealt = right.join(parts, "conv_id").withColumn("_part", F.pmod(F.xxhash64(b), F.col("_parts")).cast("int")).drop("_parts")
+    asked = left.join(parts, "conv_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return asked, dealt
+
+
+def met(left: DataFrame, right: DataFrame, b: str, task_rows: int = 64) -> DataFrame:
+    """Every pair of rows of a conversation, a long conversation by several tasks."""
+    asked, dealt = _dealt(left, right, b, task_rows)
+    return asked.join(dealt, ["conv_id", "_part"]).drop("_part")
+
+
 def similar_pairs(left: DataFrame, a: str, right: DataFrame, b: str, floor: float, gap: int | None = None, task_rows: int = TASK_REPLIES) -> DataFrame:
     """Pairs of a conversation whose texts ``a`` and ``b`` are more than ``floor`` similar, with ``similarity``.
 
     The rows of ``right`` are dealt into parts of about ``task_rows`` by the hash of their text, and
     ``left`` is repeated per part, so that no task holds a whole conversation.
     """
-    parts = right.groupBy("conv_id").agg(F.ceil(F.count("*") / task_rows).cast("int").alias("_parts"))
-    dealt = right.join(parts, "conv_id").withColumn("_part", F.pmod(F.xxhash64(b), F.col("_parts")).cast("int")).drop("_parts")
-    asked = left.join(parts, "conv_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    asked, dealt = _dealt(left, right, b, task_rows)
     asked, dealt = asked.withColumn("_fa", t.chat_form(F.col(a))), dealt.withColumn("_fb", t.chat_form(F.col(b)))
     twice = {c: f"_r_{c}" for c in ("conv_id", "_part")}
     for c, other in twice.items():
@@ -71,16 +83,33 @@ def similar_pairs(left: DataFrame, a: str, right: DataFrame, b: str, floor: floa
     return scored.where(F.col("similarity") > floor).drop("_fa", "_fb", "_part", *twice.values())
 
 
+def sentence_forms(text: Column) -> Column:
+    """Place, text and form of every sentence of more than 10 characters."""
+    found = F.filter(F.split(text, r"[.!?\n]+"), lambda s: F.length(t.js_trim(s)) > 10)
+    return F.transform(found, lambda s, i: F.struct(i.alias("pos"), t.js_trim(s).alias("s"), t.chat_form(s, terms=True).alias("form")))
+
+
 def best_sentence(
-    df: DataFrame, keys: list[str], content: str, text: str, longest: int | None = None, gap: int | None = None
+    df: DataFrame, keys: list[str], content: str, text: str, longest: int | None = None, gap: int | None = None, forms: tuple[str, str] | None = None
 ) -> DataFrame:
-    """Sentence of ``text`` most similar to ``content``, whole or its first ``longest`` characters."""
+    """Sentence of ``text`` most similar to ``content``, whole or its first ``longest`` characters.
+
+    Where texts meet several times, ``forms`` names columns with the form of the content (with its terms) and the
+    ``sentence_forms`` of the text, made before the texts met.
+    """
     c, x = F.col(content), F.col(text)
-    sentences = F.filter(F.split(x, r"[.!?\n]+"), lambda s: F.length(t.js_trim(s)) > 10)
-    each = df.select(*keys, content, F.posexplode_outer(sentences).alias("pos", "s")).where(F.col("pos").isNotNull())
-    scored = t.chat_similarity(each, content, "s", "sim", gap=gap).select(
-        *keys, (-F.col("pos")).alias("early"), t.js_trim(F.col("s")).alias("s"), "sim"
+    made = (t.chat_form(c, terms=True), sentence_forms(x)) if forms is None else tuple(F.col(f) for f in forms)
+    told = F.transform(
+        made[1], lambda s: F.struct(t.similarity_without_edits(made[0], s["form"], gap).alias("told"), (-s["pos"]).alias("early"), s["s"].alias("s"), s["form"].alias("form"))
     )
+    # The best of the sentences that need no edit distance is one row, each of the others one more.
+    sure = F.array_max(F.transform(F.filter("_told", lambda e: e["told"] > 0), lambda e: F.struct(e["told"], e["early"], e["s"])))
+    first = F.struct("_sure.told", "_sure.early", "_sure.s", F.get("_told", F.lit(-1))["form"].alias("form"))
+    each = df.select(*keys, made[0].alias("_fa"), told.alias("_told")).withColumn("_sure", sure)
+    each = each.select(*keys, "_fa", F.explode_outer(F.concat(F.array(first), F.filter("_told", lambda e: e["told"].isNull()))).alias("_s"))
+    open_ = F.col("_s.told").isNull()
+    rows = each.select(*keys, F.when(open_, F.col("_fa")).alias("_fa"), F.col("_s.form").alias("_fb"), F.col("_s.told").alias("told"), F.col("_s.early").alias("early"), F.col("_s.s").alias("s"))
+    scored = t.form_similarity(rows, "_fa", "_fb", "sim", gap=gap, terms=True).withColumn("sim", F.coalesce("told", "sim")).drop("_fa", "_fb", "told")
     best = scored.where(F.col("sim") > 0).groupBy(*keys).agg(F.max(F.struct("sim", "early", "s")).alias("b"))
     cut = lambda v: v if longest is None else F.concat(F.left(v, F.lit(longest)), F.lit("..."))
     # Nothing similar: the place of the content inside the text, else its beginning.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codelineage.functions import text as t
 from codelineage.operators import chat as ch
 from codelineage.operators import snippets as sn
 from codelineage.operators import survey as sv
@@ -44,8 +45,10 @@ def match_dedupe(spark, d):
 
 @R.add("best_sentence")
 def best_sentence(spark, d):
-    pairs = messages(spark, d).where("role = 'assistant'").join(checked_texts(spark, d), "conv_id")
-    return ch.best_sentence(pairs, [*TEXT, "turn"], "content", "text", ch.LONGEST_SENTENCE, ch.LONGEST_GAP).withColumn("similarity", F.round("similarity", 6))
+    replies = messages(spark, d).where("role = 'assistant'").withColumn("sentences", ch.sentence_forms(F.col("text")))
+    texts = checked_texts(spark, d).withColumn("form", t.chat_form(F.col("content"), terms=True))
+    found = ch.best_sentence(ch.met(texts, replies, "text"), [*TEXT, "turn"], "content", "text", ch.LONGEST_SENTENCE, ch.LONGEST_GAP, forms=("form", "sentences"))
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @R.add("first_appearance")

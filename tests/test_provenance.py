@@ -375,3 +375,45 @@ def test_assistant_sourced(spark):
     texts = spark.createDataFrame([(1, "def add(a, b):\n    return a + b"), (2, "def other(q):\n    yield q * 2")], "conv_id bigint, content string")
     got = {r.conv_id: (r.is_assistant_sourced, r.overall_similarity) for r in chat.assistant_sourced(texts, msgs).collect()}
     assert got == {1: (True, 1.0), 2: (False, 0.0)}
+
+
+def test_edit_distances_of_many_pairs(monkeypatch):
+    from codelineage.functions import edits
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(rng.choice(["ab", "abcdefgh é中"])) for _ in range(rng.choice([0, 1, 20, 63, 64, 65, 128, 130]))) for _ in range(120)]
+    pairs = [(x, rng.choice([x[: len(x) // 2] + "q" + x[len(x) // 2 + 2 :], rng.choice(texts)]), rng.choice([0, 2, 20, 60, 500])) for x in texts]
+    want = [d if (d := py_lev(x, y)) <= limit else -1 for x, y, limit in pairs]
+    assert edits.distances(*zip(*pairs)) == want and any(d > 2 for d in want) and -1 in want
+    monkeypatch.setattr(edits, "TABLE_WORDS", 10)  # every pair alone, its bits in one integer
+    assert edits.distances(*zip(*pairs)) == want
+    assert edits.distances([None, "a", "a"], ["a", None, "a"], [1, 1, None]) == [None] * 3
+
+
+def test_edit_distances_are_left_when_out_of_reach(spark):
+    """In 20 s; the full table of these pairs has 9 billion cells."""
+    import time
+
+    from codelineage.functions import edits
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(3000)) for _ in range(100)]
+    began = time.time()
+    assert set(edits.distances([x for x in texts[:10] for _ in range(100)], texts * 10, [300] * 1000)) == {0, -1}
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("task_rows", [2, 64])
+def test_best_sentence_with_forms_made_before(spark, task_rows):
+    rng = random.Random(8)
+    texts, replies = chat_texts(rng, 12), [". ".join(chat_texts(rng, 4)) for _ in range(6)]
+    a = spark.createDataFrame([(c, i, x) for c in (1, 2) for i, x in enumerate(texts)], "conv_id long, i int, content string")
+    b = spark.createDataFrame([(1, j, x) for j, x in enumerate(replies)], "conv_id long, j int, text string")
+    formed = chat.met(a.withColumn("form", t.chat_form(F.col("content"), terms=True)), b.withColumn("sentences", chat.sentence_forms(F.col("text"))), "text", task_rows)
+    keys = ["conv_id", "i", "j"]
+    got = {(r.i, r.j): (r.similarity, r.sentence) for r in chat.best_sentence(formed, keys, "content", "text", forms=("form", "sentences")).collect()}
+    assert len(got) == 72
+    assert got == {(r.i, r.j): (r.similarity, r.sentence) for r in chat.best_sentence(a.join(b, "conv_id"), keys, "content", "text").collect()}
+    for (i, j), (similarity, _) in got.items():
+        sentences = [s for s in re.split(r"[.!?\n]+", replies[j]) if len(s.strip()) > 10]
+        assert similarity == pytest.approx(max((py_chat(texts[i], s) for s in sentences), default=0))
