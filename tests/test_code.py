@@ -436,3 +436,21 @@ def test_nothing_is_cut_unless_asked(spark):
     chat = spark.createDataFrame([(1, text, text)], "k int, content string, text string")
     whole, short = (best_sentence(chat, ["k"], "content", "text", n).first().sentence for n in (None, 300))
     assert whole == text.strip() and short == text[:300] + "..."
+
+
+def test_taxonomy_rules_run_once_and_look_for_their_hints_first(spark):
+    import random
+    import re
+
+    from codelineage.operators import topics as tp
+
+    rng = random.Random(6)
+    words = sorted({w for _, p in tp.RULES for w in re.findall(r"[a-z/]+", p.replace("\\b", " ")) if len(w) > 1} | {h for hints in tp.HINTS.values() for h in hints})
+    parts = [*words, *[w + "s" for w in words], "x" , "add a type hint", "use of type annotations", "replace it with", "constructor may accept", "directory is named", "command-line option", "underscore to separate words", "accepts an"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.choice([1, 2, 3, 8])))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, requirement string")
+    plain = F.array_compact(F.array(*[F.when(F.col("requirement").rlike(f"(?U){p}"), F.lit(n)) for n, p in tp.RULES]))
+    assert df.where(~tp.rule_signals(F.col("requirement")).eqNullSafe(plain)).count() == 0
+    assert set(df.select(F.explode(plain)).distinct().toPandas()["col"]) == {n for n, _ in tp.RULES} == set(tp.HINTS)
+    out = tp.taxonomy_summary(tp.classify_requirements(df.withColumn("label", F.lit("low")), "requirement"), ["low"])
+    assert "rlike" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
