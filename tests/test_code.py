@@ -454,3 +454,18 @@ def test_taxonomy_rules_run_once_and_look_for_their_hints_first(spark):
     assert set(df.select(F.explode(plain)).distinct().toPandas()["col"]) == {n for n, _ in tp.RULES} == set(tp.HINTS)
     out = tp.taxonomy_summary(tp.classify_requirements(df.withColumn("label", F.lit("low")), "requirement"), ["low"])
     assert "rlike" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_picked_versions_are_parsed_once_for_both_sides(spark):
+    rows = [("r", "p.py", n, f"def f(x):\n    return {n // 2}\n") for n in range(4)]
+    v = spark.createDataFrame(rows, "repo string, path string, sha long, content string")
+    c = spark.createDataFrame([(*r[:3], f"m{r[2]}", 4 - r[2]) for r in rows], "repo string, path string, sha long, message string, nth int").withColumn(
+        "author_date", F.timestamp_seconds(F.col("sha"))
+    )
+    found = m.changed_functions(c, v)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    r = found.collect()
+    assert [(x.old_sha, x.new_sha, x.old_code, x.new_code, x.old_message, x.new_message, x.pair) for x in r] == [
+        (1, 2, "def f(x):\n    return 0\n", "def f(x):\n    return 1\n", "m1", "m2", 2)
+    ]
