@@ -127,9 +127,13 @@ def best_sentence(
 def sourced_matches(
     contents: DataFrame, messages: DataFrame, text_keys: tuple[str, ...] = ("conv_id",), longest: int | None = None, gap: int | None = None
 ) -> DataFrame:
-    """Pieces more than 70 % similar to the checked text; whole replies are cut to their best sentence."""
-    scored = similar_pairs(contents, "content", reply_pieces(messages), "piece", SOURCED_MIN, gap)
+    """Pieces more than 70 % similar to the checked text; whole replies are cut to their best sentence.
+
+    The pairs that pass are kept in the shared folder, so that texts are compared once for code and for whole replies.
+    """
     keys = [*text_keys, "turn", "piece_no"]
+    found = similar_pairs(contents, "content", reply_pieces(messages), "piece", SOURCED_MIN, gap)
+    scored = checkpointed(found.select(*keys, "kind", "similarity", "content", "piece"))
     whole = scored.where(F.col("kind") == "text")
     cut = best_sentence(whole.select(*keys, "content", "piece"), keys, "content", "piece", longest, gap)
     portions = whole.join(cut.select(*keys, "sentence"), keys).select(*keys, "similarity", F.col("sentence").alias("portion"))

@@ -417,3 +417,16 @@ def test_best_sentence_with_forms_made_before(spark, task_rows):
     for (i, j), (similarity, _) in got.items():
         sentences = [s for s in re.split(r"[.!?\n]+", replies[j]) if len(s.strip()) > 10]
         assert similarity == pytest.approx(max((py_chat(texts[i], s) for s in sentences), default=0))
+
+
+def test_texts_are_compared_once_for_code_and_whole_replies(spark):
+    said = "one long sentence about nothing at all. and another one that is here"
+    chat_rows = [(1, 0, "user", "q"), (1, 1, "assistant", said), (1, 2, "assistant", "see\n```python\nvalue = compute(alpha, beta)\n```")]
+    messages = spark.createDataFrame(chat_rows, "conv_id long, turn long, role string, text string")
+    contents = spark.createDataFrame([(1, 7, said + "!"), (1, 8, "value = compute(alpha, beta)")], "conv_id long, block long, content string")
+    out = chat.sourced_matches(contents, messages, ("conv_id", "block"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # shapes and texts of sentences; no pair of texts is compared again
+    got = {(r.block, r.turn): r.portion for r in out.collect()}
+    # six words of the text are in its first sentence, five in the second
+    assert got == {(7, 1): "one long sentence about nothing at all", (8, 2): "value = compute(alpha, beta)"}
