@@ -430,3 +430,35 @@ def test_texts_are_compared_once_for_code_and_whole_replies(spark):
     got = {(r.block, r.turn): r.portion for r in out.collect()}
     # six words of the text are in its first sentence, five in the second
     assert got == {(7, 1): "one long sentence about nothing at all", (8, 2): "value = compute(alpha, beta)"}
+
+
+def test_identifiers_and_numbers_start_where_no_word_goes_on(spark):
+
+    draw = random.Random(6)
+    parts = ["a", "Z9", "_", "7", "42", "é", "漢", "😀", " ", "-", ".", "\n", "x1", "\u0085", "٣"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    got = df.select("s", F.regexp_extract_all("s", F.lit(t.IDENTIFIER), 0), F.regexp_extract_all("s", F.lit(t.NUMBER), 0)).collect()
+    for s, words, numbers in got:
+        assert words == re.findall(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]*", s)
+        assert numbers == re.findall(r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])", s)
+
+
+def test_probes_are_made_once_per_text(spark):
+    """No filter makes the lists of words again to see that they are not empty."""
+    blocks = spark.createDataFrame([(1, 0, "a = b + c\nreturn a")], BLK)
+    codes = spark.createDataFrame([(1, 0, 0, "user", "a = b + d\nreturn a")], "conv_id long, turn long, snippet_no int, role string, code string")
+    own, others = p._both_prepared(blocks, codes)
+    plan = p._fuzzy_pairs(own, others)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "xxhash64" in line]
+
+
+def test_attribution_and_ranks_from_one_set_of_pairs(spark):
+    said = ["x = load(a)\ny = x + 1\nreturn y", "x = load(b)\ny = x + 1\nprint(y)", "if q:\n    return None", "x = load(a)\ny = x + 1\nreturn y"]
+    blocks = spark.createDataFrame([(1, i, s + tail) for i, s in enumerate(said) for tail in [["", "\nfinish"][i % 2]]], BLK)
+    codes = spark.createDataFrame([(1, i, 0, "user" if i % 2 else "assistant", s) for i, s in enumerate(said)], "conv_id long, turn long, snippet_no int, role string, code string")
+    msgs = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", s) for i, s in enumerate(said)], MSG)
+    found, ranked = p.attribute_and_rank(blocks, codes, msgs, 3)
+    rows = lambda df: sorted(str(r) for r in df.select(*sorted(df.columns)).collect())
+    assert rows(found) == rows(p.attribute_blocks(blocks, codes, msgs))
+    assert rows(ranked) == rows(p.ranked_matches(blocks, codes, 3)) and ranked.count() > 4
