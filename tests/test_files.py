@@ -142,6 +142,20 @@ def test_commit_log_is_one_document_and_keeps_flaws(spark):
     assert head["statistics"]["mixed"] == 5 and head["statistics"]["uncertain"] == 0
 
 
+def test_attr_csv_has_all_eight_columns(spark, tmp_path):
+    from codelineage.plans.files import attr_csv
+
+    said = [(0, "user", "total = price + tax"), (2, "assistant", "total = price + tax"), (4, "assistant", "def load(path): return path")]
+    rows = [(3, turn, role, text) for turn, role, text in said] + [(4, 3, "user", "one"), (5, 1, "assistant", "rows = merge(left, right)")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = attr_csv(spark, str(tmp_path))
+    assert out.columns == ["file_path", "function_name", "line_range", "label", "confidence", "first_appearance", "source_role", "reasoning"]
+    reasons = {(r.file_path, r.first_appearance): r.reasoning for r in out.collect()}
+    assert reasons["src/m2.py", "Message 0"] == '"first seen in user message 0"'
+    assert reasons["src/m4.py", "Message 4"] == '"first seen in assistant message 4"'
+    assert all(x[0] == x[-1] == '"' for x in reasons.values()) and len(reasons) == 5
+
+
 def test_tag_line_numbers_count_the_new_tag(spark):
     blocks = spark.createDataFrame(
         [("a", "python", 4, False, "MIXED"), ("b", "sql", 4, True, "MIXED"), ("c", "go", 0, False, "HUMAN_WRITTEN")],
